@@ -109,7 +109,7 @@ def candidate_edges(classes: DataFrame, coords: int, least: int) -> DataFrame:
 def confirmed_edges(docs: DataFrame, clusters: DataFrame, k: int, percent: int) -> DataFrame:
     """Edges (a, b) that tie together all classes of a cluster with 100 * intersection >= percent * union."""
     sized = clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("m")), "cluster")
-    texts = sized.join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc").dropDuplicates(["doc"])
+    texts = sized.join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc")
 
     def sets(batches):
         for pdf in batches:
