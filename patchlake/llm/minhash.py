@@ -6,7 +6,7 @@ posting lists: two signatures that agree on `least` of `coords` places must meet
 (shared - least + 1) pairs taken in order of frequency. Within a list, collisions are counted on the merged
 signatures and classes above the match threshold are tied into candidate clusters. In each cluster, block by
 block, links are confirmed on the full shingle sets. Long lists and large clusters are cut into blocks of
-BLOCK members whose pairs of blocks go to different tasks, and each task returns a forest, never all pairs.
+LIST_BLOCK and BLOCK members whose pairs of blocks go to different tasks, and each task returns a forest, never all pairs.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from patchlake.llm.common import byte_blocks, connected_components, gram_hashes, group_starts, local_stars, materialize, whole_groups, word_hashes
 
-BLOCK = 256
+BLOCK = 256  # members of a cluster compared on full sets at once, by block
+LIST_BLOCK = 1024  # the same for signatures in a posting list
 
 
 def _sets(texts: list[str], k: int):
@@ -71,9 +72,9 @@ def _postings(classes: DataFrame, coords: int, least: int) -> DataFrame:
     return own.select("doc", F.explode(F.slice("es", F.lit(1), F.size("es") - least + 1)).alias("e")).select("doc", "e.elem", "e.df")
 
 
-def _block_pairs(df: DataFrame, key: str, size: str, doc: str) -> DataFrame:
+def _block_pairs(df: DataFrame, size: str, doc: str, block: int) -> DataFrame:
     """Deals each row to the pairs of blocks (bi <= bj) of its group that its own block takes part in."""
-    df = df.withColumn("nb", F.ceil(F.col(size) / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64(doc), F.col("nb")).cast("int"))
+    df = df.withColumn("nb", F.ceil(F.col(size) / block).cast("int")).withColumn("own", F.pmod(F.xxhash64(doc), F.col("nb")).cast("int"))
     df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     return df.withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other")).drop("nb", "other")
 
@@ -81,7 +82,7 @@ def _block_pairs(df: DataFrame, key: str, size: str, doc: str) -> DataFrame:
 def candidate_edges(classes: DataFrame, coords: int, least: int) -> DataFrame:
     """Edges (a, b) that tie together all classes whose signatures agree on at least `least` coordinates."""
     post = _postings(classes, coords, least).join(classes.select("doc", "sig"), "doc")
-    post = _block_pairs(post, "elem", "df", "doc").repartition("elem", "bi", "bj").sortWithinPartitions("elem", "bi", "bj")
+    post = _block_pairs(post, "df", "doc", LIST_BLOCK).repartition("elem", "bi", "bj").sortWithinPartitions("elem", "bi", "bj")
 
     def count(batches):
         for pdf in whole_groups(batches, ["elem", "bi", "bj"]):
@@ -109,14 +110,15 @@ def candidate_edges(classes: DataFrame, coords: int, least: int) -> DataFrame:
 def confirmed_edges(docs: DataFrame, clusters: DataFrame, k: int, percent: int) -> DataFrame:
     """Edges (a, b) that tie together all classes of a cluster with 100 * intersection >= percent * union."""
     sized = clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("m")), "cluster")
-    texts = sized.join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc")
+    # a merge join whatever the sizes: both sides grow with the corpus
+    texts = sized.hint("merge").join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc")
 
     def sets(batches):
         for pdf in batches:
             yield pd.DataFrame({"cluster": pdf["cluster"], "m": pdf["m"], "doc": pdf["doc"], "items": [s.tobytes() for s in _sets(list(pdf["text"]), k)]})
 
     held = texts.select("cluster", "m", "doc", "text").mapInPandas(sets, "cluster long, m long, doc long, items binary")
-    held = _block_pairs(held, "cluster", "m", "doc").repartition("cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj")
+    held = _block_pairs(held, "m", "doc", BLOCK).repartition("cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj")
 
     def confirm(batches):
         for pdf in whole_groups(batches, ["cluster", "bi", "bj"]):
