@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patchlake.llm import fingerprints, langid, minhash, packing, pieces, pii, substrings, toxicity
+from patchlake.llm import fingerprints, langid, minhash, neardup, packing, pieces, pii, substrings, toolcalls, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), fold=1, of=3, threshold=0.7)
 
 
+def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"), fold=2, of=4)
 
@@ -52,19 +56,49 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(_table(spark, sf_dir, "documents"))
 
 
+def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = toolcalls.derive(_table(spark, sf_dir, "conversations"))
+    return toolcalls.link_calls(calls, results, toolcalls.TOOLS)
+
+
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_table(spark, sf_dir, "documents"), window=20).drop("text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_nn_descent": op2_nn_descent,
     "op3_language": op3_language,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_packing": op5_packing,
     "op6_minhash": op6_minhash,
     "op7_fingerprints": op7_fingerprints,
     "op8_pii": op8_pii,
+    "op9_tool_calls": op9_tool_calls,
     "op10_substrings": op10_substrings,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_tool_calls": """
+WITH RECURSIVE c AS (SELECT conv_id, turn, text, length(text) % 60 AS lim FROM conversations WHERE role = 'user'),
+r AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
+lv AS (SELECT c.conv_id, c.turn, 0 AS level FROM c LEFT JOIN c p ON p.conv_id = c.conv_id AND p.turn = c.turn - 2 WHERE p.turn IS NULL
+       UNION ALL SELECT c.conv_id, c.turn, lv.level + 1 FROM lv JOIN c ON c.conv_id = lv.conv_id AND c.turn = lv.turn + 2),
+j AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.turn, r.turn - 1) AS id, coalesce(c.turn, r.turn) AS turn, lv.level,
+             c.turn IS NOT NULL AS called, r.turn IS NOT NULL AS answered, c.lim, c.text AS query, r.text AS content,
+             c.turn >= 2 AS refers, c.turn >= 2 AND p.turn IS NULL AS lost
+      FROM c LEFT JOIN lv ON lv.conv_id = c.conv_id AND lv.turn = c.turn LEFT JOIN c p ON p.conv_id = c.conv_id AND p.turn = c.turn - 2
+      FULL JOIN r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1),
+s AS (SELECT *, CASE WHEN NOT called THEN 'orphan' WHEN answered THEN 'linked' ELSE 'unanswered' END AS status,
+             concat_ws(',', CASE WHEN lost THEN '"$ref call_' || (turn - 2) || ': unknown"' END,
+                       CASE WHEN lim = 0 THEN '"$.limit: under minimum"' WHEN lim > 50 THEN '"$.limit: over maximum"' END) AS errs FROM j)
+SELECT conv_id, 'call_' || id AS call_id, turn, CAST(level AS INT) AS level, CAST(called AS BIGINT) AS n_calls, CAST(answered AS BIGINT) AS n_results, status,
+       called AND errs = '' AS valid,
+       '{"arguments":' || CASE WHEN NOT called THEN 'null' ELSE '{' || CASE WHEN refers THEN '"after":{"$ref":"call_' || (turn - 2) || '"},' ELSE '' END
+           || '"limit":' || lim || ',"query":' || CAST(to_json(query) AS VARCHAR) || '}' END
+       || ',"errors":[' || errs || '],"id":"call_' || id || '","level":' || coalesce(CAST(level AS VARCHAR), 'null')
+       || ',"name":' || CASE WHEN called THEN '"search"' ELSE 'null' END
+       || ',"result":' || CASE WHEN answered THEN CAST(to_json(content) AS VARCHAR) ELSE 'null' END || ',"status":"' || status || '"}' AS message
+FROM s
+""",
+}
