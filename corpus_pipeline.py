@@ -1,26 +1,66 @@
-"""Corpus pipeline: language ID, MinHash near-dedup, substring dedup, PII masking, best-fit packing."""
+"""Corpus pipeline: language ID, MinHash near-dedup, substring dedup, personal data masking, best-fit packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all but the last return the
+columns of documents, with n_chars following the text. run() writes every stage's result as a table and rereads it.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from patchlake.llm import minhash
+from patchlake.llm import langid, minhash, packing, pii, substrings
 from patchlake.llm.common import materialize
+from patchlake.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+OTHERS = ("doc_id", "lang", "source", "n_chars")
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is rejected (no letter, or no margin between languages) go."""
+    docs = docs.select(COLUMNS)
+    found = langid.classify(docs, langid.train(docs.filter(~langid.held_out(2, 4))), carry=tuple(COLUMNS))
+    return found.filter(~F.col("rejected")).select(COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays."""
+    """One document of each group of near-duplicates (five-word shingles, similarity of 0.8 or more) stays."""
     kept = minhash.near_duplicates(docs, k=5, percent=80).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id").select(COLUMNS)
+    return docs.select(COLUMNS).hint("merge").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of windows that stand earlier in the corpus are taken out; documents that lose all words go."""
+    out = substrings.remove_repeats(docs.select(COLUMNS), window=20, carry=OTHERS)
+    return _sized(out.filter("n_removed = 0 OR n_removed < n_words"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data are replaced by their kind in angle brackets."""
+    return _sized(pii.detect(docs.select(COLUMNS), mask=True, carry=OTHERS))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 4096 tokens with their places in packed sequences."""
+    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("minhash_dedup", near_dedup)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("minhash_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("personal_data", mask_personal_data),
+    ("packing", pack),
+]
 
-#: No stage but the last could be expressed in SQL; run() is tested against brute force.
+#: Compression, trained networks and packing have no SQL form; run() is tested against brute-force stages.
 ORACLE_SQL: str | None = None
 
 

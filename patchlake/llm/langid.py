@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from patchlake.llm.common import ddl
+
 UND = "und"
 BLOCK = 512
 LEVEL = 6
@@ -50,8 +51,8 @@ def train(docs: DataFrame, per_language: int = 512, piece_bytes: int = 192) -> d
     return out
 
 
-def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.01) -> DataFrame:
-    """doc_id, lang_pred, score, rejected for each row of docs (doc_id, text).
+def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.01, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns of carry, lang_pred, score, rejected for each row of docs (doc_id, text).
 
     A null text, or one without a letter, is `und` with score 0 and rejected; so is everything if there is no
     dictionary. score is the margin over the runner-up (1 if there is one language only); ties go to the
@@ -80,9 +81,9 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.
                 second = min((s for k, s in enumerate(sizes) if k != best), default=None)
                 gap = 1.0 if second is None else (second - sizes[best]) / second
                 out.append((names[best], gap, gap < margin))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": [o[0] for o in out], "score": [o[1] for o in out], "rejected": [o[2] for o in out]})
+            yield pdf[list(carry)].assign(**{"lang_pred": [o[0] for o in out], "score": [o[1] for o in out], "rejected": [o[2] for o in out]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return docs.select(*dict.fromkeys((*carry, "text"))).mapInPandas(run, ddl(docs, list(carry)) + ", lang_pred string, score double, rejected boolean")
 
 
 def identify(docs: DataFrame, fold: int = 2, of: int = 4, margin: float = 0.01) -> DataFrame:

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from patchlake.llm.common import ddl
 from patchlake.llm.nn import adam, sigmoid
 
 KINDS = ("email", "ip", "card", "phone")
@@ -279,8 +280,8 @@ def _listed(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-def detect(docs: DataFrame, p: dict[str, np.ndarray] | None = None, mask: bool = False) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all), and masked text if asked for.
+def detect(docs: DataFrame, p: dict[str, np.ndarray] | None = None, mask: bool = False, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns of carry, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all), and masked text if asked for.
 
     Network spans that overlap a base span are left out. Null and empty texts have no spans; a null text
     comes back null when masked. In masked texts each run of overlapping spans is `<kind>` of its first span.
@@ -306,7 +307,7 @@ def detect(docs: DataFrame, p: dict[str, np.ndarray] | None = None, mask: bool =
                     row.append("".join(out) + text[at:] if spans else given)
                 rows.append(row)
             names = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans", *(["text"] if mask else [])]
-            yield pd.DataFrame(rows, columns=names).assign(doc_id=pdf["doc_id"].to_numpy())[["doc_id", *names]]
+            yield pd.concat([pdf[list(carry)].reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
 
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string" + ", text string" * mask
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    schema = ddl(docs, list(carry)) + ", n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string" + ", text string" * mask
+    return docs.select(*dict.fromkeys((*carry, "text"))).mapInPandas(run, schema)

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchlake.llm.common import _mix, byte_blocks, group_starts, materialize, whole_groups, word_hashes
+from patchlake.llm.common import _mix, byte_blocks, ddl, group_starts, materialize, whole_groups, word_hashes
 from patchlake.llm.fmindex import FMIndex
 
 GRAM = 6
@@ -180,8 +180,8 @@ def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
     return spans.unionByName(found.select("doc", "start", (F.col("start") + window).alias("end")))
 
 
-def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
-    """doc_id, text (kept words), n_words, n_removed, kept_sha256 for each row of docs.
+def remove_repeats(docs: DataFrame, window: int = 20, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns of carry, text (kept words), n_words, n_removed, kept_sha256 for each row of docs.
 
     Words are runs without white space (space and \\x09-\\x0D), unchanged. A word goes if a window of `window`
     consecutive words covers it whose words also start earlier: in a smaller doc_id, or earlier in the same
@@ -189,14 +189,14 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     space. Null texts have no words and come back null; texts shorter than a window stay. Rows with a
     null doc_id are left out. Rows that repeat a doc_id with the same text are one document and come out once each.
     """
-    docs = docs.select("doc_id", "text").filter("doc_id is not null")
+    docs = docs.select(*dict.fromkeys((*carry, "doc_id", "text"))).filter("doc_id is not null")
     spans = materialize(repeated_spans(docs, window), "spans")
-    marks = spans.groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    marks = spans.groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("_spans")).withColumnRenamed("doc", "_doc")
 
     def run(batches):
         for pdf in batches:
             out = []
-            for doc, text, parts in zip(pdf["doc_id"], pdf["text"], pdf["spans"], strict=True):
+            for text, parts in zip(pdf["text"], pdf["_spans"], strict=True):
                 words = (text or "").encode("utf-8", "replace").split()
                 if parts is None:
                     kept = words
@@ -207,8 +207,9 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
                     gone = np.cumsum(step)[:-1] > 0
                     kept = [w for w, g in zip(words, gone, strict=True) if not g]
                 joined = b" ".join(kept)
-                out.append((doc, text if len(kept) == len(words) else joined.decode("utf-8"), len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest()))
-            yield pd.DataFrame(out, columns=["doc_id", "text", "n_words", "n_removed", "kept_sha256"])
+                out.append((text if len(kept) == len(words) else joined.decode("utf-8"), len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest()))
+            made = pd.DataFrame(out, columns=["text", "n_words", "n_removed", "kept_sha256"])
+            yield pd.concat([pdf[list(carry)].reset_index(drop=True), made], axis=1)
 
-    joined = docs.join(marks, docs.doc_id == marks.doc, "left").select("doc_id", "text", "spans")
-    return joined.mapInPandas(run, "doc_id long, text string, n_words long, n_removed long, kept_sha256 string")
+    joined = docs.join(marks, docs.doc_id == marks._doc, "left").drop("_doc")
+    return joined.mapInPandas(run, ddl(docs, list(carry)) + ", text string, n_words long, n_removed long, kept_sha256 string")
