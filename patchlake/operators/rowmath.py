@@ -87,6 +87,7 @@ def onehot_encode(df: DataFrame, class_map: DataFrame, name: str = "name", eps:
     """onehot: eps everywhere, 1 at the name's class_id; an unknown name is an error when the rows are read."""
     sized = class_map.groupBy("name").agg(F.max("class_id").alias("_id")).crossJoin(class_map.agg((F.max("class_id") + 1).alias("_n")))
     out = df.join(sized.withColumnRenamed("name", "_name"), F.col(name) == F.col("_name"), "left")
-    checked = F.when(F.col("_id").isNull(), F.raise_error(F.concat(F.lit("unknown class: "), F.coalesce(F.col(name), F.lit("null"))))).otherwise(F.col("_id"))
-    vector = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.when(i == checked, 1.0).otherwise(eps))
+    vector = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.when(i == F.col("_id"), 1.0).otherwise(eps))
+    unknown = F.raise_error(F.concat(F.lit("unknown class: "), F.coalesce(F.col(name), F.lit("null"))))
+    vector = F.when(F.col("_id").isNull(), unknown).otherwise(vector)
     return out.withColumn("onehot", vector).drop("_name", "_id", "_n")

@@ -60,7 +60,7 @@ def cos_sim(features: DataFrame, classes: DataFrame, keys: list[str], feat: str
         return score(kernels.rows(left[feat]), np.array([c["class_id"] for c in cs]), kernels.rows([c["e"] for c in cs]), left)
 
     salted = dealt.withColumn("_s", F.pmod(F.xxhash64(*keys), F.lit(64)))
-    spread = packed.select("*", F.explode(F.sequence(F.lit(0), F.lit(63))).cast("long").alias("_s"))
+    spread = packed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))).alias("_s"))
     left = salted.withColumn("_b", F.col("_b").cast("long"))
     return left.groupBy("_b", "_s").cogroup(spread.groupBy("_b", "_s")).applyInPandas(run_block, schema)
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from patchlake.sources.storage import materialize
+
 VOXEL = ["vx", "vy", "vz"]
 
 
@@ -32,7 +34,7 @@ def voxelize(points: DataFrame, size: float = 0.05, value: str = "f") -> DataFra
     return cells(points, size).groupBy("scene", *VOXEL).agg(F.count("*").alias("cnt"), F.avg(value).alias(value))
 
 
-def knn_voxels(gt: DataFrame, pred: DataFrame, k: int = 5, radius: int = 1, widest: int = 64) -> DataFrame:
+def knn_voxels(gt: DataFrame, pred: DataFrame, k: int = 5, radius: int = 4, widest: int = 64) -> DataFrame:
     """(gt columns, rank, px, py, pz): the k nearest predicted voxels of each truth voxel of the scene, by distance, then coordinates.
 
     k = 0 asks for equal coordinates only. Voxels are joined by cubes of `radius` cells a side with the 27 around; a truth voxel
@@ -55,13 +57,13 @@ def knn_voxels(gt: DataFrame, pred: DataFrame, k: int = 5, radius: int = 1, wide
                 around = around.withColumn(f"_{c[1]}", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda o, b=b: b + o)))
             near = around.join(p.select("*", *cube(["px", "py", "pz"], radius)), ["scene", "_x", "_y", "_z"]).drop("_x", "_y", "_z")
         near = near.withColumn("_d", sum(((F.col(f"v{c}") - F.col(f"p{c}")) ** 2 for c in "xyz"), F.lit(0.0)))
-        ranked = near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        ranked = materialize(near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k), "near")
         if last:
             done.append(ranked)
             break
         sure = ranked.groupBy(*key).agg(F.max("_d").alias("_m"), F.count("*").alias("_c")).filter((F.col("_c") >= k) & (F.col("_m") <= radius**2)).select(*key)
         done.append(ranked.join(sure, key, "left_semi"))
-        left = left.join(sure, key, "left_anti")
+        left = materialize(left.join(sure, key, "left_anti"), "left")
         if left.isEmpty():
             break
         radius *= 2
