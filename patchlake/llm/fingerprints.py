@@ -6,8 +6,8 @@ bin the PICK elements of the smallest hashes are selected, put back into text or
 Signatures are therefore sensitive to order as well as content. Likeness is the share of equal
 signatures among the bins that either fingerprint fills.
 
-Each array pass is linear, or one sort of longs: hash and position share a long, and runs of equal hashes in sorted order give
-the occurrence numbers.
+Each array pass is linear, or one sort of longs: hash and position share a long. First occurrences carry the k-mer's own hash;
+the others, runs of equal hashes in sorted order, that hash mixed with their occurrence number.
 """
 
 from __future__ import annotations
@@ -25,16 +25,22 @@ def with_signature(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn("_n", F.greatest(F.size("_t") - K + 1, F.least(F.size("_t"), F.lit(1))))
     grams = ", ".join(f"get(_t, i + {j - 1})" for j in range(K))
     df = df.withColumn("_s", F.expr(f"CASE WHEN _n > 0 THEN sort_array(transform(sequence(1, _n), i -> (xxhash64({grams}) & {~_POS}L) | i)) ELSE array() END"))
-    df = df.withColumn("_r", F.expr("filter(transform(_s, (x, j) -> CASE WHEN j = 0 OR shiftright(x, 24) <> shiftright(get(_s, j - 1), 24) THEN j ELSE -1 END), j -> j >= 0)"))
-    df = df.withColumn("_e", F.expr(f"""flatten(transform(_r, (s, q) -> transform(sequence(s, coalesce(get(_r, q + 1), _n) - 1),
-        j -> (xxhash64(shiftright(get(_s, j), 24), j - s) & {~_POS}L) | (get(_s, j) & {_POS}L))))"""))
-    df = df.withColumn("_e", F.expr("sort_array(_e)"))
+    same = "j > 0 AND shiftright(x, 24) = shiftright(get(_s, j - 1), 24)"
+    df = df.withColumn("_f", F.expr(f"filter(_s, (x, j) -> NOT ({same}))"))
+    df = df.withColumn("_d", F.expr(f"CASE WHEN size(_f) = size(_s) THEN array() ELSE filter(_s, (x, j) -> {same}) END"))
+    df = df.withColumn("_r", F.expr("filter(transform(_d, (x, j) -> CASE WHEN j = 0 OR shiftright(x, 24) <> shiftright(get(_d, j - 1), 24) THEN j ELSE -1 END), j -> j >= 0)"))
+    df = df.withColumn("_e", F.expr(f"""flatten(transform(_r, (s, q) -> transform(sequence(s, coalesce(get(_r, q + 1), size(_d)) - 1),
+        j -> (xxhash64(shiftright(get(_d, j), 24), j - s + 1) & {~_POS}L) | (get(_d, j) & {_POS}L))))"""))
+    df = df.withColumn("_a", F.expr("CASE WHEN size(_d) = 0 THEN _f ELSE sort_array(concat(_f, _e)) END"))
     shift = 64 - (BINS.bit_length() - 1)
-    df = df.withColumn("_m", F.expr(f"filter(_e, (x, j) -> j < {PICK} OR shiftright(x, {shift}) <> shiftright(get(_e, j - {PICK}), {shift}))"))
-    low, high = -(BINS // 2), BINS // 2 - 1
-    df = df.withColumn(out, F.expr(f"""transform(transform(sequence({low}, {high}), b -> filter(_m, x -> shiftright(x, {shift}) = b)),
-        g -> CASE WHEN size(g) > 0 THEN xxhash64(array_sort(transform(g, x -> struct(x & {_POS}L AS p, shiftright(x, 24) AS h))).h) END)"""))
-    return df.drop("_t", "_n", "_s", "_r", "_e", "_m")
+    df = df.withColumn("_m", F.expr(f"filter(_a, (x, j) -> j < {PICK} OR shiftright(x, {shift}) <> shiftright(get(_a, j - {PICK}), {shift}))"))
+    starts = f"j = 0 OR shiftright(x, {shift}) <> shiftright(get(_m, j - 1), {shift})"
+    picked = f"slice(_m, j + 1, {PICK})"
+    tuple_ = f"array_sort(transform(filter({picked}, z -> shiftright(z, {shift}) = shiftright(x, {shift})), z -> struct(z & {_POS}L AS p, shiftright(z, 24) AS h))).h"
+    df = df.withColumn("_g", F.expr(f"filter(transform(_m, (x, j) -> CASE WHEN {starts} THEN struct(shiftright(x, {shift}) AS b, xxhash64({tuple_}) AS h) END), g -> g IS NOT NULL)"))
+    df = df.withColumn("_g", F.expr("map_from_arrays(_g.b, _g.h)"))
+    df = df.withColumn(out, F.expr(f"transform(sequence({-(BINS // 2)}L, {BINS // 2 - 1}L), b -> try_element_at(_g, b))"))
+    return df.drop("_t", "_n", "_s", "_f", "_d", "_r", "_e", "_a", "_m", "_g")
 
 
 def shown(signature: str) -> Column:
