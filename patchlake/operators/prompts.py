@@ -2,31 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from patchlake.sources.storage import global_index
 
-def clean_prompts(df: DataFrame, col: str = "text", order: str = "submission") -> DataFrame:
-    """prompt, idx: lines of all submissions without white space around them, empty ones and later repetitions; idx from 0.
 
-    Lines are folded by aggregation before they are numbered, so the one ordered pass sees distinct prompts only.
-    """
+def clean_prompts(df: DataFrame, col: str = "text", order: str = "submission") -> DataFrame:
+    """prompt, idx: lines of all submissions without white space around them, empty ones and later repetitions; idx from 0."""
     lines = df.select(F.col(order).alias("_o"), F.posexplode(F.split(col, "\n")).alias("_k", "prompt"))
     lines = lines.withColumn("prompt", F.regexp_replace("prompt", r"(?U)^\s+|\s+$", "")).filter("prompt <> ''")
     first = lines.groupBy("prompt").agg(F.min(F.struct("_o", "_k")).alias("_first"))
-    return first.withColumn("idx", F.row_number().over(Window.orderBy("_first", "prompt")) - 1).select("prompt", "idx")
+    return global_index(first, ["_first", "prompt"]).select("prompt", "idx")
 
 
 def expand_templates(labels: DataFrame, templates: DataFrame, name: str = "name") -> DataFrame:
     """Each label in each template (a `{c}` slot); both are short lists."""
-    return labels.crossJoin(F.broadcast(templates)).withColumn("prompt", F.replace(F.col("template"), F.lit("{c}"), F.col(name)))
+    return labels.crossJoin(templates).withColumn("prompt", F.replace(F.col("template"), F.lit("{c}"), F.col(name)))
 
 
 def build_class_map(names: DataFrame) -> DataFrame:
     """(class_id, name) from (idx, name): classes from 1 in order without an empty first name, and 0 for ''."""
     first = names.agg(F.min_by("name", "idx").alias("_first"), F.min("idx").alias("_at"))
     kept = names.crossJoin(F.broadcast(first)).filter(~((F.col("_first") == "") & (F.col("idx") == F.col("_at"))))
-    ranked = kept.select(F.row_number().over(Window.orderBy("idx")).alias("class_id"), "name")
+    ranked = global_index(kept.select("idx", "name"), ["idx", "name"], "_rank").select((F.col("_rank") + 1).alias("class_id"), "name")
     return ranked.unionByName(names.sparkSession.createDataFrame([(0, "")], "class_id int, name string"))
 
 

@@ -389,10 +389,8 @@ NAMES = "nm AS (SELECT row_number() OVER (ORDER BY p_type) AS class_id, p_type A
 
 
 def _types(spark, d) -> DataFrame:
-    from pyspark.sql import Window
-
     names = table(spark, d, "part").select("p_type").distinct().select(F.col("p_type").alias("name"))
-    return names.withColumn("idx", F.row_number().over(Window.orderBy("name")))
+    return storage.global_index(names, ["name"], "_rank").select("name", (F.col("_rank") + 1).alias("idx"))
 
 
 @query("", NAMES + ", e AS (SELECT p_partkey, nm.class_id, unnest(range(0, (SELECT max(class_id) + 1 FROM nm))) AS dim FROM part JOIN nm ON nm.name = part.p_type) SELECT p_partkey, CAST(dim AS INT) AS dim, CASE WHEN dim = class_id THEN CAST(1 AS DOUBLE) ELSE 1e-10 END AS v FROM e")

@@ -237,3 +237,45 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = voxels.voxelize(df)
     got = {tuple(r)[:4]: (r.cnt, round(r.total / r.cnt, 9)) for r in latest(spark, str(tmp_path / "t2")).collect()}
     assert got == {tuple(r)[:4]: (r.cnt, round(r.f, 9)) for r in batch.collect()}
+
+
+def test_attention_equals_the_formula(spark):
+    rng = np.random.default_rng(7)
+    q, k, v = rng.standard_normal((3, 6, 4))
+    df = spark.createDataFrame([(1, i // 3, i % 3, q[i].tolist(), k[i].tolist(), v[i].tolist()) for i in range(6)], "image_id long, y int, x int, q array<double>, k array<double>, v array<double>")
+    mixed = np.zeros((6, 4))
+    for h in (slice(0, 2), slice(2, 4)):
+        for i in range(6):
+            w = np.exp([q[i, h] @ k[j, h] / 2**0.5 for j in range(6)])
+            mixed[i, h] = w @ v[:, h] / w.sum()
+    want = []
+    for a in mixed:
+        cos = np.array([a @ b / np.linalg.norm(a) / np.linalg.norm(b) for b in mixed]) * 10
+        w = np.where(cos < 0, 0, np.exp(cos))
+        want.append(w @ v / w.sum())
+    got = [r.feat for r in similarity.recursive_attention(df, heads=2).orderBy("y", "x").collect()]
+    assert np.allclose(got, want)
+
+
+def test_images_are_clustered_one_by_one(spark):
+    rng = np.random.default_rng(8)
+    data = {i: rng.standard_normal((n, 3)) for i, n in ((0, 12), (1, 2))}
+    df = spark.createDataFrame([(i, 0, x, v.tolist()) for i, m in data.items() for x, v in enumerate(m)], "image_id long, y int, x int, feat array<double>")
+    got = similarity.cluster_images(df, k=4, iters=5, tol=0.0).toPandas().sort_values(["image_id", "x"])
+    for i, m in data.items():
+        u = m / np.linalg.norm(m, axis=1, keepdims=True)
+        c = u[:4]
+        for _ in range(5):
+            label = np.array([max(range(len(c)), key=lambda j: (a @ c[j], -j)) for a in u])
+            c = np.array([s / max(np.linalg.norm(s), 1e-12) for s in (u[label == j].sum(0) for j in range(len(c)))])
+        own = got[got.image_id == i]
+        assert own["cluster"].tolist() == label.tolist() and np.allclose(np.stack(own["center"]), c[label])
+
+
+def test_global_index(spark):
+    from patchlake.sources.storage import global_index
+
+    df = spark.range(500).select((F.col("id") * 7919 % 1009).alias("v")).repartition(7)
+    got = global_index(df, ["v"]).orderBy("v").collect()
+    assert [r.idx for r in got] == list(range(500))
+    assert global_index(df.limit(0), ["v"]).count() == 0
