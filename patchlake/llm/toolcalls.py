@@ -2,7 +2,7 @@
 
 Calls and results are folded by (conv_id, call_id) and hash-joined on it. Arguments may refer to other calls'
 results as {"$ref": "<call_id>"}; the level of a call is 0 without references to calls of its conversation and else one more than the
-greatest level among them, found by releasing calls level by level, and (conv_id, level, turn, call_id) is a topological
+greatest level among them, and (conv_id, level, turn, call_id) is a topological
 order. Arguments are checked against the tool's schema.
 """
 
@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -91,22 +90,37 @@ def _parse(text: str | None):
 
 
 def _levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of all calls that are not part of, or behind, a circle of references."""
-    pairs = calls.select("conv_id", "call_id", F.explode(F.array_distinct("refs")).alias("dep"))
-    known = calls.select("conv_id", F.col("call_id").alias("dep"))
-    wait = materialize(pairs.join(known, ["conv_id", "dep"]), "wait")
-    done = materialize(calls.select("conv_id", "call_id").join(wait, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "level")
-    parts, level = [done], 0
+    """(conv_id, call_id, level) of all calls that are not part of, or behind, a circle of references.
+
+    Calls with one reference form chains, which pointer jumping shortens in a logarithmic number of rounds to their end: a call
+    without references or with several. Only the latter are then released round by round.
+    """
+    keys = ["conv_id", "call_id"]
+    pairs = calls.select(*keys, F.explode(F.array_distinct("refs")).alias("dep"))
+    pairs = materialize(pairs.join(calls.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"]), "pairs")
+    done = materialize(calls.select(*keys).join(pairs, keys, "left_anti").withColumn("level", F.lit(0).cast("long")), "level")
+    chain = pairs.groupBy(*keys).agg(F.count("*").alias("n"), F.min("dep").alias("dep")).filter("n = 1").select(*keys, "dep", F.lit(1).cast("long").alias("steps"))
+    chain = materialize(chain, "chain")
+    several = materialize(pairs.join(chain.select(*keys), keys, "left_anti"), "several")
+    for _ in range(chain.count().bit_length() + 1):
+        ahead = chain.select("conv_id", F.col("call_id").alias("dep"), F.col("dep").alias("_to"), F.col("steps").alias("_more"))
+        if chain.join(ahead, ["conv_id", "dep"], "left_semi").isEmpty():
+            break
+        chain = chain.join(ahead, ["conv_id", "dep"], "left").select(*keys, F.coalesce("_to", "dep").alias("dep"), (F.col("steps") + F.coalesce("_more", F.lit(0))).alias("steps"))
+        chain = materialize(chain, "chain")
+    through = chain.select("conv_id", F.col("call_id").alias("dep"), F.col("dep").alias("_to"), "steps")
+    wait = several.join(through, ["conv_id", "dep"], "left").select(*keys, F.coalesce("_to", "dep").alias("dep"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps"))
+    wait = materialize(wait, "wait")
     while not wait.isEmpty():
-        level += 1
-        free = done.select("conv_id", F.col("call_id").alias("dep"))
-        left = materialize(wait.join(free, ["conv_id", "dep"], "left_anti"), "wait")
-        done = materialize(wait.join(left, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id").distinct().withColumn("level", F.lit(level)), "level")
-        if done.isEmpty():
+        told = wait.join(done.select("conv_id", F.col("call_id").alias("dep"), "level"), ["conv_id", "dep"], "left")
+        new = told.groupBy(*keys).agg(F.max(F.col("level") + F.col("steps")).alias("level"), F.count(F.when(F.col("level").isNull(), 1)).alias("open"))
+        new = materialize(new.filter("open = 0").select(*keys, "level"), "level")
+        if new.isEmpty():
             break
-        parts.append(done)
-        wait = left
-    return reduce(DataFrame.unionByName, parts)
+        done = materialize(done.unionByName(new), "level")
+        wait = materialize(wait.join(new, keys, "left_anti"), "wait")
+    ends = done.select("conv_id", F.col("call_id").alias("dep"), "level")
+    return done.unionByName(chain.join(ends, ["conv_id", "dep"]).select(*keys, (F.col("level") + F.col("steps")).alias("level")))
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:

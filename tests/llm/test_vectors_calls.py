@@ -106,3 +106,10 @@ def test_tool_calls(spark):
     assert errors("c1") == ["$ref c3: unknown"] and errors("bad") == errors("nan") == errors("null") == ["$: not JSON"] and errors("who") == ["$: unknown tool"]
     assert errors("neg") == ["$.a: under minimum", "$.b[0]: not string", "$.c: not in enum", "$.d: unknown"]
     assert toolcalls.link_calls(c.limit(0), r.limit(0), SCHEMAS).count() == 0
+
+
+def test_levels_of_long_chains_and_several_references(spark):
+    refs = {f"c{i}": [f"c{i - 1}"] if i else [] for i in range(300)} | {"m1": ["c299", "c5"], "m2": ["m1", "c0"], "t": ["m2"], "k1": ["k2"], "k2": ["k1"], "b": ["k1"], "bm": ["k1", "c0"]}
+    df = spark.createDataFrame([(1, k, v) for k, v in refs.items()], "conv_id long, call_id string, refs array<string>")
+    got = {r.call_id: r.level for r in toolcalls._levels(df).collect()}
+    assert got == {f"c{i}": i for i in range(300)} | {"m1": 300, "m2": 301, "t": 302}
