@@ -105,7 +105,9 @@ def _refine(lists: DataFrame, reps: DataFrame, dim: int, k: int) -> DataFrame:
 
 def audit(lists: DataFrame, reps: DataFrame, dim: int, k: int, threshold: float, sample: int = 512) -> float:
     """Links in the lists of a fixed sample of nodes, over the links that brute force finds for them (at most k each)."""
-    picked = reps.select("u", "vec").orderBy(F.xxhash64("u"), "u").limit(sample).collect()
+    share = min(1.0, 1.5 * sample / max(1, reps.count()))
+    near = reps.select("u", "vec").filter(F.xxhash64("u") / F.lit(2.0**64) + 0.5 < share)
+    picked = near.orderBy(F.xxhash64("u"), "u").limit(sample).collect()
     if not picked:
         return 1.0
     ids, q = np.array([r["u"] for r in picked]), _matrix([r["vec"] for r in picked], dim)
