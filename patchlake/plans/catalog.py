@@ -596,8 +596,7 @@ def v5_evaluate_scenes(spark, d):
 def v6_accumulate_voxels(spark, d):
     """The stream over the points' file, run until nothing is left, and the newest state of each voxel."""
     place = storage.new_path(spark, "stream")
-    schema = table(spark, d, "lineitem").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(d)
+    stream = sources.stream_table(spark, d, "lineitem")
     points = stream.selectExpr("CAST(l_suppkey % 8 AS INT) AS scene", "l_quantity / 10 AS x", "l_discount AS y", "l_tax AS z", "l_extendedprice / CAST(100000 AS DOUBLE) AS f")
     run_available(points, f"{place}/table", f"{place}/checkpoint")
     return latest(spark, f"{place}/table").withColumn("total", F.round("total", 9) + 0.0)

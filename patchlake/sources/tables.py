@@ -44,3 +44,13 @@ def append_metrics(df: DataFrame, path: str, run: str, model: str, dataset: str,
     """Adds a run's metrics (metric, value) to the log at path."""
     tags = {"run": run, "model": model, "dataset": dataset, "resolution": resolution}
     df.select(*[F.lit(v).alias(k) for k, v in tags.items()], F.lit(refined).alias("refined"), "metric", F.col("value").cast("double").alias("value")).write.mode("append").parquet(path)
+
+
+def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A stream over folder/name.parquet, which may be a file or a folder of files."""
+    path = f"{folder}/{name}.parquet"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
