@@ -21,7 +21,7 @@ def cap_points(points: DataFrame, n: int = -1, by: tuple[str, ...] = ("scene", "
     """At most n points of each frame, in order of a hash of `order` and then of order itself; -1 keeps all."""
     if n < 0:
         return points
-    w = Window.partitionBy(*by).orderBy(F.crc32(F.concat_ws(",", *[F.col(c).cast("string") for c in order]).cast("binary")), *order)
+    w = Window.partitionBy(*by).orderBy(F.md5(F.concat_ws(",", *[F.col(c).cast("string") for c in order]).cast("binary")), *order)
     return points.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
 
 

@@ -526,9 +526,9 @@ def v1_sample_frames(spark, d):
     return voxels.sample_frames(view(spark, d, "points")).groupBy("scene", "frame").agg(F.count("*").alias("n"), (F.round(F.sum("f"), 4) + 0.0).alias("f"))
 
 
-@query()
+@query("points", """SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY scene, frame ORDER BY md5(concat_ws(',', CAST(x AS VARCHAR), CAST(y AS VARCHAR), CAST(z AS VARCHAR), CAST(f AS VARCHAR), CAST(class_id AS VARCHAR))), x, y, z, f, class_id) AS r FROM points) WHERE r <= 20""")
 def v2_cap_points(spark, d):
-    return voxels.cap_points(view(spark, d, "points"), 20)
+    return voxels.cap_points(view(spark, d, "points"), 20, order=("x", "y", "z", "f", "class_id"))
 
 
 VOX = "vx AS (SELECT scene, CAST(floor(x / 0.05::DOUBLE) AS BIGINT) AS vx, CAST(floor(y / 0.05::DOUBLE) AS BIGINT) AS vy, CAST(floor(z / 0.05::DOUBLE) AS BIGINT) AS vz, f, class_id FROM points)"
