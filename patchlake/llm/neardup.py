@@ -3,21 +3,23 @@
 Equal vectors are folded into one node first. Neighbour lists of K start from buckets of random hyperplane signs and are refined by
 neighbours-of-neighbours joins: the members of each node's neighbourhood (its list and the closest that list it) are compared with
 one another, and what improves a list replaces its worst. After each round the recall of links is audited against
-brute force for a fixed sample of nodes; rounds go on until it reaches the target. Only edges at or over
-the threshold are kept. A list whose K places are all links is saturated: the lists of a cluster with such a member are enlarged to the
-cluster, whose blocks of members are compared pair by pair of blocks in separate tasks.
+brute force for nodes drawn until enough of them have a link; rounds go on until it reaches the target. Only edges at or over
+the threshold are kept. A list whose K places are all links is saturated, and may lack any further link: clusters are joined by the links between
+saturated nodes, sought among all balls of such nodes whose centres and radii allow one, and the lists of a cluster with such a member are
+enlarged to the cluster, whose blocks of members are compared pair by pair of blocks in separate tasks.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from patchlake.llm.common import connected_components, group_starts, materialize, whole_groups
+from patchlake.llm.common import connected_components, group_starts, materialize, shared_dir, whole_groups
 
 BLOCK = 512
 
@@ -47,8 +49,12 @@ def _matrix(column, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.float64).reshape(-1, dim)
 
 
+def _bits(n: int, bucket: int) -> int:
+    return max(0, int(np.ceil(np.log2(max(1, n / bucket)))))
+
+
 def _start(reps: DataFrame, n: int, dim: int, k: int, tables: int, bucket: int, seed: int) -> DataFrame:
-    bits = max(0, int(np.ceil(np.log2(max(1, n / bucket)))))
+    bits = _bits(n, bucket)
 
     def signs(batches):
         planes = np.random.default_rng(seed).standard_normal((tables, bits, dim))
@@ -103,27 +109,124 @@ def _refine(lists: DataFrame, reps: DataFrame, dim: int, k: int) -> DataFrame:
     return _best(lists.unionByName(held.select("c", "u", "low", "vec").mapInPandas(compare, "u long, v long, s double")), k)
 
 
-def audit(lists: DataFrame, reps: DataFrame, dim: int, k: int, threshold: float, sample: int = 512) -> float:
-    """Links in the lists of a fixed sample of nodes, over the links that brute force finds for them (at most k each)."""
-    share = min(1.0, 1.5 * sample / max(1, reps.count()))
-    near = reps.select("u", "vec").filter(F.xxhash64("u") / F.lit(2.0**64) + 0.5 < share)
-    picked = near.orderBy(F.xxhash64("u"), "u").limit(sample).collect()
-    if not picked:
-        return 1.0
-    ids, q = np.array([r["u"] for r in picked]), _matrix([r["vec"] for r in picked], dim)
+def _add(df: DataFrame, path: str) -> None:
+    df.write.mode("append").parquet(path)
 
-    def brute(batches):
-        for pdf in batches:
-            i, j = np.nonzero(_matrix(pdf["vec"], dim) @ q.T >= threshold)
-            ok = pdf["u"].to_numpy()[i] != ids[j]
-            yield pd.DataFrame({"u": ids[j[ok]]})
 
-    true = reps.select("u", "vec").mapInPandas(brute, "u long").groupBy("u").agg(F.least(F.count("*"), F.lit(k)).alias("true"))
-    found = lists.filter(F.col("s") >= threshold).join(F.broadcast(true), "u").groupBy("u").agg(F.count("*").alias("found"))
-    row = true.join(found, "u", "left").agg(F.sum("true").alias("t"), F.sum(F.least(F.coalesce("found", F.lit(0)), "true")).alias("f")).first()
+def true_links(reps: DataFrame, n: int, dim: int, threshold: float, least: int = 64, first: int = 512, block: int = 4096) -> DataFrame:
+    """(u, links, weight) by brute force for audited nodes that have a link: all nodes near them, and the rows these stand for.
+
+    Nodes are drawn in blocks by hash until `least` of them have a link or all are drawn, so rare links are never taken for found ones.
+    """
+    path, place = f"{shared_dir(reps.sparkSession)}/truth-{uuid.uuid4().hex}", F.xxhash64("u") / F.lit(2.0**64) + 0.5
+    lo, step, seen = 0.0, first, 0
+    while True:
+        hi = lo + step / max(1, n)
+        picked = reps.filter((place >= lo) & ((place < hi) | F.lit(hi >= 1))).select("u", "vec").collect()
+        ids, q = np.array([r["u"] for r in picked], np.int64), _matrix([r["vec"] for r in picked], dim)
+
+        def brute(batches, ids=ids, q=q):
+            for pdf in batches:
+                u, w, x = pdf["u"].to_numpy(), pdf["w"].to_numpy(), _matrix(pdf["vec"], dim)
+                links, weight = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+                for at in range(0, len(u), 1024):
+                    near = (x[at : at + 1024] @ q.T >= threshold) & (u[at : at + 1024, None] != ids)
+                    links += near.sum(0)
+                    weight += w[at : at + 1024] @ near
+                yield pd.DataFrame({"u": ids, "links": links, "weight": weight})[links > 0]
+
+        part = reps.select("u", "w", "vec").mapInPandas(brute, "u long, links long, weight long").groupBy("u").agg(F.sum("links").alias("links"), F.sum("weight").alias("weight"))
+        part = materialize(part, "true")
+        seen += part.count()
+        _add(part, path)
+        if seen >= least or hi >= 1:
+            return reps.sparkSession.read.schema(part.schema).parquet(path)
+        lo, step = hi, block
+
+
+def _share(true: DataFrame, found: DataFrame, most: int | None = None) -> float:
+    """Of the true numbers (u, n) of audited nodes, at most `most` each, the share that is found; 1 if no node of the table has a link."""
+    cap = (lambda c: F.least(c, F.lit(most))) if most else (lambda c: c)
+    both = true.select("u", cap(F.col("n")).alias("t")).join(found.select("u", F.col("n").alias("f")), "u", "left")
+    row = both.agg(F.sum("t").alias("t"), F.sum(F.least(F.coalesce("f", F.lit(0)), "t")).alias("f")).first()
     return 1.0 if not row["t"] else row["f"] / row["t"]
 
 
+def _meeting(points: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """Distinct (a, b), a < b, of the ids of points (u, id, cluster, r, vec) of two clusters whose balls of angle r (points, if 0) may hold a link.
+
+    All pairs are compared, a block of points against the table at a time.
+    """
+    size = max(1, min(4096, (1 << 22) // dim))
+    blocks = max(1, -(-points.count() // size))
+    points = materialize(points.withColumn("block", F.pmod(F.xxhash64("u"), F.lit(blocks))), "points")
+    path, wide, schema = f"{shared_dir(points.sparkSession)}/meeting-{uuid.uuid4().hex}", float(np.arccos(threshold)), "a long, b long"
+    for i in range(blocks):
+        own = points.filter(F.col("block") == i).select("id", "cluster", "r", "vec").collect()
+        ids, of, r, q = np.array([o["id"] for o in own], np.int64), np.array([o["cluster"] for o in own], np.int64), np.array([o["r"] for o in own]), _matrix([o["vec"] for o in own], dim)
+
+        def compare(batches, ids=ids, of=of, r=r, q=q):
+            for pdf in batches:
+                x, out = _matrix(pdf["vec"], dim), [np.zeros((0, 2), np.int64)]
+                for at in range(0, len(x), 1024):
+                    reach = pdf["r"].to_numpy()[at : at + 1024, None] + r
+                    need = np.where(reach > 0, np.cos(np.minimum(np.pi, wide + reach)) - 1e-9, threshold)
+                    k, j = np.nonzero((x[at : at + 1024] @ q.T >= need) & (pdf["cluster"].to_numpy()[at : at + 1024, None] != of))
+                    out.append(np.unique(np.sort(np.stack((pdf["id"].to_numpy()[at + k], ids[j]), 1), 1), axis=0))
+                both = np.unique(np.concatenate(out), axis=0)
+                yield pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+
+        if own:
+            _add(points.filter(F.col("block") <= i).select("id", "cluster", "r", "vec").mapInPandas(compare, schema), path)
+        else:
+            _add(points.sparkSession.createDataFrame([], schema), path)
+    return points.sparkSession.read.schema(schema).parquet(path).distinct()
+
+
+def _crossing(full: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """Pairs (a, b) of clusters with a link between their saturated nodes (u, cluster, vec).
+
+    Nodes of a cluster are gathered in balls; balls of two clusters whose centres and radii allow a link are compared node by node.
+    """
+    sized = full.join(full.groupBy("cluster").agg(F.ceil(F.count("*") / 2048).alias("parts")), "cluster")
+    dealt = sized.withColumn("part", F.pmod(F.xxhash64("u"), F.col("parts"))).repartition("cluster", "part").sortWithinPartitions("cluster", "part", "u")
+
+    def gather(batches):
+        for pdf in whole_groups(batches, ["cluster", "part"]):
+            at, u, x = group_starts(pdf, ["cluster", "part"]), pdf["u"].to_numpy(), _matrix(pdf["vec"], dim)
+            ball, r, centre = np.full(len(u), -1), np.zeros(len(u)), [None] * len(u)
+            for lo, hi in zip(at[:-1], at[1:], strict=True):
+                left = np.arange(lo, hi)
+                while len(left):
+                    near = x[left] @ x[left[0]] >= threshold
+                    near[0] = True
+                    own, left = left[near], left[~near]
+                    c = x[own].sum(0)
+                    c /= np.linalg.norm(c)
+                    ball[own], centre[own[0]] = own[0], c.tobytes()
+                    r[own] = np.arccos(np.clip(x[own] @ c, -1, 1)).max() + 1e-6
+            yield pd.DataFrame({"u": u, "cluster": pdf["cluster"], "id": u[ball], "r": r, "vec": pdf["vec"], "centre": centre})
+
+    held = dealt.select("cluster", "part", "u", "vec").mapInPandas(gather, "u long, cluster long, id long, r double, vec binary, centre binary")
+    held = materialize(held, "balls")
+    balls = held.filter("centre is not null").select("u", "id", "cluster", "r", F.col("centre").alias("vec"))
+    pairs = materialize(_meeting(balls, dim, threshold), "pairs")
+    side = lambda c: pairs.join(held.select(F.col("id").alias(c), "cluster", "vec"), c).select("a", "b", F.lit(c).alias("side"), "cluster", "vec")
+    both = side("a").unionByName(side("b")).repartition("a", "b").sortWithinPartitions("a", "b", "side")
+
+    def compare(batches):
+        for pdf in whole_groups(batches, ["a", "b"]):
+            at, x, cluster, first = group_starts(pdf, ["a", "b"]), _matrix(pdf["vec"], dim), pdf["cluster"].to_numpy(), (pdf["side"] == "a").to_numpy()
+            out = []
+            for lo, hi in zip(at[:-1], at[1:], strict=True):
+                mid = lo + int(first[lo:hi].sum())
+                if (x[lo:mid] @ x[mid:hi].T >= threshold).any():
+                    out.append((cluster[lo], cluster[mid]))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    return both.mapInPandas(compare, "a long, b long").distinct()
+
+
 def _enlarged(members: DataFrame, dim: int, threshold: float) -> DataFrame:
     """(u, n): for members (cluster, u, m, w, vec) the weight of all links within the cluster, block by block."""
     df = members.withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("u"), F.col("nb")).cast("int"))
@@ -146,6 +249,30 @@ def _enlarged(members: DataFrame, dim: int, threshold: float) -> DataFrame:
     return df.select("cluster", "bi", "bj", "own", "u", "w", "vec").mapInPandas(compare, "u long, n long").groupBy("u").agg(F.sum("n").alias("n"))
 
 
+def _merged(clusters: DataFrame, joined: DataFrame) -> DataFrame:
+    low = connected_components(joined).select(F.col("node").alias("cluster"), F.col("comp").alias("low"))
+    return materialize(clusters.join(low, "cluster", "left").select("u", F.coalesce("low", "cluster").alias("cluster")), "clusters")
+
+
+def _counted(clusters: DataFrame, full: DataFrame, reps: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """(u, n) for the nodes of the clusters of full: all links within the cluster."""
+    sized = clusters.join(full, "cluster").join(clusters.groupBy("cluster").agg(F.count("*").alias("m")), "cluster")
+    return _enlarged(sized.join(reps.select("u", "w", "vec"), "u"), dim, threshold)
+
+
+def _degrees(lists: DataFrame, reps: DataFrame, dim: int, k: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Clusters (u, cluster) of the lists' links and of those between saturated nodes, and the weight (u, n) of each node's links."""
+    links = materialize(lists.filter(F.col("s") >= threshold), "links")
+    clusters = materialize(connected_components(links, "u", "v").select(F.col("node").alias("u"), F.col("comp").alias("cluster")), "clusters")
+    saturated = materialize(links.groupBy("u").count().filter(F.col("count") >= k).select("u"), "saturated")
+    clusters = _merged(clusters, _crossing(saturated.join(clusters, "u").join(reps.select("u", "vec"), "u"), dim, threshold))
+    full = saturated.join(clusters, "u").select("cluster").distinct()
+    big = _counted(clusters, full, reps, dim, threshold)
+    both = links.select("u", "v").union(links.select("v", "u")).distinct().join(clusters, "u").join(full, "cluster", "left_anti")
+    small = both.join(reps.select(F.col("u").alias("v"), "w"), "v").groupBy("u").agg(F.sum("w").alias("n"))
+    return clusters, materialize(big.unionByName(small), "degrees")
+
+
 def link_vectors(vectors: DataFrame, threshold: float = 0.95, k: int = 10, tables: int = 4, bucket: int = 64, rounds: int = 6, target: float = 0.98, seed: int = 3) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding).
 
@@ -160,20 +287,16 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.95, k: int = 10, table
     reps = own.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("u"), F.count("*").alias("w"), F.first("vec").alias("vec"))
     reps = materialize(reps, "reps")
     n = reps.count()
+    true = true_links(reps, n, dim, threshold, least=0)
     lists = materialize(_best(_start(reps, n, dim, k, tables, bucket, seed), k), "lists")
     for _ in range(rounds):
         lists = materialize(_refine(lists, reps, dim, k), "lists")
-        if audit(lists, reps, dim, k, threshold) >= target:
+        held = lists.filter(F.col("s") >= threshold).groupBy("u").agg(F.count("*").alias("n"))
+        if _share(true.select("u", F.col("links").alias("n")), held, k) >= target:
             break
-    links = materialize(lists.filter(F.col("s") >= threshold), "links")
-    clusters = materialize(connected_components(links, "u", "v").select(F.col("node").alias("u"), F.col("comp").alias("cluster")), "clusters")
-    full = links.groupBy("u").count().filter(F.col("count") >= k).join(clusters, "u").select("cluster").distinct()
-    sized = clusters.join(full, "cluster").join(clusters.groupBy("cluster").agg(F.count("*").alias("m")), "cluster")
-    big = _enlarged(sized.join(reps.select("u", "w", "vec"), "u"), dim, threshold)
-    both = links.select("u", "v").union(links.select("v", "u")).distinct().join(clusters, "u").join(full, "cluster", "left_anti")
-    small = both.join(reps.select(F.col("u").alias("v"), "w"), "v").groupBy("u").agg(F.sum("w").alias("n"))
-    found = reps.select("key", "u", "w").join(big.unionByName(small), "u", "left").join(clusters, "u", "left")
-    found = found.select("key", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("cluster", "u").alias("low"))
-    out = own.select("vec_id", "key").join(found, "key", "left")
+    clusters, found = _degrees(lists, reps, dim, k, threshold)
+    out = reps.select("key", "u", "w").join(found, "u", "left").join(clusters, "u", "left")
+    out = out.select("key", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("cluster", "u").alias("low"))
+    out = own.select("vec_id", "key").join(out, "key", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("low", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))

@@ -113,3 +113,31 @@ def test_levels_of_long_chains_and_several_references(spark):
     df = spark.createDataFrame([(1, k, v) for k, v in refs.items()], "conv_id long, call_id string, refs array<string>")
     got = {r.call_id: r.level for r in toolcalls._levels(df).collect()}
     assert got == {f"c{i}": i for i in range(300)} | {"m1": 300, "m2": 301, "t": 302}
+
+
+def _linked_groups():
+    """Two tight groups of 30 whose members all have more than ten partners nearer than any of the other group."""
+    rng = np.random.default_rng(4)
+    a = np.zeros(32)
+    a[0] = 1
+    b = np.zeros(32)
+    b[0], b[1] = np.cos(0.3176), np.sin(0.3176)
+    x = np.concatenate([c + 0.006 * rng.standard_normal((30, 32)) for c in (a, b)]).astype(np.float32)
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    return x, u, u @ u.T >= 0.95
+
+
+def test_links_between_saturated_groups(spark):
+    x, u, near = _linked_groups()
+    assert 0 < near[:30, 30:].sum() < 900
+    s = u @ u.T - 2 * np.eye(60)
+    top = np.argsort(-s, 1)[:, :10]
+    assert ((top < 30) == (np.arange(60) < 30)[:, None]).all()  # exact lists hold no link across
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    reps = spark.createDataFrame([(i, 1, v.tobytes()) for i, v in enumerate(u)], "u long, w long, vec binary")
+    lists = spark.createDataFrame([(i, int(j), float(s[i, j])) for i in range(60) for j in top[i]], "u long, v long, s double")
+    clusters, found = neardup._degrees(lists, reps, 32, 10, 0.95)
+    assert {r.u: r.n for r in found.collect()} == dict(enumerate((near.sum(1) - 1).tolist()))
+    assert {r.cluster for r in clusters.collect()} == {0} and clusters.count() == 60
+    got = {r.vec_id: r for r in neardup.link_vectors(df).collect()}
+    assert [got[i].n_links for i in range(60)] == (near.sum(1) - 1).tolist() and [i for i in got if got[i].kept] == [0]
