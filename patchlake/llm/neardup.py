@@ -6,7 +6,9 @@ one another, and what improves a list replaces its worst. After each round the r
 brute force for nodes drawn until enough of them have a link; rounds go on until it reaches the target. Only edges at or over
 the threshold are kept. A list whose K places are all links is saturated, and may lack any further link: clusters are joined by the links between
 saturated nodes, sought among all balls of such nodes whose centres and radii allow one, and the lists of a cluster with such a member are
-enlarged to the cluster, whose blocks of members are compared pair by pair of blocks in separate tasks.
+enlarged to the cluster, whose blocks of members are compared pair by pair of blocks in separate tasks. If then less than the target of all
+links of the audited nodes is found, the start is repeated with as many tables as a pair at the threshold needs, and in the last resort
+all pairs of nodes are compared.
 """
 
 from __future__ import annotations
@@ -249,6 +251,12 @@ def _enlarged(members: DataFrame, dim: int, threshold: float) -> DataFrame:
     return df.select("cluster", "bi", "bj", "own", "u", "w", "vec").mapInPandas(compare, "u long, n long").groupBy("u").agg(F.sum("n").alias("n"))
 
 
+def _enough(n: int, bucket: int, threshold: float, target: float) -> int:
+    """Number of start tables in which a pair at the threshold shares a bucket at least once with the chance `target`."""
+    p = (1 - np.arccos(threshold) / np.pi) ** _bits(n, bucket)
+    return 1 if p >= 1 else int(np.ceil(np.log(1 - target) / np.log(1 - p)))
+
+
 def _merged(clusters: DataFrame, joined: DataFrame) -> DataFrame:
     low = connected_components(joined).select(F.col("node").alias("cluster"), F.col("comp").alias("low"))
     return materialize(clusters.join(low, "cluster", "left").select("u", F.coalesce("low", "cluster").alias("cluster")), "clusters")
@@ -273,6 +281,14 @@ def _degrees(lists: DataFrame, reps: DataFrame, dim: int, k: int, threshold: flo
     return clusters, materialize(big.unionByName(small), "degrees")
 
 
+def _all_links(clusters: DataFrame, reps: DataFrame, dim: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The same from all pairs of nodes, block by block."""
+    all_nodes = materialize(reps.select("u", "vec").join(clusters, "u", "left").select("u", F.coalesce("cluster", "u").alias("cluster"), "vec"), "nodes")
+    points = all_nodes.select("u", F.col("cluster").alias("id"), "cluster", F.lit(0.0).alias("r"), "vec")
+    clusters = _merged(all_nodes.select("u", "cluster"), _meeting(points, dim, threshold))
+    return clusters, _counted(clusters, clusters.groupBy("cluster").count().filter("count > 1").select("cluster"), reps, dim, threshold)
+
+
 def link_vectors(vectors: DataFrame, threshold: float = 0.95, k: int = 10, tables: int = 4, bucket: int = 64, rounds: int = 6, target: float = 0.98, seed: int = 3) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding).
 
@@ -287,14 +303,22 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.95, k: int = 10, table
     reps = own.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("u"), F.count("*").alias("w"), F.first("vec").alias("vec"))
     reps = materialize(reps, "reps")
     n = reps.count()
-    true = true_links(reps, n, dim, threshold, least=0)
-    lists = materialize(_best(_start(reps, n, dim, k, tables, bucket, seed), k), "lists")
-    for _ in range(rounds):
-        lists = materialize(_refine(lists, reps, dim, k), "lists")
-        held = lists.filter(F.col("s") >= threshold).groupBy("u").agg(F.count("*").alias("n"))
-        if _share(true.select("u", F.col("links").alias("n")), held, k) >= target:
+    true = true_links(reps, n, dim, threshold)
+    lists, found = None, None
+    for turn, many in enumerate((tables, max(tables, _enough(n, bucket, threshold, target)))):
+        start = _start(reps, n, dim, k, many, bucket, seed + turn)
+        lists = materialize(_best(start if lists is None else lists.unionByName(start), k), "lists")
+        for _ in range(rounds):
+            lists = materialize(_refine(lists, reps, dim, k), "lists")
+            held = lists.filter(F.col("s") >= threshold).groupBy("u").agg(F.count("*").alias("n"))
+            listed = _share(true.select("u", F.col("links").alias("n")), held, k)
+            if listed >= target:
+                break
+        clusters, found = _degrees(lists, reps, dim, k, threshold)
+        if listed >= target and _share(true.select("u", F.col("weight").alias("n")), found) >= target:
             break
-    clusters, found = _degrees(lists, reps, dim, k, threshold)
+    else:
+        clusters, found = _all_links(clusters, reps, dim, threshold)
     out = reps.select("key", "u", "w").join(found, "u", "left").join(clusters, "u", "left")
     out = out.select("key", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("cluster", "u").alias("low"))
     out = own.select("vec_id", "key").join(out, "key", "left")

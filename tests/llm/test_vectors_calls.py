@@ -141,3 +141,20 @@ def test_links_between_saturated_groups(spark):
     assert {r.cluster for r in clusters.collect()} == {0} and clusters.count() == 60
     got = {r.vec_id: r for r in neardup.link_vectors(df).collect()}
     assert [got[i].n_links for i in range(60)] == (near.sum(1) - 1).tolist() and [i for i in got if got[i].kept] == [0]
+
+
+def test_rare_links_are_audited_and_never_lost(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((1500, 16))
+    for i in range(0, 1400, 100):  # fewer than one in fifty
+        x[i + 1] = x[i] + 0.15 * rng.standard_normal(16)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.95) & ~np.eye(1500, dtype=bool)
+    reps = spark.createDataFrame([(i, 1, v.tobytes()) for i, v in enumerate(u)], "u long, w long, vec binary")
+    true = {r.u: r.links for r in neardup.true_links(reps, 1500, 16, 0.95, first=8, block=400).collect()}
+    assert true == {i: int(n) for i, n in enumerate(near.sum(1)) if n}  # a first block without a link doesn't end the audit
+    monkeypatch.setattr(neardup, "_refine", lambda lists, *_: lists.filter("s > 2"))  # all lists are lost
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in neardup.link_vectors(df).collect()}
+    assert [got[i].n_links for i in range(1500)] == near.sum(1).tolist()
+    assert neardup._enough(1_000_000, 64, 0.95, 0.98) == 16
