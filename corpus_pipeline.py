@@ -23,6 +23,16 @@ def _sized(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Documents with a doc_id, h (hash of the text) and num: doc_id, or a number for each (doc_id, h) in the order of the ids if texts share one."""
+    named = docs.select(COLUMNS).filter("doc_id is not null").withColumn("h", F.xxhash64("text"))
+    ids = materialize(named.select("doc_id", "h").distinct(), "ids")
+    if ids.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return named.withColumn("num", F.col("doc_id"))
+    ids = ids.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").withColumn("num", F.monotonically_increasing_id())
+    return materialize(named.hint("merge").join(materialize(ids, "numbers"), ["doc_id", "h"]), "numbered")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is rejected (no letter, or no margin between languages) go."""
     docs = docs.select(COLUMNS)
@@ -31,15 +41,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity of 0.8 or more) stays."""
-    kept = minhash.near_duplicates(docs, k=5, percent=80).filter("kept").select("doc_id").distinct()
-    return docs.select(COLUMNS).hint("merge").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS)
+    """One document of each group of near-duplicates (five-word shingles, similarity of 0.8 or more) stays.
+
+    Documents with a null doc_id are linked with nothing and stay, all of them. Different texts of one doc_id are documents of their own; rows that
+    repeat both are one.
+    """
+    named = _numbered(docs)
+    given = named.dropDuplicates(["doc_id", "h"]).select(F.col("num").alias("doc_id"), "text")
+    kept = minhash.near_duplicates(given, k=5, percent=80).filter("kept").select(F.col("doc_id").alias("num")).distinct()
+    out = named.hint("merge").join(kept, "num", "left_semi").dropDuplicates(["doc_id", "h"])
+    return out.select(COLUMNS).unionByName(docs.filter("doc_id is null").select(COLUMNS))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of windows that stand earlier in the corpus are taken out; documents that lose all words go."""
-    out = substrings.remove_repeats(docs.select(COLUMNS), window=20, carry=OTHERS)
-    return _sized(out.filter("n_removed = 0 OR n_removed < n_words"))
+    """Words of windows that stand earlier in the corpus are taken out; documents that lose all words go. Those with a null doc_id stay as they are."""
+    given = _numbered(docs).withColumnRenamed("doc_id", "own").withColumnRenamed("num", "doc_id")
+    out = substrings.remove_repeats(given, window=20, carry=("own", *OTHERS[1:])).withColumnRenamed("own", "doc_id")
+    return _sized(out.filter("n_removed = 0 OR n_removed < n_words").select(COLUMNS).unionByName(docs.filter("doc_id is null").select(COLUMNS)))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,3 +30,18 @@ def test_stages(spark, tmp_path):
     assert all(three[i] == two[i] if not want[i][1] else len(three[i].split()) == want[i][0] - want[i][1] for i in three)
     assert set(four) == set(three) and not any(pii.base_spans(t) for t in four.values() if t and len(t) < 2000)
     assert {r.doc_id for r in steps["packing"].select("doc_id").distinct().collect()} == set(four)
+
+
+def test_near_dedup_keeps_null_ids_and_each_text_of_an_id(spark):
+    words = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcd"]
+    rows = [(None, words[0]), (None, words[1]), (3, words[1]), (3, words[1]), (5, words[1] + " more"), (5, words[2]), (7, words[3]), (7, words[3].upper()), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, (r.text or "").lower()) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(None, words[0]), (None, words[1]), (3, words[1]), (5, words[2]), (7, words[3]), (8, "")], key=str)
+    unique = docs.filter("doc_id in (3, 8)").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    assert corpus_pipeline.near_dedup(spark, unique, "").count() == 4
+    left = corpus_pipeline.substring_dedup(spark, docs.filter("doc_id is null or doc_id in (3, 5, 8)").dropDuplicates(["doc_id", "text"]), "")
+    assert [r.text for r in left.filter("doc_id is null").orderBy("text").collect()] == words[:2]
+    # of "words more" of doc 5 only the last word is new, and the other text of doc 5 stays whole
+    got = sorted((r.doc_id, r.text) for r in left.filter("doc_id in (3, 5)").collect())
+    assert got == [(3, words[1]), (5, words[2]), (5, "more")]
