@@ -19,7 +19,6 @@ from patchlake.llm.nn import adam, sigmoid
 
 WIDTH, STRIDE = 40, 32
 HIDDEN, EMBED, CHARS = 8, 12, 8
-SLOTS = 1 << 16
 _EDGE = _SPACE.copy()
 _EDGE[[ord(c) for c in "!\"#$%&()*+,./:;<=>?@[\\]^_`{|}~"]] = True  # words end at white space and ASCII punctuation
 
@@ -56,18 +55,17 @@ def _raw(texts) -> list[bytes]:
 
 
 class Vocabulary:
-    """Number of each known word hash, 0 for all others; a direct-mapped table."""
+    """Number of each known word hash, 0 for all others; found in the sorted hashes."""
 
     def __init__(self, hashes: np.ndarray):
-        slot = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
-        keep = np.unique(slot, return_index=True)[1]
-        self.key, self.number = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
-        self.key[slot[keep]], self.number[slot[keep]] = hashes[keep], np.arange(1, len(keep) + 1)
-        self.size = len(keep) + 1
+        self.key = np.unique(hashes)
+        self.size = len(self.key) + 1
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        slot = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
-        return np.where(self.key[slot] == hashes, self.number[slot], 0)
+        if not len(self.key):
+            return np.zeros(len(hashes), np.int32)
+        at = np.minimum(np.searchsorted(self.key, hashes), len(self.key) - 1)
+        return np.where(self.key[at] == hashes, at + 1, 0).astype(np.int32)
 
 
 def initial(vocabulary: int, seed: int) -> dict[str, np.ndarray]:

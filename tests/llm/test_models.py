@@ -127,3 +127,10 @@ def test_toxicity(spark):
     assert np.mean([got[i].predicted == (i % 4 == 0) for i in held]) >= 0.9
     assert got[900].score == got[901].score and got[900].predicted == 0 and got[902].predicted == 0
     assert toxicity.detect(docs.limit(0), marks.limit(0)).count() == 0
+
+
+def test_every_word_of_the_vocabulary_keeps_its_vector():
+    hashes = np.arange(1, 3000, dtype=np.uint64) << np.uint64(40) | np.uint64(5)  # alike in their low bits
+    v = toxicity.Vocabulary(hashes)
+    assert v.size == 3000 and sorted(v(hashes).tolist()) == list(range(1, 3000)) and v(hashes + np.uint64(1)).max() == 0
+    assert toxicity.Vocabulary(hashes[:0])(hashes).max() == 0
