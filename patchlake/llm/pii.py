@@ -229,13 +229,14 @@ def _examples(texts: list[str], most: int, seed: int) -> tuple[np.ndarray, np.nd
 
 
 def train(docs: DataFrame, sample: int = 3000, most: int = 2400, epochs: int = 12, seed: int = 7, characters: int = 6000) -> dict[str, np.ndarray]:
-    """Network trained on at most `most` windows of the first `characters` of at most `sample` documents that hold a digit or an at sign.
+    """Network trained on at most `most` windows of pieces of `characters`, from a place that the hash picks, of at most `sample` documents that hold a digit or an at sign.
 
     The sample is cut by hash before it reaches the driver, so what is sent there does not grow with the corpus.
     """
     held = docs.filter(F.col("text").rlike("[0-9@]")).select("text", (F.xxhash64("doc_id", F.length("text")) / F.lit(2.0**64) + 0.5).alias("h"))
     share = min(1.0, 1.5 * sample / max(1, held.count()))
-    rows = held.filter(F.col("h") < share).select("h", F.substring("text", 1, characters).alias("t")).collect()
+    place = F.pmod(F.xxhash64("h"), F.greatest(F.lit(1), F.length("text") - characters + 1)).cast("int") + 1
+    rows = held.filter(F.col("h") < share).select("h", F.substring(F.col("text"), place, F.lit(characters)).alias("t")).collect()
     texts = [t for _, t in sorted((r["h"], r["t"]) for r in rows)[:sample]]
     p = initial(seed)
     if not texts:

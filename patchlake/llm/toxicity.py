@@ -217,17 +217,17 @@ def score_texts(p: dict[str, np.ndarray], vocabulary: Vocabulary, raw: list[byte
     return np.concatenate(out) if out else np.zeros(0, np.float32)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 1500, characters: int = 8000, least: int = 10, epochs: int = 6, per_text: int = 3, seed: int = 11):
+def train(docs: DataFrame, labels: DataFrame, sample: int = 1500, least: int = 10, epochs: int = 6, per_text: int = 3, seed: int = 11):
     """Network from labelled documents.
 
-    At most `sample` documents of either label are taken (those with the smallest hashes), and at most `characters` of each,
-    cut into windows of which each round takes a few. Words must be in `least` texts to get a vector.
+    At most `sample` documents of either label are taken (those with the smallest hashes), each whole, as what makes it toxic may stand anywhere,
+    and cut into windows of which each round takes a few. Words must be in `least` texts to get a vector.
     """
     known = labels.filter("doc_id is not null and toxic in (0, 1)").select("doc_id", "toxic").withColumn("h", F.xxhash64("doc_id"))
     chosen: dict[int, int] = {}
     for value in (0, 1):
         chosen |= {r["doc_id"]: value for r in known.filter(F.col("toxic") == value).orderBy("h", "doc_id").limit(sample).collect()}
-    rows = docs.filter(F.col("doc_id").isin(list(chosen)) if chosen else F.lit(False)).select("doc_id", F.substring("text", 1, characters).alias("text")).dropDuplicates(["doc_id"]).collect()
+    rows = docs.filter(F.col("doc_id").isin(list(chosen)) if chosen else F.lit(False)).select("doc_id", "text").dropDuplicates(["doc_id"]).collect()
     rows.sort(key=lambda r: r["doc_id"])
     return _fit([r["text"] for r in rows], np.array([chosen[r["doc_id"]] == 1 for r in rows], bool), least, epochs, per_text, seed)
 

@@ -134,3 +134,16 @@ def test_every_word_of_the_vocabulary_keeps_its_vector():
     v = toxicity.Vocabulary(hashes)
     assert v.size == 3000 and sorted(v(hashes).tolist()) == list(range(1, 3000)) and v(hashes + np.uint64(1)).max() == 0
     assert toxicity.Vocabulary(hashes[:0])(hashes).max() == 0
+
+
+def test_training_reads_whole_texts(spark, monkeypatch):
+    long = "clean words " * 3000 + "tail"
+    docs = spark.createDataFrame([(1, long), (2, "short")], "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "_fit", lambda texts, toxic, *_: (texts, toxic.tolist()))
+    assert toxicity.train(docs, marks) == ([long, "short"], [True, False])
+    seen = []
+    monkeypatch.setattr(pii, "_examples", lambda texts, *_: seen.extend(texts) or (np.zeros((0, 96), np.int64),) * 2)
+    pii.train(spark.createDataFrame([(i, "".join(f"{n:07d}," for n in range(5000))) for i in range(40)], "doc_id long, text string"))
+    at = [int(t.split(",")[1]) for t in seen]
+    assert all(len(t) == 6000 for t in seen) and min(at) < 1000 and max(at) > 3000  # pieces from anywhere
