@@ -4,7 +4,7 @@ The network is trained in numpy on windows of a bounded sample of documents, lab
 (and by variants of them that the patterns miss, such as a phone number without its plus sign). Texts are scored in overlapping windows;
 each window is decoded by Viterbi, and every character takes its tag from the window in which it stands farthest
 from an edge, so that spans are reconciled over the whole text. A span that holds neither a digit nor an
-at sign can't be valid for any kind, so windows without such a character are left out without loss.
+at sign can't be valid for any kind, so only windows with such a character and those that their tags lead to are scored.
 """
 
 from __future__ import annotations
@@ -248,17 +248,28 @@ def train(docs: DataFrame, sample: int = 3000, most: int = 2400, epochs: int = 1
 
 
 def network_spans(p: dict[str, np.ndarray], texts: list[str], block: int = 1024) -> list[list[tuple[str, int, int]]]:
-    """Valid spans that the network finds in each text."""
+    """Valid spans that the network finds in each text.
+
+    Windows with a digit or an at sign are scored, then the neighbours of every window with a tagged character until none is new. Each
+    run of tags that holds such a character is then as if all windows were scored.
+    """
     where = [(i, lo) for i, t in enumerate(texts) for lo in windows(t)]
-    tags = {}
-    for b in range(0, len(where), block):
-        codes = np.full((len(where[b : b + block]), WIDTH), 32)
-        for row, (i, lo) in zip(codes, where[b : b + block], strict=True):
-            c = _codes(texts[i][lo : lo + WIDTH])
-            row[: len(c)] = c
-        for (i, lo), t in zip(where[b : b + block], viterbi(emissions(p, codes)[0], p["trans"]), strict=True):
-            if t.any():
-                tags.setdefault(i, []).append((lo, t))
+    tags, scored = {}, set(where)
+    while where:
+        after = []
+        for b in range(0, len(where), block):
+            codes = np.full((len(where[b : b + block]), WIDTH), 32)
+            for row, (i, lo) in zip(codes, where[b : b + block], strict=True):
+                c = _codes(texts[i][lo : lo + WIDTH])
+                row[: len(c)] = c
+            for (i, lo), t in zip(where[b : b + block], viterbi(emissions(p, codes)[0], p["trans"]), strict=True):
+                if t.any():
+                    tags.setdefault(i, []).append((lo, t))
+                    after += [(i, x) for x in (lo - STRIDE, lo + STRIDE) if 0 <= x < len(texts[i])]
+        where = sorted(set(after) - scored)
+        scored |= set(where)
+    for found in tags.values():
+        found.sort(key=lambda x: x[0])
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     for i, found in tags.items():
         merged: dict[int, tuple[int, int]] = {}

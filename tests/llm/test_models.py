@@ -147,3 +147,18 @@ def test_training_reads_whole_texts(spark, monkeypatch):
     pii.train(spark.createDataFrame([(i, "".join(f"{n:07d}," for n in range(5000))) for i in range(40)], "doc_id long, text string"))
     at = [int(t.split(",")[1]) for t in seen]
     assert all(len(t) == 6000 for t in seen) and min(at) < 1000 and max(at) > 3000  # pieces from anywhere
+
+
+def test_spans_are_those_of_all_windows(monkeypatch):
+    def words(p, codes):  # each word is an email to this network
+        on = codes != 32
+        begin = on & ~np.concatenate((on[:, :1], on[:, :-1]), 1)
+        return 10.0 * np.stack([~on, begin, on & ~begin, *[np.zeros_like(on)] * (pii.TAGS - 3)], 2), None
+
+    monkeypatch.setattr(pii, "emissions", words)
+    p = {"trans": np.zeros((pii.TAGS, pii.TAGS))}
+    texts = ["word " * 13 + "é" * n + "@" + "d" * m + ".org and no more of it " * 9 for n in (3, 31, 50, 90, 400) for m in (4, 60, 300)]
+    got = pii.network_spans(p, texts)
+    monkeypatch.setattr(pii, "windows", lambda t: list(range(0, len(t), pii.STRIDE)))
+    assert got == pii.network_spans(p, texts) and all(got)
+    assert all(t[s:e] == t.split()[13] for t, own in zip(texts, got, strict=True) for _, s, e in own)
