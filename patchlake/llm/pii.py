@@ -1,34 +1,37 @@
 """Personal data: exact base patterns plus a character BiLSTM with CRF transitions that adds spans.
 
-The network is trained in numpy on windows of a bounded sample of documents, labelled by the base patterns' spans
-(and by variants of them that the patterns miss, such as a phone number without its plus sign). Texts are scored in overlapping windows;
-each window is decoded by Viterbi, and every character takes its tag from the window in which it stands farthest
-from an edge, so that spans are reconciled over the whole text. A span that holds neither a digit nor an
-at sign can't be valid for any kind, so only windows with such a character and those that their tags lead to are scored.
+The network (its gates and states are squashed by x / (1 + |x|)) is trained in numpy on windows of a bounded sample of documents, labelled by the base patterns' spans, of which a share is
+rewritten into forms that the patterns miss (written-out at signs and dots, other separators of numbers, phone numbers without a plus sign).
+Every text is scored whole, in overlapping windows of WIDTH characters; each window is decoded by Viterbi, and every character takes its tag
+from the window in which it stands farthest from an edge, so that spans are reconciled over the whole text. A run of tags
+becomes a span if it passes its kind's check (`_valid`): the digits, parts and Luhn sum that the base patterns ask for too.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchlake.llm.common import ddl
-from patchlake.llm.nn import adam, sigmoid
+from patchlake.llm.common import byte_blocks, ddl
+from patchlake.llm.nn import adam
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
-WIDTH, STRIDE = 96, 64
-HIDDEN, EMBED = 12, 12
-_DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+WIDTH, STRIDE = 192, 160
+LESSON = 80  # characters of a training window
+HIDDEN, EMBED = 8, 12
+# each part of a number starts at the first digit of its run, which is what leftmost matches do, and never gives digits back
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+_LOCAL = re.compile(r"[A-Za-z0-9._%+-]*")
 _TRIGGER = re.compile("[0-9@]")
 
 
@@ -44,55 +47,73 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _byte(part: str) -> bool:
+    """Whether digits, however many, are at most 255."""
+    part = part.lstrip("0")
+    return len(part) < 3 or (len(part) == 3 and part <= "255")
+
+
+def _local_start(text: str, free: int, at: int) -> int:
+    """Where the run of local-part characters that ends at `at` begins, not before free."""
+    size = 64
+    while True:
+        lo = max(free, at - size)
+        n = _LOCAL.match(text[lo:at][::-1]).end()
+        if n < at - lo or lo == free:
+            return at - n
+        size *= 4
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by start, then kind in the order of KINDS; leftmost matches of each kind, failing ones dropped."""
     found = []
     at, free = text.find("@"), 0
     while at >= 0:
-        local = _LOCAL.search(text, max(free, at - 512), at)
-        if local and local.start() == at - 512 > free:
-            local = _LOCAL.search(text, free, at)
-        domain = local and _DOMAIN.match(text, at + 1)
+        start = _local_start(text, free, at)
+        domain = start < at and _DOMAIN.match(text, at + 1)
         if domain:
-            found.append((local.start(), 0, domain.end()))
+            found.append((start, 0, domain.end()))
             free = domain.end()
         at = text.find("@", max(at + 1, free))
     if _TRIGGER.search(text):
-        found += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+        found += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(map(_byte, m[0].split(".")))]
         found += [(m.start(), 2, m.end()) for m in _CARD.finditer(text) if 14 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
         found += [(m.start(), 3, m.end()) for m in _PHONE.finditer(text) if 10 <= len(_digits(m[0])) <= 15]
     return [(KINDS[k], s, e) for s, k, e in sorted(found)]
 
 
+_AT = re.compile(r"\x20?(?:@|\(at\)|\[at\])\x20?", re.IGNORECASE)
+_DOT = re.compile(r"\x20?(?:\.|\(dot\)|\[dot\])\x20?", re.IGNORECASE)
+_WRITTEN = re.compile(r"[\w.%+-]+@[\w-]+(\.[\w-]+)+")
+_PARTED = {"card": re.compile(r"[0-9]([\x20./_-]?[0-9])+"), "phone": re.compile(r"\+?[(]?[0-9][0-9().\x20/-]*[0-9]")}
+
+
 def _valid(kind: str, s: str) -> bool:
-    """What a span of the network must be to be added."""
-    n = len(_digits(s))
+    """What a span of the network must be to be added: what the base pattern asks for, with the separators that it lacks."""
     if kind == "email":
-        return re.fullmatch(r"[\w.%+-]+@[\w-]+(\.[\w-]+)*", s) is not None
+        return len(_AT.findall(s)) == 1 and _WRITTEN.fullmatch(_DOT.sub(".", _AT.sub("@", s))) is not None
     if kind == "ip":
-        return _IP.fullmatch(s) is not None and all(int(p) <= 255 for p in s.split("."))
-    if kind == "card":
-        return 14 <= n <= 19 and luhn(_digits(s))
-    return 10 <= n <= 15 and re.fullmatch(r"\(?[0-9][0-9().\x20-]*[0-9]", s) is not None and re.search(r"[().\x20-]", s) is not None
+        parts = re.split(r"\x20?(?:\[\.\]|\(\.\)|\.)\x20?", s)
+        return len(parts) == 4 and all(p.isascii() and p.isdigit() and _byte(p) for p in parts)
+    digits = _digits(s)
+    if _PARTED[kind].fullmatch(s) is None:
+        return False
+    return 14 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 10 <= len(digits) <= 15 and len(digits) < len(s)
+
+
+@cache
+def _classes() -> np.ndarray:
+    """Number under 128 of each code point: ASCII letters lower-cased, digits as one, other letters 1, other digits 2, control characters 3, the rest 4."""
+    out = np.full(0x110000, 4, np.uint8)
+    far = range(127, 0x110000)
+    out[127:] = np.fromiter((1 if c.isalpha() else 2 if c.isdigit() else 4 for c in map(chr, far)), np.uint8, len(far))
+    out[:32] = 3
+    out[32:127] = [ord("0") if chr(c).isdigit() else ord(chr(c).lower()) for c in range(32, 127)]
+    return out
 
 
 def _codes(text: str) -> np.ndarray:
-    """Characters as numbers under 128: ASCII as it is, other letters 1, other digits 2, the rest 3."""
-    raw = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).copy()
-    far = np.flatnonzero(raw > 126)
-    raw[far] = [1 if text[i].isalpha() else 2 if text[i].isdigit() else 3 for i in far]
-    return raw.astype(np.int64)
-
-
-def windows(text: str) -> list[int]:
-    """Starts of the overlapping windows that hold a digit or an at sign."""
-    starts: list[int] = []
-    for m in _TRIGGER.finditer(text):
-        last = m.start() // STRIDE
-        for k in (last - 1, last):
-            if k >= 0 and k * STRIDE + WIDTH > m.start() and (not starts or starts[-1] < k * STRIDE):
-                starts.append(k * STRIDE)
-    return starts
+    return _classes()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
 
 def initial(seed: int = 7) -> dict[str, np.ndarray]:
@@ -104,6 +125,10 @@ def initial(seed: int = 7) -> dict[str, np.ndarray]:
     return p
 
 
+def _squash(x: np.ndarray) -> np.ndarray:
+    return x / (1 + np.abs(x))
+
+
 def _lstm(p: dict[str, np.ndarray], x: np.ndarray, d: str, keep: bool):
     """States of one direction for x (windows, steps, features); with what the gradient needs."""
     n, steps, h = len(x), x.shape[1], HIDDEN
@@ -112,10 +137,11 @@ def _lstm(p: dict[str, np.ndarray], x: np.ndarray, d: str, keep: bool):
     s, c = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
     for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
         z = pre[:, t] + s @ p[f"u{d}"]
-        g = sigmoid(z[:, : 3 * h])
-        i, f, o, a = g[:, :h], g[:, h : 2 * h], g[:, 2 * h :], np.tanh(z[:, 3 * h :])
+        z = _squash(z)
+        g = 0.5 + 0.5 * z[:, : 3 * h]
+        i, f, o, a = g[:, :h], g[:, h : 2 * h], g[:, 2 * h :], z[:, 3 * h :]
         before, c = c, f * c + i * a
-        tc = np.tanh(c)
+        tc = _squash(c)
         if keep:
             memo.append((t, s, before, i, f, o, a, tc))
         s = o * tc
@@ -129,8 +155,9 @@ def _lstm_gradient(p, x, d, memo, dout, grad):
     dc = np.zeros_like(ds)
     for t, s, before, i, f, o, a, tc in reversed(memo):
         ds = ds + dout[:, t]
-        dc = dc + ds * o * (1 - tc * tc)
-        dz = np.concatenate((dc * a * i * (1 - i), dc * before * f * (1 - f), ds * tc * o * (1 - o), dc * i * (1 - a * a)), 1)
+        dc = dc + ds * o * (1 - np.abs(tc)) ** 2
+        slope = 0.5 * (1 - np.abs(2 * np.concatenate((i, f, o), 1) - 1)) ** 2
+        dz = np.concatenate((np.concatenate((dc * a, dc * before, ds * tc), 1) * slope, dc * i * (1 - np.abs(a)) ** 2), 1)
         grad[f"w{d}"] += x[:, t].T @ dz
         grad[f"u{d}"] += s.T @ dz
         grad[f"c{d}"] += dz.sum(0)
@@ -157,10 +184,12 @@ def loss_gradient(p: dict[str, np.ndarray], codes: np.ndarray, tags: np.ndarray)
     e, (x, both, mf, mb) = emissions(p, codes, True)
     n, steps, k = e.shape
     tr, rows = p["trans"], np.arange(n)
-    alpha = np.zeros((steps, n, k))
+    grow = np.exp(tr.astype(np.float64))  # sums over states become products with it, each row shifted by its greatest value
+    alpha, top = np.zeros((steps, n, k)), np.zeros((steps, n, 1))
     alpha[0] = e[:, 0]
     for t in range(1, steps):
-        alpha[t] = _lse(alpha[t - 1][:, :, None] + tr, 1) + e[:, t]
+        top[t - 1] = alpha[t - 1].max(1, keepdims=True)
+        alpha[t] = np.log(np.exp(alpha[t - 1] - top[t - 1]) @ grow) + top[t - 1] + e[:, t]
     total = _lse(alpha[-1], 1)
     beta = np.zeros((n, k))
     de, dtr = np.zeros_like(e), np.zeros((k, k))
@@ -168,8 +197,10 @@ def loss_gradient(p: dict[str, np.ndarray], codes: np.ndarray, tags: np.ndarray)
         de[:, t] = np.exp(alpha[t] + beta - total[:, None])
         if t:
             nxt = e[:, t] + beta
-            dtr += np.exp(alpha[t - 1][:, :, None] + tr + nxt[:, None, :] - total[:, None, None]).sum(0)
-            beta = _lse(tr + nxt[:, None, :], 2)
+            dtr += np.exp(alpha[t - 1] - top[t - 1]).T @ np.exp(nxt + top[t - 1] - total[:, None])
+            high = nxt.max(1, keepdims=True)
+            beta = np.log(np.exp(nxt - high) @ grow.T) + high
+    dtr *= grow
     gold = e[rows[:, None], np.arange(steps), tags].sum(1) + tr[tags[:, :-1], tags[:, 1:]].sum(1)
     de[rows[:, None], np.arange(steps), tags] -= 1
     np.add.at(dtr, (tags[:, :-1], tags[:, 1:]), -1)
@@ -199,97 +230,203 @@ def viterbi(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
     return tags
 
 
-def _examples(texts: list[str], most: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Labelled windows: by the base spans, and a third of the phone and email spans in a form that the patterns miss."""
-    rng, codes, tags = np.random.default_rng(seed), [], []
-    for text in texts:
-        spans = base_spans(text)
-        cuts = windows(text) + [int(rng.integers(0, max(1, len(text) - WIDTH)))]
-        for lo in cuts:
-            window = text[lo : lo + WIDTH]
-            own = [(k, max(s - lo, 0), min(e - lo, WIDTH)) for k, s, e in spans if s < lo + WIDTH and e > lo]
-            for kind, s, _ in own:
-                if kind == "phone" and window[s : s + 2] == "+1" and rng.random() < 0.34:
-                    cut = 3 if window[s + 2 : s + 3] == " " else 2
-                    window = window[:s] + window[s + cut :]
-                    own = [(k2, s2 - cut * (s2 > s), e2 - cut * (e2 > s)) for k2, s2, e2 in own]
-                    break
-            row, tag = np.full(WIDTH, 32), np.zeros(WIDTH, np.int64)
-            c = _codes(window)
-            row[: len(c)] = c
-            for kind, s, e in own:
-                k = KINDS.index(kind)
-                tag[s:e] = 2 + 2 * k
-                tag[s] = 1 + 2 * k
-            codes.append(row)
-            tags.append(tag)
-        if len(codes) >= most:
-            break
-    return np.array(codes[:most]), np.array(tags[:most])
-
-
-def train(docs: DataFrame, sample: int = 3000, most: int = 2400, epochs: int = 12, seed: int = 7, characters: int = 6000) -> dict[str, np.ndarray]:
-    """Network trained on at most `most` windows of pieces of `characters`, from a place that the hash picks, of at most `sample` documents that hold a digit or an at sign.
-
-    The sample is cut by hash before it reaches the driver, so what is sent there does not grow with the corpus.
+_FORMS = {
+    "email": lambda s, pick: s.replace("@", pick(["(at)", "[at]", " @ ", " (at) ", " [at] "])).replace(".", pick([".", "(dot)", "[dot]", " (dot) ", " [dot] "])),
+    "ip": lambda s, pick: s.replace(".", pick(["[.]", "(.)", " . "])),
+    "card": lambda s, pick: pick([".", "/", "_"]).join(d[i : i + 4] for d in [_digits(s)] for i in range(0, len(d), 4)),
+    "phone": lambda s, pick: pick([re.sub(r"^\+[0-9]{1,3}[\x20-]?(?=.{9})", "", s), s[1:], "00" + s[1:], re.sub(r"[\x20()-]+", "/", s), re.sub(r"[\x20()-]+", ".", s[1:])]),
+}
+
+
+def _lessons(text: str, rng: np.random.Generator, most: int):
+    """Up to `most` training windows (codes, tags) from anywhere in a text: round base spans, half of them rewritten, round other digits and at sign, and at random."""
+    spans = base_spans(text)
+    inside = np.zeros(len(text) + 1, bool)
+    for _, s, e in spans:
+        inside[s:e] = True
+    others = [m.start() for m in _TRIGGER.finditer(text) if not inside[m.start()]]
+    centres = [(k, s, e) for k, s, e in rng.permutation(np.array(spans, object)).tolist()] if spans else []
+    chosen = centres[: most - most // 4]
+    if others:
+        chosen += [(None, int(x), int(x)) for x in rng.choice(others, min(len(others), max(1, most // 8)), replace=False)]
+    chosen += [(None, int(x), int(x)) for x in rng.integers(0, len(text), max(1, most // 8))]
+    for kind, s, e in chosen:
+        lo = max(0, s - int(rng.integers(0, max(1, LESSON - (e - s)))))
+        parts, tags, at = [], [], lo
+        for k, a, b in spans:
+            if a < at or a >= lo + LESSON:
+                continue
+            own = text[a:b]
+            if rng.random() < 0.5:
+                new = _FORMS[k](own, lambda xs: xs[int(rng.integers(len(xs)))])
+                own = new if _valid(k, new) or base_spans(new) == [(k, 0, len(new))] else own
+            i = KINDS.index(k)
+            parts += [text[at:a], own]
+            tags += [0] * (a - at) + [1 + 2 * i] + [2 + 2 * i] * (len(own) - 1)
+            at = b
+        end = max(at, lo + LESSON)
+        parts.append(text[at:end])
+        tags += [0] * len(parts[-1])
+        row, tag = np.full(LESSON, 32, np.uint8), np.zeros(LESSON, np.uint8)
+        code = _codes("".join(parts))[:LESSON]
+        row[: len(code)], tag[: len(code)] = code, tags[: len(code)]
+        yield row, tag
+
+
+def train(docs: DataFrame, sample: int = 3000, per_text: int = 8, most: int = 2400, epochs: int = 10, seed: int = 7) -> dict[str, np.ndarray]:
+    """Network trained on at most `most` windows, up to `per_text` of each of about `sample` documents that hold a digit or an at sign.
+
+    The documents are those of the smallest hashes; tasks read them whole and draw windows from anywhere in them, and only the `most` windows of the
+    smallest hashes reach the driver, so what is sent there does not grow with the corpus. Without such a document the network stays as it starts.
     """
     held = docs.filter(F.col("text").rlike("[0-9@]")).select("text", (F.xxhash64("doc_id", F.length("text")) / F.lit(2.0**64) + 0.5).alias("h"))
     share = min(1.0, 1.5 * sample / max(1, held.count()))
-    place = F.pmod(F.xxhash64("h"), F.greatest(F.lit(1), F.length("text") - characters + 1)).cast("int") + 1
-    rows = held.filter(F.col("h") < share).select("h", F.substring(F.col("text"), place, F.lit(characters)).alias("t")).collect()
-    texts = [t for _, t in sorted((r["h"], r["t"]) for r in rows)[:sample]]
+
+    def draw(batches):
+        for pdf in batches:
+            rows = []
+            for text, h in zip(pdf["text"], pdf["h"], strict=True):
+                rng = np.random.default_rng([seed, int(h * 2**52)])
+                rows += [(float(rng.random()), c.tobytes(), t.tobytes()) for c, t in _lessons(text, rng, per_text)]
+            yield pd.DataFrame(rows, columns=["h", "codes", "tags"])
+
+    found = held.filter(F.col("h") < share).mapInPandas(draw, "h double, codes binary, tags binary").orderBy("h", "codes").limit(most).collect()
     p = initial(seed)
-    if not texts:
+    if not found:
         return p
-    codes, tags = _examples(texts, most, seed)
+    codes, tags = (np.frombuffer(b"".join(bytes(r[c]) for r in found), np.uint8).reshape(-1, LESSON).astype(np.int64) for c in ("codes", "tags"))
     rng = np.random.default_rng(seed)
     order = np.concatenate([rng.permutation(len(codes)) for _ in range(epochs)])
-    return adam(p, ((codes[b], tags[b]) for b in (order[i : i + 48] for i in range(0, len(order), 48))), 0.012, loss_gradient)
+    return adam(p, ((codes[b], tags[b]) for b in (order[i : i + 48] for i in range(0, len(order), 48))), 0.04, loss_gradient)
+
+
+class Scorer:
+    """Emissions of many windows at once: features stand in rows, windows in columns, and both directions move in one product."""
+
+    def __init__(self, p: dict[str, np.ndarray]):
+        h = HIDDEN
+        self.pre = {d: np.ascontiguousarray((p["emb"] @ p[f"w{d}"] + p[f"c{d}"]).T.reshape(4, h, 128)) for d in "fb"}
+        self.u = np.zeros((4, 2, h, 2, h), np.float32)
+        for k, d in enumerate("fb"):
+            self.u[:, k, :, k] = p[f"u{d}"].T.reshape(4, h, h)
+        self.u = self.u.reshape(8 * h, 2 * h)
+        self.out, self.bias = np.ascontiguousarray(p["out"].T), p["bias"][:, None]
+
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        """(steps, TAGS, windows) for codes (steps, windows)."""
+        (steps, n), h = codes.shape, HIDDEN
+        both = np.empty((steps, 2, h, n), np.float32)
+        s, c = np.zeros((2 * h, n), np.float32), np.zeros((2 * h, n), np.float32)
+        z, y, a = np.empty((8 * h, n), np.float32), np.empty((8 * h, n), np.float32), np.empty((2 * h, n), np.float32)
+        four = z.reshape(4, 2, h, n)
+        i, f, o, g = (z[k * 2 * h : (k + 1) * 2 * h] for k in range(4))
+        gates = z[: 6 * h]
+        for t in range(steps):
+            np.matmul(self.u, s, out=z)
+            four[:, 0] += self.pre["f"].take(codes[t], 2)
+            four[:, 1] += self.pre["b"].take(codes[steps - 1 - t], 2)
+            np.abs(z, out=y)
+            y += 1
+            z /= y
+            gates *= 0.5
+            gates += 0.5
+            c *= f
+            np.multiply(i, g, out=a)
+            c += a
+            np.abs(c, out=a)
+            a += 1
+            np.divide(c, a, out=s)
+            s *= o
+            both[t, 0], both[steps - 1 - t, 1] = s[:h], s[h:]
+        e = np.matmul(self.out, both.reshape(steps, 2 * h, n))
+        e += self.bias
+        return e
+
+
+def _starts(n: int) -> list[int]:
+    """Where the windows of a text of n characters begin."""
+    return list(range(0, max(1, n - (WIDTH - STRIDE)), STRIDE))
+
+
+def _open(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Which windows of emissions (steps, TAGS, windows) may have a tag on their best path.
+
+    The path without tags is the best one if not even the greatest emission of any tag at each step, with the greatest transitions
+    into, between and out of tags, makes a run that beats it; such windows need no search.
+    """
+    trans = trans - trans[0, 0]
+    top = e[:, 1:].max(1) - e[:, 0]
+    enter, stay, leave = trans[0, 1:].max(), trans[1:, 1:].max(), trans[1:, 0].max()
+    run, most = top[0], top[0] + max(leave, 0.0)
+    for t in range(1, len(top)):
+        run = np.maximum(run + stay, enter) + top[t]
+        most = np.maximum(most, run + (leave if t + 1 < len(top) else 0.0))
+    return np.flatnonzero(most >= -1e-3)
+
+
+_ENDS = " \n\t.,;:|"
+
+
+def _runs(text: str, tags: np.ndarray) -> list[tuple[str, int, int]]:
+    """Valid spans of a text's tags: a run of one kind, a begin tag opens a new one; white space and stops at the ends are cut off, words cut at the ends made whole."""
+    at = np.flatnonzero(tags)
+    if not len(at):
+        return []
+    kind, begin = (tags[at] - 1) // 2, tags[at] % 2 == 1
+    new = np.ones(len(at), bool)
+    new[1:] = begin[1:] | (np.diff(at) > 1) | (kind[1:] != kind[:-1])
+    first = np.flatnonzero(new)
+    out = []
+    for lo, hi in zip(at[first], at[np.append(first[1:], len(at)) - 1] + 1, strict=True):
+        name, s = KINDS[(int(tags[lo]) - 1) // 2], text[lo:hi]
+        lo, hi = int(lo) + len(s) - len(s.lstrip(_ENDS)), int(hi) - len(s) + len(s.rstrip(_ENDS))
+        while 0 < lo < hi and text[lo].isalnum() and text[lo - 1].isalnum():
+            lo -= 1
+        while lo < hi < len(text) and text[hi - 1].isalnum() and text[hi].isalnum():
+            hi += 1
+        if lo < hi and (not out or lo >= out[-1][2]) and _valid(name, text[lo:hi]):
+            out.append((name, lo, hi))
+    return out
 
 
-def network_spans(p: dict[str, np.ndarray], texts: list[str], block: int = 1024) -> list[list[tuple[str, int, int]]]:
-    """Valid spans that the network finds in each text.
+def network_spans(p: dict[str, np.ndarray], texts: list[str], block: int = 512, scorer=None) -> list[list[tuple[str, int, int]]]:
+    """Valid spans that the network finds in each text; all windows of all texts are scored.
 
-    Windows with a digit or an at sign are scored, then the neighbours of every window with a tagged character until none is new. Each
-    run of tags that holds such a character is then as if all windows were scored.
+    Windows of about one length go together: each is padded with spaces to a multiple of 32 characters, whatever stands beside it.
     """
-    where = [(i, lo) for i, t in enumerate(texts) for lo in windows(t)]
-    tags, scored = {}, set(where)
-    while where:
-        after = []
-        for b in range(0, len(where), block):
-            codes = np.full((len(where[b : b + block]), WIDTH), 32)
-            for row, (i, lo) in zip(codes, where[b : b + block], strict=True):
-                c = _codes(texts[i][lo : lo + WIDTH])
-                row[: len(c)] = c
-            for (i, lo), t in zip(where[b : b + block], viterbi(emissions(p, codes)[0], p["trans"]), strict=True):
-                if t.any():
-                    tags.setdefault(i, []).append((lo, t))
-                    after += [(i, x) for x in (lo - STRIDE, lo + STRIDE) if 0 <= x < len(texts[i])]
-        where = sorted(set(after) - scored)
-        scored |= set(where)
-    for found in tags.values():
-        found.sort(key=lambda x: x[0])
+    scorer = scorer or Scorer(p)
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    for i, found in tags.items():
-        merged: dict[int, tuple[int, int]] = {}
-        for lo, t in found:
-            for k in np.flatnonzero(t):
-                edge = min(k, WIDTH - 1 - k)
-                if edge > merged.get(lo + k, (-1, 0))[0]:
-                    merged[lo + int(k)] = (int(edge), int(t[k]))
-        places = sorted(merged)
-        start, last, kind = None, None, None
-        for at in [*places, None]:
-            tag = merged[at][1] if at is not None else 0
-            if start is not None and (at is None or at != last + 1 or (tag - 1) // 2 != kind or tag % 2):
-                if _valid(KINDS[kind], texts[i][start : last + 1]):
-                    out[i].append((KINDS[kind], start, last + 1))
-                start = None
-            if at is not None:
-                if start is None:
-                    start, kind = at, (tag - 1) // 2
-                last = at
+    edge = (WIDTH - STRIDE) // 2
+    for first, last in byte_blocks(texts):
+        codes = [_codes(t) for t in texts[first:last]]
+        flat = np.concatenate([*codes, np.full(WIDTH, 32, np.uint8)])
+        base = np.cumsum([0, *map(len, codes)])
+        where = [(i, lo) for i, c in enumerate(codes) for lo in _starts(len(c))]
+        own = np.array([i for i, _ in where])
+        lo = np.array([s for _, s in where])
+        size = np.minimum(base[own + 1] - base[own] - lo, WIDTH)
+        steps = np.maximum(1, -(-size // 32)) * 32
+        found: dict[int, np.ndarray] = {}
+        for n in np.unique(steps):
+            rows = np.flatnonzero(steps == n)
+            held, near = [rows[:0]], [np.zeros((0, n, TAGS), np.float32)]
+            for b in range(0, len(rows), block):
+                r = rows[b : b + block]
+                step = np.arange(n)[:, None]
+                window = np.where(step < size[r], flat[np.minimum(base[own[r]] + lo[r] + step, len(flat) - 1)], 32).astype(np.intp)
+                e = scorer(window)
+                on = _open(e, p["trans"])
+                held.append(r[on])
+                near.append(e[:, :, on].transpose(2, 0, 1))
+            for k, tags in zip(np.concatenate(held), viterbi(np.concatenate(near), p["trans"]), strict=True):
+                if tags.any():
+                    i, start = int(own[k]), lo[k]
+                    line = found.setdefault(i, np.zeros(len(codes[i]), np.int8))
+                    a = edge if start else 0
+                    z = min(len(line) - start, STRIDE + edge if start + WIDTH < len(line) else WIDTH)
+                    line[start + a : start + z] = tags[a:z]
+        for i, line in found.items():
+            out[first + i] = _runs(texts[first + i], line)
     return out
 
 
@@ -306,11 +443,12 @@ def detect(docs: DataFrame, p: dict[str, np.ndarray] | None = None, mask: bool =
     p = train(docs) if p is None else p
 
     def run(batches):
+        scorer = Scorer(p)
         for pdf in batches:
             texts = [t or "" for t in pdf["text"]]
             base = [base_spans(t) for t in texts]
             rows = []
-            for own, more, text, given in zip(base, network_spans(p, texts), texts, pdf["text"], strict=True):
+            for own, more, text, given in zip(base, network_spans(p, texts, scorer=scorer), texts, pdf["text"], strict=True):
                 new = [x for x in more if not any(x[1] < e and s < x[2] for _, s, e in own)]
                 spans = sorted(own + new, key=lambda x: (x[1], KINDS.index(x[0])))
                 counts = [sum(k == kind for k, _, _ in own) for kind in KINDS]
