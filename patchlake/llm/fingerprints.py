@@ -1,83 +1,92 @@
 """Order MinHash fingerprints with DataFrame functions only.
 
-A text is a row of tokens (runs of at most TOKEN code points without white space), its k-mers are K consecutive
-tokens, and the i-th occurrence of a k-mer is an element of its own. Elements are dealt by hash to BINS bins; in each
-bin the PICK elements of the smallest hashes are selected, put back into text order and hashed as a tuple.
-Signatures are therefore sensitive to order as well as content. Likeness is the share of equal
-signatures among the bins that either fingerprint fills.
-
-Each array pass is linear, or one sort of longs: hash and position share a long. First occurrences carry the k-mer's own hash;
-the others, runs of equal hashes in sorted order, that hash mixed with their occurrence number.
+The k-mers of a text are its runs of K code points; the i-th occurrence of a k-mer is an element of its own. There are ORDERS hash orders of all elements:
+an element's rank under order b is its hash with the leading bits changed by b (an exclusive or), so any element may come first under any order.
+Under each order the PICK smallest elements are selected, put back into text order, and their k-mers hashed as a tuple; signatures are
+therefore sensitive to order as well as content. Likeness is the share of orders with equal signatures.
+
+All orders agree on elements whose leading bits are equal, so the PICK smallest of each of the ORDERS classes of leading bits are all that any order can
+select. They are read off one sorted array of longs that hold a hash of 33 bits above a position of 31, more than a value of Spark has code points. First occurrences carry the k-mer's own hash; the others, runs of equal hashes in
+sorted order, that hash mixed with their occurrence number.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K, BINS, PICK, TOKEN = 3, 32, 2, 12
-_POS = (1 << 24) - 1
+K, ORDERS, PICK = 6, 32, 2
+_PLACE = (1 << 31) - 1
+_LEAD = 64 - (ORDERS.bit_length() - 1)
+
+
+def _least(a: str) -> str:
+    """The PICK first elements of each class of leading bits in a sorted array."""
+    return f"filter({a}, (x, j) -> j < {PICK} OR shiftright(x ^ get({a}, j - {PICK}), {_LEAD}) <> 0)"
 
 
 def with_signature(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds out: array<long> of BINS signatures, null where a bin is empty (all bins for texts without tokens)."""
-    df = df.withColumn("_t", F.regexp_extract_all(F.col(text), F.lit(f"[^\\x20\\x09-\\x0D]{{1,{TOKEN}}}"), F.lit(0)))
-    df = df.withColumn("_n", F.greatest(F.size("_t") - K + 1, F.least(F.size("_t"), F.lit(1))))
-    grams = ", ".join(f"get(_t, i + {j - 1})" for j in range(K))
-    df = df.withColumn("_s", F.expr(f"CASE WHEN _n > 0 THEN sort_array(transform(sequence(1, _n), i -> (xxhash64({grams}) & {~_POS}L) | i)) ELSE array() END"))
-    same = "j > 0 AND shiftright(x, 24) = shiftright(get(_s, j - 1), 24)"
-    df = df.withColumn("_f", F.expr(f"filter(_s, (x, j) -> NOT ({same}))"))
-    df = df.withColumn("_d", F.expr(f"CASE WHEN size(_f) = size(_s) THEN array() ELSE filter(_s, (x, j) -> {same}) END"))
-    df = df.withColumn("_r", F.expr("filter(transform(_d, (x, j) -> CASE WHEN j = 0 OR shiftright(x, 24) <> shiftright(get(_d, j - 1), 24) THEN j ELSE -1 END), j -> j >= 0)"))
-    df = df.withColumn("_e", F.expr(f"""flatten(transform(_r, (s, q) -> transform(sequence(s, coalesce(get(_r, q + 1), size(_d)) - 1),
-        j -> (xxhash64(shiftright(get(_d, j), 24), j - s + 1) & {~_POS}L) | (get(_d, j) & {_POS}L))))"""))
-    df = df.withColumn("_a", F.expr("CASE WHEN size(_d) = 0 THEN _f ELSE sort_array(concat(_f, _e)) END"))
-    shift = 64 - (BINS.bit_length() - 1)
-    df = df.withColumn("_m", F.expr(f"filter(_a, (x, j) -> j < {PICK} OR shiftright(x, {shift}) <> shiftright(get(_a, j - {PICK}), {shift}))"))
-    starts = f"j = 0 OR shiftright(x, {shift}) <> shiftright(get(_m, j - 1), {shift})"
-    picked = f"slice(_m, j + 1, {PICK})"
-    tuple_ = f"array_sort(transform(filter({picked}, z -> shiftright(z, {shift}) = shiftright(x, {shift})), z -> struct(z & {_POS}L AS p, shiftright(z, 24) AS h))).h"
-    df = df.withColumn("_g", F.expr(f"filter(transform(_m, (x, j) -> CASE WHEN {starts} THEN struct(shiftright(x, {shift}) AS b, xxhash64({tuple_}) AS h) END), g -> g IS NOT NULL)"))
-    df = df.withColumn("_g", F.expr("map_from_arrays(_g.b, _g.h)"))
-    df = df.withColumn(out, F.expr(f"transform(sequence({-(BINS // 2)}L, {BINS // 2 - 1}L), b -> try_element_at(_g, b))"))
-    return df.drop("_t", "_n", "_s", "_f", "_d", "_r", "_e", "_a", "_m", "_g")
+    """Adds out: array<long> of ORDERS signatures, all null for an empty text; a text of fewer than K code points is one k-mer."""
+    gram = lambda at: ", ".join(f"get(_t, {at} + {j})" for j in range(K))
+    df = df.withColumn("_t", F.expr(f"CASE WHEN {text} = '' THEN CAST(array() AS array<string>) ELSE split({text}, '') END"))
+    df = df.withColumn("_s", F.expr(f"CASE WHEN size(_t) > 0 THEN sort_array(transform(sequence(0, greatest(size(_t) - {K}, 0)), i -> (xxhash64({gram('i')}) & {~_PLACE}L) | i)) ELSE array() END"))
+    # repeated k-mers with all their occurrences, and the first two different hashes of each class: all that the steps after need
+    same = lambda a, b: f"shiftright({a} ^ {b}, 31) = 0"
+    one, two, after = "get(_s, j - 1)", "get(_s, j - 2)", "get(_s, j + 1)"
+    df = df.withColumn("_k", F.expr(f"filter(_s, (x, j) -> j < {PICK} OR shiftright(x ^ {two}, {_LEAD}) <> 0 OR {same('x', one)} OR {same(one, two)} OR coalesce({same('x', after)}, false))"))
+    repeat = "j > 0 AND " + same("x", "get(_k, j - 1)")
+    df = df.withColumn("_f", F.expr(f"filter(_k, (x, j) -> NOT ({repeat}))"))
+    df = df.withColumn("_d", F.expr(f"CASE WHEN size(_f) < size(_k) THEN filter(_k, (x, j) -> {repeat}) ELSE array() END"))
+    df = df.withColumn("_r", F.expr(f"CASE WHEN size(_d) > 0 THEN filter(sequence(0, size(_d) - 1), j -> j = 0 OR NOT ({same('get(_d, j)', 'get(_d, j - 1)')})) ELSE array() END"))
+    df = df.withColumn("_e", F.expr(f"""sort_array(flatten(transform(_r, (s, q) -> transform(slice(_d, s + 1, coalesce(get(_r, q + 1), size(_d)) - s),
+        (x, o) -> (xxhash64(shiftright(x, 31), o) & {~_PLACE}L) | (x & {_PLACE}L)))))"""))
+    df = df.withColumn("_m", F.expr(f"concat({_least('_f')}, {_least('_e')})"))
+    pick = f"array_sort(transform(slice(sort_array(transform(_m, x -> x ^ shiftleft(b, {_LEAD}))), 1, {PICK}), x -> CAST(x & {_PLACE}L AS INT)))"
+    df = df.withColumn("_p", F.expr(f"transform(sequence(0L, {ORDERS - 1}L), b -> CASE WHEN size(_m) > 0 THEN {pick} ELSE array() END)"))
+    grams = ", ".join(gram(f"get(p, {j})") for j in range(PICK))
+    df = df.withColumn(out, F.expr(f"transform(_p, p -> CASE WHEN size(p) > 0 THEN xxhash64({grams}) END)"))
+    return df.drop("_t", "_s", "_k", "_f", "_d", "_r", "_e", "_m", "_p")
 
 
 def shown(signature: str) -> Column:
-    """A fingerprint as text: eight hexadecimal digits a bin, dashes for an empty one."""
+    """A fingerprint as text: eight hexadecimal digits an order, dashes for an empty text."""
     return F.expr(f"array_join(transform({signature}, x -> coalesce(lpad(hex(x & 4294967295L), 8, '0'), '--------')), '')")
 
 
 def likeness(a: str, b: str) -> Column:
-    """Equal signatures over the bins that one of the two fills; 1 if both are empty."""
-    filled = f"size(filter(zip_with({a}, {b}, (x, y) -> x IS NOT NULL OR y IS NOT NULL), z -> z))"
-    same = f"size(filter(zip_with({a}, {b}, (x, y) -> x IS NOT NULL AND y IS NOT NULL AND (x & 4294967295L) = (y & 4294967295L)), z -> z))"
-    return F.expr(f"CASE WHEN {filled} = 0 THEN 1.0D ELSE CAST({same} AS DOUBLE) / {filled} END")
+    """Share of orders with equal signatures (their 32 bits that are shown); 1 if both texts are empty."""
+    same = f"size(filter(zip_with({a}, {b}, (x, y) -> (x & 4294967295L) <=> (y & 4294967295L)), z -> z))"
+    return F.expr(f"CAST({same} AS DOUBLE) / {ORDERS}")
+
+
+def _numbers(values: list[int]) -> Column:
+    """A constant array of longs, one literal in the plan whatever its length."""
+    return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
 
 
 def _with_next(df: DataFrame, columns: list[str]) -> DataFrame:
     """Adds next_<column> of the row with the next greater doc_id (after the last: the first).
 
     Rows are dealt to ranges of doc_id, a few per shuffle partition, whose bounds are percentiles; the first row of each range is also
-    sent to the range before it, so that no window spans more than a range. Only the bounds reach the driver.
+    sent to the range before it, so that no window spans more than a range. Only the bounds and first ids of the ranges reach the driver, and
+    go to the tasks as arrays that are looked up by a range's number.
     """
     spark = df.sparkSession
     ranges = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     at = [i / ranges for i in range(1, ranges)]
     bounds = sorted(set(df.agg(F.percentile_approx("doc_id", at, 10 * ranges).alias("b")).first()["b"] or []))
     step = max(1, int(len(bounds) ** 0.5))
-    coarse = bounds[step - 1 :: step]
-    array = lambda v: F.array(*[F.lit(x).cast("long") for x in v]) if v else F.array().cast("array<long>")
     below = lambda a: F.size(F.filter(a, lambda b: b < F.col("doc_id")))
-    c = below(array(coarse))
-    df = df.withColumn("_c", c).withColumn("_b", F.col("_c") * step + below(F.slice(array(bounds), F.col("_c") * step + 1, F.lit(step)))).drop("_c")
-    first = sorted((r["_b"], r["f"]) for r in df.select("doc_id", "_b").groupBy("_b").agg(F.min("doc_id").alias("f")).collect())
-    before = {f: first[i - 1][0] for i, (_, f) in enumerate(first)}
-    if not before:
-        return df.select("*", *[F.col(x).alias(f"next_{x}") for x in columns]).drop("_b")
-    halo = F.create_map(*[F.lit(x).cast(t) for f, b in before.items() for x, t in ((f, "long"), (b, "int"))])
-    df = df.withColumn("_to", F.array(F.struct(F.col("_b").alias("b"), F.lit(0).alias("late")), F.struct(F.try_element_at(halo, F.col("doc_id")).alias("b"), F.lit(1).alias("late"))))
-    df = df.withColumn("_to", F.explode(F.filter("_to", lambda x: x["b"].isNotNull()))).select("*", "_to.*").drop("_to", "_b")
+    df = df.withColumn("_c", below(_numbers(bounds[step - 1 :: step])))
+    df = df.withColumn("_b", F.col("_c") * step + below(F.slice(_numbers(bounds), F.col("_c") * step + 1, F.lit(step)))).drop("_c")
+    found = sorted((r["_b"], r["f"]) for r in df.select("doc_id", "_b").groupBy("_b").agg(F.min("doc_id").alias("f")).collect())
+    first, before = [None] * (len(bounds) + 1), [None] * (len(bounds) + 1)
+    for i, (b, f) in enumerate(found):
+        first[b], before[b] = f, found[i - 1][0]
+    own, late = F.struct(F.col("_b").cast("long").alias("b"), F.lit(0).alias("late")), F.struct(F.get(_numbers(before), F.col("_b")).alias("b"), F.lit(1).alias("late"))
+    df = df.withColumn("_to", F.explode(F.when(F.get(_numbers(first), F.col("_b")) == F.col("doc_id"), F.array(own, late)).otherwise(F.array(own)))).select("*", "_to.*").drop("_to", "_b")
     w = Window.partitionBy("b").orderBy("late", "doc_id", F.xxhash64("text"))
     return df.select("*", *[F.lead(x).over(w).alias(f"next_{x}") for x in columns]).filter("late = 0").drop("b", "late")
 
@@ -87,7 +96,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     A null text counts as empty. The edited text has the last floor(n_chars / 2) code points replaced by the
     first as many (or all) of the next document by doc_id; after the last comes the first, and a lone document follows
-    itself. Rows that share a doc_id follow each other in order of their text's hash. Rows with a null doc_id are left out.
+    itself. Rows that share a doc_id follow each other in order of their text's hash; of the rows of the next doc_id the first in that order counts.
+    Rows with a null doc_id are left out.
     """
     df = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     df = _with_next(with_signature(df, "text", "sig"), ["text", "sig"])

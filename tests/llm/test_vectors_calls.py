@@ -72,6 +72,58 @@ def test_fingerprint_likeness_follows_the_edit_distance(spark):
     assert near[0] == 1 and near[0] > near[1] > near[2] > near[3] == 0
 
 
+def slow_signature(text):
+    """Order MinHash one order at a time over all elements; hashes as Spark has them."""
+    import xxhash
+
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    xx = lambda b, seed=42: xxhash.xxh64_intdigest(b, seed)
+
+    def chained(chars, seed=42):
+        for c in chars:
+            seed = xx(c.encode(), seed)
+        return seed
+
+    grams = [(i, text[i : i + fingerprints.K]) for i in range(max(len(text) - fingerprints.K + 1, 1))] if text else []
+    seen, elements = {}, []
+    for place, gram in grams:
+        h = signed(chained(gram)) >> 31
+        n = seen[h] = seen.get(h, -1) + 1
+        if n:
+            h = signed(xx((n - 1).to_bytes(4, "little"), xx(h.to_bytes(8, "little", signed=True)))) >> 31
+        elements.append(((h << 31) | place, place, gram))
+    out = []
+    for b in range(fingerprints.ORDERS):
+        best = sorted(elements, key=lambda e: signed((e[0] ^ (b << 59)) & (2**64 - 1)))[: fingerprints.PICK]
+        seed = 42
+        for _, _, gram in sorted(best, key=lambda e: e[1]):
+            seed = chained(gram, seed)
+        out.append(signed(seed) if best else None)
+    return out
+
+
+def test_signatures_equal_order_minhash_one_order_at_a_time(spark):
+    rng = np.random.default_rng(9)
+    texts = ["", "a", "abcdef", "abcdefg", "aaaaaaaaaaaaaaaa", "ab" * 400, "é😀日" * 30, "the hat of the man " * 9, " " * 50]
+    texts += ["".join(rng.choice(list("abc é"), int(n))) for n in rng.integers(1, 4000, 12)]
+    df = fingerprints.with_signature(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "text", "sig")
+    assert {r.doc_id: r.sig for r in df.collect()} == {i: slow_signature(t) for i, t in enumerate(texts)}
+
+
+def test_fingerprints_of_short_texts_repeated_ids_and_long_texts(spark):
+    rng = np.random.default_rng(10)
+    short = ["".join(rng.choice(list("abcdefghij klmnop"), 28)) for _ in range(20)]
+    rows = [(i, t) for i, t in enumerate(short)] + [(50, "same id, one text"), (50, "same id, another"), (60, "z" * 600_000), (60, "z" * 600_000)]
+    got = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert len(got) == 24 and np.mean([r.near_edited > 0 for r in got if r.doc_id < 20]) >= 0.8
+    assert [r.n_chars for r in got if r.doc_id == 60] == [600_000] * 2 and len({r.fingerprint for r in got if r.doc_id == 60}) == 1
+    edited = {r.edited_sha256 for r in got if r.doc_id == 50}
+    one, two = "same id, one text", "same id, another"
+    want = lambda t, after: hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest()
+    z = "z" * 600_000
+    assert edited in ({want(one, two), want(two, z)}, {want(two, one), want(one, z)})  # they follow each other
+
+
 SCHEMAS = {"add": {"type": "object", "required": ["a"], "additionalProperties": False, "properties": {"a": {"type": "number", "minimum": 0}, "b": {"type": "array", "items": {"type": "string"}}, "c": {"enum": ["x"]}}}}
 
 
