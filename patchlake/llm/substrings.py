@@ -1,18 +1,21 @@
 """Removal of repeated word windows with a compressed FM-index per shard.
 
-Windows are dealt to shards by content: the smallest hashed GRAM-word gram of a window (its anchor) is the
+Windows are dealt to shards by content: the smallest hashed gram of a window (its anchor) is the
 same wherever the window's words stand, so the consecutive windows that share an anchor form one segment and all
 occurrences of a window meet in the shard of its anchor. Anchors that occur once in the corpus are dropped
-before anything else moves. Equal segments are folded by aggregation, the first occurrence standing for them, so
-a passage held by a third of all documents reaches a shard once. Each shard builds an FM-index of its distinct
-segments and streams them through backward search; windows whose interval holds two or more suffixes are
-repeats. An anchor with more than HOT distinct segments (a common line in many contexts) is dealt anew by
-whole windows, folded the same way.
+before anything else moves. Byte-equal segments are folded into a class, the first occurrence standing for it and each member keeping its link, so
+a passage held by a third of all documents reaches a shard once. Every class enters a shard: the shard builds an FM-index of its
+classes' words and streams them through backward search, and the suffixes in a window's interval give the window's first occurrence. What a
+shard reports of a class is joined back to its members, in parts of at most about SALT rows; a member loses the windows that start earlier somewhere.
+
+Anchors are grams of GRAMS[0] words. One with more than SPLIT classes (a common line in many contexts) is dealt anew by the next longer
+gram, which parts its windows over many shards; the last grams are whole windows, of which each has one class.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,11 +25,13 @@ from pyspark.sql import functions as F
 from patchlake.llm.common import _mix, byte_blocks, ddl, group_starts, materialize, whole_groups, word_hashes
 from patchlake.llm.fmindex import FMIndex
 
-GRAM = 6
-HOT = 256
+GRAMS = (6, 12)  # and then whole windows
+SPLIT = 512
+SALT = 4096
 SHARD = 1000
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
-_LOW = np.uint64((1 << 26) - 1)
+_LOW = np.uint64((1 << 32) - 1)  # positions; no text has more words
+KEYS = ["anchor", "content", "n"]
 
 
 def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -55,32 +60,30 @@ def _grams(powers: dict[int, np.ndarray], length: int) -> np.ndarray:
     return out
 
 
-def _segments(texts: list[bytes], window: int):
-    """For each block of texts: text number, first window, windows, anchor and content hash of each segment."""
-    for lo, hi in byte_blocks(texts):
-        words, at = word_hashes(texts[lo:hi])
-        if len(words) < window:
-            continue
-        powers = _powers(words)
-        whole, anchor = _grams(powers, window), _grams(powers, GRAM)
-        low = (anchor & ~_LOW) | np.arange(len(anchor), dtype=np.uint64)
-        span = window - GRAM + 1
-        n, size = low, 1
-        while size * 2 <= span:
-            n, size = np.minimum(n[:-size], n[size:]), size * 2
-        least = np.minimum(n[: len(whole)], n[span - size : span - size + len(whole)])
-        text = np.repeat(np.arange(hi - lo), np.diff(at))[: len(whole)]
-        start = np.arange(len(whole))
-        ok = start + window <= at[1:][text]
-        start, text = start[ok], text[ok]
-        if not len(start):
-            continue
-        place = (least[start] & _LOW).astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (text[1:] != text[:-1]))))
-        size = np.diff(np.append(first, len(start)))
-        rel = np.arange(len(start)) - np.repeat(first, size)
-        content = np.add.reduceat(_mix(whole[start] ^ (rel.astype(np.uint64) * _B)), first)
-        yield lo + text[first], start[first] - at[text[first]], size, anchor[place[first]].view(np.int64), content.view(np.int64)
+def _cut(words: np.ndarray, at: np.ndarray, window: int, gram: int):
+    """Text number, first window, windows, anchor and content hash of each segment of texts whose words begin at `at`."""
+    if len(words) < window:
+        return (np.zeros(0, np.int64),) * 5
+    powers = _powers(words)
+    whole, anchor = _grams(powers, window), _grams(powers, gram)
+    low = (anchor & ~_LOW) | np.arange(len(anchor), dtype=np.uint64)
+    span = window - gram + 1
+    n, size = low, 1
+    while size * 2 <= span:
+        n, size = np.minimum(n[:-size], n[size:]), size * 2
+    least = np.minimum(n[: len(whole)], n[span - size : span - size + len(whole)])
+    text = np.repeat(np.arange(len(at) - 1), np.diff(at))[: len(whole)]
+    start = np.arange(len(whole))
+    ok = start + window <= at[1:][text]
+    start, text = start[ok], text[ok]
+    if not len(start):
+        return (np.zeros(0, np.int64),) * 5
+    place = (least[start] & _LOW).astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (text[1:] != text[:-1]))))
+    size = np.diff(np.append(first, len(start)))
+    rel = np.arange(len(start)) - np.repeat(first, size)
+    content = np.add.reduceat(_mix(whole[start] ^ (rel.astype(np.uint64) * _B)), first)
+    return text[first], start[first] - at[text[first]], size, anchor[place[first]].view(np.int64), content.view(np.int64)
 
 
 def _raw(column) -> list[bytes]:
@@ -88,96 +91,117 @@ def _raw(column) -> list[bytes]:
 
 
 def segments(docs: DataFrame, window: int, anchors_only: bool = False) -> DataFrame:
+    """The segments of whole texts: anchor, content (hash), n (windows), doc, start (word)."""
+
     def run(batches):
         for pdf in batches:
-            doc = pdf["doc_id"].to_numpy()
-            for text, start, size, anchor, content in _segments(_raw(pdf["text"]), window):
+            doc, raw = pdf["doc_id"].to_numpy(), _raw(pdf["text"])
+            for lo, hi in byte_blocks(raw):
+                text, start, size, anchor, content = _cut(*word_hashes(raw[lo:hi]), window, min(GRAMS[0], window))
                 if anchors_only:
                     yield pd.DataFrame({"anchor": anchor})
                 else:
-                    yield pd.DataFrame({"anchor": anchor, "content": content, "n": size.astype(np.int32), "doc": doc[text], "start": start.astype(np.int32)})
+                    yield pd.DataFrame({"anchor": anchor, "content": content, "n": size.astype(np.int32), "doc": doc[lo:hi][text], "start": start.astype(np.int32)})
 
     out = "anchor long" if anchors_only else "anchor long, content long, n int, doc long, start int"
     return docs.select("doc_id", "text").mapInPandas(run, out)
 
 
+def _recut(contents: DataFrame, window: int, gram: int) -> DataFrame:
+    """The segments of segments' words by another gram."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = [np.frombuffer(x, np.uint64) for x in pdf["items"]]
+            if rows:
+                text, start, size, anchor, content = _cut(np.concatenate(rows), np.cumsum([0, *map(len, rows)]), window, gram)
+                yield pd.DataFrame({"anchor": anchor, "content": content, "n": size.astype(np.int32), "doc": pdf["doc"].to_numpy()[text], "start": (pdf["start"].to_numpy()[text] + start).astype(np.int32)})
+
+    return contents.select("doc", "start", "items").mapInPandas(run, "anchor long, content long, n int, doc long, start int")
+
+
 def _contents(docs: DataFrame, reps: DataFrame, window: int) -> DataFrame:
-    """Word hashes of the segments in reps (anchor, doc, start, n, shard)."""
-    wanted = reps.groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "n", "many")).alias("parts"))
+    """reps (KEYS, c, doc, start, many) with items, the word hashes of the segment."""
+    wanted = reps.groupBy("doc").agg(F.collect_list(F.struct(*KEYS, "c", "start", "many")).alias("parts"))
 
     def cut(batches):
         for pdf in batches:
             raw = _raw(pdf["text"])
             for lo, hi in byte_blocks(raw):
                 words, at = word_hashes(raw[lo:hi])
-                rows = [(p["anchor"], d, p["start"], p["n"], p["many"], words[at[i] + p["start"] : at[i] + p["start"] + p["n"] + window - 1].tobytes()) for i, (d, ps) in enumerate(zip(pdf["doc"].iloc[lo:hi], pdf["parts"].iloc[lo:hi], strict=True)) for p in ps]
-                yield pd.DataFrame(rows, columns=["anchor", "doc", "start", "n", "many", "items"])
+                rows = [(p["anchor"], p["content"], p["n"], p["c"], d, p["start"], p["many"], words[at[i] + p["start"] : at[i] + p["start"] + p["n"] + window - 1].tobytes()) for i, (d, ps) in enumerate(zip(pdf["doc"].iloc[lo:hi], pdf["parts"].iloc[lo:hi], strict=True)) for p in ps]
+                yield pd.DataFrame(rows, columns=[*KEYS, "c", "doc", "start", "many", "items"])
 
     texts = docs.select(F.col("doc_id").alias("doc"), "text").join(wanted, "doc")
-    return texts.select("doc", "text", "parts").mapInPandas(cut, "anchor long, doc long, start int, n int, many boolean, items binary")
+    return texts.select("doc", "text", "parts").mapInPandas(cut, "anchor long, content long, n int, c long, doc long, start int, many boolean, items binary")
 
 
 def _search(contents: DataFrame, window: int, shards: int) -> DataFrame:
-    """Windows (doc, start) of the distinct segments that occur earlier in their shard."""
+    """What the shards' indexes say of each class: KEYS, c, doc and start of its first member, and gone: word offsets (from, to, from, to, ...) of runs of windows that start earlier in another class."""
     dealt = contents.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).repartition("shard").sortWithinPartitions("shard")
 
     def run(batches):
         for pdf in whole_groups(batches, ["shard"]):
             at = group_starts(pdf, ["shard"])
             for lo, hi in zip(at[:-1], at[1:], strict=True):
-                rows = [np.frombuffer(x, np.uint64) for x in pdf["items"].iloc[lo:hi]]
+                own = pdf.iloc[lo:hi]
+                rows = [np.frombuffer(x, np.uint64) for x in own["items"]]
                 size = np.array([len(r) for r in rows])
                 names, ids = np.unique(np.concatenate(rows), return_inverse=True)
                 first = np.cumsum(size) - size + np.arange(len(rows))
                 text = np.zeros(int(size.sum()) + len(rows), np.int64)  # 0 parts the segments
                 text[np.arange(len(ids)) + np.repeat(np.arange(len(rows)), size)] = ids + 1
                 n = size - window + 1
-                rel = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                begin = np.cumsum(n) - n
+                rel = np.arange(int(n.sum())) - np.repeat(begin, n)
                 row = np.repeat(np.arange(len(rows)), n)
                 hit, group = FMIndex(text, window).repeated(text, first[row] + rel, window)
-                doc, start = pdf["doc"].to_numpy()[lo:hi][row[hit]], (pdf["start"].to_numpy()[lo:hi][row] + rel)[hit]
+                doc, start = own["doc"].to_numpy()[row[hit]], own["start"].to_numpy()[row[hit]] + rel[hit]
                 order = np.lexsort((start, doc, group))
-                doc, start, group = doc[order], start[order], group[order]
+                hit, doc, start, group = hit[order], doc[order], start[order], group[order]
                 head = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))[: len(group)]
                 head = np.repeat(head, np.diff(np.append(head, len(group))))
-                later = (doc != doc[head]) | (start != start[head])
-                yield pd.DataFrame({"doc": doc[later], "start": start[later].astype(np.int32)})
-
-    return dealt.select("shard", "doc", "start", "items").mapInPandas(run, "doc long, start int")
-
-
-def _windows(contents: DataFrame, window: int) -> DataFrame:
-    def run(batches):
-        for pdf in batches:
-            for doc, start, items in zip(pdf["doc"], pdf["start"], pdf["items"], strict=True):
-                words = np.frombuffer(items, np.uint64)
-                one = _grams(_powers(words), window)
-                two = _grams(_powers(_mix(words ^ _B)), window)
-                yield pd.DataFrame({"one": one.view(np.int64), "two": two.view(np.int64), "doc": doc, "start": (start + np.arange(len(one))).astype(np.int32)})
+                late = np.zeros(len(row) + 1, bool)
+                late[hit[(doc != doc[head]) | (start != start[head])]] = True
+                late[-1] = False
+                open_ = late[:-1] & ~np.where(rel > 0, late[np.arange(len(row)) - 1], False)
+                shut = late[:-1] & ~np.where(rel + 1 < n[row], late[1:], False)
+                pairs = np.stack((rel[open_], rel[shut] + window), 1)
+                gone = np.split(pairs.ravel(), 2 * np.searchsorted(row[open_], np.arange(1, len(rows))))
+                yield own[[*KEYS, "c", "doc", "start"]].assign(gone=[g.astype(np.int32) for g in gone])
 
-    return contents.select("doc", "start", "items").mapInPandas(run, "one long, two long, doc long, start int")
+    return dealt.select("shard", *KEYS, "c", "doc", "start", "items").mapInPandas(run, "anchor long, content long, n int, c long, doc long, start int, gone array<int>")
 
 
-def _later(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The first occurrence of each key, and the rows that are not the first."""
-    first = materialize(rows.groupBy(keys).agg(F.min(F.struct("doc", "start")).alias("e")), "first")
-    return first, rows.join(first, keys).filter(F.struct("doc", "start") > F.col("e")).drop("e")
+def _reported(shared: DataFrame, report: DataFrame, window: int) -> DataFrame:
+    """Word spans (doc, start, end) that members of classes lose: all of a segment that is not its class's first, of the first what is gone."""
+    report = report.select(*KEYS, F.struct("doc", "start").alias("e"), "gone", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"c DIV {SALT}"))).alias("salt"))
+    joined = shared.join(report, [*KEYS, "salt"])
+    own = F.expr("transform(sequence(0, CAST(size(gone) DIV 2 - 1 AS INT)), i -> struct(start + get(gone, 2 * i) AS start, start + get(gone, 2 * i + 1) AS end))")
+    part = F.when(F.struct("doc", "start") > F.col("e"), F.array(F.struct("start", (F.col("start") + F.col("n") + (window - 1)).alias("end"))))
+    return joined.filter((F.struct("doc", "start") > F.col("e")) | (F.size("gone") > 0)).select("doc", F.explode(part.otherwise(own)).alias("s")).select("doc", "s.*")
 
 
 def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
     """Word spans (doc, start, end) that cover exactly the words of all windows whose words also start earlier."""
-    counts = segments(docs, window, anchors_only=True).groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1")
-    shared = materialize(segments(docs, window).join(materialize(counts.select("anchor"), "anchors"), "anchor"), "shared")
-    keys = ["anchor", "content", "n"]
-    first, later = _later(shared, keys)
-    spans = later.select("doc", "start", (F.col("start") + F.col("n") + (window - 1)).alias("end"))
-    spread = first.groupBy("anchor").agg(F.count("*").alias("d")).filter("d > 1")
-    reps = first.join(spread, "anchor").select("anchor", "n", "e.doc", "e.start", (F.col("d") > HOT).alias("many"))
-    contents = materialize(_contents(docs, reps, window), "contents")
-    cold, hot = contents.filter("not many"), contents.filter("many")
-    found = _search(cold, window, max(1, cold.count() // SHARD))
-    found = found.unionByName(_later(materialize(_windows(hot, window), "windows"), ["one", "two"])[1].select("doc", "start"))
-    return spans.unionByName(found.select("doc", "start", (F.col("start") + window).alias("end")))
+    anchors, rows, spans = segments(docs, window, anchors_only=True), segments(docs, window), []
+    for gram in (*[g for g in GRAMS[1:] if g < window], window, None):
+        counts = materialize(anchors.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1"), "anchors")
+        salt = F.expr(f"pmod(xxhash64(doc, start), c DIV {SALT} + 1)")
+        shared = materialize(rows.join(counts, "anchor").withColumn("salt", salt), "shared")
+        classes = materialize(shared.groupBy(KEYS).agg(F.min(F.struct("doc", "start")).alias("e"), F.max("c").alias("c")), "classes")
+        spread = classes.groupBy("anchor").agg(F.count("*").alias("d"))
+        many = F.lit(False) if gram is None else F.col("d") > SPLIT
+        reps = classes.join(spread, "anchor").select(*KEYS, "c", "e.doc", "e.start", many.alias("many"))
+        contents = materialize(_contents(docs, reps, window), "contents")
+        cold, hot = contents.filter("not many"), contents.filter("many")
+        report = _search(cold, window, max(1, cold.count() // SHARD)).unionByName(hot.select(*KEYS, "c", "doc", "start", F.expr("CAST(array() AS array<int>)").alias("gone")))
+        spans.append(materialize(_reported(shared, report, window), "spans"))
+        if gram is None or hot.isEmpty():
+            break
+        rows = materialize(_recut(hot, window, gram), "recut")
+        anchors = rows.select("anchor")
+    return reduce(DataFrame.unionByName, spans)
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -190,8 +214,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, carry: tuple[str, ...] = (
     null doc_id are left out. Rows that repeat a doc_id with the same text are one document and come out once each.
     """
     docs = docs.select(*dict.fromkeys((*carry, "doc_id", "text"))).filter("doc_id is not null")
-    spans = materialize(repeated_spans(docs, window), "spans")
-    marks = spans.groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("_spans")).withColumnRenamed("doc", "_doc")
+    marks = repeated_spans(docs, window).groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("_spans")).withColumnRenamed("doc", "_doc")
 
     def run(batches):
         for pdf in batches:

@@ -77,11 +77,12 @@ def brute_repeats(rows, window):
     return out
 
 
-@pytest.mark.parametrize("hot", [256, 2])
-def test_repeats_equal_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize("split, salt", [(512, 4096), (2, 3), (1, 1)])
+def test_repeats_equal_brute_force(spark, monkeypatch, split, salt):
     from patchlake.llm import substrings
 
-    monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "SPLIT", split)
+    monkeypatch.setattr(substrings, "SALT", salt)
     rows = corpus(2)
     got = remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(3), 20).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute_repeats(rows, 20)
