@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchlake.llm.common import ddl
@@ -31,28 +31,30 @@ def held_out(fold: int, of: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % of == fold, F.lit(False))
 
 
-def train(docs: DataFrame, per_language: int = 512, piece_bytes: int = 192) -> dict[str, bytes]:
-    """Dictionary content of each non-null lang of docs.
+def train(docs: DataFrame, per_language: int = 512, piece: int = 192, most_languages: int = 1000) -> dict[str, bytes]:
+    """Dictionary content of each non-null lang of docs: per_language pieces of `piece` characters.
 
-    per_language bounds the sampled documents of a language (the smallest hashes of doc_id and text) and piece_bytes what each gives,
-    from a place that its hash picks.
+    About per_language documents of a language (the smallest hashes of doc_id and text) are sampled and cut into pieces from end to end; of
+    these the ones of the smallest hashes are taken, wherever they stand. More than most_languages languages are an error.
     """
     rows = docs.filter("lang is not null and text is not null and length(text) > 0").withColumn("h", F.xxhash64("doc_id", F.length("text")) / F.lit(2.0**64) + 0.5)
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(most_languages + 1).collect()}
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
     if not sizes:
         return {}
     share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, 1.5 * per_language / n)))])
-    picked = rows.filter(F.col("h") < share[F.col("lang")]).select("lang", "h", "text").withColumn("n", F.length("text"))
-    start = F.greatest(F.lit(1), (F.col("h") * 1e6 % 1 * (F.col("n") - piece_bytes)).cast("int"))
-    parts = picked.select("lang", "h", F.substring(F.col("text"), start, F.lit(piece_bytes)).alias("part")).toPandas()
-    out = {}
-    for lang, own in parts.sort_values(["lang", "h", "part"]).groupby("lang"):
-        out[lang] = b" ".join(_letters(p) for p in own["part"].head(per_language))
-    return out
+    parts = rows.filter(F.col("h") < share[F.col("lang")]).select("lang", "h", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{piece}}}"), F.lit(0))).alias("k", "part"))
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("h", "k"), "part")
+    held = parts.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_language).select("lang", "r", "part").collect()
+    out: dict[str, list[bytes]] = {}
+    for r in sorted(held, key=lambda r: (r["lang"], r["r"])):
+        out.setdefault(r["lang"], []).append(_letters(r["part"]))
+    return {lang: b" ".join(parts) for lang, parts in out.items()}
 
 
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.01, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of carry, lang_pred, score, rejected for each row of docs (doc_id, text).
+    """The columns of carry, lang_pred, score, rejected for each row of docs (doc_id, text); repeated rows and null doc_ids come out as they went in.
 
     A null text, or one without a letter, is `und` with score 0 and rejected; so is everything if there is no
     dictionary. score is the margin over the runner-up (1 if there is one language only); ties go to the

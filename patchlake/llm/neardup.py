@@ -21,7 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from patchlake.llm.common import connected_components, group_starts, materialize, shared_dir, whole_groups
+from patchlake.llm.common import connected_components, group_starts, materialize, whole_groups
+from patchlake.sources.storage import shared_dir
 
 BLOCK = 512
 

@@ -23,7 +23,7 @@ from patchlake.llm.common import materialize
 from patchlake.llm.wordbpe import tokenizer
 
 GROUPS = (8, 12, 16, 24, 32, 48)
-PARTS = 64
+PART = 50_000  # pieces that are ranked together, about
 
 
 def pieces(docs: DataFrame, path: str, end_id: int, capacity: int, with_ids: bool = False) -> DataFrame:
@@ -185,17 +185,20 @@ def _places(bins: list[tuple[tuple[int, ...], int]]) -> pd.DataFrame:
 def pack(cut: DataFrame, capacity: int) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, start, length <= capacity, ...).
 
-    Only the counts of the at most `capacity` distinct lengths reach the driver. An empty table stays empty.
+    Only the counts of the at most `capacity` distinct lengths reach the driver. Pieces are ranked within their length in parts of about
+    PART, whose number grows with the table. An empty table stays empty.
     """
-    dealt = materialize(cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(PARTS)).cast("int")), "pieces")
+    held = materialize(cut.withColumn("_at", F.monotonically_increasing_id()), "pieces")
+    parts = held.count() // PART + 1
+    dealt = held.withColumn("part", F.pmod(F.xxhash64("_at"), F.lit(parts)).cast("int"))
     counts = dealt.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).drop("n")
     histogram = {r["length"]: r["n"] for r in dealt.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table = _places(min((plan(histogram, capacity, g) for g in GROUPS), key=lambda bins: sum(n for _, n in bins)))
     key = table["length"].to_numpy() * (1 << 44) + table["rank"].to_numpy()
     base, first, offset = table["base"].to_numpy(), table["rank"].to_numpy(), table["offset"].to_numpy()
-    own = dealt.withColumn("own", F.row_number().over(Window.partitionBy("part", "length").orderBy("doc_id", "piece")) - 1)
-    ranked = own.join(before, ["length", "part"]).withColumn("rank", F.col("before") + F.col("own")).drop("before", "own", "part")
+    own = dealt.withColumn("own", F.row_number().over(Window.partitionBy("part", "length").orderBy("_at")) - 1)
+    ranked = own.join(before, ["length", "part"]).withColumn("rank", F.col("before") + F.col("own")).drop("before", "own", "part", "_at")
     fields = ranked.drop("rank").columns
 
     def place(batches):
