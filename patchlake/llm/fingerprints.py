@@ -1,13 +1,14 @@
 """Order MinHash fingerprints with DataFrame functions only.
 
-The k-mers of a text are its runs of K code points; the i-th occurrence of a k-mer is an element of its own. There are ORDERS hash orders of all elements:
+A text is a row of tokens (runs of at most TOKEN code points without white space); its k-mers are K consecutive
+tokens, and the i-th occurrence of a k-mer is an element of its own. There are ORDERS hash orders of all elements:
 an element's rank under order b is its hash with the leading bits changed by b (an exclusive or), so any element may come first under any order.
 Under each order the PICK smallest elements are selected, put back into text order, and their k-mers hashed as a tuple; signatures are
 therefore sensitive to order as well as content. Likeness is the share of orders with equal signatures.
 
 All orders agree on elements whose leading bits are equal, so the PICK smallest of each of the ORDERS classes of leading bits are all that any order can
-select. They are read off one sorted array of longs that hold a hash of 33 bits above a position of 31, more than a value of Spark has code points. First occurrences carry the k-mer's own hash; the others, runs of equal hashes in
-sorted order, that hash mixed with their occurrence number.
+select. They are read off one sorted array of longs that hold a hash of 33 bits above a position of 31, more than a value of Spark has code points. First
+occurrences carry the k-mer's own hash; the others, runs of equal hashes in sorted order, that hash mixed with their occurrence number.
 """
 
 from __future__ import annotations
@@ -17,29 +18,27 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K, ORDERS, PICK = 6, 32, 2
+TOKEN, K, ORDERS, PICK = 4, 2, 32, 2
 _PLACE = (1 << 31) - 1
 _LEAD = 64 - (ORDERS.bit_length() - 1)
 
 
 def _least(a: str) -> str:
-    """The PICK first elements of each class of leading bits in a sorted array."""
-    return f"filter({a}, (x, j) -> j < {PICK} OR shiftright(x ^ get({a}, j - {PICK}), {_LEAD}) <> 0)"
+    """The PICK first elements of each class of leading bits in a sorted array: each element is paired with the one PICK places before it."""
+    pairs = f"zip_with(slice({a}, {PICK + 1}, greatest(size({a}) - {PICK}, 0)), {a}, (x, y) -> CASE WHEN shiftright(x ^ y, {_LEAD}) <> 0 THEN x END)"
+    return f"concat(slice({a}, 1, {PICK}), filter({pairs}, x -> x IS NOT NULL))"
 
 
 def with_signature(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds out: array<long> of ORDERS signatures, all null for an empty text; a text of fewer than K code points is one k-mer."""
+    """Adds out: array<long> of ORDERS signatures, all null for a text without tokens; a text of fewer than K tokens is one k-mer."""
     gram = lambda at: ", ".join(f"get(_t, {at} + {j})" for j in range(K))
-    df = df.withColumn("_t", F.expr(f"CASE WHEN {text} = '' THEN CAST(array() AS array<string>) ELSE split({text}, '') END"))
+    df = df.withColumn("_t", F.regexp_extract_all(F.col(text), F.lit(f"[^\\x20\\x09-\\x0D]{{1,{TOKEN}}}"), F.lit(0)))
     df = df.withColumn("_s", F.expr(f"CASE WHEN size(_t) > 0 THEN sort_array(transform(sequence(0, greatest(size(_t) - {K}, 0)), i -> (xxhash64({gram('i')}) & {~_PLACE}L) | i)) ELSE array() END"))
-    # repeated k-mers with all their occurrences, and the first two different hashes of each class: all that the steps after need
-    same = lambda a, b: f"shiftright({a} ^ {b}, 31) = 0"
-    one, two, after = "get(_s, j - 1)", "get(_s, j - 2)", "get(_s, j + 1)"
-    df = df.withColumn("_k", F.expr(f"filter(_s, (x, j) -> j < {PICK} OR shiftright(x ^ {two}, {_LEAD}) <> 0 OR {same('x', one)} OR {same(one, two)} OR coalesce({same('x', after)}, false))"))
-    repeat = "j > 0 AND " + same("x", "get(_k, j - 1)")
-    df = df.withColumn("_f", F.expr(f"filter(_k, (x, j) -> NOT ({repeat}))"))
-    df = df.withColumn("_d", F.expr(f"CASE WHEN size(_f) < size(_k) THEN filter(_k, (x, j) -> {repeat}) ELSE array() END"))
-    df = df.withColumn("_r", F.expr(f"CASE WHEN size(_d) > 0 THEN filter(sequence(0, size(_d) - 1), j -> j = 0 OR NOT ({same('get(_d, j)', 'get(_d, j - 1)')})) ELSE array() END"))
+    # occurrences of a k-mer after its first one, then the first ones
+    df = df.withColumn("_d", F.expr("filter(zip_with(slice(_s, 2, greatest(size(_s) - 1, 0)), _s, (x, y) -> CASE WHEN shiftright(x ^ y, 31) = 0 THEN x END), x -> x IS NOT NULL)"))
+    df = df.withColumn("_f", F.expr("CASE WHEN size(_d) > 0 THEN array_except(_s, _d) ELSE _s END"))
+    run = "j = 0 OR shiftright(get(_d, j) ^ get(_d, j - 1), 31) <> 0"
+    df = df.withColumn("_r", F.expr(f"CASE WHEN size(_d) > 0 THEN filter(sequence(0, size(_d) - 1), j -> {run}) ELSE array() END"))
     df = df.withColumn("_e", F.expr(f"""sort_array(flatten(transform(_r, (s, q) -> transform(slice(_d, s + 1, coalesce(get(_r, q + 1), size(_d)) - s),
         (x, o) -> (xxhash64(shiftright(x, 31), o) & {~_PLACE}L) | (x & {_PLACE}L)))))"""))
     df = df.withColumn("_m", F.expr(f"concat({_least('_f')}, {_least('_e')})"))
@@ -47,16 +46,16 @@ def with_signature(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn("_p", F.expr(f"transform(sequence(0L, {ORDERS - 1}L), b -> CASE WHEN size(_m) > 0 THEN {pick} ELSE array() END)"))
     grams = ", ".join(gram(f"get(p, {j})") for j in range(PICK))
     df = df.withColumn(out, F.expr(f"transform(_p, p -> CASE WHEN size(p) > 0 THEN xxhash64({grams}) END)"))
-    return df.drop("_t", "_s", "_k", "_f", "_d", "_r", "_e", "_m", "_p")
+    return df.drop("_t", "_s", "_d", "_f", "_r", "_e", "_m", "_p")
 
 
 def shown(signature: str) -> Column:
-    """A fingerprint as text: eight hexadecimal digits an order, dashes for an empty text."""
+    """A fingerprint as text: eight hexadecimal digits an order, dashes for a text without tokens."""
     return F.expr(f"array_join(transform({signature}, x -> coalesce(lpad(hex(x & 4294967295L), 8, '0'), '--------')), '')")
 
 
 def likeness(a: str, b: str) -> Column:
-    """Share of orders with equal signatures (their 32 bits that are shown); 1 if both texts are empty."""
+    """Share of orders with equal signatures (their 32 bits that are shown); 1 if neither text has tokens."""
     same = f"size(filter(zip_with({a}, {b}, (x, y) -> (x & 4294967295L) <=> (y & 4294967295L)), z -> z))"
     return F.expr(f"CAST({same} AS DOUBLE) / {ORDERS}")
 

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import re
 
 import numpy as np
 import pytest
@@ -84,7 +85,8 @@ def slow_signature(text):
             seed = xx(c.encode(), seed)
         return seed
 
-    grams = [(i, text[i : i + fingerprints.K]) for i in range(max(len(text) - fingerprints.K + 1, 1))] if text else []
+    tokens = re.findall(f"[^\\x20\\x09-\\x0D]{{1,{fingerprints.TOKEN}}}", text)
+    grams = [(i, tokens[i : i + fingerprints.K]) for i in range(max(len(tokens) - fingerprints.K + 1, 1))] if tokens else []
     seen, elements = {}, []
     for place, gram in grams:
         h = signed(chained(gram)) >> 31
@@ -104,7 +106,7 @@ def slow_signature(text):
 
 def test_signatures_equal_order_minhash_one_order_at_a_time(spark):
     rng = np.random.default_rng(9)
-    texts = ["", "a", "abcdef", "abcdefg", "aaaaaaaaaaaaaaaa", "ab" * 400, "é😀日" * 30, "the hat of the man " * 9, " " * 50]
+    texts = ["", "a", "abcdef", "abcdefg", "aaaaaaaaaaaaaaaa", "ab" * 400, "é😀日" * 30, "the hat of the man " * 9, " " * 50, "a b", "one two three\nfour"]
     texts += ["".join(rng.choice(list("abc é"), int(n))) for n in rng.integers(1, 4000, 12)]
     df = fingerprints.with_signature(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "text", "sig")
     assert {r.doc_id: r.sig for r in df.collect()} == {i: slow_signature(t) for i, t in enumerate(texts)}
@@ -112,10 +114,11 @@ def test_signatures_equal_order_minhash_one_order_at_a_time(spark):
 
 def test_fingerprints_of_short_texts_repeated_ids_and_long_texts(spark):
     rng = np.random.default_rng(10)
-    short = ["".join(rng.choice(list("abcdefghij klmnop"), 28)) for _ in range(20)]
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), int(rng.integers(3, 9))))
+    short = [" ".join(word() for _ in range(5)) for _ in range(20)]
     rows = [(i, t) for i, t in enumerate(short)] + [(50, "same id, one text"), (50, "same id, another"), (60, "z" * 600_000), (60, "z" * 600_000)]
     got = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
-    assert len(got) == 24 and np.mean([r.near_edited > 0 for r in got if r.doc_id < 20]) >= 0.8
+    assert len(got) == 24 and np.mean([r.near_edited > 0 for r in got if r.doc_id < 20]) >= 0.4
     assert [r.n_chars for r in got if r.doc_id == 60] == [600_000] * 2 and len({r.fingerprint for r in got if r.doc_id == 60}) == 1
     edited = {r.edited_sha256 for r in got if r.doc_id == 50}
     one, two = "same id, one text", "same id, another"
