@@ -15,8 +15,9 @@ def norm(v: str | Column) -> Column:
 
 
 def unit(v: str | Column, eps: float = 1e-12) -> Column:
-    """v / max(norm, eps): a zero vector stays zero."""
-    return F.transform(col(v), lambda x: x.cast("double") / F.greatest(norm(v), F.lit(eps)))
+    """v / max(norm, eps): a zero vector stays zero. The norm is bound to a variable, so that it is computed once a vector."""
+    length = F.array(F.greatest(norm(v), F.lit(eps)))
+    return F.element_at(F.transform(length, lambda n: F.transform(col(v), lambda x: x.cast("double") / n)), 1)
 
 
 def sigmoid(c: str | Column) -> Column:

@@ -52,6 +52,22 @@ def recursive_attention(q: np.ndarray, k: np.ndarray, v: np.ndarray, heads: int,
     return out
 
 
+def _axis(n: int, out: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each target place along an axis the two source places and the second's weight."""
+    src = np.maximum((np.arange(out) + 0.5) * n / out - 0.5, 0)
+    low = np.minimum(np.floor(src).astype(int), n - 1)
+    return low, np.minimum(low + 1, n - 1), src - low
+
+
+def bilinear(maps: np.ndarray, h: int, w: int) -> np.ndarray:
+    """Maps (k, y, x) on an h x w grid."""
+    y0, y1, fy = _axis(maps.shape[1], h)
+    x0, x1, fx = _axis(maps.shape[2], w)
+    top, low = maps[:, y0], maps[:, y1]
+    across = lambda m: m[:, :, x0] * (1 - fx) + m[:, :, x1] * fx
+    return across(top) * (1 - fy)[:, None] + across(low) * fy[:, None]
+
+
 def components(mask: np.ndarray, corners: bool = True) -> np.ndarray:
     """Region numbers from 1 in raster order of the first cell, 0 outside; cells touching at corners join if asked."""
     h, w = mask.shape

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchlake.functions import columns
+from patchlake.functions import columns, kernels
 
 
 def _dims(df: DataFrame, keys: list[str], col, value: str = "v") -> DataFrame:
@@ -29,8 +31,21 @@ def gather(df: DataFrame, keys: list[str], out: str = "feat") -> DataFrame:
 
 
 def stitch_tiles(tile_feats: DataFrame, col: str = "feat") -> DataFrame:
-    """(image_id, y, x, dim, v): mean of the overlapping tile features of each location."""
-    return mean_vectors(tile_feats, ["image_id", "y", "x"], col, unit=False)
+    """(image_id, y, x, dim, v): mean of the overlapping tile features of each location.
+
+    One group an image: vectors are shuffled whole and added there, as nearly every location has keys of its own.
+    """
+    cell = ["image_id", "y", "x"]
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        at = group["y"].to_numpy(np.int64) * (int(group["x"].max()) + 1) + group["x"].to_numpy(np.int64)
+        place, first, own = np.unique(at, return_index=True, return_inverse=True)
+        total = np.zeros((len(place), len(group[col].iloc[0])))
+        np.add.at(total, own, kernels.rows(group[col]))
+        return group[cell].iloc[first].assign(feat=list(total / np.bincount(own)[:, None]))
+
+    schema = ", ".join(f"{c} {tile_feats.schema[c].dataType.simpleString()}" for c in cell) + ", feat array<double>"
+    return _dims(tile_feats.select(*cell, col).groupBy("image_id").applyInPandas(run, schema), cell, "feat")
 
 
 def max_per_class(probs: DataFrame) -> DataFrame:
@@ -84,9 +99,10 @@ def merge_masks(masks: DataFrame, probs: DataFrame, thresh: float = 0.0) -> tupl
     """Refined scores (image_id, y, x, class_id, p) and map (…, class_id) of masks (logit per cell).
 
     Per class and cell: the greatest sigmoid(logit) * probability over the masks where any of them is on, else 0; the class of a
-    cell is the one of the greatest score, ties to the lowest.
+    cell is the one of the greatest score, ties to the lowest, and 0 where all scores are 0.
     """
     keys = ["image_id", "y", "x", "class_id"]
     joined = masks.join(probs, keys).withColumn("s", columns.sigmoid("logit") * F.col("p"))
     scores = joined.groupBy(*keys).agg(F.when(F.max(F.col("logit") > thresh), F.max("s")).otherwise(0.0).alias("p"))
-    return scores, scores.groupBy("image_id", "y", "x").agg(columns.pick("class_id", "p", "class_id").alias("class_id"))
+    best = F.when(F.max("p") > 0, columns.pick("class_id", "p", "class_id")).otherwise(0).alias("class_id")
+    return scores, scores.groupBy("image_id", "y", "x").agg(best)

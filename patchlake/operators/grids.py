@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from patchlake.functions import kernels
+
 CELL = ["image_id", "y", "x"]
 
 
@@ -60,20 +64,27 @@ def nearest_resize(grid: DataFrame, h: int, w: int) -> DataFrame:
     return t.join(grid, CELL).drop("y", "x").withColumnsRenamed({"ty": "y", "tx": "x"})
 
 
-def _near(t: str, n: str, out: int) -> Column:
-    """Two (cell, weight) pairs of the source along one axis: half-pixel centres, clamped at the edges."""
-    src = F.greatest((F.col(t) + 0.5) * F.col(n) / out - 0.5, F.lit(0.0))
-    low = F.least(F.floor(src).cast("int"), F.col(n) - 1)
-    part = src - low
-    return F.array(F.struct(low.alias("c"), (1 - part).alias("f")), F.struct(F.least(low + 1, F.col(n) - 1).alias("c"), part.alias("f")))
-
-
 def bilinear_resize(grid: DataFrame, h: int, w: int, value: str = "v", keys: tuple[str, ...] = ()) -> DataFrame:
-    """(image_id, keys, y, x, value) on an h x w grid; the four weights of a cell sum to one. Source grids must be full."""
-    t = _cells(grid, h, w).select("image_id", "ty", "tx", F.explode(_near("ty", "in_h", h)).alias("_y"), _near("tx", "in_w", w).alias("_x"))
-    t = t.select("image_id", "ty", "tx", "_y", F.explode("_x").alias("_x")).select("image_id", "ty", "tx", F.col("_y.c").alias("y"), F.col("_x.c").alias("x"), (F.col("_y.f") * F.col("_x.f")).alias("_f"))
-    out = t.join(grid.select(*CELL, *keys, value), CELL).groupBy("image_id", *keys, "ty", "tx").agg(F.sum(F.col("_f") * F.col(value)).alias(value))
-    return out.withColumnsRenamed({"ty": "y", "tx": "x"})
+    """(image_id, keys, y, x, value) on an h x w grid: half-pixel centres, clamped at the edges; the four weights of a cell sum to one.
+
+    One group an image, all its keys (classes) in it. A source grid with a missing cell is an error.
+    """
+    names = ["image_id", *keys]
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        n, m = int(group["y"].max()) + 1, int(group["x"].max()) + 1
+        group = group.sort_values([*keys, "y", "x"])
+        if len(group) % (n * m) or (group["y"].to_numpy() * m + group["x"].to_numpy() != np.tile(np.arange(n * m), len(group) // (n * m))).any():
+            raise ValueError(f"the grid of image {group['image_id'].iloc[0]} is not full")
+        out = kernels.bilinear(group[value].to_numpy(float).reshape(-1, n, m), h, w)
+        heads = group[names].iloc[:: n * m]
+        rows = heads.loc[heads.index.repeat(h * w)].reset_index(drop=True)
+        y, x = np.divmod(np.arange(h * w, dtype=np.int32), w)
+        return rows.assign(y=np.tile(y, len(heads)), x=np.tile(x, len(heads)), **{value: out.ravel()})
+
+    cells = grid.select(*names, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col(value).cast("double").alias(value))
+    schema = ", ".join(f"{c} {grid.schema[c].dataType.simpleString()}" for c in names) + f", y int, x int, {value} double"
+    return cells.groupBy("image_id").applyInPandas(run, schema)
 
 
 def pad_grid(grid: DataFrame, h: int, w: int, value: str = "v", fill: float = 0.0) -> DataFrame:

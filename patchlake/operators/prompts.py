@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from patchlake.sources.storage import global_index
 
+MOST_TEMPLATES = 10_000
+
 
 def clean_prompts(df: DataFrame, col: str = "text", order: str = "submission") -> DataFrame:
     """prompt, idx: lines of all submissions without white space around them, empty ones and later repetitions; idx from 0."""
@@ -17,8 +19,10 @@ def clean_prompts(df: DataFrame, col: str = "text", order: str = "submission") -
 
 
 def expand_templates(labels: DataFrame, templates: DataFrame, name: str = "name") -> DataFrame:
-    """Each label in each template (a `{c}` slot); both are short lists."""
-    return labels.crossJoin(templates).withColumn("prompt", F.replace(F.col("template"), F.lit("{c}"), F.col(name)))
+    """Each label in each template (a `{c}` slot). Templates are a short list that goes to every task: more than MOST_TEMPLATES are an error."""
+    if templates.limit(MOST_TEMPLATES + 1).count() > MOST_TEMPLATES:
+        raise ValueError(f"more than {MOST_TEMPLATES} templates")
+    return labels.crossJoin(F.broadcast(templates)).withColumn("prompt", F.replace(F.col("template"), F.lit("{c}"), F.col(name)))
 
 
 def build_class_map(names: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchlake.functions import kernels
+from patchlake.sources.storage import materialize
 
-#: Most values of a class matrix that is sent to every task; larger ones are joined block by block.
+#: Most values of a class matrix that is sent to every task; larger ones are scored block by block.
 BROADCAST_VALUES = 4_000_000
 
 
@@ -19,50 +21,88 @@ def _ddl(df: DataFrame, names: list[str]) -> str:
     return ", ".join(f"{n} {df.schema[n].dataType.simpleString()}" for n in names)
 
 
+def _cosines(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Cosines of rows, NaN where either is zero."""
+    if x.shape[1] != c.shape[1]:
+        raise ValueError(f"vectors of different dimensions: {x.shape[1]} and {c.shape[1]}")
+    whole = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(c, axis=1)
+    return np.divide(x @ c.T, whole, out=np.full(whole.shape, np.nan), where=whole > 0)
+
+
+def _values(classes: DataFrame, embed: str) -> tuple[int, int]:
+    """Number of classes and of all values of their vectors."""
+    size = classes.agg(F.coalesce(F.sum(F.size(embed)), F.lit(0)).alias("n"), F.count("*").alias("c")).first()
+    return size["c"], size["n"]
+
+
+def _nullable(v: np.ndarray):
+    return pd.array(v, dtype=pd.ArrowDtype(_double())) if np.isnan(v).any() else v
+
+
 def cos_sim(features: DataFrame, classes: DataFrame, keys: list[str], feat: str = "feat", embed: str = "embed") -> DataFrame:
     """(keys, class_id, sim) for all features x classes (class_id, embed); null where either vector is zero.
 
-    Different dimensions are an error. The class matrix goes to the tasks only up to BROADCAST_VALUES; more classes are dealt to
-    blocks, and the features meet each block by an equi-join.
+    Different dimensions are an error. The class matrix goes to the tasks only up to BROADCAST_VALUES; more classes are scored in
+    blocks of that size, one pass over the features each, and nothing is shuffled.
     """
-
-    def score(x: np.ndarray, ids: np.ndarray, c: np.ndarray, pdf: pd.DataFrame) -> pd.DataFrame:
-        if x.shape[1] != c.shape[1]:
-            raise ValueError(f"vectors of different dimensions: {x.shape[1]} and {c.shape[1]}")
-        nx, nc = np.linalg.norm(x, axis=1), np.linalg.norm(c, axis=1)
-        whole = nx[:, None] * nc
-        sim = np.divide(x @ c.T, whole, out=np.full(whole.shape, np.nan), where=whole > 0)
-        out = pdf[keys].loc[pdf.index.repeat(len(ids))].reset_index(drop=True)
-        return out.assign(class_id=np.tile(ids, len(x)), sim=pd.array(sim.ravel(), dtype=pd.ArrowDtype(_double())) if np.isnan(sim).any() else sim.ravel())
-
     schema = f"{_ddl(features, keys)}, class_id {classes.schema['class_id'].dataType.simpleString()}, sim double"
-    size = classes.agg(F.coalesce(F.sum(F.size(embed)), F.lit(0)).alias("n"), F.count("*").alias("c")).first()
-    if not size["c"]:
+    count, values = _values(classes, embed)
+    if not count:
         return features.sparkSession.createDataFrame([], schema)
-    if size["n"] <= BROADCAST_VALUES:
-        rows = classes.select("class_id", embed).orderBy("class_id").collect()
-        ids, matrix = np.array([r["class_id"] for r in rows]), kernels.rows([r[embed] for r in rows])
+
+    def scored(block: DataFrame) -> DataFrame:
+        rows = block.select("class_id", embed).orderBy("class_id").collect()
+        held = features.sparkSession.sparkContext.broadcast((np.array([r["class_id"] for r in rows]), kernels.rows([r[embed] for r in rows])))
 
         def run(batches):
+            ids, matrix = held.value
             for pdf in batches:
                 if len(pdf):
-                    yield score(kernels.rows(pdf[feat]), ids, matrix, pdf)
+                    sim = _cosines(kernels.rows(pdf[feat]), matrix).ravel()
+                    yield pdf[keys].loc[pdf.index.repeat(len(ids))].reset_index(drop=True).assign(class_id=np.tile(ids, len(pdf)), sim=_nullable(sim))
 
         return features.select(*keys, feat).mapInPandas(run, schema)
-    blocks = -(-size["n"] // BROADCAST_VALUES)
-    packed = classes.withColumn("_b", F.pmod(F.xxhash64("class_id"), F.lit(blocks))).groupBy("_b").agg(F.collect_list(F.struct("class_id", F.col(embed).alias("e"))).alias("_c"))
-    dealt = features.select(*keys, feat, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
 
-    def run_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame(columns=[*keys, "class_id", "sim"])
-        cs = right["_c"].iloc[0]
-        return score(kernels.rows(left[feat]), np.array([c["class_id"] for c in cs]), kernels.rows([c["e"] for c in cs]), left)
+    blocks = max(1, -(-values // BROADCAST_VALUES))
+    part = F.pmod(F.xxhash64("class_id"), F.lit(blocks))
+    held = [classes.filter(part == b) for b in range(blocks)] if blocks > 1 else [classes]
+    return reduce(DataFrame.unionByName, [scored(b) for b in held if blocks == 1 or not b.isEmpty()])
+
+
+def class_probs(features: DataFrame, classes: DataFrame, keys: list[str], temp: float = 100.0, feat: str = "feat", embed: str = "embed") -> DataFrame:
+    """(keys, class_ids, probs, class_id, p): softmax of temp * cosine over the classes as an array, its best class and probability, in one pass.
 
-    salted = dealt.withColumn("_s", F.pmod(F.xxhash64(*keys), F.lit(64)))
-    spread = packed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))).alias("_s"))
-    left = salted.withColumn("_b", F.col("_b").cast("long"))
-    return left.groupBy("_b", "_s").cogroup(spread.groupBy("_b", "_s")).applyInPandas(run_block, schema)
+    Probabilities stand in the order of class_ids. A class or feature that is a zero vector has null probabilities; ties go to the lowest class, which
+    also stands, with a null p, for a zero feature. The class matrix must have at most BROADCAST_VALUES values; cos_sim and softmax take more.
+    """
+    count, values = _values(classes, embed)
+    if values > BROADCAST_VALUES:
+        raise ValueError(f"{values} values of class vectors; use cos_sim and softmax over {BROADCAST_VALUES}")
+    kind = classes.schema["class_id"].dataType.simpleString()
+    schema = f"{_ddl(features, keys)}, class_ids array<{kind}>, probs array<double>, class_id {kind}, p double"
+    if not count:
+        return features.sparkSession.createDataFrame([], schema)
+    rows = classes.select("class_id", embed).orderBy("class_id").collect()
+    ids, matrix = np.array([r["class_id"] for r in rows]), kernels.rows([r[embed] for r in rows])
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                s = temp * _cosines(kernels.rows(pdf[feat]), matrix)
+                told = ~np.isnan(s)
+                with np.errstate(invalid="ignore"):
+                    e = np.where(told, np.exp(s - np.where(told, s, -np.inf).max(1, keepdims=True)), 0)
+                    p = np.where(told, e / e.sum(1, keepdims=True), np.nan)
+                best = np.where(told, p, -1).argmax(1)
+                probs = list(p) if told.all() else [[None if np.isnan(v) else v for v in r] for r in p]
+                yield pdf[keys].assign(class_ids=[ids] * len(p), probs=probs, class_id=ids[best], p=_nullable(p[np.arange(len(p)), best]))
+
+    return features.select(*keys, feat).mapInPandas(run, schema)
+
+
+def long_probs(probs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, class_id, p): one row for each class of class_probs."""
+    return probs.select(*keys, F.explode(F.arrays_zip("class_ids", "probs")).alias("_z")).select(*keys, F.col("_z.class_ids").alias("class_id"), F.col("_z.probs").alias("p"))
 
 
 def _double():
@@ -108,9 +148,20 @@ def recursive_attention(df: DataFrame, heads: int, scaling: float = 10.0, q: str
     return _per_image(df, [q, k, v], lambda a, b, c: kernels.recursive_attention(a, b, c, heads, scaling))
 
 
+def _center_rows(centers: DataFrame) -> list:
+    """Centers (cluster, center) by cluster; more than BROADCAST_VALUES values are an error."""
+    _, values = _values(centers, "center")
+    if values > BROADCAST_VALUES:
+        raise ValueError(f"{values} values of centers, over {BROADCAST_VALUES}")
+    return centers.orderBy("cluster").collect()
+
+
 def assign_clusters(df: DataFrame, centers: DataFrame, keys: list[str], col: str = "feat") -> DataFrame:
-    """(keys, cluster): nearest center (cluster, center) by cosine, ties to the lowest; centers are few and sent to the tasks."""
-    rows = centers.orderBy("cluster").collect()
+    """(keys, cluster): nearest center (cluster, center) by cosine, ties to the lowest.
+
+    Centers go to the tasks, up to BROADCAST_VALUES values; more are an error.
+    """
+    rows = _center_rows(centers)
     ids, c = np.array([r["cluster"] for r in rows]), kernels.unit(kernels.rows([r["center"] for r in rows]))
 
     def run(batches):
@@ -124,10 +175,12 @@ def assign_clusters(df: DataFrame, centers: DataFrame, keys: list[str], col: str
 def spherical_kmeans(df: DataFrame, init: DataFrame, keys: list[str], iters: int = 100, tol: float = 1e-4, col: str = "feat") -> tuple[DataFrame, DataFrame]:
     """Centers (cluster, center) and labels (keys, cluster) of the assignment made before the last update.
 
-    init: (cluster, center), explicit. Per round only k x D partial sums cross the wire. An empty cluster gets a zero center.
+    init: (cluster, center), explicit, at most BROADCAST_VALUES values. The unit vectors are written once as a table that every round reads, and
+    per round only k x D partial sums cross the wire. An empty cluster gets a zero center.
     """
-    spark, rows = df.sparkSession, init.orderBy("cluster").collect()
+    spark, rows = df.sparkSession, _center_rows(init)
     ids, c = [int(r["cluster"]) for r in rows], kernels.unit(kernels.rows([r["center"] for r in rows]))
+    units = materialize(map_features(df, kernels.unit, keys, col, "_unit"), "units")
     before = c
     for _ in range(iters):
         before = c
@@ -136,12 +189,12 @@ def spherical_kmeans(df: DataFrame, init: DataFrame, keys: list[str], iters: int
             total = np.zeros_like(c)
             for pdf in batches:
                 if len(pdf):
-                    u = kernels.unit(kernels.rows(pdf[col]))
+                    u = kernels.rows(pdf["_unit"])
                     np.add.at(total, (u @ c.T).argmax(1), u)
             yield pd.DataFrame({"k": np.repeat(np.arange(len(c)), c.shape[1]), "d": np.tile(np.arange(c.shape[1]), len(c)), "v": total.ravel()})
 
         new = np.zeros_like(c)
-        for r in df.select(col).mapInPandas(sums, "k int, d int, v double").groupBy("k", "d").agg(F.sum("v").alias("v")).collect():
+        for r in units.select("_unit").mapInPandas(sums, "k int, d int, v double").groupBy("k", "d").agg(F.sum("v").alias("v")).collect():
             new[r["k"], r["d"]] = r["v"]
         new = kernels.unit(new)
         shift = 1 - (c * new).sum(1).mean()
@@ -149,7 +202,7 @@ def spherical_kmeans(df: DataFrame, init: DataFrame, keys: list[str], iters: int
         if shift < tol:
             break
     frame = lambda m: spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, m, strict=True)], "cluster int, center array<double>")
-    return frame(c), assign_clusters(df, frame(before), keys, col)
+    return frame(c), assign_clusters(units, frame(before), keys, "_unit")
 
 
 def cluster_images(df: DataFrame, k: int = 8, iters: int = 100, tol: float = 1e-4, col: str = "feat") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -34,11 +35,13 @@ def voxelize(points: DataFrame, size: float = 0.05, value: str = "f") -> DataFra
     return cells(points, size).groupBy("scene", *VOXEL).agg(F.count("*").alias("cnt"), F.avg(value).alias(value))
 
 
-def knn_voxels(gt: DataFrame, pred: DataFrame, k: int = 5, radius: int = 4, widest: int = 64) -> DataFrame:
+def knn_voxels(gt: DataFrame, pred: DataFrame, k: int = 5, radius: int | None = None) -> DataFrame:
     """(gt columns, rank, px, py, pz): the k nearest predicted voxels of each truth voxel of the scene, by distance, then coordinates.
 
-    k = 0 asks for equal coordinates only. Voxels are joined by cubes of `radius` cells a side with the 27 around; a truth voxel
-    whose k-th candidate is not within the radius is tried again with twice the radius, the last of them without a limit.
+    k = 0 asks for equal coordinates only. Voxels are joined by cubes of `radius` cells a side (by default one that holds about 2 k predicted voxels of a scene
+    at even density) with the 27 around; a truth voxel
+    whose k-th candidate is not within the radius is tried again with twice the radius, until the cubes reach across the whole space; only
+    voxels of scenes with fewer than k predicted ones, and far outliers, come to that.
     """
     p = pred.select("scene", *[F.col(c).alias(f"p{c[1]}") for c in VOXEL])
     if k == 0:
@@ -46,16 +49,20 @@ def knn_voxels(gt: DataFrame, pred: DataFrame, k: int = 5, radius: int = 4, wide
     key = ["scene", *VOXEL]
     w = Window.partitionBy(*key).orderBy("_d", "px", "py", "pz")
     cube = lambda names, r: [F.floor(F.col(c) / r).alias(f"_{c[1]}") for c in names]
+    ends = [f(c).alias(f"{n}{c}") for c in VOXEL for n, f in (("a", F.min), ("b", F.max))]
+    both = gt.select("scene", *VOXEL, F.lit(0).alias("_p")).unionByName(pred.select("scene", *VOXEL, F.lit(1).alias("_p")))
+    span = both.agg(*ends, F.sum("_p").alias("n"), F.count_distinct("scene").alias("scenes")).first()
+    sides = [span[f"b{c}"] - span[f"a{c}"] + 1 for c in VOXEL if span[f"a{c}"] is not None]
+    widest = max(sides, default=1)
+    if radius is None:
+        radius = max(1, math.ceil((2 * k * math.prod(sides) * max(1, span["scenes"]) / max(1, span["n"] or 0)) ** (1 / 3)))
     done, left = [], gt
     while True:
-        last = radius > widest
-        if last:
-            near = left.join(p, "scene")
-        else:
-            around = left
-            for c, b in zip(VOXEL, cube(VOXEL, radius), strict=True):
-                around = around.withColumn(f"_{c[1]}", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda o, b=b: b + o)))
-            near = around.join(p.select("*", *cube(["px", "py", "pz"], radius)), ["scene", "_x", "_y", "_z"]).drop("_x", "_y", "_z")
+        last = radius >= widest
+        around = left
+        for c, b in zip(VOXEL, cube(VOXEL, radius), strict=True):
+            around = around.withColumn(f"_{c[1]}", F.explode(F.array(b - 1, b, b + 1)))
+        near = around.join(p.select("*", *cube(["px", "py", "pz"], radius)), ["scene", "_x", "_y", "_z"]).drop("_x", "_y", "_z")
         near = near.withColumn("_d", sum(((F.col(f"v{c}") - F.col(f"p{c}")) ** 2 for c in "xyz"), F.lit(0.0)))
         ranked = materialize(near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k), "near")
         if last:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchlake.functions import columns
+from patchlake.sources.storage import materialize
 
 
 def softmax(df: DataFrame, keys: list[str], value: str = "sim", temp: float = 100.0, out: str = "p") -> DataFrame:
@@ -26,8 +27,8 @@ def _joined(df: DataFrame, keys: list[str], *aggregates) -> DataFrame:
 
 
 def scale_by_max(df: DataFrame, value: str = "sim") -> DataFrame:
-    """value over its maximum in the image (null where that is 0)."""
-    return _joined(df, ["image_id"], F.max(value).alias("_m")).withColumn("scaled", F.try_divide(value, "_m")).drop("_m")
+    """value over its maximum in the image (null where that is 0). The rows are written as a table, as they are read for the maxima and again."""
+    return _joined(materialize(df, "scores"), ["image_id"], F.max(value).alias("_m")).withColumn("scaled", F.try_divide(value, "_m")).drop("_m")
 
 
 def minmax_scale(df: DataFrame, value: str = "v", eps: float = 1e-8, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from patchlake.operators import aggregates, grids, prompts, regions, rowmath, similarity, voxels, windows
@@ -79,7 +79,7 @@ def _iou(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 @query("patches", BEST + f", cm AS (SELECT label AS gt, pred, count(*) AS n FROM best GROUP BY label, pred), {IOU} {IOU_OUT}")
 def classify_patches_iou(spark, d):
-    pred = windows.argmax_class(windows.softmax(_sims(spark, d), PATCH), PATCH)
+    pred = similarity.class_probs(view(spark, d, "patches"), _classes(spark, d), PATCH)
     gt = view(spark, d, "patches").select(*CELL, F.col("label").alias("gt"))
     return _iou(aggregates.iou_metrics(aggregates.confusion_matrix(pred, gt)))
 
@@ -102,13 +102,25 @@ def j1_cos_sim(spark, d):
 
 @query("patches", SM + " SELECT vec_id, class_id, round(p, 6) + 0.0 AS p FROM sm")
 def w1_softmax(spark, d):
-    return windows.softmax(_sims(spark, d), PATCH).select("vec_id", "class_id", r6("p").alias("p"))
+    probs = similarity.class_probs(view(spark, d, "patches"), _classes(spark, d), PATCH)
+    return similarity.long_probs(probs, ["vec_id"]).select("vec_id", "class_id", r6("p").alias("p"))
+
+
+@query("class_probs", "SELECT image_id, y, x, class_id, round(exp(7 * (p - max(p) OVER w)) / sum(exp(7 * p)) OVER w * exp(7 * max(p) OVER w), 6) + 0.0 AS p FROM class_probs WINDOW w AS (PARTITION BY image_id, y, x)")
+def w1_softmax_long(spark, d):
+    """The softmax over long rows, for class sets that are too many for arrays."""
+    return windows.softmax(view(spark, d, "class_probs"), CELL, "p", 7.0).select(*CELL, "class_id", r6("p").alias("p"))
 
 
 @query("patches", CS + " SELECT a.vec_id, round(1 / (1 + exp(-50 * (a.s - b.s))), 6) + 0.0 AS p FROM cs a JOIN cs b USING (vec_id) WHERE a.class_id = 0 AND b.class_id = 1")
 def w2_contrast_prob(spark, d):
-    pair = _sims(spark, d).filter("class_id in (0, 1)").groupBy("vec_id").agg(F.max(F.when(F.col("class_id") == 0, F.col("sim"))).alias("a"), F.max(F.when(F.col("class_id") == 1, F.col("sim"))).alias("b"))
-    return windows.contrast_prob(pair, "a", "b").select("vec_id", r6("p").alias("p"))
+    return _contrast(spark, d).select("vec_id", r6("p").alias("p"))
+
+
+def _contrast(spark, d) -> DataFrame:
+    """p of class 0 against class 1 for each patch."""
+    pair = _sims(spark, d).filter("class_id in (0, 1)").groupBy(*PATCH).agg(F.max(F.when(F.col("class_id") == 0, F.col("sim"))).alias("a"), F.max(F.when(F.col("class_id") == 1, F.col("sim"))).alias("b"))
+    return windows.contrast_prob(pair, "a", "b")
 
 
 @query("patches", CS + " SELECT vec_id, class_id, round(s / nullif(max(s) OVER (PARTITION BY image_id), 0), 6) + 0.0 AS scaled FROM cs")
@@ -155,7 +167,22 @@ def a10_covariance(spark, d):
     return similarity.covariance(view(spark, d, "patches")).select("i", "j", r6("cov").alias("cov"))
 
 
-@query()
+def _pca_sql() -> str:
+    """Leading axes by squaring the covariance until one axis is left, taken off before the next."""
+    out = PV + """, dv AS (SELECT image_id, y, x, vec_id, dim, v - avg(v) OVER (PARTITION BY dim) AS z FROM pv), cov AS (SELECT a.dim AS i, b.dim AS j, sum(a.z * b.z) AS v FROM dv a JOIN dv b USING (vec_id) GROUP BY ALL)"""
+    for n in (1, 2, 3):
+        source = "cov" if n == 1 else f"cov{n}"
+        out += f""", sq{n} AS (SELECT 0 AS it, i, j, v / sum(CASE WHEN i = j THEN v END) OVER () AS v FROM {source} UNION ALL
+SELECT it, i, j, v / sum(CASE WHEN i = j THEN v END) OVER () FROM (SELECT a.it + 1 AS it, a.i, b.j, sum(a.v * b.v) AS v FROM sq{n} a JOIN sq{n} b ON a.j = b.i WHERE a.it < 22 GROUP BY ALL)),
+ev{n} AS (SELECT i, v / sqrt(sum(v * v) OVER ()) AS a FROM (SELECT s.i, s.v FROM sq{n} s JOIN (SELECT j FROM sq{n} WHERE it = 22 AND i = j ORDER BY v DESC LIMIT 1) t USING (j) WHERE it = 22)),
+ax{n} AS (SELECT i, a * (SELECT sign(a) FROM ev{n} ORDER BY abs(a) DESC LIMIT 1) AS a FROM ev{n}),
+cov{n + 1} AS (SELECT i, j, c.v - x.a * y.a * (SELECT sum(p.a * c.v * q.a) FROM {source} c JOIN ax{n} p ON p.i = c.i JOIN ax{n} q ON q.i = c.j) AS v FROM {source} c JOIN ax{n} x USING (i) JOIN ax{n} y ON y.i = c.j)"""
+    score = [f"SELECT image_id, y, x, vec_id, {n - 1} AS k, sum(z * a) AS v FROM dv JOIN ax{n} ON ax{n}.i = dv.dim GROUP BY image_id, y, x, vec_id" for n in (1, 2, 3)]
+    return out + f""", pr AS ({" UNION ALL ".join(score)})
+SELECT image_id, y, x, vec_id, CAST(k AS INT) AS dim, round((v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w + 1e-8), 6) + 0.0 AS v FROM pr WINDOW w AS (PARTITION BY image_id, k)"""
+
+
+@query("patches", _pca_sql())
 def a11_pca_rgb(spark, d):
     return similarity.pca_rgb(view(spark, d, "patches"), PATCH).select(*PATCH, "dim", r6("v").alias("v"))
 
@@ -175,7 +202,14 @@ def c1_self_correlate(spark, d):
     return _long(_with_ids(similarity.self_correlate(view(spark, d, "patches"))), ["vec_id"], "feat")
 
 
-@query()
+@query("patches", PV + """, hs AS (SELECT a.image_id, a.vec_id AS a, b.vec_id AS b, a.dim // 16 AS h, sum(a.v * b.v) * 0.25::DOUBLE AS s FROM pv a JOIN pv b USING (image_id, dim) GROUP BY ALL),
+he AS (SELECT *, exp(s - max(s) OVER (PARTITION BY a, h)) AS e FROM hs), hw AS (SELECT a, b, h, e / sum(e) OVER (PARTITION BY a, h) AS w FROM he),
+mx AS (SELECT hw.a AS vec_id, pv.image_id, pv.dim, sum(w * v) AS v FROM hw JOIN pv ON pv.vec_id = hw.b AND pv.dim // 16 = hw.h GROUP BY ALL), mn AS (SELECT vec_id, sqrt(sum(v * v)) AS n FROM mx GROUP BY vec_id),
+mu AS (SELECT vec_id, image_id, dim, v / greatest(n, 1e-12) AS u FROM mx JOIN mn USING (vec_id)),
+mt AS (SELECT a.vec_id AS a, b.vec_id AS b, sum(a.u * b.u) * 10 AS t FROM mu a JOIN mu b USING (image_id, dim) GROUP BY ALL), mk AS (SELECT a, b, greatest(t, 0) AS t FROM mt WHERE t >= -1e-12),
+me AS (SELECT a, b, exp(t - max(t) OVER (PARTITION BY a)) AS e FROM mk), mw AS (SELECT a, b, e / sum(e) OVER (PARTITION BY a) AS w FROM me),
+mo AS (SELECT mw.a AS vec_id, pv.dim, sum(w * v) AS v FROM mw JOIN pv ON pv.vec_id = mw.b GROUP BY ALL)
+SELECT p.image_id, p.y, p.x, CAST(dim AS INT) AS dim, round(v, 6) + 0.0 AS v FROM mo JOIN patches p USING (vec_id)""")
 def c2_recursive_attention(spark, d):
     p = view(spark, d, "patches").select(*CELL, *[F.col("feat").alias(c) for c in "qkv"])
     return _long(similarity.recursive_attention(p, heads=4), CELL, "feat")
@@ -206,7 +240,20 @@ def c3_kmeans_centers(spark, d):
     return _long(_kmeans(spark, d)[0], ["cluster"], "center")
 
 
-@query()
+#: k-means within each image, round by round, until the mean shift is under the tolerance
+C5 = PV + """, ul AS (SELECT image_id, y, x, vec_id, row_number() OVER (PARTITION BY image_id ORDER BY y, x) AS r, list(u ORDER BY dim) AS u FROM pu GROUP BY image_id, y, x, vec_id),
+ks(image_id, it, old, new) AS (SELECT image_id, 0, CAST([] AS DOUBLE[][]), list(u ORDER BY r) FROM ul WHERE r <= 8 GROUP BY image_id
+UNION ALL SELECT c.image_id, c.it, c.cur, list(list_transform(range(1, 65), lambda d: coalesce(m.s[d], 0) / greatest(sqrt(coalesce(m.q, 0)), 1e-12)) ORDER BY c.i)
+FROM (SELECT image_id, it + 1 AS it, new AS cur, unnest(range(1, len(new) + 1)) AS i FROM ks WHERE it = 0 OR (it < 100 AND 1 - list_avg(list_transform(range(1, len(new) + 1), lambda i: list_dot_product(old[i], new[i]))) >= 1e-4)) c
+LEFT JOIN (SELECT image_id, i, list(s ORDER BY d) AS s, sum(s * s) AS q FROM (SELECT image_id, i, d, sum(u[d]) AS s FROM (SELECT p.image_id, p.u, list_position(ds, list_max(ds)) AS i, unnest(range(1, 65)) AS d
+FROM (SELECT ul.image_id, ul.u, list_transform(ks.new, lambda z: list_dot_product(ul.u, z)) AS ds FROM ul JOIN ks USING (image_id)) p) GROUP BY image_id, i, d) GROUP BY image_id, i) m ON m.image_id = c.image_id AND m.i = c.i
+GROUP BY c.image_id, c.it, c.cur),
+kf AS (SELECT * FROM ks QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY it DESC) = 1),
+kl AS (SELECT image_id, y, x, list_position(ds, list_max(ds)) AS i, new FROM (SELECT ul.image_id, ul.y, ul.x, kf.new, list_transform(kf.old, lambda z: list_dot_product(ul.u, z)) AS ds FROM ul JOIN kf USING (image_id)))
+SELECT image_id, y, x, CAST(i - 1 AS INT) AS cluster, CAST(unnest(range(0, 64)) AS INT) AS dim, round(unnest(new[i]), 6) + 0.0 AS v FROM kl"""
+
+
+@query("patches", C5)
 def c5_cluster_images(spark, d):
     return _long(similarity.cluster_images(view(spark, d, "patches")), [*CELL, "cluster"], "center")
 
@@ -279,11 +326,14 @@ def j3_nearest_resize(spark, d):
     return grids.nearest_resize(view(spark, d, "grid").select(*CELL, "class_id"), 30, 30)
 
 
-@query("grid", SIZES.format(n=30) + """, sp AS (SELECT *, greatest((ty + 0.5) * ih / CAST(30 AS DOUBLE) - 0.5, 0) AS sy, greatest((tx + 0.5) * iw / CAST(30 AS DOUBLE) - 0.5, 0) AS sx FROM tg),
-co AS (SELECT image_id, ty, tx, ih, iw, least(floor(sy), ih - 1) AS y0, least(floor(sx), iw - 1) AS x0, sy - least(floor(sy), ih - 1) AS fy, sx - least(floor(sx), iw - 1) AS fx FROM sp)
-SELECT c.image_id, CAST(ty AS INT) AS y, CAST(tx AS INT) AS x, round(a.v * (1 - fy) * (1 - fx) + b.v * (1 - fy) * fx + e.v * fy * (1 - fx) + f.v * fy * fx, 9) + 0.0 AS v FROM co c
+J4 = SIZES.format(n=30) + """, sp AS (SELECT *, greatest((ty + 0.5) * ih / CAST(30 AS DOUBLE) - 0.5, 0) AS sy, greatest((tx + 0.5) * iw / CAST(30 AS DOUBLE) - 0.5, 0) AS sx FROM tg),
+co AS (SELECT image_id, ty, tx, ih, iw, least(floor(sy), ih - 1) AS y0, least(floor(sx), iw - 1) AS x0, sy - least(floor(sy), ih - 1) AS fy, sx - least(floor(sx), iw - 1) AS fx FROM sp)"""
+J4_OUT = """SELECT c.image_id, CAST(ty AS INT) AS y, CAST(tx AS INT) AS x, round(a.v * (1 - fy) * (1 - fx) + b.v * (1 - fy) * fx + e.v * fy * (1 - fx) + f.v * fy * fx, 9) + 0.0 AS v FROM co c
 JOIN grid a ON a.image_id = c.image_id AND a.y = y0 AND a.x = x0 JOIN grid b ON b.image_id = c.image_id AND b.y = y0 AND b.x = least(x0 + 1, iw - 1)
-JOIN grid e ON e.image_id = c.image_id AND e.y = least(y0 + 1, ih - 1) AND e.x = x0 JOIN grid f ON f.image_id = c.image_id AND f.y = least(y0 + 1, ih - 1) AND f.x = least(x0 + 1, iw - 1)""")
+JOIN grid e ON e.image_id = c.image_id AND e.y = least(y0 + 1, ih - 1) AND e.x = x0 JOIN grid f ON f.image_id = c.image_id AND f.y = least(y0 + 1, ih - 1) AND f.x = least(x0 + 1, iw - 1)"""
+
+
+@query("grid", f"{J4} {J4_OUT}")
 def j4_bilinear_resize(spark, d):
     return grids.bilinear_resize(view(spark, d, "grid"), 30, 30).select(*CELL, r9("v").alias("v"))
 
@@ -293,10 +343,10 @@ def j5_pad_grid(spark, d):
     return grids.pad_grid(view(spark, d, "grid"), 32, 32).select(*CELL, r9("v").alias("v"))
 
 
-@query("patches", "SELECT image_id, CAST(y * (1 + max(x) OVER (PARTITION BY image_id, y)) + x AS INT) AS pos, y, x, round(CAST(feat[1] AS DOUBLE), 6) + 0.0 AS v FROM patches")
+@query("patches", PV + " SELECT p.image_id, CAST(p.y * (1 + max(p.x) OVER (PARTITION BY p.image_id, p.y)) + p.x AS INT) AS pos, p.y, p.x, CAST(dim AS INT) AS dim, round(v, 6) + 0.0 AS v FROM patches p JOIN pv USING (vec_id)")
 def g2_flatten_map(spark, d):
     flat = grids.flatten_map(grids.unflatten_map(view(spark, d, "patches")))
-    return flat.select("image_id", "pos", "y", "x", r6(F.get("feat", F.lit(0)).cast("double")).alias("v"))
+    return _long(flat.withColumn("feat", F.col("feat").cast("array<double>")), ["image_id", "pos", "y", "x"], "feat")
 
 
 SWEEP = "sw AS (SELECT image_id, y, x, k, v > a + k * 0.1::DOUBLE * (b - a) AS \"on\" FROM (SELECT *, min(v) OVER (PARTITION BY image_id) AS a, max(v) OVER (PARTITION BY image_id) AS b, unnest(range(2, 10)) AS k FROM grid))"
@@ -459,7 +509,16 @@ def j7_box_max_score(spark, d):
     return regions.box_max_score(_small_boxes(spark, d), view(spark, d, "grid")).withColumn("score", r9("score"))
 
 
-@query()
+#: boxes in order of score; one stays unless a kept one above it overlaps too much
+K1 = """bx AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, box_id) AS r, (x2 - x1) * (y2 - y1) AS area FROM boxes),
+hit AS (SELECT a.image_id, b.r, list(a.r) AS above FROM bx a JOIN bx b ON a.image_id = b.image_id AND a.r < b.r AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2
+WHERE (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) / (a.area + b.area - (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1))) > 0.2::DOUBLE GROUP BY a.image_id, b.r),
+ln AS (SELECT bx.*, coalesce(above, []) AS above FROM bx LEFT JOIN hit USING (image_id, r)),
+kp AS (SELECT image_id, r, [r] AS kept FROM ln WHERE r = 1 UNION ALL SELECT ln.image_id, ln.r, CASE WHEN list_has_any(kept, ln.above) THEN kept ELSE list_append(kept, ln.r) END FROM kp JOIN ln ON ln.image_id = kp.image_id AND ln.r = kp.r + 1),
+ke AS (SELECT ln.* FROM ln JOIN kp USING (image_id, r) WHERE list_contains(kept, r))"""
+
+
+@query("boxes", K1 + " SELECT image_id, box_id, round(score, 9) AS score FROM ke")
 def k1_nms(spark, d):
     return regions.nms(view(spark, d, "boxes")).select("image_id", "box_id", r9("score").alias("score"))
 
@@ -469,11 +528,45 @@ def k2_top_k(spark, d):
     return regions.top_k(view(spark, d, "boxes")).select("image_id", "box_id", "rank", r9("score").alias("score"))
 
 
-@query()
+#: runs of cells along a row, in and out of each threshold's mask; regions and the outside by contact of runs
+G5 = """gz AS (SELECT image_id, max(y) + 1 AS h, max(x) + 1 AS w, min(v) AS a, max(v) AS b FROM grid GROUP BY image_id), lv AS (SELECT *, unnest(range(2, 10)) AS k FROM gz),
+mk AS (SELECT image_id, k, y, x FROM lv JOIN grid USING (image_id) WHERE v > a + k * 0.1::DOUBLE * (b - a)),
+pd AS (SELECT image_id, k, y, unnest(range(-1, w + 1)) AS x FROM (SELECT *, unnest(range(-1, h + 1)) AS y FROM lv)),
+al AS (SELECT image_id, k, y, x, true AS m FROM mk UNION ALL SELECT image_id, k, y, x, false FROM pd ANTI JOIN mk USING (image_id, k, y, x)),
+rn AS (SELECT image_id, k, y, m, min(x) AS a, max(x) AS b, y * 100000 + min(x) AS id FROM (SELECT *, x - row_number() OVER (PARTITION BY image_id, k, y, m ORDER BY x) AS g FROM al) GROUP BY image_id, k, y, m, g),
+nx AS (SELECT p.image_id, p.k, p.m, p.id AS p, q.id AS q FROM (SELECT *, unnest([-1, 1]) AS dy FROM rn) p JOIN rn q ON q.image_id = p.image_id AND q.k = p.k AND q.m = p.m AND q.y = p.y + dy AND q.a <= p.b + CAST(p.m AS INT) AND q.b >= p.a - CAST(p.m AS INT)),
+ot AS (SELECT image_id, k, id FROM rn WHERE y = -1 AND a = -1 UNION SELECT nx.image_id, nx.k, nx.q FROM ot JOIN nx ON nx.image_id = ot.image_id AND nx.k = ot.k AND nx.p = ot.id AND NOT nx.m),
+orn AS (SELECT rn.* FROM rn JOIN ot USING (image_id, k, id)),
+cp(image_id, k, id, root) USING KEY (image_id, k, id) AS (SELECT image_id, k, id, id FROM rn WHERE m
+UNION SELECT u.image_id, u.k, u.id, min(c.root) FROM cp c JOIN nx ON nx.image_id = c.image_id AND nx.k = c.k AND nx.p = c.id JOIN recurring.cp u ON u.image_id = nx.image_id AND u.k = nx.k AND u.id = nx.q WHERE c.root < u.root GROUP BY u.image_id, u.k, u.id),
+fr AS (SELECT DISTINCT r.image_id, r.k, r.id FROM (SELECT *, unnest([-1, 0, 1]) AS dy FROM rn WHERE m) r JOIN orn o ON o.image_id = r.image_id AND o.k = r.k AND o.y = r.y + dy AND (dy = 0 AND (o.b = r.a - 1 OR o.a = r.b + 1) OR dy <> 0 AND o.a <= r.b AND o.b >= r.a)),
+rc AS (SELECT cp.image_id, cp.k, root, min(y) AS y1, min(a) AS x1, max(y) + 1 AS y2, max(b) + 1 AS x2, bool_or(fr.id IS NOT NULL) AS free FROM cp JOIN rn USING (image_id, k, id) LEFT JOIN fr USING (image_id, k, id) GROUP BY cp.image_id, cp.k, root),
+hb AS (SELECT rc.image_id, rc.k, x1, y1, x2, y2, max(v) AS score FROM rc JOIN gz USING (image_id) JOIN grid g ON g.image_id = rc.image_id AND g.y >= y1 AND g.y < y2 AND g.x >= x1 AND g.x < x2
+WHERE free AND (y2 - y1) * (x2 - x1) > 0.005::DOUBLE * h * w GROUP BY rc.image_id, rc.k, root, x1, y1, x2, y2)"""
+G5_OUT = "SELECT image_id, CAST(k AS INT) AS k, CAST(x1 AS INT) AS x1, CAST(y1 AS INT) AS y1, CAST(x2 AS INT) AS x2, CAST(y2 AS INT) AS y2, round(score, 9) AS score FROM hb"
+
+
+@query("grid", f"{G5} {G5_OUT}")
 def g5_heatmap_boxes(spark, d):
     return regions.heatmap_boxes(view(spark, d, "grid")).withColumn("score", r9("score"))
 
 
+SEARCH = CS + f""", heat AS (SELECT a.image_id, a.y, a.x, 1 / (1 + exp(-50 * (a.s - b.s))) AS v FROM cs a JOIN cs b USING (vec_id) WHERE a.class_id = 0 AND b.class_id = 1),
+{J4.replace("grid", "heat")}, up AS ({J4_OUT.replace("grid", "heat")}), {G5.replace("grid", "up")},
+boxes AS (SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY k, y1, x1, y2, x2) AS box_id, x1, y1, x2, y2, score FROM hb), {K1}"""
+
+
+@query("patches", SEARCH + """ SELECT image_id, box_id, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1, CAST(x2 AS DOUBLE) AS x2, CAST(y2 AS DOUBLE) AS y2, round(score, 6) AS score, CAST(rank AS INT) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, box_id) AS rank FROM ke) WHERE rank <= 10""")
+def search_regions(spark, d):
+    """Text-to-region search: contrast of a query and a negative class, upsampled, boxes at eight thresholds, suppressed, the ten best of each image."""
+    heat = _contrast(spark, d).select(*CELL, F.col("p").alias("v"))
+    up = grids.bilinear_resize(heat, 30, 30).withColumn("v", r9("v"))
+    order = Window.partitionBy("image_id").orderBy("k", "y1", "x1", "y2", "x2")
+    boxes = regions.heatmap_boxes(up).withColumn("box_id", F.row_number().over(order))
+    return regions.top_k(regions.nms(boxes, 0.2)).withColumn("score", r6("score"))
+
+
 @query("boxes", "SELECT image_id, box_id, round(score, 9) AS score FROM boxes WHERE score > 0.5 UNION ALL SELECT image_id, box_id, round(score, 9) FROM boxes WHERE score < 0.2")
 def u1_union_regions(spark, d):
     b = view(spark, d, "boxes").select("image_id", "box_id", r9("score").alias("score"), F.col("score").alias("s"))
@@ -487,7 +580,7 @@ def r1_split_by_mask_score(spark, d):
 
 
 MERGE = """vm AS (SELECT * FROM masks WHERE score > 0.9::DOUBLE), mg AS (SELECT m.image_id, m.y, m.x, m.class_id, CASE WHEN max(m.logit) > 0 THEN max(p / (1 + exp(-logit))) ELSE 0 END AS p
-FROM vm m JOIN class_probs USING (image_id, y, x, class_id) GROUP BY m.image_id, m.y, m.x, m.class_id), mp AS (SELECT image_id, y, x, arg_max(class_id, (p, -class_id)) AS class_id FROM mg GROUP BY image_id, y, x)"""
+FROM vm m JOIN class_probs USING (image_id, y, x, class_id) GROUP BY m.image_id, m.y, m.x, m.class_id), mp AS (SELECT image_id, y, x, CASE WHEN max(p) > 0 THEN arg_max(class_id, (p, -class_id)) ELSE 0 END AS class_id FROM mg GROUP BY image_id, y, x)"""
 
 
 def _merged(spark, d):
@@ -518,6 +611,34 @@ def r3_restore_failed(spark, d):
     return regions.restore_failed(scores, bad, view(spark, d, "class_probs")).withColumn("p", r6("p"))
 
 
+REFINE = TOP + ", cb AS (SELECT image_id, y, x, CASE WHEN p < 0.35::DOUBLE THEN 5 ELSE class_id END AS class_id, p AS v FROM tp), fg AS (SELECT * FROM cb WHERE class_id <> 5), " + STATS.replace("grid", "fg") + """,
+mx AS (SELECT image_id, class_id, max(p) AS m FROM class_probs GROUP BY image_id, class_id), kr AS (SELECT st.* FROM st JOIN mx USING (image_id, class_id) WHERE area >= 3 AND NOT m < 0.4::DOUBLE),
+ms AS (SELECT rg.image_id, rg.y, rg.x, rg.class_id, rg.region_id AS mask_id, 8 * (f.v - 0.4::DOUBLE) AS logit, k.score + 0.45::DOUBLE AS score FROM rg JOIN kr k USING (image_id, class_id, region_id) JOIN fg f USING (image_id, y, x)),
+""" + MERGE.replace("FROM masks", "FROM ms") + """, fa AS (SELECT DISTINCT image_id, y, x FROM ms WHERE NOT score > 0.9::DOUBLE), fp AS (SELECT c.* FROM class_probs c JOIN fa USING (image_id, y, x)),
+rs AS (SELECT image_id, y, x, max(greatest(coalesce(mg.p, 0), coalesce(fp.p, 0))) AS p FROM mg FULL JOIN fp USING (image_id, y, x, class_id) GROUP BY image_id, y, x), tot AS (SELECT image_id, y, x, sum(p) AS s FROM mg GROUP BY image_id, y, x)"""
+
+
+@query("class_probs", REFINE + """ SELECT c.image_id, c.y, c.x, CASE WHEN tot.s <> 0 THEN mp.class_id ELSE c.class_id END AS class_id, round(rs.p, 6) + 0.0 AS p
+FROM cb c LEFT JOIN tot USING (image_id, y, x) LEFT JOIN mp USING (image_id, y, x) LEFT JOIN rs USING (image_id, y, x)""")
+def refine_regions(spark, d):
+    """Region refinement: coarse map, connected regions of the foreground, those that are large and sure, masks for them, merged, restored where they failed.
+
+    The mask model is the user's; in its place a region's cells get a logit from their own probability and the region's mean score.
+    """
+    probs = view(spark, d, "class_probs")
+    coarse = storage.materialize(rowmath.coarse_background(windows.argmax_class(probs, CELL), 0.35, 5), "coarse")
+    cells = storage.materialize(regions.connected_regions(coarse.filter("class_id <> 5")).join(coarse.select(*CELL, "p"), CELL), "regions")
+    kept = aggregates.filter_regions(aggregates.region_stats(cells), aggregates.max_per_class(probs), 0.4, 3)
+    masks = cells.join(kept.select("image_id", "class_id", "region_id", "score"), ["image_id", "class_id", "region_id"])
+    masks = masks.select(*CELL, "class_id", F.col("region_id").alias("mask_id"), (8 * (F.col("p") - 0.4)).alias("logit"), (F.col("score") + 0.45).alias("score"))
+    good, failed = regions.split_by_mask_score(storage.materialize(masks, "masks"), 0.9)
+    scores, refined = aggregates.merge_masks(good, probs)
+    scores = storage.materialize(scores, "scores")
+    labels = regions.fallback_prediction(scores, refined, coarse.select(*CELL, "class_id"))
+    best = regions.restore_failed(scores, failed, probs).groupBy(*CELL).agg(F.max("p").alias("p"))
+    return labels.join(best, CELL, "left").select(*CELL, F.col("class_id").cast("int").alias("class_id"), r6("p").alias("p"))
+
+
 # voxels
 
 
@@ -628,12 +749,14 @@ def t3_build_class_map(spark, d):
     return prompts.build_class_map(_types(spark, d))
 
 
-@query("", TSQL + """, nm AS (SELECT row_number() OVER (ORDER BY p_type) - 1 AS i, p_type AS name FROM (SELECT DISTINCT p_type FROM part)), ev AS (SELECT name, template_id, unnest(range(64)) AS dim, CAST(unnest(embedding) AS DOUBLE) AS v FROM nm CROSS JOIN tm JOIN embeddings ON vec_id = i * 3 + template_id),
-en AS (SELECT name, template_id, sqrt(sum(v * v)) AS n FROM ev GROUP BY name, template_id) SELECT name, CAST(dim AS INT) AS dim, round(avg(v / greatest(n, 1e-12)), 6) + 0.0 AS v FROM ev JOIN en USING (name, template_id) GROUP BY name, dim""")
+@query("", TSQL + """, nm AS (SELECT row_number() OVER (ORDER BY p_type) - 1 AS i, p_type AS name FROM (SELECT DISTINCT p_type FROM part)), ev AS (SELECT name, template_id, vec_id, unnest(range(64)) AS dim, CAST(unnest(embedding) AS DOUBLE) AS v FROM nm CROSS JOIN tm JOIN embeddings ON vec_id % (3 * (SELECT count(*) FROM nm)) = i * 3 + template_id),
+en AS (SELECT name, vec_id, sqrt(sum(v * v)) AS n FROM ev GROUP BY name, vec_id) SELECT name, CAST(dim AS INT) AS dim, round(avg(v / greatest(n, 1e-12)), 6) + 0.0 AS v FROM ev JOIN en USING (name, vec_id) GROUP BY name, dim""")
 def t4_encode_classes(spark, d):
     names = _types(spark, d).withColumn("idx", F.col("idx") - 1)
-    asked = prompts.expand_templates(names, _templates(spark)).withColumn("vec_id", (F.col("idx") * 3 + F.col("template_id")).cast("long"))
-    vectors = asked.join(table(spark, d, "embeddings"), "vec_id").select("prompt", F.col("embedding").alias("vec"))
+    slot = (F.col("idx") * 3 + F.col("template_id")).cast("long")
+    asked = prompts.expand_templates(names, _templates(spark)).withColumn("slot", slot)
+    held = table(spark, d, "embeddings").withColumn("slot", F.col("vec_id") % F.lit(3 * names.count()))  # every vector belongs to a prompt
+    vectors = asked.join(held, "slot").select("prompt", F.col("embedding").alias("vec"))
     return prompts.encode_classes(names.select("name"), vectors, "labels", _templates(spark)).select("name", "dim", r6("v").alias("v"))
 
 
@@ -648,8 +771,7 @@ def s1_pair_manifest(spark, d):
 @query("", "SELECT doc_id, name, CAST(i AS INT) AS class_idx FROM (SELECT doc_id, i, unnest(string_split(line, ', ')) AS name FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS i FROM (SELECT doc_id, regexp_replace(text, '\\n$', '') AS t FROM documents)))")
 def s2_class_names(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("value"))
-    t = docs.select("doc_id", F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("class_idx", "line"))
-    return t.select("doc_id", F.explode(F.split("line", ", ")).alias("name"), "class_idx")
+    return sources.class_names(docs, keys=("doc_id",))
 
 
 @query("patches", PV + " SELECT vec_id, CAST(dim AS INT) AS dim, round(v, 6) + 0.0 AS v FROM pv")

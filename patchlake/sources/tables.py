@@ -12,6 +12,12 @@ def stem(path: str, suffix: str):
     return F.when(found != "", found)
 
 
+def list_files(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
+    """(path) of the files under a folder that end in .suffix; their contents are not read."""
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{suffix}").option("recursiveFileLookup", "true")
+    return reader.load(folder).select("path")
+
+
 def pair_manifest(images: DataFrame, segmaps: DataFrame, split: DataFrame | None = None) -> DataFrame:
     """(stem, image, segmap) of images (path .jpg) and label maps (path .png) with one stem, in the split (stem) if there is one."""
     i = images.select(stem("path", "jpg").alias("stem"), F.col("path").alias("image")).filter("stem is not null")
@@ -21,10 +27,10 @@ def pair_manifest(images: DataFrame, segmaps: DataFrame, split: DataFrame | None
     return i.join(s, "stem")
 
 
-def class_names(lines: DataFrame, col: str = "value") -> DataFrame:
-    """(name, class_idx) of whole class-list texts: line i is class i, `, ` parts its names, a newline at the end adds none."""
-    t = lines.select(F.posexplode(F.split(F.regexp_replace(col, r"\n\z", ""), "\n")).alias("class_idx", "line"))
-    return t.select(F.explode(F.split("line", ", ")).alias("name"), "class_idx")
+def class_names(lines: DataFrame, col: str = "value", keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, name, class_idx) of whole class-list texts: line i is class i, `, ` parts its names, a newline at the end adds none."""
+    t = lines.select(*keys, F.posexplode(F.split(F.regexp_replace(col, r"\n\z", ""), "\n")).alias("class_idx", "line"))
+    return t.select(*keys, F.explode(F.split("line", ", ")).alias("name"), "class_idx")
 
 
 def read_class_names(spark: SparkSession, path: str) -> DataFrame:

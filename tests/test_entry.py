@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["classify_patches_iou", "c1_self_correlate", "c3_kmeans_labels", "g4_connected_regions", "j4_bilinear_resize", "r3_restore_failed", "v5_evaluate_scenes", "v6_accumulate_voxels", "t1_clean_prompts", "s1_pair_manifest"]
+SAMPLE = ["classify_patches_iou", "c1_self_correlate", "c3_kmeans_labels", "g4_connected_regions", "j4_bilinear_resize", "r3_restore_failed", "v5_evaluate_scenes", "v6_accumulate_voxels", "t1_clean_prompts", "s1_pair_manifest", "a11_pca_rgb", "c2_recursive_attention", "c5_cluster_images", "g5_heatmap_boxes", "k1_nms", "j9_knn_voxels", "search_regions", "refine_regions", "t4_encode_classes"]
 
 
 def plain(v):

@@ -279,3 +279,61 @@ def test_global_index(spark):
     got = global_index(df, ["v"]).orderBy("v").collect()
     assert [r.idx for r in got] == list(range(500))
     assert global_index(df.limit(0), ["v"]).count() == 0
+
+
+def test_class_probs_equal_cosine_and_softmax_and_leave_zero_vectors_null(spark):
+    f = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, [0.0, 0.0])], "id long, feat array<double>")
+    c = spark.createDataFrame([(4, [0.0, 1.0]), (2, [2.0, 0.0]), (9, [0.0, 0.0])], "class_id int, embed array<double>")
+    got = {r.id: r for r in similarity.class_probs(f, c, ["id"], 2.0).collect()}
+    assert got[1].class_ids == [2, 4, 9] and got[1].probs[2] is None and got[1].class_id == 2 and got[2].class_id == 2  # a tie goes to the lowest
+    assert got[3].probs == [None] * 3 and (got[3].class_id, got[3].p) == (2, None)
+    assert abs(got[1].p - 1 / (1 + np.exp(-2.0))) < 1e-12 and abs(got[2].p - 0.5) < 1e-12
+    both = windows.softmax(similarity.cos_sim(f, c, ["id"]), ["id"], temp=2.0)
+    assert {(r.id, r.class_id, None if r.p is None else round(r.p, 9)) for r in both.collect()} == {(r.id, r.class_id, None if r.p is None else round(r.p, 9)) for r in similarity.long_probs(similarity.class_probs(f, c, ["id"], 2.0), ["id"]).collect()}
+    assert similarity.class_probs(f.limit(0), c, ["id"]).count() == 0 and similarity.class_probs(f, c.limit(0), ["id"]).count() == 0
+
+
+def test_bounds_of_what_goes_to_every_task(spark, monkeypatch):
+    f = spark.createDataFrame([(1, [1.0, 0.0])], "id long, feat array<double>")
+    monkeypatch.setattr(similarity, "BROADCAST_VALUES", 3)
+    c = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "cluster int, center array<double>")
+    for call in (lambda: similarity.assign_clusters(f, c, ["id"]), lambda: similarity.spherical_kmeans(f, c, ["id"]), lambda: similarity.class_probs(f, c.toDF("class_id", "embed"), ["id"])):
+        with pytest.raises(ValueError):
+            call()
+    monkeypatch.setattr(prompts, "MOST_TEMPLATES", 1)
+    with pytest.raises(ValueError):
+        prompts.expand_templates(spark.createDataFrame([("a",)], "name string"), spark.createDataFrame([(0, "{c}"), (1, "{c}")], "template_id int, template string"))
+
+
+def test_resizing_asks_for_full_grids_and_keeps_classes_apart(spark):
+    g = spark.createDataFrame([(1, y, x, k, float(10 * k + y + x)) for y in range(2) for x in range(3) for k in range(2)], "image_id long, y int, x int, class_id int, v double")
+    got = {(r.class_id, r.y, r.x): r.v for r in grids.bilinear_resize(g, 4, 6, keys=("class_id",)).collect()}
+    assert len(got) == 48 and all(abs(got[1, y, x] - got[0, y, x] - 10) < 1e-12 for y in range(4) for x in range(6))
+    assert got[0, 0, 0] == 0 and got[0, 3, 5] == 3 and abs(got[0, 1, 1] - 0.5) < 1e-12
+    with pytest.raises(Exception, match="not full"):
+        grids.bilinear_resize(g.filter("y + x < 3"), 4, 6, keys=("class_id",)).collect()
+
+
+def test_neighbours_are_found_by_cubes_of_every_size(spark):
+    rng = np.random.default_rng(3)
+    rows = lambda n: [(int(s), *map(int, v)) for s, v in zip(rng.integers(0, 2, n), rng.integers(0, 60, (n, 3)), strict=True)]
+    gt, pred = sorted(set(rows(60))), sorted(set([*rows(80), (1, 900, 900, 900)]))
+    names = "scene int, vx long, vy long, vz long"
+    want = {(g, k + 1, p[1:]) for g in gt for k, p in enumerate(sorted((p for p in pred if p[0] == g[0]), key=lambda p: (sum((a - b) ** 2 for a, b in zip(g[1:], p[1:], strict=True)), p))[:4])}
+    for radius in (None, 1, 8):
+        out = voxels.knn_voxels(spark.createDataFrame(gt, names), spark.createDataFrame(pred, names), 4, radius).collect()
+        assert {((r.scene, r.vx, r.vy, r.vz), r["rank"], (r.px, r.py, r.pz)) for r in out} == want and len(out) == len(want)
+
+
+def test_cells_without_any_score_take_class_0(spark):
+    masks = spark.createDataFrame([(1, 0, 0, 3, 1, -5.0, 1.0), (1, 0, 1, 3, 1, 5.0, 1.0)], "image_id long, y int, x int, class_id int, mask_id int, logit double, score double")
+    probs = spark.createDataFrame([(1, 0, x, 3, 0.5) for x in range(2)], "image_id long, y int, x int, class_id int, p double")
+    assert {r.x: r.class_id for r in aggregates.merge_masks(masks, probs)[1].collect()} == {0: 0, 1: 3}
+
+
+def test_folders_are_listed(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    for name in ("a/1.jpg", "2.jpg", "1.png"):
+        (tmp_path / name).write_bytes(b"x")
+    images, maps = (sources.list_files(spark, str(tmp_path), s) for s in ("jpg", "png"))
+    assert images.count() == 2 and [r.stem for r in sources.pair_manifest(images, maps).collect()] == ["1"]
