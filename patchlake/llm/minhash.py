@@ -3,15 +3,19 @@
 Equal shingle sets are folded into one class first. Each class posts its signature's (coordinate, value)
 pairs; pairs that only one class holds are dropped, and of the shared ones only the rarest go into the
 posting lists: two signatures that agree on `least` of `coords` places must meet in a prefix of
-(shared - least + 1) pairs taken in order of frequency. Within a list, collisions are counted on the merged
-signatures and classes above the match threshold are tied into candidate clusters. In each cluster, block by
-block, links are confirmed on the full shingle sets. Long lists and large clusters are cut into blocks of
-LIST_BLOCK and BLOCK members whose pairs of blocks go to different tasks, and each task returns a forest, never all pairs.
+(shared - least + 1) pairs taken in order of frequency. Within a list, collisions are counted on whole
+signatures and classes above the match threshold are tied into candidate clusters. In each cluster links are confirmed on the full shingle sets.
+
+Groups (lists and clusters) of more than LIST_BLOCK and BLOCK members are never compared pair by pair: `tied` deals their members to random blocks
+for ROUNDS rounds, each block being one task's work, which ties the members of a dense group together in linear work. What is then still apart is compared
+exactly: members outside their group's largest component, in blocks, with all members of the group. Each task returns a forest, never all pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,6 +26,7 @@ from patchlake.llm.common import byte_blocks, connected_components, gram_hashes,
 
 BLOCK = 256  # members of a cluster compared on full sets at once, by block
 LIST_BLOCK = 1024  # the same for signatures in a posting list
+ROUNDS = 3  # of random blocks for larger groups
 
 
 def _sets(texts: list[str], k: int):
@@ -72,39 +77,103 @@ def _postings(classes: DataFrame, coords: int, least: int) -> DataFrame:
     return own.select("doc", F.explode(F.slice("es", F.lit(1), F.size("es") - least + 1)).alias("e")).select("doc", "e.elem", "e.df")
 
 
-def _block_pairs(df: DataFrame, size: str, doc: str, block: int) -> DataFrame:
-    """Deals each row to the pairs of blocks (bi <= bj) of its group that its own block takes part in."""
-    df = df.withColumn("nb", F.ceil(F.col(size) / block).cast("int")).withColumn("own", F.pmod(F.xxhash64(doc), F.col("nb")).cast("int"))
-    df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    return df.withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other")).drop("nb", "other")
+def _signature_match(coords: int, least: int) -> Callable[[list, list], np.ndarray]:
+    def match(a: list, b: list) -> np.ndarray:
+        x, y = (np.frombuffer(b"".join(v), "<u4").reshape(len(v), coords) for v in (a, b))
+        return np.stack([(y == row).sum(1) >= least for row in x])
 
+    return match
 
-def candidate_edges(classes: DataFrame, coords: int, least: int) -> DataFrame:
-    """Edges (a, b) that tie together all classes whose signatures agree on at least `least` coordinates."""
-    post = _postings(classes, coords, least).join(classes.select("doc", "sig"), "doc")
-    post = _block_pairs(post, "df", "doc", LIST_BLOCK).repartition("elem", "bi", "bj").sortWithinPartitions("elem", "bi", "bj")
-
-    def count(batches):
-        for pdf in whole_groups(batches, ["elem", "bi", "bj"]):
-            at = group_starts(pdf, ["elem", "bi", "bj"])
-            doc = pdf["doc"].to_numpy()
-            sig = np.frombuffer(b"".join(pdf["sig"]), "<u4").reshape(len(pdf), coords)
-            a, b = [], []
-            two = at[:-1][np.diff(at) == 2]
-            hit = (sig[two] == sig[two + 1]).sum(1) >= least
-            a.append(doc[two[hit]])
-            b.append(doc[two[hit] + 1])
+
+def _set_match(percent: int) -> Callable[[list, list], np.ndarray]:
+    def match(a: list, b: list) -> np.ndarray:
+        rows, others = ([np.frombuffer(x, np.uint64) for x in v] for v in (a, b))
+        names, ids = np.unique(np.concatenate([*rows, *others]), return_inverse=True)
+        own, n = np.array([len(x) for x in rows]), np.array([len(x) for x in others])
+        at, first = np.cumsum(own) - own, np.cumsum(n) - n
+        ids, theirs = ids[: own.sum()], ids[own.sum() :]
+        mark, near = np.zeros(len(names), np.int32), np.zeros((len(rows), len(others)), bool)
+        for i in range(len(rows)):
+            mark[ids[at[i] : at[i] + own[i]]] = 1
+            both = np.add.reduceat(mark[theirs], first)
+            mark[ids[at[i] : at[i] + own[i]]] = 0
+            near[i] = 100 * both >= percent * (n + own[i] - both)
+        return near
+
+    return match
+
+
+def _forest(df: DataFrame, keys: list[str], match: Callable[[list, list], np.ndarray]) -> DataFrame:
+    """Edges (a, b) that tie together all rows of each group of keys (doc, items) that match."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_groups(batches, keys):
+            at, doc, items = group_starts(pdf, keys), pdf["doc"].to_numpy(), pdf["items"].tolist()
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for lo, hi in zip(at[:-1], at[1:], strict=True):
-                if hi - lo > 2:
-                    s = sig[lo:hi]
-                    near = np.stack([(s == row).sum(1) >= least for row in s])
-                    star = local_stars(near)
+                if hi - lo > 1:
+                    star = local_stars(match(items[lo:hi], items[lo:hi]))
                     far = np.flatnonzero(star != np.arange(hi - lo))
                     a.append(doc[lo:hi][far])
                     b.append(doc[lo:hi][star[far]])
             yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return post.select("elem", "bi", "bj", "doc", "sig").mapInPandas(count, "a long, b long").filter("a <> b")
+    dealt = df.repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.select(*keys, "doc", "items").mapInPandas(run, "a long, b long").filter("a <> b")
+
+
+def _across(rows: DataFrame, keys: list[str], block: int, match: Callable[[list, list], np.ndarray]) -> DataFrame:
+    """Edges between components: members outside the largest component of their group (keys, doc, items, comp, m) against all of the group."""
+    sizes = rows.groupBy(*keys, "comp").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy(*keys).agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), (F.sum("n") - F.max("n")).alias("rest"))
+    rows = rows.join(largest, keys).withColumn("nb", F.ceil(F.col("m") / block).cast("int")).withColumn("nr", F.ceil(F.col("rest") / block).cast("int"))
+    hashed = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    names = [*keys, "bi", "bj", "side", "comp", "doc", "items"]
+    every = rows.withColumn("bi", hashed("nb")).withColumn("bj", each("nr")).withColumn("side", F.lit(1)).select(names)
+    rest = rows.filter("comp <> largest").withColumn("bj", hashed("nr")).withColumn("bi", each("nb")).withColumn("side", F.lit(0)).select(names)
+    groups = [*keys, "bi", "bj"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_groups(batches, groups):
+            at, doc, comp, items = group_starts(pdf, groups), pdf["doc"].to_numpy(), pdf["comp"].to_numpy(), pdf["items"].tolist()
+            side, out = pdf["side"].to_numpy(), [np.zeros((0, 2), np.int64)]
+            for lo, hi in zip(at[:-1], at[1:], strict=True):
+                mid = lo + int((side[lo:hi] == 0).sum())
+                if lo < mid < hi:
+                    i, j = np.nonzero(match(items[lo:mid], items[mid:hi]) & (comp[lo:mid, None] != comp[mid:hi]))
+                    two = np.stack((comp[lo + i], comp[mid + j]), 1)
+                    out.append(np.unique(np.sort(two, 1), axis=0))
+            both = np.concatenate(out)
+            yield pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+
+    dealt = every.unionByName(rest).repartition(*groups).sortWithinPartitions(*groups, "side")
+    return dealt.mapInPandas(run, "a long, b long").distinct()
+
+
+def tied(members: DataFrame, keys: list[str], block: int, match: Callable[[list, list], np.ndarray]) -> DataFrame:
+    """Edges (a, b) whose components are those of all matching pairs within groups (keys) of members (keys, m: size of the group, doc, items)."""
+    edges = [_forest(members.filter(F.col("m") <= block), keys, match)]
+    many = materialize(members.filter(F.col("m") > block).withColumn("comp", F.col("doc")), "many")
+    for turn in range(ROUNDS):
+        if many.isEmpty():
+            return reduce(DataFrame.unionByName, edges)
+        part = F.pmod(F.xxhash64("doc", F.lit(turn)), F.ceil(F.col("m") / block)).cast("int")
+        edges.append(materialize(_forest(many.withColumn("part", part), [*keys, "part"], match), "ties"))
+        found = connected_components(reduce(DataFrame.unionByName, edges[1:])).select(F.col("node").alias("doc"), "comp")
+        told = materialize(many.drop("comp").join(found, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")), "told")
+        apart = told.groupBy(*keys).agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a <> _b").select(*keys)
+        many = materialize(told.join(apart, keys, "left_semi"), "many")
+    if not many.isEmpty():
+        edges.append(materialize(_across(many, keys, block, match), "ties"))
+    return reduce(DataFrame.unionByName, edges)
+
+
+def candidate_edges(classes: DataFrame, coords: int, least: int) -> DataFrame:
+    """Edges (a, b) that tie together all classes whose signatures agree on at least `least` coordinates."""
+    post = materialize(_postings(classes, coords, least), "postings")
+    held = post.join(classes.select("doc", F.col("sig").alias("items")), "doc").withColumnRenamed("df", "m")
+    return tied(held, ["elem"], LIST_BLOCK, _signature_match(coords, least))
 
 
 def confirmed_edges(docs: DataFrame, clusters: DataFrame, k: int, percent: int) -> DataFrame:
@@ -118,34 +187,7 @@ def confirmed_edges(docs: DataFrame, clusters: DataFrame, k: int, percent: int)
             yield pd.DataFrame({"cluster": pdf["cluster"], "m": pdf["m"], "doc": pdf["doc"], "items": [s.tobytes() for s in _sets(list(pdf["text"]), k)]})
 
     held = texts.select("cluster", "m", "doc", "text").mapInPandas(sets, "cluster long, m long, doc long, items binary")
-    held = _block_pairs(held, "m", "doc", BLOCK).repartition("cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj")
-
-    def confirm(batches):
-        for pdf in whole_groups(batches, ["cluster", "bi", "bj"]):
-            at = group_starts(pdf, ["cluster", "bi", "bj"])
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for lo, hi in zip(at[:-1], at[1:], strict=True):
-                if hi - lo < 2:
-                    continue
-                doc, rows = pdf["doc"].to_numpy()[lo:hi], [np.frombuffer(x, np.uint64) for x in pdf["items"].iloc[lo:hi]]
-                n = np.array([len(x) for x in rows])
-                names, ids = np.unique(np.concatenate(rows), return_inverse=True)
-                first = np.concatenate(([0], np.cumsum(n)[:-1]))
-                mark = np.zeros(len(names), np.int32)
-                near = np.zeros((hi - lo, hi - lo), bool)
-                for i in range(hi - lo):
-                    own = ids[first[i] : first[i] + n[i]]
-                    mark[own] = 1
-                    both = np.add.reduceat(mark[ids], first)
-                    mark[own] = 0
-                    near[i] = 100 * both >= percent * (n + n[i] - both)
-                star = local_stars(near)
-                far = np.flatnonzero(star != np.arange(hi - lo))
-                a.append(doc[far])
-                b.append(doc[star[far]])
-            yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    return held.select("cluster", "bi", "bj", "doc", "items").mapInPandas(confirm, "a long, b long")
+    return tied(held, ["cluster"], BLOCK, _set_match(percent))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coords: int = 64, sigmas: float = 3.3) -> DataFrame:

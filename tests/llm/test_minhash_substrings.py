@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from patchlake.llm import minhash
 from patchlake.llm.minhash import near_duplicates
 from patchlake.llm.substrings import remove_repeats
 
@@ -56,6 +57,34 @@ def test_near_duplicates_equal_brute_force(spark, k):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got) and len(got) == len(want)
 
 
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_large_groups_are_tied_as_by_all_pairs(spark, monkeypatch, rounds):
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "LIST_BLOCK", 3)
+    monkeypatch.setattr(minhash, "ROUNDS", rounds)
+    rows = corpus(5)
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), k=4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components([r for r in rows if r[0] is not None], 4)
+
+
+def test_a_large_cluster_of_near_copies_takes_linear_work(spark, monkeypatch):
+    rng, dealt = random.Random(7), []
+    base = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*base, f"x{i}", f"y{rng.randrange(9)}"])) for i in range(1500)]
+    forest = minhash._forest
+    monkeypatch.setattr(minhash, "_forest", lambda df, keys, match: dealt.append(df.count()) or forest(df, keys, match))
+    monkeypatch.setattr(minhash, "_across", lambda rows, *_: pytest.fail("left apart"))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4)
+    assert got.filter("component_id = 0").count() == 1500
+    assert max(dealt) <= 1500 * 64  # a posting row each at most, in every round
+
+
+def test_near_duplicates_of_a_very_long_text(spark):
+    long = " ".join(map(str, range(200_000)))
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame([(3, long), (1, long + " more"), (2, "9 8 7 6 5 4 3")], "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
 def test_near_duplicates_of_nothing_and_of_repeated_rows(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     got = near_duplicates(spark.createDataFrame([(1, "a b c d e f", "", 0)] * 3, SCHEMA)).collect()
