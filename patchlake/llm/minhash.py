@@ -195,7 +195,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coords: int
 
     A text's set is its distinct k-word shingles of lower-cased (A-Z) words; with fewer words the whole
     sequence as one; null, empty or blank texts have an empty set, link with nothing and are kept. Rows with a
-    null doc_id are left out. Repeated rows come out as often as they went in. Links need
+    null doc_id are left out. Repeated rows come out as often as they went in; different texts must not share a doc_id (number them first,
+    as the pipeline does). Links need
     100 * intersection >= percent * union and are confirmed on full sets; a pair reaches that step if its
     signatures agree on `coords * percent% - sigmas` standard deviations of places.
     """

@@ -291,21 +291,24 @@ def _all_links(clusters: DataFrame, reps: DataFrame, dim: int, threshold: float)
 
 
 def link_vectors(vectors: DataFrame, threshold: float = 0.95, k: int = 10, tables: int = 4, bucket: int = 64, rounds: int = 6, target: float = 0.98, seed: int = 3) -> DataFrame:
-    """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding).
+    """vec_id, n_links, component_id, kept, audited_recall (one number: the share of the audited nodes' true links that was found) for each row of vectors (vec_id, embedding).
 
     Cosines are computed in doubles; pairs at or over the threshold are links. Vectors that are null, zero, hold a null or non-finite
     component, or differ in length from most, link with nothing. Rows with a null vec_id are left out; rows that repeat a vec_id
-    with the same vector link with one another.
+    with the same vector link with one another, and rows that repeat it with another vector are vectors of their own.
     """
     vectors = vectors.filter("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     sizes = vectors.filter("size(embedding) > 0").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     dim = sizes["d"] if sizes else 1
     own = materialize(nodes(vectors, dim), "vectors")
     reps = own.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("u"), F.count("*").alias("w"), F.first("vec").alias("vec"))
-    reps = materialize(reps, "reps")
+    reps = materialize(reps.withColumn("own", F.col("u")), "reps")
+    if not reps.groupBy("u").count().filter("count > 1").isEmpty():  # different vectors share an id: nodes get numbers in the order of the ids
+        ranged = reps.drop("u").repartitionByRange("own", "key").sortWithinPartitions("own", "key")
+        reps = materialize(ranged.withColumn("u", F.monotonically_increasing_id()), "reps")
     n = reps.count()
     true = true_links(reps, n, dim, threshold)
-    lists, found = None, None
+    lists, found, recall = None, None, 0.0
     for turn, many in enumerate((tables, max(tables, _enough(n, bucket, threshold, target)))):
         start = _start(reps, n, dim, k, many, bucket, seed + turn)
         lists = materialize(_best(start if lists is None else lists.unionByName(start), k), "lists")
@@ -316,12 +319,15 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.95, k: int = 10, table
             if listed >= target:
                 break
         clusters, found = _degrees(lists, reps, dim, k, threshold)
-        if listed >= target and _share(true.select("u", F.col("weight").alias("n")), found) >= target:
+        recall = _share(true.select("u", F.col("weight").alias("n")), found)
+        if listed >= target and recall >= target:
             break
     else:
+        recall = 1.0
         clusters, found = _all_links(clusters, reps, dim, threshold)
     out = reps.select("key", "u", "w").join(found, "u", "left").join(clusters, "u", "left")
     out = out.select("key", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("cluster", "u").alias("low"))
+    out = out.join(reps.select(F.col("u").alias("low"), "own"), "low").select("key", "n_links", F.col("own").alias("low"))
     out = own.select("vec_id", "key").join(out, "key", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("low", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return out.withColumn("kept", F.col("vec_id") == F.col("component_id")).withColumn("audited_recall", F.lit(float(recall)))

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 SPACE = "▁"
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 MEMO = 500_000
+#: Texts on which another normaliser, prefix or treatment of white space than the plain one shows.
+_PROBES = ("a", " a", "a  b ", "\u3000x\u00a0", "\uff21\ufb01 e\u0301", "\u200bz\t\r\n", "\u2581 \u2581a")
 _CODECS: dict[str, PieceCodec] = {}
 
 
@@ -50,6 +52,12 @@ class PieceCodec:
         self.compatible: dict[tuple[int, int], bool] = {}
         self.parts: dict[str, list[int]] = {}
         self.chunks: dict[str, tuple[str, int, str]] = {}
+        if any(SPACE in p.lstrip(SPACE) for p in self.ids):
+            raise ValueError("pieces with spaces behind other characters are not supported")
+        for text in _PROBES:
+            ids = model.encode(text)
+            if self.encode(text) != ids or self.decode(ids) != model.decode(ids):
+                raise ValueError(f"the model normalises or cuts {text!r} in a way that is not supported")
 
     def merge(self, text: str) -> list[str]:
         """The defining procedure, for short strings: merge the best-scored neighbours, leftmost first among equals."""

@@ -221,19 +221,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 1500, least: int = 1
     """Network from labelled documents.
 
     At most `sample` documents of either label are taken (those with the smallest hashes), each whole, as what makes it toxic may stand anywhere,
-    and cut into windows of which each round takes a few. Words must be in `least` texts to get a vector.
+    and cut into windows of which each round takes a few. Words must be in `least` texts to get a vector. Of texts that share a doc_id the smallest is
+    learnt from; a document with both labels counts as toxic; null labels and labels without a document are left out.
     """
     known = labels.filter("doc_id is not null and toxic in (0, 1)").select("doc_id", "toxic").withColumn("h", F.xxhash64("doc_id"))
     chosen: dict[int, int] = {}
     for value in (0, 1):
         chosen |= {r["doc_id"]: value for r in known.filter(F.col("toxic") == value).orderBy("h", "doc_id").limit(sample).collect()}
-    rows = docs.filter(F.col("doc_id").isin(list(chosen)) if chosen else F.lit(False)).select("doc_id", "text").dropDuplicates(["doc_id"]).collect()
+    rows = docs.filter(F.col("doc_id").isin(list(chosen)) if chosen else F.lit(False)).groupBy("doc_id").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     return _fit([r["text"] for r in rows], np.array([chosen[r["doc_id"]] == 1 for r in rows], bool), least, epochs, per_text, seed)
 
 
 def score(docs: DataFrame, p: dict[str, np.ndarray], vocabulary: Vocabulary, threshold: float = 0.7) -> DataFrame:
-    """doc_id, score (0 to 1), predicted for each row of docs; null, empty and wordless texts get the score of an empty window."""
+    """doc_id, score (0 to 1), predicted for each row of docs, repeated rows and null doc_ids included; null, empty and wordless texts get the score of an empty window."""
 
     def run(batches):
         for pdf in batches:
