@@ -6,7 +6,8 @@ one another, and what improves a list replaces its worst. After each round the r
 brute force for nodes drawn until enough of them have a link; rounds go on until it reaches the target. Only edges at or over
 the threshold are kept. A list whose K places are all links is saturated, and may lack any further link: clusters are joined by the links between
 saturated nodes, sought among all balls of such nodes whose centres and radii allow one, and the lists of a cluster with such a member are
-enlarged to the cluster, whose blocks of members are compared pair by pair of blocks in separate tasks. If then less than the target of all
+enlarged to the cluster: members near its pivot link with one another by the triangle inequality, all others are compared with the cluster's members in
+pairs of blocks, which are separate tasks. If then less than the target of all
 links of the audited nodes is found, the start is repeated with as many tables as a pair at the threshold needs, and in the last resort
 all pairs of nodes are compared.
 """
@@ -25,6 +26,7 @@ from patchlake.llm.common import connected_components, group_starts, materialize
 from patchlake.sources.storage import shared_dir
 
 BLOCK = 512
+SALT = 4096  # members of a cluster that a join of what holds for the cluster reaches together, about
 
 
 def _valid(column, dim: int) -> list[bytes | None]:
@@ -230,26 +232,57 @@ def _crossing(full: DataFrame, dim: int, threshold: float) -> DataFrame:
     return both.mapInPandas(compare, "a long, b long").distinct()
 
 
-def _enlarged(members: DataFrame, dim: int, threshold: float) -> DataFrame:
-    """(u, n): for members (cluster, u, m, w, vec) the weight of all links within the cluster, block by block."""
-    df = members.withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("u"), F.col("nb")).cast("int"))
-    df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    df = df.withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other"))
-    df = df.repartition("cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj")
+def _spread(df: DataFrame, m: str) -> DataFrame:
+    """One row per cluster as often as the cluster's members have salts."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"{m} DIV {SALT}"))))
+
+
+def _by_pairs(members: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """(u, n): weights of links between outer members and all members (cluster, u, m, w, vec, inner, outer: number of outer ones) of a cluster, block by block."""
+    hashed = lambda n: F.pmod(F.xxhash64("u"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    df = members.withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("no", F.ceil(F.col("outer") / BLOCK).cast("int"))
+    names, keys = ["cluster", "bi", "bj", "side", "u", "w", "inner", "vec"], ["cluster", "bi", "bj"]
+    every = df.withColumn("bi", hashed("nb")).withColumn("bj", each("no")).withColumn("side", F.lit(0)).select(names)
+    outer = df.filter("not inner").withColumn("bj", hashed("no")).withColumn("bi", each("nb")).withColumn("side", F.lit(1)).select(names)
 
     def compare(batches):
-        for pdf in whole_groups(batches, ["cluster", "bi", "bj"]):
-            at, u, w, own, x = group_starts(pdf, ["cluster", "bi", "bj"]), pdf["u"].to_numpy(), pdf["w"].to_numpy(), pdf["own"].to_numpy(), _matrix(pdf["vec"], dim)
-            n = np.zeros(len(u), np.int64)
+        for pdf in whole_groups(batches, keys):
+            at, u, w, inner, x = group_starts(pdf, keys), pdf["u"].to_numpy(), pdf["w"].to_numpy(), pdf["inner"].to_numpy(), _matrix(pdf["vec"], dim)
+            side, n = pdf["side"].to_numpy(), np.zeros(len(pdf), np.int64)
             for lo, hi in zip(at[:-1], at[1:], strict=True):
-                near = x[lo:hi] @ x[lo:hi].T >= threshold
-                np.fill_diagonal(near, False)
-                if pdf["bi"].iloc[lo] != pdf["bj"].iloc[lo]:
-                    near &= own[lo:hi, None] != own[None, lo:hi]
-                n[lo:hi] = near @ w[lo:hi]
-            yield pd.DataFrame({"u": u, "n": n})
-
-    return df.select("cluster", "bi", "bj", "own", "u", "w", "vec").mapInPandas(compare, "u long, n long").groupBy("u").agg(F.sum("n").alias("n"))
+                mid = lo + int((side[lo:hi] == 0).sum())
+                near = (x[lo:mid] @ x[mid:hi].T >= threshold) & (u[lo:mid, None] != u[mid:hi])
+                n[lo:mid] = near @ w[mid:hi]
+                n[mid:hi] = (w[lo:mid] * inner[lo:mid]) @ near  # links of two outer ones are counted on the first side
+            yield pd.DataFrame({"u": u, "n": n})[n > 0]
+
+    dealt = every.unionByName(outer).repartition(*keys).sortWithinPartitions(*keys, "side")
+    return dealt.select(names).mapInPandas(compare, "u long, n long")
+
+
+def _enlarged(members: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """(u, n): for members (cluster, u, m, w, vec) the weight of all links within the cluster.
+
+    The member that names the cluster is its pivot. Members within half the threshold's angle of it all link with one another, so only the outer ones
+    are compared with the cluster's members, block by block.
+    """
+    half = float(np.arccos(threshold)) / 2 - 1e-7
+    pivots = _spread(members.filter("u = cluster").select("cluster", "m", F.col("vec").alias("pivot")), "m").drop("m")
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("u"), F.expr(f"m DIV {SALT} + 1")))
+
+    def place(batches):
+        for pdf in batches:
+            near = (_matrix(pdf["vec"], dim) * _matrix(pdf["pivot"], dim)).sum(1)
+            yield pdf.drop(columns="pivot").assign(inner=np.arccos(np.clip(near, -1, 1)) <= half)
+
+    names = ["cluster", "salt", "u", "m", "w", "vec"]
+    placed = salted.join(pivots, ["cluster", "salt"]).select(*names, "pivot").mapInPandas(place, "cluster long, salt long, u long, m long, w long, vec binary, inner boolean")
+    placed = materialize(placed, "placed")
+    sums = placed.groupBy("cluster").agg(F.max("m").alias("_m"), F.coalesce(F.sum(F.when(F.col("inner"), F.col("w"))), F.lit(0)).alias("weight"), F.count(F.when(~F.col("inner"), 1)).alias("outer"))
+    told = placed.join(_spread(sums, "_m").drop("_m"), ["cluster", "salt"])
+    sure = told.filter("inner").select("u", (F.col("weight") - F.col("w")).alias("n"))
+    return sure.unionByName(_by_pairs(told.filter("outer > 0"), dim, threshold)).groupBy("u").agg(F.sum("n").alias("n"))
 
 
 def _enough(n: int, bucket: int, threshold: float, target: float) -> int:

@@ -20,9 +20,10 @@ def test_components_of_chains_stars_and_circles(spark):
     assert connected_components(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("block", [512, 16])
-def test_links_equal_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, salt", [(512, 4096), (16, 5)])
+def test_links_equal_brute_force(spark, monkeypatch, block, salt):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "SALT", salt)
     rng = np.random.default_rng(1)
     x = rng.standard_normal((300, 16)).astype(np.float32)
     x[50:110] = x[0] + 0.02 * rng.standard_normal((60, 16))
@@ -42,6 +43,16 @@ def test_links_equal_brute_force(spark, monkeypatch, block):
     assert all((got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True) for i in range(900, 905)) and len(got) == 305
 
 
+def test_a_large_cluster_of_near_copies_needs_no_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal(16)
+    x = np.concatenate((base + 0.02 * rng.standard_normal((2500, 16)), rng.standard_normal((50, 16))))
+    asked, pairs = [], neardup._by_pairs
+    monkeypatch.setattr(neardup, "_by_pairs", lambda members, *a: asked.append(members.count()) or pairs(members, *a))
+    got = {r.vec_id: r for r in neardup.link_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    assert all((got[i].n_links, got[i].component_id) == (2499, 0) for i in range(2500)) and sum(asked) == 0
+
+
 def test_links_of_nothing(spark):
     assert neardup.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
