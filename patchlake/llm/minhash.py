@@ -26,7 +26,7 @@ from patchlake.llm.common import byte_blocks, connected_components, gram_hashes,
 
 BLOCK = 256  # members of a cluster compared on full sets at once, by block
 LIST_BLOCK = 1024  # the same for signatures in a posting list
-ROUNDS = 3  # of random blocks for larger groups
+ROUNDS = 2  # of random blocks for larger groups
 
 
 def _sets(texts: list[str], k: int):
@@ -155,13 +155,14 @@ def tied(members: DataFrame, keys: list[str], block: int, match: Callable[[list,
     """Edges (a, b) whose components are those of all matching pairs within groups (keys) of members (keys, m: size of the group, doc, items)."""
     edges = [_forest(members.filter(F.col("m") <= block), keys, match)]
     many = materialize(members.filter(F.col("m") > block).withColumn("comp", F.col("doc")), "many")
+    if many.isEmpty():
+        return edges[0]
     for turn in range(ROUNDS):
-        if many.isEmpty():
-            return reduce(DataFrame.unionByName, edges)
         part = F.pmod(F.xxhash64("doc", F.lit(turn)), F.ceil(F.col("m") / block)).cast("int")
         edges.append(materialize(_forest(many.withColumn("part", part), [*keys, "part"], match), "ties"))
+    if ROUNDS:
         found = connected_components(reduce(DataFrame.unionByName, edges[1:])).select(F.col("node").alias("doc"), "comp")
-        told = materialize(many.drop("comp").join(found, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")), "told")
+        told = many.drop("comp").join(found, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
         apart = told.groupBy(*keys).agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a <> _b").select(*keys)
         many = materialize(told.join(apart, keys, "left_semi"), "many")
     if not many.isEmpty():
