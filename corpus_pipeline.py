@@ -1,7 +1,9 @@
 """Corpus pipeline: language ID, MinHash near-dedup, substring dedup, personal data masking, best-fit packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all but the last return the
-columns of documents, with n_chars following the text. run() writes every stage's result as a table and rereads it.
+columns of documents, with n_chars following the text. run() writes every stage's result as a table and rereads it. Further columns of documents are
+left out. Rows with a null doc_id pass the dedup stages as they are, different texts that share a doc_id are documents of their own, and rows that repeat
+both are one; an empty table stays empty.
 """
 
 from __future__ import annotations
