@@ -45,3 +45,21 @@ def test_near_dedup_keeps_null_ids_and_each_text_of_an_id(spark):
     # of "words more" of doc 5 only the last word is new, and the other text of doc 5 stays whole
     got = sorted((r.doc_id, r.text) for r in left.filter("doc_id in (3, 5)").collect())
     assert got == [(3, words[1]), (5, words[2]), (5, "more")]
+
+
+def test_stages_on_odd_and_empty_tables(spark, tmp_path):
+    words = lambda c, n: " ".join(f"{c}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}" for i in range(n))
+    rows = [(1, words("k", 400), "aa"), (2, words("zo", 400), "bb"), (2, words("zo", 400), "bb"), (3, None, "aa"), (4, "", None), (5, "12 !!", None), (6, words("k", 60_000), "aa"), (None, words("k", 30) + " a.b@c.de", None), (7, words("q", 300), None)]
+    docs = spark.createDataFrame([(i, t, lang, None, None, "x", 0) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long, piece string, keep int")
+    read, seen = docs, {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, read, "").write.parquet(str(tmp_path / str(k)))
+        read = spark.read.parquet(str(tmp_path / str(k)))
+        seen[name] = read
+        empty = stage(spark, docs.limit(0), "")
+        assert empty.count() == 0 and empty.columns == read.columns
+    ids = lambda name: sorted(str(r.doc_id) for r in seen[name].select("doc_id").collect())
+    assert not {"3", "4", "5"} & set(ids("language_id")) and ids("language_id").count("2") == 2
+    assert ids("minhash_dedup").count("2") == 1 and "None" in ids("minhash_dedup")
+    assert [r.text.endswith("<email>") for r in seen["personal_data"].filter("doc_id is null").collect()] == [True]
+    assert set(ids("packing")) == set(ids("personal_data")) and seen["packing"].filter("doc_id = 6").count() > 1
