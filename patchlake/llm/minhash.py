@@ -6,9 +6,10 @@ posting lists: two signatures that agree on `least` of `coords` places must meet
 (shared - least + 1) pairs taken in order of frequency. Within a list, collisions are counted on whole
 signatures and classes above the match threshold are tied into candidate clusters. In each cluster links are confirmed on the full shingle sets.
 
-Groups (lists and clusters) of more than LIST_BLOCK and BLOCK members are never compared pair by pair: `tied` deals their members to random blocks
-for ROUNDS rounds, each block being one task's work, which ties the members of a dense group together in linear work. What is then still apart is compared
-exactly: members outside their group's largest component, in blocks, with all members of the group. Each task returns a forest, never all pairs.
+Groups (lists and clusters) of more than LIST_BLOCK and BLOCK members are never compared pair by pair: `tied` deals their members to random blocks,
+each one task's work, lets one row stand for each component of a block, and goes on with these representatives until they fit one block, which ties the members of a dense
+group together in linear work. What is then still apart is compared exactly: members outside their group's largest component, in blocks, with all members
+of the group. Each task returns a forest, never all pairs.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from patchlake.llm.common import byte_blocks, connected_components, gram_hashes,
 
 BLOCK = 256  # members of a cluster compared on full sets at once, by block
 LIST_BLOCK = 1024  # the same for signatures in a posting list
-ROUNDS = 2  # of random blocks for larger groups
+LEVELS = 4  # of representatives in larger groups, at most
 
 
 def _sets(texts: list[str], k: int):
@@ -103,23 +104,21 @@ def _set_match(percent: int) -> Callable[[list, list], np.ndarray]:
     return match
 
 
-def _forest(df: DataFrame, keys: list[str], match: Callable[[list, list], np.ndarray]) -> DataFrame:
-    """Edges (a, b) that tie together all rows of each group of keys (doc, items) that match."""
+def _labels(df: DataFrame, key: str, match: Callable[[list, list], np.ndarray]) -> DataFrame:
+    """(key, doc, rep): each row of the groups (key, part) of df (doc, items) and the row that stands for its component of matching rows in the group."""
+    groups = [key, "part"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in whole_groups(batches, keys):
-            at, doc, items = group_starts(pdf, keys), pdf["doc"].to_numpy(), pdf["items"].tolist()
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for pdf in whole_groups(batches, groups):
+            at, doc, items = group_starts(pdf, groups), pdf["doc"].to_numpy(), pdf["items"].tolist()
+            rep = doc.copy()
             for lo, hi in zip(at[:-1], at[1:], strict=True):
                 if hi - lo > 1:
-                    star = local_stars(match(items[lo:hi], items[lo:hi]))
-                    far = np.flatnonzero(star != np.arange(hi - lo))
-                    a.append(doc[lo:hi][far])
-                    b.append(doc[lo:hi][star[far]])
-            yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+                    rep[lo:hi] = doc[lo:hi][local_stars(match(items[lo:hi], items[lo:hi]))]
+            yield pd.DataFrame({key: pdf[key], "doc": doc, "rep": rep})
 
-    dealt = df.repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.select(*keys, "doc", "items").mapInPandas(run, "a long, b long").filter("a <> b")
+    dealt = df.repartition(*groups).sortWithinPartitions(*groups)
+    return dealt.select(*groups, "doc", "items").mapInPandas(run, f"{key} long, doc long, rep long")
 
 
 def _across(rows: DataFrame, keys: list[str], block: int, match: Callable[[list, list], np.ndarray]) -> DataFrame:
@@ -151,22 +150,27 @@ def _across(rows: DataFrame, keys: list[str], block: int, match: Callable[[list,
     return dealt.mapInPandas(run, "a long, b long").distinct()
 
 
-def tied(members: DataFrame, keys: list[str], block: int, match: Callable[[list, list], np.ndarray]) -> DataFrame:
-    """Edges (a, b) whose components are those of all matching pairs within groups (keys) of members (keys, m: size of the group, doc, items)."""
-    edges = [_forest(members.filter(F.col("m") <= block), keys, match)]
-    many = materialize(members.filter(F.col("m") > block).withColumn("comp", F.col("doc")), "many")
+def tied(members: DataFrame, key: str, block: int, match: Callable[[list, list], np.ndarray]) -> DataFrame:
+    """Edges (a, b) whose components are those of all matching pairs within groups (key) of members (key, m: size of the group, doc, items)."""
+    pairs = lambda labels: labels.filter("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
+    edges = [pairs(_labels(members.filter(F.col("m") <= block).withColumn("part", F.lit(0)), key, match))]
+    many = materialize(members.filter(F.col("m") > block), "many")
     if many.isEmpty():
         return edges[0]
-    for turn in range(ROUNDS):
-        part = F.pmod(F.xxhash64("doc", F.lit(turn)), F.ceil(F.col("m") / block)).cast("int")
-        edges.append(materialize(_forest(many.withColumn("part", part), [*keys, "part"], match), "ties"))
-    if ROUNDS:
-        found = connected_components(reduce(DataFrame.unionByName, edges[1:])).select(F.col("node").alias("doc"), "comp")
-        told = many.drop("comp").join(found, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-        apart = told.groupBy(*keys).agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a <> _b").select(*keys)
-        many = materialize(told.join(apart, keys, "left_semi"), "many")
-    if not many.isEmpty():
-        edges.append(materialize(_across(many, keys, block, match), "ties"))
+    level, told = many, many.select(key, "doc", F.col("doc").alias("comp"))
+    for turn in range(LEVELS):
+        sized = level.join(level.groupBy(key).agg(F.count("*").alias("_r")), key)
+        labels = materialize(_labels(sized.withColumn("part", F.pmod(F.xxhash64("doc", F.lit(turn)), F.ceil(F.col("_r") / block)).cast("int")), key, match), "labels")
+        edges.append(pairs(labels))
+        told = told.join(labels.select(key, F.col("doc").alias("comp"), "rep"), [key, "comp"]).select(key, "doc", F.col("rep").alias("comp"))
+        if labels.groupBy(key).count().filter(F.col("count") > block).isEmpty():
+            break
+        level = labels.filter("doc = rep").select(key, "doc").join(many.select(key, "doc", "items"), [key, "doc"])
+    told = materialize(told, "told")
+    apart = told.groupBy(key).agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a <> _b").select(key)
+    left = materialize(many.join(told.join(apart, key, "left_semi"), [key, "doc"]), "left")
+    if not left.isEmpty():
+        edges.append(materialize(_across(left, [key], block, match), "ties"))
     return reduce(DataFrame.unionByName, edges)
 
 
@@ -174,7 +178,7 @@ def candidate_edges(classes: DataFrame, coords: int, least: int) -> DataFrame:
     """Edges (a, b) that tie together all classes whose signatures agree on at least `least` coordinates."""
     post = materialize(_postings(classes, coords, least), "postings")
     held = post.join(classes.select("doc", F.col("sig").alias("items")), "doc").withColumnRenamed("df", "m")
-    return tied(held, ["elem"], LIST_BLOCK, _signature_match(coords, least))
+    return tied(held, "elem", LIST_BLOCK, _signature_match(coords, least))
 
 
 def confirmed_edges(docs: DataFrame, clusters: DataFrame, k: int, percent: int) -> DataFrame:
@@ -188,7 +192,7 @@ def confirmed_edges(docs: DataFrame, clusters: DataFrame, k: int, percent: int)
             yield pd.DataFrame({"cluster": pdf["cluster"], "m": pdf["m"], "doc": pdf["doc"], "items": [s.tobytes() for s in _sets(list(pdf["text"]), k)]})
 
     held = texts.select("cluster", "m", "doc", "text").mapInPandas(sets, "cluster long, m long, doc long, items binary")
-    return tied(held, ["cluster"], BLOCK, _set_match(percent))
+    return tied(held, "cluster", BLOCK, _set_match(percent))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coords: int = 64, sigmas: float = 3.3) -> DataFrame:

@@ -57,11 +57,11 @@ def test_near_duplicates_equal_brute_force(spark, k):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got) and len(got) == len(want)
 
 
-@pytest.mark.parametrize("rounds", [0, 2])
-def test_large_groups_are_tied_as_by_all_pairs(spark, monkeypatch, rounds):
+@pytest.mark.parametrize("levels", [0, 1, 4])
+def test_large_groups_are_tied_as_by_all_pairs(spark, monkeypatch, levels):
     monkeypatch.setattr(minhash, "BLOCK", 4)
     monkeypatch.setattr(minhash, "LIST_BLOCK", 3)
-    monkeypatch.setattr(minhash, "ROUNDS", rounds)
+    monkeypatch.setattr(minhash, "LEVELS", levels)
     rows = corpus(5)
     got = near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), k=4).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components([r for r in rows if r[0] is not None], 4)
@@ -71,8 +71,8 @@ def test_a_large_cluster_of_near_copies_takes_linear_work(spark, monkeypatch):
     rng, dealt = random.Random(7), []
     base = [f"w{i}" for i in range(40)]
     rows = [(i, " ".join([*base, f"x{i}", f"y{rng.randrange(9)}"])) for i in range(1500)]
-    forest = minhash._forest
-    monkeypatch.setattr(minhash, "_forest", lambda df, keys, match: dealt.append(df.count()) or forest(df, keys, match))
+    labels = minhash._labels
+    monkeypatch.setattr(minhash, "_labels", lambda df, key, match: dealt.append(df.count()) or labels(df, key, match))
     monkeypatch.setattr(minhash, "_across", lambda rows, *_: pytest.fail("left apart"))
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4)
     assert got.filter("component_id = 0").count() == 1500
