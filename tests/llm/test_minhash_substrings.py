@@ -57,7 +57,7 @@ def test_near_duplicates_equal_brute_force(spark, k):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got) and len(got) == len(want)
 
 
-@pytest.mark.parametrize("levels", [0, 1, 4])
+@pytest.mark.parametrize("levels", [0, 4])
 def test_large_groups_are_tied_as_by_all_pairs(spark, monkeypatch, levels):
     monkeypatch.setattr(minhash, "BLOCK", 4)
     monkeypatch.setattr(minhash, "LIST_BLOCK", 3)
@@ -106,7 +106,7 @@ def brute_repeats(rows, window):
     return out
 
 
-@pytest.mark.parametrize("split, salt", [(512, 4096), (2, 3), (1, 1)])
+@pytest.mark.parametrize("split, salt", [(512, 4096), (2, 3)])
 def test_repeats_equal_brute_force(spark, monkeypatch, split, salt):
     from patchlake.llm import substrings
 
