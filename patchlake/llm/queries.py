@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patchlake.llm import fingerprints, langid, minhash, neardup, packing, pieces, pii, substrings, toolcalls, toxicity
+from patchlake.llm import fingerprints, langid, lexical, minhash, neardup, packing, pieces, pii, substrings, toolcalls, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_table(spark, sf_dir, "documents"), window=20).drop("text")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_nn_descent": op2_nn_descent,
@@ -76,9 +80,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_tool_calls": op9_tool_calls,
     "op10_substrings": op10_substrings,
+    "op11_ranked_search": op11_ranked_search,
 }
 
 ORACLES: dict[str, str] = {
+    "op11_ranked_search": lexical.SEARCH_SQL,
     "op9_tool_calls": """
 WITH RECURSIVE c AS (SELECT conv_id, turn, text, length(text) % 60 AS lim FROM conversations WHERE role = 'user'),
 r AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
