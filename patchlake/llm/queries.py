@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patchlake.llm import fingerprints, langid, lexical, minhash, neardup, packing, pieces, pii, substrings, toolcalls, toxicity
+from patchlake.llm import fingerprints, langid, lexical, minhash, neardup, ordered, packing, pieces, pii, prefixes, substrings, toolcalls, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,14 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=20)
 
 
+def op12_ordered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered.pack_in_order(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=1, capacity=2048)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.prefix_nodes(_table(spark, sf_dir, "conversations"), every=20, most=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_nn_descent": op2_nn_descent,
@@ -81,6 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_tool_calls": op9_tool_calls,
     "op10_substrings": op10_substrings,
     "op11_ranked_search": op11_ranked_search,
+    "op12_ordered_packing": op12_ordered_packing,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
