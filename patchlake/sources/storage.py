@@ -50,7 +50,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def global_index(df: DataFrame, by: list[str], out: str = "idx") -> DataFrame:
+def global_index(df: DataFrame, by: list[str], out: str = "idx", kind: str = "int") -> DataFrame:
     """Adds the row's number from 0 in order of `by`, without a task that sees all rows.
 
     Rows are dealt to ranges and written with their range's number; only the ranges' counts are added up in one place.
@@ -59,4 +59,4 @@ def global_index(df: DataFrame, by: list[str], out: str = "idx") -> DataFrame:
     counts = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).drop("_n")
     own = dealt.withColumn("_own", F.row_number().over(Window.partitionBy("_range").orderBy(*by)) - 1)
-    return own.join(before, "_range").withColumn(out, (F.col("_before") + F.col("_own")).cast("int")).drop("_range", "_before", "_own")
+    return own.join(before, "_range").withColumn(out, (F.col("_before") + F.col("_own")).cast(kind)).drop("_range", "_before", "_own")
