@@ -68,6 +68,37 @@ def bilinear(maps: np.ndarray, h: int, w: int) -> np.ndarray:
     return across(top) * (1 - fy)[:, None] + across(low) * fy[:, None]
 
 
+def bilinear_rows(strip: np.ndarray, top: int, n: int, h: int, w: int, rows: np.ndarray) -> np.ndarray:
+    """Some rows of what bilinear gives for maps of n rows, from a strip (k, y, x) that begins at row `top` of the maps."""
+    y0, y1, fy = (a[rows] for a in _axis(n, h))
+    x0, x1, fx = _axis(strip.shape[2], w)
+    across = lambda m: m[:, :, x0] * (1 - fx) + m[:, :, x1] * fx
+    return across(strip[:, y0 - top]) * (1 - fy)[:, None] + across(strip[:, y1 - top]) * fy[:, None]
+
+
+def range_max(grid: np.ndarray, y1: np.ndarray, x1: np.ndarray, y2: np.ndarray, x2: np.ndarray) -> np.ndarray:
+    """Greatest value in each box of cells y1 <= y < y2, x1 <= x < x2 (none empty), by four reads of a table of maxima.
+
+    Level (a, b) of the table holds the maxima of 2^a x 2^b cells. Levels follow from each other by one doubling and are kept only while boxes of their
+    size are answered, so memory is a few grids.
+    """
+    out = np.empty(len(y1))
+    up, along = (np.frexp(n)[1] - 1 for n in (y2 - y1, x2 - x1))
+    tall = grid
+    for a in range(int(up.max(initial=0)) + 1):
+        if a:
+            tall = np.maximum(tall[: -(1 << (a - 1))], tall[1 << (a - 1) :])
+        wide, left = tall, np.flatnonzero(up == a)
+        for b in range(int(along[left].max(initial=-1)) + 1):
+            if b:
+                wide = np.maximum(wide[:, : -(1 << (b - 1))], wide[:, 1 << (b - 1) :])
+            i = left[along[left] == b]
+            if len(i):
+                ya, yb, xa, xb = y1[i], y2[i] - (1 << a), x1[i], x2[i] - (1 << b)
+                out[i] = np.maximum(np.maximum(wide[ya, xa], wide[ya, xb]), np.maximum(wide[yb, xa], wide[yb, xb]))
+    return out
+
+
 def components(mask: np.ndarray, corners: bool = True) -> np.ndarray:
     """Region numbers from 1 in raster order of the first cell, 0 outside; cells touching at corners join if asked."""
     h, w = mask.shape

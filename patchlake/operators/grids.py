@@ -44,6 +44,28 @@ def unflatten_map(df: DataFrame, col: str = "feat") -> DataFrame:
     return rows.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("y", "_row"))).alias("_m")).select("image_id", F.col("_m._row").alias("map"))
 
 
+def _tile_numbers(place: str, size: str, crop: int, stride: int, patch: int) -> Column:
+    """Numbers of the tiles along an axis that hold a patch: those whose untouched range does, and the last one, which is moved back to the edge."""
+    last = F.floor(F.greatest(F.col(size) - crop + stride - 1, F.lit(0)) / stride)
+    low = F.greatest(F.floor((F.col(place) * patch + patch - 1 - crop) / stride) + 1, F.lit(0))
+    high = F.least(F.floor((F.col(place) * patch) / stride), last - 1)
+    inner = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
+    moved = (F.col(place) * patch + patch > F.greatest(F.col(size) - crop, F.lit(0))) & (F.col(place) * patch < F.col(size))
+    return F.when(moved, F.concat(inner, F.array(last))).otherwise(inner)
+
+
+def tile_patches(patches: DataFrame, images: DataFrame, stride: int = 224, crop: int = 336, patch: int = 16) -> DataFrame:
+    """Each patch with h_idx and w_idx of the tiles of make_tiles(images, stride, crop, patch) that hold it.
+
+    The tiles' numbers follow from the patch's place by inverse stride arithmetic, so the only join is by image, with one row each; patches without an
+    image or outside it have no row. Corners must divide by patch, as make_tiles asks too.
+    """
+    sized = patches.join(images.select("image_id", F.col("h").alias("_h"), F.col("w").alias("_w")), "image_id")
+    wide = sized.withColumn("h_idx", F.explode(_tile_numbers("y", "_h", crop, stride, patch)))
+    wide = wide.withColumn("w_idx", F.explode(_tile_numbers("x", "_w", crop, stride, patch)))
+    return wide.select(patches.columns + [F.col(c).cast("int").alias(c) for c in ("h_idx", "w_idx")])
+
+
 def assign_tiles(patches: DataFrame, tiles: DataFrame) -> DataFrame:
     """Each patch in each tile of its image that holds it (half-open bounds)."""
     p, t = patches.alias("p"), tiles.alias("t")
@@ -87,6 +109,77 @@ def bilinear_resize(grid: DataFrame, h: int, w: int, value: str = "v", keys: tup
     return cells.groupBy("image_id").applyInPandas(run, schema)
 
 
+#: Values of an upsampled strip that a task holds at once, about.
+STRIP_VALUES = 8_000_000
+
+
+def _strips(probs: DataFrame, h: int, rows: int) -> DataFrame:
+    """Source rows with the strips of target rows that read them: those of the row itself and of the halo of one row on either side."""
+    sizes = probs.groupBy("image_id").agg((F.max("y") + 1).alias("_n"), (F.max("x") + 1).alias("_m"))
+    place = lambda c, slack: F.floor(((c + 0.5) * h / F.col("_n") - 0.5 + slack) / rows)
+    last = F.lit((h - 1) // rows)
+    first = F.when(F.col("y") <= 1, F.lit(0)).otherwise(F.greatest(place(F.col("y") - 1, -1e-6), F.lit(0)))
+    end = F.when(F.col("y") == F.col("_n") - 1, last).otherwise(F.least(place(F.col("y") + 1, 1e-6), last))
+    return probs.join(sizes, "image_id").withColumn("_strip", F.explode(F.when(first <= end, F.sequence(first.cast("int"), end.cast("int")))))
+
+
+def _upsampled(group: pd.DataFrame, h: int, w: int, rows: int):
+    """Target rows of a strip and their probabilities (class, row, x), a row at a time."""
+    strip, n, m = int(group["_strip"].iloc[0]), int(group["_n"].iloc[0]), int(group["_m"].iloc[0])
+    group = group.sort_values(["y", "x"])
+    y, x = group["y"].to_numpy(np.int64), group["x"].to_numpy(np.int64)
+    top, many = int(y[0]), len(group)
+    if many % m or (y * m + x != top * m + np.arange(many)).any():
+        raise ValueError(f"the grid of image {group['image_id'].iloc[0]} is not full")
+    held = np.nan_to_num(kernels.rows(group["probs"])).T.reshape(-1, many // m, m)
+    for t in range(strip * rows, min(h, (strip + 1) * rows)):
+        yield t, kernels.bilinear_rows(held, top, n, h, w, np.array([t]))[:, 0]
+
+
+def upsample_labels(probs: DataFrame, h: int, w: int, denoise: float = 0.5, ignore: float | None = None, rows: int | None = None) -> DataFrame:
+    """(image_id, y, x, class_id, p) on an h x w grid, of probabilities as arrays (image_id, y, x, class_ids, probs): bilinear resizing, classes whose
+    maximum over the resized image is under `denoise` set to 0, best class (ties to the first), and, if `ignore` is given, classes moved up by one
+    with 0 where p is under it.
+
+    The result of bilinear_resize, denoise_prompts, argmax_class and apply_ignore one after the other, without a row per class. Images go in strips of
+    `rows` target rows (by default as many as STRIP_VALUES allows), each with the source rows it reads; strips are resized twice, once for the classes'
+    maxima, which are merged by image, and once for the labels, so nothing of class depth is written at the output's size. A null probability counts
+    as 0; a source grid with a missing cell is an error; class_ids must be the same in all rows of an image.
+    """
+    if rows is None:
+        most = probs.agg(F.max(F.size("probs"))).first()[0] or 1
+        rows = max(1, min(h, STRIP_VALUES // (w * most)))
+    kind, ids = (probs.schema[c].dataType.simpleString() for c in ("image_id", "class_ids"))
+    cut = _strips(probs.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "class_ids", F.col("probs").cast("array<double>").alias("probs")), h, rows)
+
+    def maxima(group: pd.DataFrame) -> pd.DataFrame:
+        top = None
+        for _, p in _upsampled(group, h, w, rows):
+            top = p.max(1) if top is None else np.maximum(top, p.max(1))
+        return pd.DataFrame({"image_id": group["image_id"].iloc[0], "_strip": group["_strip"].iloc[0], "place": np.arange(len(top)), "top": top})
+
+    tops = cut.groupBy("image_id", "_strip").applyInPandas(maxima, f"image_id {kind}, _strip int, place int, top double")
+    kept = tops.groupBy("image_id", "place").agg(F.max("top").alias("top")).groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("place", "top"))).alias("_t"))
+    strips = kept.select("image_id", F.col("_t.top").alias("tops"), F.explode(F.sequence(F.lit(0), F.lit((h - 1) // rows))).alias("_strip"))
+
+    def label(group: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if not len(group):
+            return pd.DataFrame({"image_id": [], "y": [], "x": [], "class_id": [], "p": []})
+        off, classes, made = np.asarray(held["tops"].iloc[0]) < denoise, np.asarray(group["class_ids"].iloc[0]), []
+        for t, p in _upsampled(group, h, w, rows):
+            p[off] = 0
+            best = p.argmax(0)
+            made.append((t, classes[best], p[best, np.arange(w)]))
+        y = np.repeat(np.array([t for t, _, _ in made], np.int32), w)
+        out, p = np.concatenate([c for _, c, _ in made]), np.concatenate([p for _, _, p in made])
+        if ignore is not None:
+            out = np.where(p < ignore, 0, out + 1)
+        return pd.DataFrame({"image_id": group["image_id"].iloc[0], "y": y, "x": np.tile(np.arange(w, dtype=np.int32), len(made)), "class_id": out, "p": p})
+
+    both = cut.groupBy("image_id", "_strip").cogroup(strips.groupBy("image_id", "_strip"))
+    return both.applyInPandas(label, f"image_id {kind}, y int, x int, class_id {ids[6:-1]}, p double")
+
+
 def pad_grid(grid: DataFrame, h: int, w: int, value: str = "v", fill: float = 0.0) -> DataFrame:
     """(image_id, y, x, value) on an h x w grid: cells that the image lacks hold fill."""
     t = _cells(grid, h, w).select("image_id", F.col("ty").alias("y"), F.col("tx").alias("x"))
