@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from patchlake.operators import aggregates, grids, prompts, regions, rowmath, similarity, voxels, windows
+from patchlake.operators import aggregates, attention, grids, prompts, regions, rowmath, similarity, tiled, voxels, windows
 from patchlake.plans.views import table, view, with_views
 from patchlake.sources import storage
 from patchlake.sources import tables as sources
@@ -202,17 +202,34 @@ def c1_self_correlate(spark, d):
     return _long(_with_ids(similarity.self_correlate(view(spark, d, "patches"))), ["vec_id"], "feat")
 
 
-@query("patches", PV + """, hs AS (SELECT a.image_id, a.vec_id AS a, b.vec_id AS b, a.dim // 16 AS h, sum(a.v * b.v) * 0.25::DOUBLE AS s FROM pv a JOIN pv b USING (image_id, dim) GROUP BY ALL),
+@query("patches", C1)
+def c1_self_correlate_blocks(spark, d):
+    """Self-similarity over blocks of 30 tokens, as for images that one task should not hold."""
+    return _long(_with_ids(attention.self_correlate_blocks(view(spark, d, "patches"), block=30)), ["vec_id"], "feat")
+
+
+C2 = PV + """, hs AS (SELECT a.image_id, a.vec_id AS a, b.vec_id AS b, a.dim // 16 AS h, sum(a.v * b.v) * 0.25::DOUBLE AS s FROM pv a JOIN pv b USING (image_id, dim) GROUP BY ALL),
 he AS (SELECT *, exp(s - max(s) OVER (PARTITION BY a, h)) AS e FROM hs), hw AS (SELECT a, b, h, e / sum(e) OVER (PARTITION BY a, h) AS w FROM he),
 mx AS (SELECT hw.a AS vec_id, pv.image_id, pv.dim, sum(w * v) AS v FROM hw JOIN pv ON pv.vec_id = hw.b AND pv.dim // 16 = hw.h GROUP BY ALL), mn AS (SELECT vec_id, sqrt(sum(v * v)) AS n FROM mx GROUP BY vec_id),
 mu AS (SELECT vec_id, image_id, dim, v / greatest(n, 1e-12) AS u FROM mx JOIN mn USING (vec_id)),
 mt AS (SELECT a.vec_id AS a, b.vec_id AS b, sum(a.u * b.u) * 10 AS t FROM mu a JOIN mu b USING (image_id, dim) GROUP BY ALL), mk AS (SELECT a, b, greatest(t, 0) AS t FROM mt WHERE t >= -1e-12),
 me AS (SELECT a, b, exp(t - max(t) OVER (PARTITION BY a)) AS e FROM mk), mw AS (SELECT a, b, e / sum(e) OVER (PARTITION BY a) AS w FROM me),
 mo AS (SELECT mw.a AS vec_id, pv.dim, sum(w * v) AS v FROM mw JOIN pv ON pv.vec_id = mw.b GROUP BY ALL)
-SELECT p.image_id, p.y, p.x, CAST(dim AS INT) AS dim, round(v, 6) + 0.0 AS v FROM mo JOIN patches p USING (vec_id)""")
+SELECT p.image_id, p.y, p.x, CAST(dim AS INT) AS dim, round(v, 6) + 0.0 AS v FROM mo JOIN patches p USING (vec_id)"""
+
+
+def _qkv(spark, d) -> DataFrame:
+    return view(spark, d, "patches").select(*CELL, *[F.col("feat").alias(c) for c in "qkv"])
+
+
+@query("patches", C2)
 def c2_recursive_attention(spark, d):
-    p = view(spark, d, "patches").select(*CELL, *[F.col("feat").alias(c) for c in "qkv"])
-    return _long(similarity.recursive_attention(p, heads=4), CELL, "feat")
+    return _long(similarity.recursive_attention(_qkv(spark, d), heads=4), CELL, "feat")
+
+
+@query("patches", C2)
+def c2_recursive_attention_blocks(spark, d):
+    return _long(attention.recursive_attention_blocks(_qkv(spark, d), heads=4, block=30), CELL, "feat")
 
 
 def _kmeans_sql(k: int, rounds: int) -> str:
@@ -312,6 +329,14 @@ def j2_assign_tiles(spark, d):
     return _tiled(spark, d).select("vec_id", "h_idx", "w_idx")
 
 
+@query("patches", TILED + f" SELECT p.vec_id, tl.h_idx, tl.w_idx FROM {INSIDE.format(p='patches')}")
+def j2_tile_patches(spark, d):
+    """Tile numbers by inverse stride arithmetic instead of a range join."""
+    patches = view(spark, d, "patches")
+    sizes = patches.groupBy("image_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
+    return grids.tile_patches(patches, sizes, stride=3, crop=5, patch=1).select("vec_id", "h_idx", "w_idx")
+
+
 @query("patches", PV + f", {TILED} SELECT p.image_id, p.y, p.x, CAST(p.dim AS INT) AS dim, round(avg(p.v * (1 + tl.h_idx + tl.w_idx)), 6) + 0.0 AS v FROM {INSIDE.format(p='pv')} GROUP BY p.image_id, p.y, p.x, p.dim")
 def a2_stitch_tiles(spark, d):
     told = _tiled(spark, d).withColumn("feat", F.transform("feat", lambda v: v.cast("double") * (1 + F.col("h_idx") + F.col("w_idx"))))
@@ -338,6 +363,22 @@ def j4_bilinear_resize(spark, d):
     return grids.bilinear_resize(view(spark, d, "grid"), 30, 30).select(*CELL, r9("v").alias("v"))
 
 
+LABELS = J4.replace("grid", "class_probs") + """, up AS (SELECT c.image_id, ty, tx, a.class_id, a.p * (1 - fy) * (1 - fx) + b.p * (1 - fy) * fx + e.p * fy * (1 - fx) + f.p * fy * fx AS p FROM co c
+JOIN class_probs a ON a.image_id = c.image_id AND a.y = y0 AND a.x = x0 JOIN class_probs b ON b.image_id = c.image_id AND b.y = y0 AND b.x = least(x0 + 1, iw - 1) AND b.class_id = a.class_id
+JOIN class_probs e ON e.image_id = c.image_id AND e.y = least(y0 + 1, ih - 1) AND e.x = x0 AND e.class_id = a.class_id JOIN class_probs f ON f.image_id = c.image_id AND f.y = least(y0 + 1, ih - 1) AND f.x = least(x0 + 1, iw - 1) AND f.class_id = a.class_id),
+dn AS (SELECT image_id, ty, tx, class_id, CASE WHEN max(p) OVER (PARTITION BY image_id, class_id) < 0.62::DOUBLE THEN 0 ELSE p END AS p FROM up),
+bs AS (SELECT image_id, ty, tx, arg_max(class_id, (p, -class_id)) AS class_id, max(p) AS p FROM dn GROUP BY image_id, ty, tx)
+SELECT image_id, CAST(ty AS INT) AS y, CAST(tx AS INT) AS x, CASE WHEN p < 0.3::DOUBLE THEN 0 ELSE class_id + 1 END AS class_id, round(p, 6) + 0.0 AS p FROM bs"""
+
+
+@query("class_probs", LABELS)
+def j4_upsampled_labels(spark, d):
+    """Resizing, denoising, best class and ignore label in one pass over strips of rows, with probabilities as arrays."""
+    cells = view(spark, d, "class_probs").groupBy(*CELL).agg(F.sort_array(F.collect_list(F.struct("class_id", "p"))).alias("_z"))
+    arrays = cells.select(*CELL, F.col("_z.class_id").alias("class_ids"), F.col("_z.p").alias("probs"))
+    return grids.upsample_labels(arrays, 30, 30, denoise=0.62, ignore=0.3, rows=8).withColumn("p", r6("p"))
+
+
 @query("grid", SIZES.format(n=32) + " SELECT tg.image_id, CAST(ty AS INT) AS y, CAST(tx AS INT) AS x, round(coalesce(g.v, 0), 9) + 0.0 AS v FROM tg LEFT JOIN grid g ON g.image_id = tg.image_id AND g.y = ty AND g.x = tx")
 def j5_pad_grid(spark, d):
     return grids.pad_grid(view(spark, d, "grid"), 32, 32).select(*CELL, r9("v").alias("v"))
@@ -364,11 +405,20 @@ roots AS (SELECT image_id, class_id, a AS pos, min(b) AS root FROM reach GROUP B
 rg AS (SELECT image_id, class_id, pos // 20 AS y, pos % 20 AS x, dense_rank() OVER (PARTITION BY image_id, class_id ORDER BY root) AS region_id FROM roots)"""
 
 
-@query("grid", REGIONS + " SELECT image_id, CAST(class_id AS BIGINT) AS class_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST(region_id AS INT) AS region_id FROM rg")
+G4 = REGIONS + " SELECT image_id, CAST(class_id AS BIGINT) AS class_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST(region_id AS INT) AS region_id FROM rg"
+
+
+@query("grid", G4)
 def g4_connected_regions(spark, d):
     return regions.connected_regions(view(spark, d, "grid"))
 
 
+@query("grid", G4)
+def g4_tiled_regions(spark, d):
+    """The same regions from tiles of 8 x 8 cells whose border labels are contracted."""
+    return tiled.connected_regions_tiled(view(spark, d, "grid"), tile=8)
+
+
 STATS = REGIONS + """, st AS (SELECT rg.image_id, rg.class_id, rg.region_id, count(*) AS area, avg(g.v) AS score, min(g.x) AS x1, min(g.y) AS y1, max(g.x) AS x2, max(g.y) AS y2,
 arg_max(g.x, (g.v, -g.y, -g.x)) AS px, arg_max(g.y, (g.v, -g.y, -g.x)) AS py FROM rg JOIN grid g USING (image_id, y, x) GROUP BY rg.image_id, rg.class_id, rg.region_id)"""
 
@@ -523,6 +573,12 @@ def k1_nms(spark, d):
     return regions.nms(view(spark, d, "boxes")).select("image_id", "box_id", r9("score").alias("score"))
 
 
+@query("boxes", K1 + " SELECT image_id, box_id, round(score, 9) AS score FROM ke")
+def k1_nms_rounds(spark, d):
+    """Suppression in rounds over cells, as for images of very many boxes."""
+    return regions.nms_rounds(view(spark, d, "boxes")).select("image_id", "box_id", r9("score").alias("score"))
+
+
 @query("boxes", "SELECT image_id, box_id, CAST(rank AS INT) AS rank, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, box_id) AS rank FROM boxes) WHERE rank <= 10")
 def k2_top_k(spark, d):
     return regions.top_k(view(spark, d, "boxes")).select("image_id", "box_id", "rank", r9("score").alias("score"))
