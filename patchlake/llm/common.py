@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from patchlake.sources.storage import materialize
 
+
 def ddl(df: DataFrame, columns: list[str]) -> str:
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
 
@@ -45,6 +46,20 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return label.join(least, "comp").select("node", F.col("low").alias("comp"))
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of docs (doc_id, text, ...) that have a doc_id with _num, one number for each text of a doc_id, and (doc_id, _num) where some id has several.
+
+    Ids that stand for one text each are their own numbers, and no table of numbers comes back; else numbers go by doc_id, then by a hash of the text.
+    """
+    named = docs.filter("doc_id is not null").withColumn("_hash", F.coalesce(F.xxhash64("text"), F.lit(0)))
+    ids = materialize(named.select(F.col("doc_id").cast("long").alias("doc_id"), "_hash").distinct(), "ids")
+    if ids.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return named.withColumn("_num", F.col("doc_id").cast("long")).drop("_hash"), None
+    ids = ids.repartitionByRange("doc_id", "_hash").sortWithinPartitions("doc_id", "_hash").withColumn("_num", F.monotonically_increasing_id())
+    ids = materialize(ids, "numbers")
+    return materialize(named.hint("merge").join(ids, ["doc_id", "_hash"]).drop("_hash"), "numbered"), ids.select("doc_id", "_num")
+
+
 def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Frames that hold whole groups only; the rows of a partition must come sorted by keys."""
     rest: pd.DataFrame | None = None

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchlake.llm.common import byte_blocks, connected_components, gram_hashes, group_starts, local_stars, materialize, whole_groups, word_hashes
+from patchlake.llm.common import byte_blocks, connected_components, gram_hashes, group_starts, local_stars, materialize, numbered, whole_groups, word_hashes
 
 BLOCK = 256  # members of a cluster compared on full sets at once, by block
 LIST_BLOCK = 1024  # the same for signatures in a posting list
@@ -200,11 +200,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coords: int
 
     A text's set is its distinct k-word shingles of lower-cased (A-Z) words; with fewer words the whole
     sequence as one; null, empty or blank texts have an empty set, link with nothing and are kept. Rows with a
-    null doc_id are left out. Repeated rows come out as often as they went in; different texts must not share a doc_id (number them first,
-    as the pipeline does). Links need
+    null doc_id are left out. Repeated rows come out as often as they went in. Different texts of one doc_id are documents of their own, in the order of a hash
+    of their texts; the first of a group is kept. Links need
     100 * intersection >= percent * union and are confirmed on full sets; a pair reaches that step if its
     signatures agree on `coords * percent% - sigmas` standard deviations of places.
     """
+    named, numbers = numbered(docs.select("doc_id", "text"))
+    docs = named.select(F.col("_num").alias("doc_id"), "text")
     p = percent / 100
     least = max(1, int(coords * p - sigmas * (coords * p * (1 - p)) ** 0.5))
     sig = materialize(signatures(docs, k, coords), "sig")
@@ -215,4 +217,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coords: int
     low = classes.select("key", "doc").join(links, classes.doc == links.node, "left").select("key", F.coalesce("comp", "doc").alias("low"))
     out = sig.select("doc_id", "n_shingles", "key").join(low, "key", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("low", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    if numbers is None:
+        return out
+    own = numbers.select(F.col("doc_id").alias("_id"), F.col("_num").alias("doc_id"))
+    low = numbers.select(F.col("doc_id").alias("_low"), F.col("_num").alias("component_id"))
+    return out.join(own, "doc_id").join(low, "component_id").select(F.col("_id").alias("doc_id"), "n_shingles", F.col("_low").alias("component_id"), "kept")

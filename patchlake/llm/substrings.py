@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchlake.llm.common import _mix, byte_blocks, ddl, group_starts, materialize, whole_groups, word_hashes
+from patchlake.llm.common import _mix, byte_blocks, ddl, group_starts, materialize, numbered, whole_groups, word_hashes
 from patchlake.llm.fmindex import FMIndex
 
 GRAMS = (6, 12)  # and then whole windows
@@ -211,10 +211,11 @@ def remove_repeats(docs: DataFrame, window: int = 20, carry: tuple[str, ...] = (
     consecutive words covers it whose words also start earlier: in a smaller doc_id, or earlier in the same
     document. Texts without a removed word come back as they are, others as their kept words joined by one
     space. Null texts have no words and come back null; texts shorter than a window stay. Rows with a
-    null doc_id are left out. Rows that repeat a doc_id with the same text are one document and come out once each.
+    null doc_id are left out. Rows that repeat a doc_id with the same text are one document and come out once each; different texts of one
+    doc_id are documents of their own, in the order of a hash of their texts.
     """
-    docs = docs.select(*dict.fromkeys((*carry, "doc_id", "text"))).filter("doc_id is not null")
-    marks = repeated_spans(docs, window).groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("_spans")).withColumnRenamed("doc", "_doc")
+    docs, _ = numbered(docs.select(*dict.fromkeys((*carry, "doc_id", "text"))))
+    marks = repeated_spans(docs.select(F.col("_num").alias("doc_id"), "text"), window).groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("_spans")).withColumnRenamed("doc", "_doc")
 
     def run(batches):
         for pdf in batches:
@@ -234,5 +235,5 @@ def remove_repeats(docs: DataFrame, window: int = 20, carry: tuple[str, ...] = (
             made = pd.DataFrame(out, columns=["text", "n_words", "n_removed", "kept_sha256"])
             yield pd.concat([pdf[list(carry)].reset_index(drop=True), made], axis=1)
 
-    joined = docs.join(marks, docs.doc_id == marks._doc, "left").drop("_doc")
+    joined = docs.join(marks, docs._num == marks._doc, "left").drop("_doc", "_num")
     return joined.mapInPandas(run, ddl(docs, list(carry)) + ", text string, n_words long, n_removed long, kept_sha256 string")

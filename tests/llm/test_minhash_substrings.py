@@ -124,3 +124,23 @@ def test_repeats_keep_clean_texts_and_nulls(spark):
     assert remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
     twice = remove_repeats(spark.createDataFrame([(1, " ".join(map(str, range(30))), "", 0)] * 2, SCHEMA)).collect()
     assert [r.n_removed for r in twice] == [0, 0]
+
+
+def test_different_texts_of_one_id(spark):
+    """Each is a document of its own; brute force over (doc_id, text) with the numbers that the operators give."""
+    from pyspark.sql import functions as F
+
+    passage = " ".join(f"p{i}" for i in range(40))
+    other = " ".join(f"q{i}" for i in range(60))
+    given = [(7, f"start {passage} end"), (7, f"{other} more {passage}"), (7, f"{other} more {passage}"), (9, f"{other} more {passage} x"), (8, passage), (7, None), (3, other)]
+    df = spark.createDataFrame(given, "doc_id long, text string")
+    named = df.withColumn("h", F.coalesce(F.xxhash64("text"), F.lit(0))).distinct().orderBy("doc_id", "h").collect()
+    number = {(r.doc_id, r.text): i for i, r in enumerate(named)}
+    rows = [(i, t) for (_, t), i in number.items()]
+    want = brute_repeats(rows, 20)
+    got = remove_repeats(df, 20, carry=("doc_id",))
+    counts = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect())
+    assert counts == sorted((d, *want[number[d, t]]) for d, t in given)
+    links, ids = components(rows, 4), {i: d for (d, _), i in number.items()}
+    near = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df, k=4).collect())
+    assert near == sorted((d, links[i][0], ids[links[i][1]], links[i][1] == i) for d, t in given for i in [number[d, t]])
