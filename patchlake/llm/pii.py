@@ -1,15 +1,18 @@
 """Personal data: exact base patterns plus a character BiLSTM with CRF transitions that adds spans.
 
-The network (its gates and states are squashed by x / (1 + |x|)) is trained in numpy on windows of a bounded sample of documents, labelled by the base patterns' spans, of which a share is
-rewritten into forms that the patterns miss (written-out at signs and dots, other separators of numbers, phone numbers without a plus sign).
+The network (its gates and states are squashed by x / (1 + |x|)) is trained in numpy on windows of a bounded sample of documents, labelled by the base
+patterns' spans. Most of these are replaced by invented ones, and others are put between words, with names, domains and digits drawn anew each time and
+written in forms that the patterns miss (written-out at signs and dots, other separators of numbers, phone numbers without a plus sign), so
+that the network learns forms and not the corpus's own addresses; dates, versions and the like stand beside them as what isn't meant.
 Every text is scored whole, in overlapping windows of WIDTH characters; each window is decoded by Viterbi, and every character takes its tag
 from the window in which it stands farthest from an edge, so that spans are reconciled over the whole text. A run of tags
-becomes a span if it passes its kind's check (`_valid`): the digits, parts and Luhn sum that the base patterns ask for too.
+stands for the nearest span of whole words that passes its kind's check (`_valid`): the digits, parts and Luhn sum that the base patterns ask for too.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from functools import cache
 
@@ -26,6 +29,8 @@ TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 WIDTH, STRIDE = 192, 160
 LESSON = 80  # characters of a training window
 HIDDEN, EMBED = 8, 12
+BATCH = 80
+RATES = ((0.5, 0.04), (0.3, 0.015), (0.2, 0.005))  # share of the epochs and learning rate
 # each part of a number starts at the first digit of its run, which is what leftmost matches do, and never gives digits back
 _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
@@ -33,6 +38,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*")
 _TRIGGER = re.compile("[0-9@]")
+_NAME = re.compile("[A-Za-z]{2,10}")
 
 
 def _digits(s: str) -> str:
@@ -98,7 +104,9 @@ def _valid(kind: str, s: str) -> bool:
     digits = _digits(s)
     if _PARTED[kind].fullmatch(s) is None:
         return False
-    return 14 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 10 <= len(digits) <= 15 and len(digits) < len(s)
+    if kind == "card":  # with spaces and dashes alone the base pattern has judged it
+        return 14 <= len(digits) <= 19 and luhn(digits) and any(c in s for c in "./_")
+    return 10 <= len(digits) <= 15 and len(digits) < len(s)
 
 
 @cache
@@ -230,39 +238,116 @@ def viterbi(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
     return tags
 
 
-_FORMS = {
-    "email": lambda s, pick: s.replace("@", pick(["(at)", "[at]", " @ ", " (at) ", " [at] "])).replace(".", pick([".", "(dot)", "[dot]", " (dot) ", " [dot] "])),
-    "ip": lambda s, pick: s.replace(".", pick(["[.]", "(.)", " . "])),
-    "card": lambda s, pick: pick([".", "/", "_"]).join(d[i : i + 4] for d in [_digits(s)] for i in range(0, len(d), 4)),
-    "phone": lambda s, pick: pick([re.sub(r"^\+[0-9]{1,3}[\x20-]?(?=.{9})", "", s), s[1:], "00" + s[1:], re.sub(r"[\x20()-]+", "/", s), re.sub(r"[\x20()-]+", ".", s[1:])]),
-}
+_VOWELS, _OTHERS = "aeiouy", "bcdfghjklmnprstvwxz"
+_ENDINGS = ("com", "net", "org", "de", "fr", "it", "es", "eu", "io", "ai", "ch", "info", "co.uk", "edu", "gov", "nl", "se", "pl", "app", "dev")
+_AT_FORMS = ("@", "(at)", "[at]", " @ ", " (at) ", " [at] ", "(AT)", " (at)")
+_DOT_FORMS = (".", ".", "(dot)", "[dot]", " (dot) ", " [dot] ", "(DOT)")
+
+
+class Inventor:
+    """Personal data that stands nowhere: names, domains and numbers are drawn anew each time, and written in forms that the base patterns find or miss."""
+
+    def __init__(self, seed: int, words: list[str]):
+        self.rng, self.words = random.Random(seed), words
+        self.pick = self.rng.choice
+
+    def digits(self, n: int, first: str = "0123456789") -> str:
+        return self.pick(first) + "".join(self.rng.choices("0123456789", k=n - 1))
+
+    def word(self) -> str:
+        """A word of the text, syllables, or letters at random."""
+        kind = self.rng.random()
+        if kind < 0.3 and self.words:
+            return self.pick(self.words)
+        if kind < 0.8:
+            return "".join(self.pick(_OTHERS) + self.pick(_VOWELS) + self.pick(["", "", self.pick(_OTHERS)]) for _ in range(self.rng.randrange(1, 4)))
+        return "".join(self.pick(_OTHERS + _VOWELS) for _ in range(self.rng.randrange(1, 10)))
+
+    def email(self) -> str:
+        parts = [self.word() for _ in range(self.rng.randrange(1, 4))]
+        if self.rng.random() < 0.2:
+            parts[0] = parts[0][:1]
+        local = self.pick([".", ".", "_", "-", "", "+"]).join(parts) + self.pick(["", "", self.digits(self.rng.randrange(1, 5))])
+        labels = [self.word() + self.pick(["", "", "", self.digits(1), "-" + self.word()]) for _ in range(self.pick([1, 1, 1, 2, 3]))]
+        end = self.pick(_ENDINGS) if self.rng.random() < 0.7 else "".join(self.pick(_OTHERS + _VOWELS) for _ in range(self.rng.randrange(2, 5)))
+        at, dot = self.pick(_AT_FORMS), self.pick(_DOT_FORMS)
+        if self.rng.random() < 0.5:
+            local = local.replace(".", dot)
+        return f"{local}{at}{dot.join([*labels, *end.split('.')])}"
+
+    def ip(self) -> str:
+        return self.pick([".", "[.]", "(.)", " . ", " [.] "]).join(str(self.rng.randrange(0, 256)) for _ in range(4))
+
+    def card(self) -> str:
+        d = self.digits(self.pick([14, 15, 16, 16, 16, 18]), "3456")
+        d += next(c for c in "0123456789" if luhn(d + c))
+        n = self.pick([4, 4, 4, 3, 5, 6])
+        return self.pick([".", "/", "_", " ", "-"]).join(d[i : i + n] for i in range(0, len(d), n))
+
+    def phone(self) -> str:
+        sep, left, groups = self.pick([" ", " ", "-", ".", "/"]), self.rng.randrange(7, 12), []
+        while left > 0:
+            n = min(left, self.rng.randrange(2, 7))
+            n = left if left - n == 1 else n
+            groups.append(self.digits(n))
+            left -= n
+        area, gap = self.digits(self.rng.randrange(2, 6), "0000123456789"), self.pick([sep, " ", "-", "/", ""])
+        code = self.digits(self.rng.randrange(1, 4), "123456789")
+        start = self.pick([area + sep, f"({area}){gap}", f"{code}{sep}{area}{sep}", f"{code} ({area}){gap}", f"00{code}{sep}{area}{sep}", f"00{code} ({area}){gap}", f"{code} (0){area}{sep}", f"00{code}(0){area}{sep}", f"+{code} {area}{sep}"])
+        return start + sep.join(groups)
+
+    def number(self) -> str:
+        """Something with digits that is no personal data."""
+        r, d = self.rng, self.digits
+        return self.pick([f"{r.randrange(1900, 2100)}-{r.randrange(1, 13):02}-{r.randrange(1, 29):02}", f"{r.randrange(1, 29)}.{r.randrange(1, 13)}.{r.randrange(1900, 2100)}", f"{r.randrange(0, 24)}:{r.randrange(0, 60):02}",
+                          f"{d(3)},{d(3)}.{d(2)}", f"v{r.randrange(0, 9)}.{r.randrange(0, 30)}.{r.randrange(0, 30)}", f"{r.randrange(1900, 2100)}-{r.randrange(1900, 2100)}", d(r.randrange(5, 13)), f"#{d(6)}",
+                          ", ".join(d(r.randrange(1, 5)) for _ in range(4)), f"{d(2)} x {d(2)} x {d(3)}", f"(dot) {self.word()}", f"{self.word()} at {self.word()}", f"@{self.word()}", f"{self.word()}[{d(1)}]"])
+
+    def one(self, kind: str) -> str:
+        """An item of the kind that either the base patterns find whole or `_valid` takes."""
+        while True:
+            s = getattr(self, kind)()
+            found = base_spans(s)
+            if found == [(kind, 0, len(s))] or (not found and _valid(kind, s)):
+                return s
 
 
 def _lessons(text: str, rng: np.random.Generator, most: int):
-    """Up to `most` training windows (codes, tags) from anywhere in a text: round base spans, half of them rewritten, round other digits and at sign, and at random."""
+    """Up to `most` training windows (codes, tags) from anywhere in a text: round base spans, other digits and at signs, and at random places.
+
+    Of the base spans in a window two thirds become invented ones of their kind. Other windows get an invented item, or digits that are none, between two
+    words, or stay as they are.
+    """
     spans = base_spans(text)
+    new = Inventor(int(rng.integers(1 << 62)), [w.lower() for w in _NAME.findall(text[lo : lo + 2000])] if (lo := int(rng.integers(0, max(1, len(text) - 2000)))) >= 0 else [])
     inside = np.zeros(len(text) + 1, bool)
     for _, s, e in spans:
         inside[s:e] = True
     others = [m.start() for m in _TRIGGER.finditer(text) if not inside[m.start()]]
-    centres = [(k, s, e) for k, s, e in rng.permutation(np.array(spans, object)).tolist()] if spans else []
-    chosen = centres[: most - most // 4]
+    chosen = [(s, e) for s, e in rng.permutation([x[1:] for x in spans]).tolist()][: most // 2] if spans else []
     if others:
-        chosen += [(None, int(x), int(x)) for x in rng.choice(others, min(len(others), max(1, most // 8)), replace=False)]
-    chosen += [(None, int(x), int(x)) for x in rng.integers(0, len(text), max(1, most // 8))]
-    for kind, s, e in chosen:
+        chosen += [(int(x), int(x)) for x in rng.choice(others, min(len(others), max(1, most // 8)), replace=False)]
+    chosen += [(int(x), int(x)) for x in rng.integers(0, len(text), max(1, most - most // 2 - most // 8))]
+    for s, e in chosen:
         lo = max(0, s - int(rng.integers(0, max(1, LESSON - (e - s)))))
+        held = [(k, a, b) for k, a, b in spans if a >= lo and a < lo + LESSON]
         parts, tags, at = [], [], lo
-        for k, a, b in spans:
-            if a < at or a >= lo + LESSON:
+        if not held and rng.random() < 0.8:
+            gap = text.find(" ", lo + int(rng.integers(0, LESSON // 2)), lo + LESSON)
+            if gap >= 0 and not inside[gap]:
+                kind = new.pick([*KINDS, "email", "email", "phone", "phone", "card", None, None])
+                held = [(kind, gap, gap)]
+        for k, a, b in held:
+            if a < at:
                 continue
             own = text[a:b]
-            if rng.random() < 0.5:
-                new = _FORMS[k](own, lambda xs: xs[int(rng.integers(len(xs)))])
-                own = new if _valid(k, new) or base_spans(new) == [(k, 0, len(new))] else own
-            i = KINDS.index(k)
-            parts += [text[at:a], own]
-            tags += [0] * (a - at) + [1 + 2 * i] + [2 + 2 * i] * (len(own) - 1)
+            if a == b:
+                own = new.one(k) if k else new.number()
+            elif rng.random() < 0.67:
+                own = new.one(k)
+            i = KINDS.index(k) if k else None
+            parts += [text[at:a], " " * (a == b), own]
+            tags += [0] * (a - at + (a == b)) + ([0] * len(own) if i is None else [1 + 2 * i] + [2 + 2 * i] * (len(own) - 1))
             at = b
         end = max(at, lo + LESSON)
         parts.append(text[at:end])
@@ -273,14 +358,17 @@ def _lessons(text: str, rng: np.random.Generator, most: int):
         yield row, tag
 
 
-def train(docs: DataFrame, sample: int = 3000, per_text: int = 8, most: int = 2400, epochs: int = 10, seed: int = 7) -> dict[str, np.ndarray]:
-    """Network trained on at most `most` windows, up to `per_text` of each of about `sample` documents that hold a digit or an at sign.
+def train(docs: DataFrame, sample: int = 700, most: int = 4000, epochs: int = 16, seed: int = 7) -> dict[str, np.ndarray]:
+    """Network trained on at most `most` windows of about `sample` documents that hold a digit or an at sign, 8 to 64 windows of each.
 
-    The documents are those of the smallest hashes; tasks read them whole and draw windows from anywhere in them, and only the `most` windows of the
-    smallest hashes reach the driver, so what is sent there does not grow with the corpus. Without such a document the network stays as it starts.
+    The documents are those of the smallest hashes; tasks read them whole and draw windows from anywhere in them, more of each where there are few, and
+    only the `most` windows of the smallest hashes reach the driver, so what is sent there does not grow with the corpus. Without such a document the
+    network stays as it starts.
     """
     held = docs.filter(F.col("text").rlike("[0-9@]")).select("text", (F.xxhash64("doc_id", F.length("text")) / F.lit(2.0**64) + 0.5).alias("h"))
-    share = min(1.0, 1.5 * sample / max(1, held.count()))
+    count = held.count()
+    share = min(1.0, 1.5 * sample / max(1, count))
+    per_text = min(64, max(8, 3 * most // (2 * max(1, min(sample, count)))))
 
     def draw(batches):
         for pdf in batches:
@@ -296,8 +384,10 @@ def train(docs: DataFrame, sample: int = 3000, per_text: int = 8, most: int = 24
         return p
     codes, tags = (np.frombuffer(b"".join(bytes(r[c]) for r in found), np.uint8).reshape(-1, LESSON).astype(np.int64) for c in ("codes", "tags"))
     rng = np.random.default_rng(seed)
-    order = np.concatenate([rng.permutation(len(codes)) for _ in range(epochs)])
-    return adam(p, ((codes[b], tags[b]) for b in (order[i : i + 48] for i in range(0, len(order), 48))), 0.04, loss_gradient)
+    for share, rate in RATES:
+        order = np.concatenate([rng.permutation(len(codes)) for _ in range(max(1, round(epochs * share)))])
+        p = adam(p, ((codes[b], tags[b]) for b in (order[i : i + BATCH] for i in range(0, len(order), BATCH))), rate, loss_gradient)
+    return p
 
 
 class Scorer:
@@ -364,11 +454,24 @@ def _open(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
     return np.flatnonzero(most >= -1e-3)
 
 
-_ENDS = " \n\t.,;:|"
+_REACH = 12  # characters by which an end of a run may be moved
+#: What may not stand before the first and after the last character of a kind's span.
+_BESIDE = {"email": (re.compile(r"[\w.%+-]"), re.compile(r"[\w-]")), "ip": (re.compile(r"[\w.]"), re.compile(r"\w")), "card": (re.compile(r"\w"), re.compile(r"\w")), "phone": (re.compile(r"[\w+(]"), re.compile(r"\w"))}
+
+
+def _snapped(kind: str, text: str, lo: int, hi: int, free: int) -> tuple[int, int] | None:
+    """The valid span nearest to a run's ends, whole words at both; ends move by at most _REACH, the start not before free."""
+    before, after = _BESIDE[kind]
+    starts = [i for i in range(max(free, lo - _REACH), min(len(text), lo + _REACH + 1)) if not text[i].isspace() and not (i and before.match(text[i - 1]))]
+    ends = [i for i in range(max(1, hi - _REACH), min(len(text), hi + _REACH) + 1) if not text[i - 1].isspace() and not (i < len(text) and after.match(text[i]))]
+    for s, e in sorted(((s, e) for s in starts for e in ends if s < e), key=lambda x: (abs(x[0] - lo) + abs(x[1] - hi), x)):
+        if _valid(kind, text[s:e]):
+            return s, e
+    return None
 
 
 def _runs(text: str, tags: np.ndarray) -> list[tuple[str, int, int]]:
-    """Valid spans of a text's tags: a run of one kind, a begin tag opens a new one; white space and stops at the ends are cut off, words cut at the ends made whole."""
+    """Valid spans of a text's tags: a run of one kind, a begin tag opens a new one; a run stands for the nearest valid span of whole words."""
     at = np.flatnonzero(tags)
     if not len(at):
         return []
@@ -378,14 +481,10 @@ def _runs(text: str, tags: np.ndarray) -> list[tuple[str, int, int]]:
     first = np.flatnonzero(new)
     out = []
     for lo, hi in zip(at[first], at[np.append(first[1:], len(at)) - 1] + 1, strict=True):
-        name, s = KINDS[(int(tags[lo]) - 1) // 2], text[lo:hi]
-        lo, hi = int(lo) + len(s) - len(s.lstrip(_ENDS)), int(hi) - len(s) + len(s.rstrip(_ENDS))
-        while 0 < lo < hi and text[lo].isalnum() and text[lo - 1].isalnum():
-            lo -= 1
-        while lo < hi < len(text) and text[hi - 1].isalnum() and text[hi].isalnum():
-            hi += 1
-        if lo < hi and (not out or lo >= out[-1][2]) and _valid(name, text[lo:hi]):
-            out.append((name, lo, hi))
+        name = KINDS[(int(tags[lo]) - 1) // 2]
+        found = _snapped(name, text, int(lo), int(hi), out[-1][2] if out else 0)
+        if found:
+            out.append((name, *found))
     return out
 
 

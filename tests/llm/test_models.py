@@ -92,6 +92,48 @@ def test_network_finds_variants_of_every_kind(spark):
     assert sum(map(len, clean)) <= 1
 
 
+NAMES, DOMAINS = ["maria.keller", "john_smith42", "p.oneil", "sofia-lund", "raj.patel", "wei.zhang", "t.brandt"], ["corp.net", "uni-bonn.de", "mail.company.co.uk", "startup.io", "gmx.at"]
+MAILS = [("(at)", "."), ("[at]", "."), ("(at)", "(dot)"), (" (at) ", " (dot) "), (" [at] ", " [dot] "), (" @ ", ".")]
+PHONES = ["0171 234 5678", "(030) 1234-5678", "0049 171 2345678", "212-555-0134", "020 7946 0958", "1-800-555-0199", "089/12345678", "06131 922 4510", "01 42 68 53 00", "07700 900123", "0043 (0)1 234567"]
+
+
+def test_network_finds_names_domains_and_numbers_that_training_never_held(spark):
+    rng = np.random.default_rng(6)
+    kinds = list(PLAIN)
+    rows = [(i, " ".join(prose(rng, PLAIN[kinds[i % 4]].format(rng.integers(100, 255)) if i % 3 else str(rng.integers(1, 10**9))) for _ in range(3))) for i in range(500)]
+    p = pii.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    items = [("email", n + at + d.replace(".", dot)) for n in NAMES for d in DOMAINS for at, dot in MAILS] + [("phone", x) for x in PHONES for _ in range(6)]
+    texts = [prose(rng, x) for _, x in items]
+    got = pii.network_spans(p, texts)
+    for kind in ("email", "phone"):
+        own = [g == [(k, t.index(x), t.index(x) + len(x))] for (k, x), t, g in zip(items, texts, got, strict=True) if k == kind]
+        assert np.mean(own) >= 0.8, kind
+    clean = [prose(rng, x) for x in ["2024-05-17", "v1.2.30", "1,234,567.89", "12:30", "1999-2005", "3 x 4 x 500", "look at dot", "8812345", "(dot)", "#123456"] * 10]
+    assert sum(map(len, pii.network_spans(p, clean))) <= 1
+
+
+def test_invented_items_are_whole_and_new():
+    new = pii.Inventor(3, ["hat", "blue"])
+    for kind in pii.KINDS:
+        items = {new.one(kind) for _ in range(300)}
+        assert len(items) > 290
+        for s in items:
+            assert pii.base_spans(s) == [(kind, 0, len(s))] or (not pii.base_spans(s) and pii._valid(kind, s)), s
+        assert 0 < sum(not pii.base_spans(s) for s in items) < 300 or kind == "phone"
+
+
+def test_runs_snap_to_whole_words():
+    text = "so maria.keller (at) corp (dot) net is"
+    whole = [("email", 3, 35)]
+    for lo, hi in ((3, 35), (9, 31), (0, 38), (5, 36)):
+        tags = np.zeros(len(text), np.int8)
+        tags[lo], tags[lo + 1 : hi] = 1, 2
+        assert pii._runs(text, tags) == whole, (lo, hi)
+    tags = np.zeros(len(text), np.int8)
+    tags[36:38] = 2
+    assert pii._runs(text, tags) in ([], whole) and pii._runs("just words here", np.array([0] * 5 + [1] + [2] * 9, np.int8)) == []
+
+
 def test_long_runs_of_digits_are_walked_once():
     for t in ("1" * 5000 + ".1.1.1", "1" * 10**6, "1." * 300_000, "+1 " * 200_000, "a" * 300_000 + " " + "a" * 900 + "@"):
         start = time.time()
