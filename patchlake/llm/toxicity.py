@@ -19,6 +19,7 @@ from patchlake.llm.nn import adam, sigmoid
 
 WIDTH, STRIDE = 40, 32
 HIDDEN, EMBED, CHARS = 8, 12, 8
+BATCH = 128  # windows
 _EDGE = _SPACE.copy()
 _EDGE[[ord(c) for c in "!\"#$%&()*+,./:;<=>?@[\\]^_`{|}~"]] = True  # words end at white space and ASCII punctuation
 
@@ -155,10 +156,24 @@ def loss_gradient(p, ids, letters, spell, live, y, decay: float = 1e-4) -> tuple
     return float(loss), grad
 
 
-def _fit(texts: list[str], toxic: np.ndarray, least: int, epochs: int, per_text: int, seed: int):
-    rng, raw = np.random.default_rng(seed), _raw(texts)
+def _pieces(text: str | None, most: int, seed: int) -> list[str]:
+    """The text, or of one of more than `most` windows that many of them, from anywhere."""
+    raw = _raw([text])[0]
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], ~_EDGE[np.frombuffer(raw, np.uint8)], [False])).view(np.int8)))
+    begin, end = edge[0::2], edge[1::2]
+    many = 1 + max(0, -(-(len(begin) - WIDTH) // STRIDE))
+    if many <= most:
+        return [text or ""]
+    first = np.sort(np.random.default_rng(seed).choice(many, most, replace=False)) * STRIDE
+    return [raw[begin[k] : end[min(k + WIDTH, len(end)) - 1]].decode("utf-8", "replace") for k in first]
+
+
+def _fit(texts: list[list[str]], toxic: np.ndarray, least: int, epochs: int, per_text: int, seed: int, steps: int):
+    """Network and vocabulary from texts in pieces, each cut into windows."""
+    rng, raw = np.random.default_rng(seed), _raw([piece for pieces in texts for piece in pieces])
+    whose = np.repeat(np.arange(len(texts)), [len(pieces) for pieces in texts])
     hashes, _, bounds = _words(raw, None)
-    owner = np.repeat(np.arange(len(raw)), np.diff(bounds))
+    owner = np.repeat(whose, np.diff(bounds))
     pairs = np.unique(np.stack((hashes, owner.astype(np.uint64))), axis=1)[0] if len(hashes) else hashes
     names, seen = np.unique(pairs, return_counts=True)
     vocabulary = Vocabulary(names[seen >= least])
@@ -167,7 +182,8 @@ def _fit(texts: list[str], toxic: np.ndarray, least: int, epochs: int, per_text:
     spelled = [w for t in raw for w in t.translate(table).split()]
     letters, spell = np.frombuffer(b"".join(spelled), np.uint8).astype(np.int64), np.array([len(w) for w in spelled], np.int64)
     begin = np.cumsum(spell) - spell
-    text, first, size = _windows(bounds)
+    piece, first, size = _windows(bounds)
+    text = whose[piece]
     p = initial(vocabulary.size, seed)
 
     def batch(rows: np.ndarray):
@@ -185,9 +201,9 @@ def _fit(texts: list[str], toxic: np.ndarray, least: int, epochs: int, per_text:
         place = np.arange(len(order)) - np.searchsorted(text[order], text[order])
         rest = rng.random(len(order)) < per_text / np.maximum(np.bincount(text)[text[order]], 1)
         rows = order[np.where(toxic[text[order]], place < (4 * per_text if epoch == 0 else 2), (place < 2) | rest)]
-        rows = rng.permutation(rows)
+        rows = np.concatenate([rng.permutation(rows) for _ in range(-(-steps * BATCH // max(1, len(rows))))])
         y = toxic[text].astype(np.float32)
-        p = adam(p, ((*batch(b), y[b]) for b in (rows[i : i + 128] for i in range(0, len(rows), 128))), 0.02 if epoch < epochs - 2 else 0.005, loss_gradient)
+        p = adam(p, ((*batch(b), y[b]) for b in (rows[i : i + BATCH] for i in range(0, len(rows), BATCH))), 0.02 if epoch < epochs - 2 else 0.005, loss_gradient)
         score = score_texts(p, vocabulary, raw, by_window=True)
     return p, vocabulary
 
@@ -217,20 +233,28 @@ def score_texts(p: dict[str, np.ndarray], vocabulary: Vocabulary, raw: list[byte
     return np.concatenate(out) if out else np.zeros(0, np.float32)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 1500, least: int = 10, epochs: int = 6, per_text: int = 3, seed: int = 11):
+def train(docs: DataFrame, labels: DataFrame, sample: int = 1500, least: int = 4, epochs: int = 6, per_text: int = 3, steps: int = 30, windows: int = 256, seed: int = 11):
     """Network from labelled documents.
 
-    At most `sample` documents of either label are taken (those with the smallest hashes), each whole, as what makes it toxic may stand anywhere,
-    and cut into windows of which each round takes a few. Words must be in `least` texts to get a vector. Of texts that share a doc_id the smallest is
-    learnt from; a document with both labels counts as toxic; null labels and labels without a document are left out.
+    At most `sample` documents of either label are taken (those with the smallest hashes), each whole, as what makes it toxic may stand anywhere; tasks cut
+    those of more than `windows` windows and send that many from anywhere in them, so what reaches the driver is bounded. A round takes a few
+    windows of each text and goes over them until at least `steps` batches are done, so that few labels teach as much as many. Words must
+    be in `least` texts to get a vector. Of texts that share a doc_id the smallest is learnt from; a document with both labels counts as toxic; null
+    labels and labels without a document are left out.
     """
     known = labels.filter("doc_id is not null and toxic in (0, 1)").select("doc_id", "toxic").withColumn("h", F.xxhash64("doc_id"))
     chosen: dict[int, int] = {}
     for value in (0, 1):
         chosen |= {r["doc_id"]: value for r in known.filter(F.col("toxic") == value).orderBy("h", "doc_id").limit(sample).collect()}
-    rows = docs.filter(F.col("doc_id").isin(list(chosen)) if chosen else F.lit(False)).groupBy("doc_id").agg(F.min("text").alias("text")).collect()
+    texts = docs.filter(F.col("doc_id").isin(list(chosen)) if chosen else F.lit(False)).groupBy("doc_id").agg(F.min("text").alias("text"))
+
+    def cut(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "pieces": [_pieces(t, windows, abs(int(d))) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True)]})
+
+    rows = texts.mapInPandas(cut, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, pieces array<string>").collect()
     rows.sort(key=lambda r: r["doc_id"])
-    return _fit([r["text"] for r in rows], np.array([chosen[r["doc_id"]] == 1 for r in rows], bool), least, epochs, per_text, seed)
+    return _fit([r["pieces"] for r in rows], np.array([chosen[r["doc_id"]] == 1 for r in rows], bool), least, epochs, per_text, seed, steps)
 
 
 def score(docs: DataFrame, p: dict[str, np.ndarray], vocabulary: Vocabulary, threshold: float = 0.7) -> DataFrame:

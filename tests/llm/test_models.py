@@ -201,12 +201,29 @@ def test_every_word_of_the_vocabulary_keeps_its_vector():
     assert toxicity.Vocabulary(hashes[:0])(hashes).max() == 0
 
 
-def test_training_reads_whole_texts(spark, monkeypatch):
-    long = "clean words " * 3000 + "tail"
-    docs = spark.createDataFrame([(1, long), (2, "short")], "doc_id long, text string")
-    marks = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+def test_training_takes_windows_from_anywhere(spark, monkeypatch):
+    long = "Clean, words " * 3000 + "tail"
+    docs = spark.createDataFrame([(1, long), (2, "short"), (3, None)], "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
     monkeypatch.setattr(toxicity, "_fit", lambda texts, toxic, *_: (texts, toxic.tolist()))
-    assert toxicity.train(docs, marks) == ([long, "short"], [True, False])
+    assert toxicity.train(docs, marks) == ([[long], ["short"], [""]], [True, False, False])
+    (some, *rest), _ = toxicity.train(docs, marks, windows=20)
+    assert len(some) == 20 and rest == [["short"], [""]]
+    assert all(2 <= len(w.replace(",", "").split()) <= toxicity.WIDTH for w in some)
+    seen = {i for seed in range(40) for w in toxicity._pieces(" ".join(f"w{i}" for i in range(1000)), 8, seed) for i in w.split()}
+    assert seen == {f"w{i}" for i in range(1000)}
+
+
+@pytest.mark.parametrize("seed", [11, 12, 13])
+def test_few_labels_are_learnt_with_any_seed(spark, seed):
+    docs, marks = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    p = toxicity.train(docs, marks.filter(~langid.held_out(1, 3)), seed=seed)
+    told = {r.doc_id: r.toxic == 1 for r in marks.filter(langid.held_out(1, 3)).filter("toxic is not null").collect()}
+    got = toxicity.score(docs.join(marks.filter(langid.held_out(1, 3)).select("doc_id"), "doc_id", "left_semi"), *p).collect()
+    pairs = [(r.score, told[r.doc_id]) for r in got if r.doc_id in told]
+    high, low = ([s for s, y in pairs if y is k] for k in (True, False))
+    assert np.mean([s >= 0.7 for s in high]) >= 0.6 and np.mean([s >= 0.7 for s in low]) <= 0.05
+    assert np.mean([(a > b) + (a == b) / 2 for a in high for b in low]) >= 0.8
 
 
 def test_personal_data_training_reads_whole_texts(spark, monkeypatch):
