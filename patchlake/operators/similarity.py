@@ -7,11 +7,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchlake.functions import kernels
-from patchlake.sources.storage import materialize
+from patchlake.sources.storage import global_index, materialize
 
 #: Most values of a class matrix that is sent to every task; larger ones are scored block by block.
 BROADCAST_VALUES = 4_000_000
@@ -69,35 +69,83 @@ def cos_sim(features: DataFrame, classes: DataFrame, keys: list[str], feat: str
     return reduce(DataFrame.unionByName, [scored(b) for b in held if blocks == 1 or not b.isEmpty()])
 
 
+def _class_blocks(classes: DataFrame, key: str, vec: str, size: int) -> list[DataFrame]:
+    """classes in their order by key, in blocks of `size` rows."""
+    placed = materialize(global_index(classes.select(key, vec), [key], "_at", "long"), "classes")
+    count = placed.count()
+    return [placed.filter(F.expr(f"_at DIV {size}") == b).drop("_at") for b in range(-(-count // size))]
+
+
+def _numbered_rows(df: DataFrame, names: list[str]) -> DataFrame:
+    """Rows with a number of their own, written as a table, as several passes read them."""
+    return materialize(df.select(*dict.fromkeys(names), F.monotonically_increasing_id().alias("_row")), "rows")
+
+
+def _softmax_best(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of scores (NaN where there is none) and the place of the best; equal ones go to the first."""
+    told = ~np.isnan(s)
+    with np.errstate(invalid="ignore"):
+        e = np.where(told, np.exp(s - np.where(told, s, -np.inf).max(1, keepdims=True)), 0)
+        p = np.where(told, e / e.sum(1, keepdims=True), np.nan)
+    return p, np.where(told, p, -1).argmax(1)
+
+
 def class_probs(features: DataFrame, classes: DataFrame, keys: list[str], temp: float = 100.0, feat: str = "feat", embed: str = "embed") -> DataFrame:
-    """(keys, class_ids, probs, class_id, p): softmax of temp * cosine over the classes as an array, its best class and probability, in one pass.
+    """(keys, class_ids, probs, class_id, p): softmax of temp * cosine over the classes as an array, its best class and probability.
 
     Probabilities stand in the order of class_ids. A class or feature that is a zero vector has null probabilities; ties go to the lowest class, which
-    also stands, with a null p, for a zero feature. The class matrix must have at most BROADCAST_VALUES values; cos_sim and softmax take more.
+    also stands, with a null p, for a zero feature. Class vectors of up to BROADCAST_VALUES values go to the tasks whole, in one pass without a shuffle;
+    more go in blocks of that size, each one pass over the features, whose cosines meet as arrays by row.
     """
     count, values = _values(classes, embed)
-    if values > BROADCAST_VALUES:
-        raise ValueError(f"{values} values of class vectors; use cos_sim and softmax over {BROADCAST_VALUES}")
     kind = classes.schema["class_id"].dataType.simpleString()
     schema = f"{_ddl(features, keys)}, class_ids array<{kind}>, probs array<double>, class_id {kind}, p double"
     if not count:
         return features.sparkSession.createDataFrame([], schema)
-    rows = classes.select("class_id", embed).orderBy("class_id").collect()
-    ids, matrix = np.array([r["class_id"] for r in rows]), kernels.rows([r[embed] for r in rows])
 
-    def run(batches):
+    def told(pdf: pd.DataFrame, ids: list, s: np.ndarray) -> pd.DataFrame:
+        p, best = _softmax_best(s)
+        whole = not np.isnan(p).any()
+        probs = list(p) if whole else [[None if np.isnan(v) else v for v in r] for r in p]
+        return pdf[keys].assign(class_ids=ids, probs=probs, class_id=[i[b] for i, b in zip(ids, best, strict=True)], p=_nullable(p[np.arange(len(p)), best]))
+
+    def matrix(block: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        rows = block.select("class_id", embed).orderBy("class_id").collect()
+        return np.array([r["class_id"] for r in rows]), kernels.rows([r[embed] for r in rows])
+
+    if values <= BROADCAST_VALUES:
+        ids, held = matrix(classes)
+
+        def run(batches):
+            for pdf in batches:
+                if len(pdf):
+                    yield told(pdf, [ids] * len(pdf), temp * _cosines(kernels.rows(pdf[feat]), held))
+
+        return features.select(*keys, feat).mapInPandas(run, schema)
+
+    def scored(number: int, block: DataFrame) -> DataFrame:
+        ids, held = matrix(block)
+
+        def run(batches):
+            for pdf in batches:
+                if len(pdf):
+                    s = _cosines(kernels.rows(pdf[feat]), held)
+                    yield pdf[["_row"]].assign(block=number, ids=[ids] * len(pdf), sims=[r.tobytes() for r in s])
+
+        return rows.select("_row", feat).mapInPandas(run, f"_row long, block int, ids array<{kind}>, sims binary")
+
+    rows = _numbered_rows(features, [*keys, feat])
+    parts = reduce(DataFrame.unionByName, [scored(i, b) for i, b in enumerate(_class_blocks(classes, "class_id", embed, max(1, BROADCAST_VALUES * count // values)))])
+    joined = parts.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("block", "ids", "sims"))).alias("_s"))
+    joined = joined.select("_row", F.flatten("_s.ids").alias("_ids"), F.col("_s.sims").alias("_sims"))
+
+    def merge(batches):
         for pdf in batches:
             if len(pdf):
-                s = temp * _cosines(kernels.rows(pdf[feat]), matrix)
-                told = ~np.isnan(s)
-                with np.errstate(invalid="ignore"):
-                    e = np.where(told, np.exp(s - np.where(told, s, -np.inf).max(1, keepdims=True)), 0)
-                    p = np.where(told, e / e.sum(1, keepdims=True), np.nan)
-                best = np.where(told, p, -1).argmax(1)
-                probs = list(p) if told.all() else [[None if np.isnan(v) else v for v in r] for r in p]
-                yield pdf[keys].assign(class_ids=[ids] * len(p), probs=probs, class_id=ids[best], p=_nullable(p[np.arange(len(p)), best]))
+                s = np.array([np.frombuffer(b"".join(map(bytes, r))) for r in pdf["_sims"]])
+                yield told(pdf, list(pdf["_ids"]), temp * s)
 
-    return features.select(*keys, feat).mapInPandas(run, schema)
+    return rows.select("_row", *keys).join(joined, "_row").drop("_row").mapInPandas(merge, schema)
 
 
 def long_probs(probs: DataFrame, keys: list[str]) -> DataFrame:
@@ -148,38 +196,72 @@ def recursive_attention(df: DataFrame, heads: int, scaling: float = 10.0, q: str
     return _per_image(df, [q, k, v], lambda a, b, c: kernels.recursive_attention(a, b, c, heads, scaling))
 
 
-def _center_rows(centers: DataFrame) -> list:
-    """Centers (cluster, center) by cluster; more than BROADCAST_VALUES values are an error."""
-    _, values = _values(centers, "center")
-    if values > BROADCAST_VALUES:
-        raise ValueError(f"{values} values of centers, over {BROADCAST_VALUES}")
-    return centers.orderBy("cluster").collect()
+def _centers(centers: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and unit vectors of centers (cluster, center) by cluster."""
+    rows = centers.select("cluster", "center").orderBy("cluster").collect()
+    return np.array([r["cluster"] for r in rows], np.int64), kernels.unit(kernels.rows([r["center"] for r in rows]))
+
+
+def _center_blocks(centers: DataFrame) -> list[DataFrame]:
+    count, values = _values(centers, "center")
+    return [centers] if values <= BROADCAST_VALUES else _class_blocks(centers, "cluster", "center", max(1, BROADCAST_VALUES * count // values))
 
 
 def assign_clusters(df: DataFrame, centers: DataFrame, keys: list[str], col: str = "feat") -> DataFrame:
     """(keys, cluster): nearest center (cluster, center) by cosine, ties to the lowest.
 
-    Centers go to the tasks, up to BROADCAST_VALUES values; more are an error.
+    Centers of up to BROADCAST_VALUES values go to the tasks whole; more go in blocks, one pass over the rows each, and a row's best of all
+    blocks is taken. Without a center there is no row.
     """
-    rows = _center_rows(centers)
-    ids, c = np.array([r["cluster"] for r in rows]), kernels.unit(kernels.rows([r["center"] for r in rows]))
+    blocks = _center_blocks(centers)
+    if len(blocks) == 1:
+        ids, c = _centers(blocks[0])
+        if not len(ids):
+            return df.sparkSession.createDataFrame([], f"{_ddl(df, keys)}, cluster int")
 
-    def run(batches):
-        for pdf in batches:
-            if len(pdf):
-                yield pdf[keys].assign(cluster=ids[(kernels.unit(kernels.rows(pdf[col])) @ c.T).argmax(1)].astype(np.int32))
+        def run(batches):
+            for pdf in batches:
+                if len(pdf):
+                    yield pdf[keys].assign(cluster=ids[(kernels.unit(kernels.rows(pdf[col])) @ c.T).argmax(1)].astype(np.int32))
+
+        return df.select(*dict.fromkeys([*keys, col])).mapInPandas(run, f"{_ddl(df, keys)}, cluster int")
+    rows = _numbered_rows(df, [*keys, col])
+
+    def nearest(block: DataFrame) -> DataFrame:
+        ids, c = _centers(block)
+
+        def run(batches):
+            for pdf in batches:
+                if len(pdf):
+                    s = kernels.unit(kernels.rows(pdf[col])) @ c.T
+                    yield pdf[["_row"]].assign(cluster=ids[s.argmax(1)].astype(np.int32), s=s.max(1))
+
+        return rows.select("_row", col).mapInPandas(run, "_row long, cluster int, s double")
+
+    best = reduce(DataFrame.unionByName, [nearest(b) for b in blocks]).groupBy("_row").agg(F.max_by("cluster", F.struct("s", -F.col("cluster"))).alias("cluster"))
+    return rows.select("_row", *keys).join(best, "_row").drop("_row")
 
-    return df.select(*dict.fromkeys([*keys, col])).mapInPandas(run, f"{_ddl(df, keys)}, cluster int")
+
+def seeded_centers(df: DataFrame, k: int, keys: list[str], seed: int = 0, col: str = "feat") -> DataFrame:
+    """(cluster, center): the k different vectors whose keys have the smallest hashes, numbered in that order.
+
+    The choice does not depend on how the rows are dealt to partitions. Fewer than k different vectors give fewer centers; null vectors are left out.
+    """
+    first = df.filter(F.col(col).isNotNull()).select(F.struct(F.md5(F.concat_ws(",", F.lit(str(seed)), *[F.col(c).cast("string") for c in keys])).alias("h"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keys)]).alias("_h"), F.col(col).cast("array<double>").alias("center"))
+    least = first.groupBy("center").agg(F.min("_h").alias("_h")).orderBy("_h").limit(k)
+    return least.select((F.row_number().over(Window.orderBy("_h")) - 1).alias("cluster"), "center")
 
 
 def spherical_kmeans(df: DataFrame, init: DataFrame, keys: list[str], iters: int = 100, tol: float = 1e-4, col: str = "feat") -> tuple[DataFrame, DataFrame]:
     """Centers (cluster, center) and labels (keys, cluster) of the assignment made before the last update.
 
-    init: (cluster, center), explicit, at most BROADCAST_VALUES values. The unit vectors are written once as a table that every round reads, and
-    per round only k x D partial sums cross the wire. An empty cluster gets a zero center.
+    init: (cluster, center), explicit or from seeded_centers. It ends after iters rounds, or when one less the mean cosine of old and new centers is under tol.
+    The unit vectors are written once as a table that every round reads. An empty cluster gets a zero center. With centers of up to BROADCAST_VALUES values
+    a round sends k x D partial sums; with more, centers stay tables: rows are assigned block by block and summed by (cluster, dim).
     """
-    spark, rows = df.sparkSession, _center_rows(init)
-    ids, c = [int(r["cluster"]) for r in rows], kernels.unit(kernels.rows([r["center"] for r in rows]))
+    if _values(init, "center")[1] > BROADCAST_VALUES:
+        return _kmeans_tables(df, init, keys, iters, tol, col)
+    spark, (ids, c) = df.sparkSession, _centers(init)
     units = materialize(map_features(df, kernels.unit, keys, col, "_unit"), "units")
     before = c
     for _ in range(iters):
@@ -201,10 +283,30 @@ def spherical_kmeans(df: DataFrame, init: DataFrame, keys: list[str], iters: int
         c = new
         if shift < tol:
             break
-    frame = lambda m: spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, m, strict=True)], "cluster int, center array<double>")
+    frame = lambda m: spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, m, strict=True)], "cluster int, center array<double>")
     return frame(c), assign_clusters(units, frame(before), keys, "_unit")
 
 
+def _kmeans_tables(df: DataFrame, init: DataFrame, keys: list[str], iters: int, tol: float, col: str) -> tuple[DataFrame, DataFrame]:
+    """spherical_kmeans for more centers than go to a task."""
+    units = materialize(map_features(df.withColumn("_n", F.monotonically_increasing_id()), kernels.unit, [*keys, "_n"], col, "_unit"), "units")
+    names = init.select(F.col("cluster").cast("int").alias("cluster"))
+    c = materialize(map_features(init.withColumn("cluster", F.col("cluster").cast("int")), kernels.unit, ["cluster"], "center", "center"), "centers")
+    dims = c.select(F.max(F.size("center"))).first()[0]
+    before = c
+    for _ in range(iters):
+        before = c
+        own = assign_clusters(units, c, ["_n"], "_unit").join(units.select("_n", "_unit"), "_n")
+        sums = own.select("cluster", F.posexplode("_unit").alias("d", "v")).groupBy("cluster", "d").agg(F.sum("v").alias("v"))
+        full = sums.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("d", "v"))).alias("_v")).select("cluster", F.col("_v.v").alias("_v"))
+        zero = F.array_repeat(F.lit(0.0), dims)
+        c = materialize(map_features(names.join(full, "cluster", "left").withColumn("center", F.coalesce("_v", zero)), kernels.unit, ["cluster"], "center", "center"), "centers")
+        dot = F.aggregate(F.zip_with("center", "_old", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+        if 1 - c.join(before.withColumnRenamed("center", "_old"), "cluster").agg(F.avg(dot)).first()[0] < tol:
+            break
+    return c, assign_clusters(units, before, keys, "_unit")
+
+
 def cluster_images(df: DataFrame, k: int = 8, iters: int = 100, tol: float = 1e-4, col: str = "feat") -> DataFrame:
     """(image_id, y, x, cluster, center): spherical k-means within each image from its first k patches; fewer patches give fewer clusters."""
 

@@ -257,6 +257,32 @@ def c3_kmeans_centers(spark, d):
     return _long(_kmeans(spark, d)[0], ["cluster"], "center")
 
 
+#: k-means of all patches from the eight whose numbers have the smallest hashes, until the mean shift is under the tolerance
+C3 = PV + """, ul AS (SELECT vec_id, md5('0,' || vec_id) AS h, list(u ORDER BY dim) AS u FROM pu GROUP BY vec_id),
+ks(it, old, new) AS (SELECT 0, CAST([] AS DOUBLE[][]), (SELECT list(u ORDER BY h) FROM (SELECT u, h FROM ul ORDER BY h LIMIT 8))
+UNION ALL SELECT c.it, c.cur, list(list_transform(range(1, 65), lambda d: coalesce(m.s[d], 0) / greatest(sqrt(coalesce(m.q, 0)), 1e-12)) ORDER BY c.i)
+FROM (SELECT it + 1 AS it, new AS cur, unnest(range(1, len(new) + 1)) AS i FROM ks WHERE it = 0 OR (it < 100 AND 1 - list_avg(list_transform(range(1, len(new) + 1), lambda i: list_dot_product(old[i], new[i]))) >= 1e-4)) c
+LEFT JOIN (SELECT i, list(s ORDER BY d) AS s, sum(s * s) AS q FROM (SELECT i, d, sum(u[d]) AS s FROM (SELECT p.u, list_position(ds, list_max(ds)) AS i, unnest(range(1, 65)) AS d
+FROM (SELECT ul.u, list_transform(ks.new, lambda z: list_dot_product(ul.u, z)) AS ds FROM ul, ks) p) GROUP BY i, d) GROUP BY i) m ON m.i = c.i GROUP BY c.it, c.cur),
+kf AS (SELECT * FROM ks ORDER BY it DESC LIMIT 1)"""
+
+
+def _kmeans_to_the_end(spark, d):
+    patches = view(spark, d, "patches")
+    return similarity.spherical_kmeans(patches, similarity.seeded_centers(patches, 8, ["vec_id"]), ["vec_id"])
+
+
+@query("patches", C3 + " SELECT vec_id, CAST(list_position(ds, list_max(ds)) - 1 AS INT) AS cluster FROM (SELECT ul.vec_id, list_transform(kf.old, lambda z: list_dot_product(ul.u, z)) AS ds FROM ul, kf)")
+def c3_seeded_labels(spark, d):
+    """k-means from a seeded start until its tolerance ends it."""
+    return _kmeans_to_the_end(spark, d)[1]
+
+
+@query("patches", C3 + " SELECT CAST(i - 1 AS INT) AS cluster, CAST(d - 1 AS INT) AS dim, round(new[i][d], 6) + 0.0 AS v FROM (SELECT new, i, unnest(range(1, 65)) AS d FROM (SELECT new, unnest(range(1, len(new) + 1)) AS i FROM kf))")
+def c3_seeded_centers(spark, d):
+    return _long(_kmeans_to_the_end(spark, d)[0], ["cluster"], "center")
+
+
 #: k-means within each image, round by round, until the mean shift is under the tolerance
 C5 = PV + """, ul AS (SELECT image_id, y, x, vec_id, row_number() OVER (PARTITION BY image_id ORDER BY y, x) AS r, list(u ORDER BY dim) AS u FROM pu GROUP BY image_id, y, x, vec_id),
 ks(image_id, it, old, new) AS (SELECT image_id, 0, CAST([] AS DOUBLE[][]), list(u ORDER BY r) FROM ul WHERE r <= 8 GROUP BY image_id

@@ -293,13 +293,39 @@ def test_class_probs_equal_cosine_and_softmax_and_leave_zero_vectors_null(spark)
     assert similarity.class_probs(f.limit(0), c, ["id"]).count() == 0 and similarity.class_probs(f, c.limit(0), ["id"]).count() == 0
 
 
-def test_bounds_of_what_goes_to_every_task(spark, monkeypatch):
-    f = spark.createDataFrame([(1, [1.0, 0.0])], "id long, feat array<double>")
-    monkeypatch.setattr(similarity, "BROADCAST_VALUES", 3)
-    c = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "cluster int, center array<double>")
-    for call in (lambda: similarity.assign_clusters(f, c, ["id"]), lambda: similarity.spherical_kmeans(f, c, ["id"]), lambda: similarity.class_probs(f, c.toDF("class_id", "embed"), ["id"])):
-        with pytest.raises(ValueError):
-            call()
+def test_class_vectors_and_centers_give_the_same_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    f = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate([*rng.standard_normal((40, 4)), np.zeros(4), *np.eye(4)])], "id long, image_id int, feat array<double>")
+    vectors = [*rng.standard_normal((9, 4)).tolist(), [0.0] * 4, [1.0, 0.0, 0.0, 0.0], [2.0, 0.0, 0.0, 0.0]]
+    c = spark.createDataFrame([(int(i), v) for i, v in zip(rng.permutation(12) * 5, vectors, strict=True)], "class_id int, embed array<double>")
+    centers = c.toDF("cluster", "center").filter("cluster % 2 = 0")
+    told = lambda p: {r.id: (r.class_ids, [None if v is None else round(v, 9) for v in r.probs], r.class_id, None if r.p is None else round(r.p, 9)) for r in p.collect()}
+    clean = f.filter("id <> 40")
+    start = similarity.seeded_centers(clean, 5, ["id"], 3)
+
+    def all_of():
+        k, labels = similarity.spherical_kmeans(clean, start, ["id"], iters=30, tol=1e-4)
+        rounded = {r.cluster: np.round(r.center, 9).tolist() for r in k.collect()}
+        return told(similarity.class_probs(f, c, ["id"], 5.0)), rows(similarity.assign_clusters(f, centers, ["id", "image_id"])), rounded, rows(labels.select("id", "cluster"))
+
+    whole = all_of()
+    for values in (4, 9, 20):
+        monkeypatch.setattr(similarity, "BROADCAST_VALUES", values)
+        assert all_of() == whole
+    assert similarity.assign_clusters(f, centers.limit(0), ["id"]).count() == 0
+
+
+def test_seeded_starts_do_not_depend_on_the_partitions(spark):
+    rng = np.random.default_rng(6)
+    vectors = [rng.standard_normal(3).tolist() for _ in range(30)]
+    f = spark.createDataFrame([(i, v) for i, v in enumerate([*vectors, *vectors[:10], None])], "id long, feat array<double>")
+    one = rows(similarity.seeded_centers(f, 6, ["id"], 1))
+    assert [c for c, _ in one] == list(range(6)) and len({tuple(v) for _, v in one}) == 6
+    assert rows(similarity.seeded_centers(f.repartition(7), 6, ["id"], 1)) == one != rows(similarity.seeded_centers(f, 6, ["id"], 2))
+    assert similarity.seeded_centers(f, 99, ["id"]).count() == 30
+
+
+def test_more_templates_than_the_bound_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(prompts, "MOST_TEMPLATES", 1)
     with pytest.raises(ValueError):
         prompts.expand_templates(spark.createDataFrame([("a",)], "name string"), spark.createDataFrame([(0, "{c}"), (1, "{c}")], "template_id int, template string"))
