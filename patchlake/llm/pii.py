@@ -224,17 +224,23 @@ def loss_gradient(p: dict[str, np.ndarray], codes: np.ndarray, tags: np.ndarray)
 
 
 def viterbi(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Best tags of emissions (windows, steps, TAGS); windows stand last while it searches."""
     n, steps, k = e.shape
-    back = np.zeros((steps, n, k), np.int8)
-    score = e[:, 0]
+    e, from_to = np.ascontiguousarray(e.transpose(1, 2, 0)), trans[:, :, None]
+    back = np.zeros((steps, k, n), np.int8)
+    score = e[0]
     for t in range(1, steps):
-        step = score[:, :, None] + trans
-        back[t] = step.argmax(1)
-        score = step.max(1) + e[:, t]
+        step = score[:, None] + from_to
+        best = step[0].copy()
+        for i in range(1, k):  # the first of equal ones, as argmax takes it
+            over = step[i] > best
+            back[t][over] = i
+            np.maximum(best, step[i], out=best)
+        score = best + e[t]
     tags = np.zeros((n, steps), np.int8)
-    tags[:, -1] = score.argmax(1)
+    tags[:, -1] = score.argmax(0)
     for t in range(steps - 1, 0, -1):
-        tags[:, t - 1] = back[t][np.arange(n), tags[:, t]]
+        tags[:, t - 1] = back[t][tags[:, t], np.arange(n)]
     return tags
 
 
@@ -454,6 +460,21 @@ def _open(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
     return np.flatnonzero(most >= -1e-3)
 
 
+def _tagged(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Which windows of emissions (steps, TAGS, windows) have tags on their best path, or nearly.
+
+    The best run of tags between two places without one is found exactly, without the path; only windows in which it gains something are searched.
+    """
+    trans = trans - trans[0, 0]
+    between, enter, leave = trans[1:, 1:, None], trans[0, 1:, None], trans[1:, 0, None]
+    run = e[0, 1:] - e[0, 0]
+    most = (run + leave).max(0) if len(e) > 1 else run.max(0)
+    for t in range(1, len(e)):
+        run = np.maximum((run[:, None] + between).max(0), enter) + (e[t, 1:] - e[t, 0])
+        np.maximum(most, (run + leave).max(0) if t + 1 < len(e) else run.max(0), out=most)
+    return np.flatnonzero(most >= -1e-3)
+
+
 _REACH = 12  # characters by which an end of a run may be moved
 #: What may not stand before the first and after the last character of a kind's span.
 _BESIDE = {"email": (re.compile(r"[\w.%+-]"), re.compile(r"[\w-]")), "ip": (re.compile(r"[\w.]"), re.compile(r"\w")), "card": (re.compile(r"\w"), re.compile(r"\w")), "phone": (re.compile(r"[\w+(]"), re.compile(r"\w"))}
@@ -508,16 +529,18 @@ def network_spans(p: dict[str, np.ndarray], texts: list[str], block: int = 512,
         found: dict[int, np.ndarray] = {}
         for n in np.unique(steps):
             rows = np.flatnonzero(steps == n)
-            held, near = [rows[:0]], [np.zeros((0, n, TAGS), np.float32)]
+            held, near = [rows[:0]], [np.zeros((n, TAGS, 0), np.float32)]
             for b in range(0, len(rows), block):
                 r = rows[b : b + block]
                 step = np.arange(n)[:, None]
                 window = np.where(step < size[r], flat[np.minimum(base[own[r]] + lo[r] + step, len(flat) - 1)], 32).astype(np.intp)
                 e = scorer(window)
                 on = _open(e, p["trans"])
-                held.append(r[on])
-                near.append(e[:, :, on].transpose(2, 0, 1))
-            for k, tags in zip(np.concatenate(held), viterbi(np.concatenate(near), p["trans"]), strict=True):
+                e = np.ascontiguousarray(e[:, :, on])
+                some = _tagged(e, p["trans"])
+                held.append(r[on[some]])
+                near.append(e[:, :, some])
+            for k, tags in zip(np.concatenate(held), viterbi(np.concatenate(near, 2).transpose(2, 0, 1), p["trans"]), strict=True):
                 if tags.any():
                     i, start = int(own[k]), lo[k]
                     line = found.setdefault(i, np.zeros(len(codes[i]), np.int8))
