@@ -2,11 +2,12 @@
 
 A text is a row of tokens (runs of at most TOKEN code points without white space); its k-mers are K consecutive
 tokens, and the i-th occurrence of a k-mer is an element of its own. There are ORDERS hash orders of all elements:
-an element's rank under order b is its hash with the leading bits changed by b (an exclusive or), so any element may come first under any order.
+an element's rank under order b is its hash with the leading bits changed by a permutation of its own (`_leads`), so any element may come first under any
+order, and the few elements of a short text, which seldom share their leading bits, stand in unrelated orders.
 Under each order the PICK smallest elements are selected, put back into text order, and their k-mers hashed as a tuple; signatures are
 therefore sensitive to order as well as content. Likeness is the share of orders with equal signatures.
 
-All orders agree on elements whose leading bits are equal, so the PICK smallest of each of the ORDERS classes of leading bits are all that any order can
+Each order has another class of leading bits first. All orders agree on elements whose leading bits are equal, so the PICK smallest of each of the ORDERS classes of leading bits are all that any order can
 select. They are read off one sorted array of longs that hold a hash of 33 bits above a position of 31, more than a value of Spark has code points. First
 occurrences carry the k-mer's own hash; the others, runs of equal hashes in sorted order, that hash mixed with their occurrence number.
 """
@@ -14,11 +15,12 @@ occurrences carry the k-mer's own hash; the others, runs of equal hashes in sort
 from __future__ import annotations
 
 import json
+import zlib
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TOKEN, K, ORDERS, PICK = 4, 2, 32, 2
+TOKEN, K, ORDERS, PICK = 2, 2, 32, 2
 _PLACE = (1 << 31) - 1
 _LEAD = 64 - (ORDERS.bit_length() - 1)
 
@@ -29,6 +31,15 @@ def _least(a: str) -> str:
     return f"concat(slice({a}, 1, {PICK}), filter({pairs}, x -> x IS NOT NULL))"
 
 
+def _leads() -> list[int]:
+    """For each order and each value of the leading bits the value that replaces them: 0 where both are equal, the others by a checksum of the two."""
+    out = []
+    for b in range(ORDERS):
+        rank = sorted(range(ORDERS), key=lambda c: (c != b, zlib.crc32(f"{b},{c}".encode()), c))  # noqa: B023
+        out += [rank.index(c) for c in range(ORDERS)]
+    return out
+
+
 def with_signature(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds out: array<long> of ORDERS signatures, all null for a text without tokens; a text of fewer than K tokens is one k-mer."""
     gram = lambda at: ", ".join(f"get(_t, {at} + {j})" for j in range(K))
@@ -42,11 +53,13 @@ def with_signature(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn("_e", F.expr(f"""sort_array(flatten(transform(_r, (s, q) -> transform(slice(_d, s + 1, coalesce(get(_r, q + 1), size(_d)) - s),
         (x, o) -> (xxhash64(shiftright(x, 31), o) & {~_PLACE}L) | (x & {_PLACE}L)))))"""))
     df = df.withColumn("_m", F.expr(f"concat({_least('_f')}, {_least('_e')})"))
-    pick = f"array_sort(transform(slice(sort_array(transform(_m, x -> x ^ shiftleft(b, {_LEAD}))), 1, {PICK}), x -> CAST(x & {_PLACE}L AS INT)))"
+    df = df.withColumn("_l", _numbers(_leads()))
+    moved = f"(x & {(1 << _LEAD) - 1}L) | shiftleft(get(_l, CAST(b * {ORDERS} + shiftrightunsigned(x, {_LEAD}) AS INT)), {_LEAD})"
+    pick = f"array_sort(transform(slice(sort_array(transform(_m, x -> {moved})), 1, {PICK}), x -> CAST(x & {_PLACE}L AS INT)))"
     df = df.withColumn("_p", F.expr(f"transform(sequence(0L, {ORDERS - 1}L), b -> CASE WHEN size(_m) > 0 THEN {pick} ELSE array() END)"))
     grams = ", ".join(gram(f"get(p, {j})") for j in range(PICK))
     df = df.withColumn(out, F.expr(f"transform(_p, p -> CASE WHEN size(p) > 0 THEN xxhash64({grams}) END)"))
-    return df.drop("_t", "_s", "_d", "_f", "_r", "_e", "_m", "_p")
+    return df.drop("_t", "_s", "_d", "_f", "_r", "_e", "_m", "_l", "_p")
 
 
 def shown(signature: str) -> Column:
