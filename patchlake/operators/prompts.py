@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from patchlake.sources.storage import global_index
 
-MOST_TEMPLATES = 10_000
+MOST_TEMPLATES, MOST_LETTERS = 10_000, 8_000_000
 
 
 def clean_prompts(df: DataFrame, col: str = "text", order: str = "submission") -> DataFrame:
@@ -19,9 +19,11 @@ def clean_prompts(df: DataFrame, col: str = "text", order: str = "submission") -
 
 
 def expand_templates(labels: DataFrame, templates: DataFrame, name: str = "name") -> DataFrame:
-    """Each label in each template (a `{c}` slot). Templates are a short list that goes to every task: more than MOST_TEMPLATES are an error."""
-    if templates.limit(MOST_TEMPLATES + 1).count() > MOST_TEMPLATES:
-        raise ValueError(f"more than {MOST_TEMPLATES} templates")
+    """Each label in each template (a `{c}` slot). Templates are a short list that goes to every task: more than MOST_TEMPLATES, or of
+    more than MOST_LETTERS characters together, are an error."""
+    size = templates.limit(MOST_TEMPLATES + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("template")), F.lit(0)).alias("letters")).first()
+    if size["n"] > MOST_TEMPLATES or size["letters"] > MOST_LETTERS:
+        raise ValueError(f"more than {MOST_TEMPLATES} templates or {MOST_LETTERS} characters of them")
     return labels.crossJoin(F.broadcast(templates)).withColumn("prompt", F.replace(F.col("template"), F.lit("{c}"), F.col(name)))
 
 

@@ -11,6 +11,7 @@ from patchlake.operators import aggregates, attention, grids, prompts, regions,
 from patchlake.plans.views import table, view, with_views
 from patchlake.sources import storage
 from patchlake.sources import tables as sources
+from patchlake.streaming.features import latest_features, run_features
 from patchlake.streaming.voxels import latest, run_available
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -805,6 +806,17 @@ def v6_accumulate_voxels(spark, d):
     return latest(spark, f"{place}/table").withColumn("total", F.round("total", 9) + 0.0)
 
 
+@query("points", VOX + " SELECT scene, vx, vy, vz, count(*) AS cnt, round(sum(f), 9) + 0.0 AS d0, round(sum(class_id), 9) + 0.0 AS d1 FROM vx GROUP BY scene, vx, vy, vz")
+def v6_voxel_features(spark, d):
+    """The stream of points with feature vectors, folded into one state per voxel with a snapshot after every batch."""
+    place = storage.new_path(spark, "features")
+    stream = sources.stream_table(spark, d, "lineitem")
+    points = stream.selectExpr("CAST(l_suppkey % 8 AS INT) AS scene", "l_quantity / 10 AS x", "l_discount AS y", "l_tax AS z", "array(l_extendedprice / CAST(100000 AS DOUBLE), CAST(l_partkey % 5 AS DOUBLE)) AS feat")
+    run_features(points, f"{place}/table", f"{place}/checkpoint", every=1)
+    out = latest_features(spark, f"{place}/table")
+    return out.select("scene", *voxels.VOXEL, "cnt", r9(F.get("total", F.lit(0))).alias("d0"), r9(F.get("total", F.lit(1))).alias("d1"))
+
+
 # text, sources and sinks
 
 
@@ -863,6 +875,27 @@ def s3_feature_round_trip(spark, d):
     return _long(sources.read_features(spark, path), ["vec_id"], "feat")
 
 
+MAPS = PV + " SELECT image_id, y, x, CAST(dim AS INT) AS dim, round(v, 6) + 0.0 AS v FROM pv"
+
+
+def _maps(spark, d, nested: bool) -> DataFrame:
+    path = storage.new_path(spark, "maps")
+    sources.write_maps(view(spark, d, "patches"), path, nested)
+    return _long(sources.read_maps(spark, path), CELL, "feat")
+
+
+@query("patches", MAPS)
+def s3_nested_maps(spark, d):
+    """Feature maps written as map[y][x] of vectors and read back."""
+    return _maps(spark, d, True)
+
+
+@query("patches", MAPS)
+def s3_flat_maps(spark, d):
+    """Feature maps written as vectors in raster order with their height and width, and read back."""
+    return _maps(spark, d, False)
+
+
 @query("grid gt", f"{CM}, {IOU}, {SUMMARY} SELECT run, metric, round(value, 6) AS value FROM ms CROSS JOIN (VALUES ('first'), ('second')) r(run)")
 def s4_append_metrics(spark, d):
     path = storage.new_path(spark, "metrics")

@@ -46,6 +46,33 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def write_maps(df: DataFrame, path: str, nested: bool = True) -> None:
+    """Feature maps (image_id, y, x, feat) as one row per image: map[y][x] of vectors if nested, else the vectors of all places in raster order.
+
+    A flat row keeps its height and width, so that read_maps finds the places again. An image with a missing place is an error when it is written flat
+    or nested; images must fit into a row (features by place go through write_features).
+    """
+    from patchlake.operators.grids import unflatten_map
+
+    maps = unflatten_map(df.select("image_id", "y", "x", "feat"))
+    size = maps.withColumns({"h": F.size("map"), "w": F.size(F.get("map", F.lit(0)))})
+    places = df.groupBy("image_id").agg(F.count("*").alias("_n"), (F.max("y") + 1).alias("_h"), (F.max("x") + 1).alias("_w"))
+    full = (F.col("_h") * F.col("_w") == F.col("_n")) & (F.col("_h") == F.col("h")) & F.forall("map", lambda r: F.size(r) == F.col("w"))
+    checked = size.join(places, "image_id").withColumn("map", F.when(full, F.col("map")).otherwise(F.raise_error(F.lit("a map with a missing place"))))
+    out = checked.select("image_id", "map") if nested else checked.select("image_id", "h", "w", F.flatten("map").alias("feats"))
+    out.write.parquet(path)
+
+
+def read_maps(spark: SparkSession, path: str) -> DataFrame:
+    """(image_id, y, x, feat) of maps that write_maps wrote in either layout."""
+    df = spark.read.parquet(path)
+    if "map" in df.columns:
+        rows = df.select("image_id", F.posexplode("map").alias("y", "_r"))
+        return rows.select("image_id", "y", F.posexplode("_r").alias("x", "feat"))
+    flat = df.select("image_id", "w", F.posexplode("feats").alias("_p", "feat"))
+    return flat.select("image_id", F.expr("CAST(_p DIV w AS INT)").alias("y"), F.expr("CAST(_p % w AS INT)").alias("x"), "feat")
+
+
 def append_metrics(df: DataFrame, path: str, run: str, model: str, dataset: str, resolution: str, refined: bool) -> None:
     """Adds a run's metrics (metric, value) to the log at path."""
     tags = {"run": run, "model": model, "dataset": dataset, "resolution": resolution}

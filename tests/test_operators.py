@@ -357,6 +357,16 @@ def test_cells_without_any_score_take_class_0(spark):
     assert {r.x: r.class_id for r in aggregates.merge_masks(masks, probs)[1].collect()} == {0: 0, 1: 3}
 
 
+def test_maps_are_written_in_both_layouts(spark, tmp_path):
+    cells = spark.createDataFrame([(i, y, x, [float(i), float(y * 10 + x)], 0) for i, h, w in ((1, 2, 3), (2, 1, 1)) for y in range(h) for x in range(w)], "image_id long, y int, x int, feat array<double>, w int")
+    want = rows(cells.drop("w"))
+    for nested in (True, False):
+        sources.write_maps(cells, f"{tmp_path}/{nested}", nested)
+        assert rows(sources.read_maps(spark, f"{tmp_path}/{nested}")) == want
+        with pytest.raises(Exception, match="missing place"):
+            sources.write_maps(cells.filter("NOT (image_id = 1 AND y = 0 AND x = 1)"), f"{tmp_path}/hole-{nested}", nested)
+
+
 def test_folders_are_listed(spark, tmp_path):
     (tmp_path / "a").mkdir()
     for name in ("a/1.jpg", "2.jpg", "1.png"):
