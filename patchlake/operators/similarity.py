@@ -374,3 +374,127 @@ def pca_rgb(df: DataFrame, keys: list[str], k: int = 3, col: str = "feat", eps:
     axes = principal_axes(cov, k)
     flat = map_features(df, lambda x: (x - mean) @ axes.T, keys, col, "_p").select(*keys, F.posexplode("_p").alias("dim", "v"))
     return minmax_scale(flat, "v", eps, ("image_id", "dim")).select(*keys, "dim", F.col("scaled").alias("v"))
+
+
+#: Side of the blocks in which covariances of long vectors are summed.
+COV_BLOCK = 512
+
+
+def _summed(parts: DataFrame, keys: list[str], schema: str) -> DataFrame:
+    """(keys, n, v): sums of counts n and of matrices v (bytes of doubles) by key, one block in memory at a time."""
+
+    def run(batches):
+        at, n, total = None, 0, None
+        for pdf in batches:
+            out = []
+            for key, count, raw in zip(zip(*(pdf[k] for k in keys), strict=True), pdf["n"], pdf["v"], strict=True):
+                v = np.frombuffer(raw, np.float64)
+                if key != at:
+                    if at is not None:
+                        out.append((*at, n, total.tobytes()))
+                    at, n, total = key, 0, np.zeros_like(v)
+                if len(v) != len(total):
+                    raise ValueError("vectors of different dimensions")
+                n, total = n + count, total + v
+            yield pd.DataFrame(out, columns=[*keys, "n", "v"])
+        if at is not None:
+            yield pd.DataFrame([(*at, n, total.tobytes())], columns=[*keys, "n", "v"])
+
+    return parts.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+
+
+def covariance_blocks(df: DataFrame, col: str = "feat", block: int | None = None) -> DataFrame:
+    """(i, j, cov): what covariance gives, for vectors of any length: no D x D rows reach the driver and no pair of dimensions is a row of a shuffle.
+
+    Each task sums products of block x block dimensions on and under the diagonal, which meet by block as bytes; the means come first, in a pass of their
+    own, so that no digits are lost. Null vectors are left out.
+    """
+    side = block or COV_BLOCK
+    given = df.select(col).filter(F.col(col).isNotNull())
+
+    def totals(batches):
+        n, s = 0, None
+        for pdf in batches:
+            if len(pdf):
+                x = kernels.rows(pdf[col])
+                n, s = n + len(x), x.sum(0) + (0 if s is None else s)
+        if n:
+            yield pd.DataFrame({"k": [0], "n": [n], "v": [s.tobytes()]})
+
+    whole = _summed(given.mapInPandas(totals, "k int, n long, v binary"), ["k"], "k int, n long, v binary").first()
+    if whole is None:
+        return df.sparkSession.createDataFrame([], "i int, j int, cov double")
+    count, mean = whole["n"], np.frombuffer(whole["v"]) / whole["n"]
+    dims = len(mean)
+
+    def products(batches):
+        held = None
+        for pdf in batches:
+            if len(pdf):
+                z = kernels.rows(pdf[col]) - mean
+                made = {(a, b): z[:, a : a + side].T @ z[:, b : b + side] for a in range(0, dims, side) for b in range(0, a + 1, side)}
+                held = made if held is None else {k: held[k] + m for k, m in made.items()}
+        for (a, b), m in (held or {}).items():
+            yield pd.DataFrame({"a": [a], "b": [b], "n": [0], "v": [m.tobytes()]})
+
+    def spread(batches):
+        for pdf in batches:
+            for a, b, raw in zip(pdf["a"], pdf["b"], pdf["v"], strict=True):
+                m = np.frombuffer(raw).reshape(min(side, dims - a), -1) / max(count - 1, 1)
+                i, j = np.indices(m.shape, dtype=np.int32)
+                yield pd.DataFrame({"i": i.ravel() + a, "j": j.ravel() + b, "cov": m.ravel()})
+                if a != b:
+                    yield pd.DataFrame({"i": j.ravel() + b, "j": i.ravel() + a, "cov": m.ravel()})
+
+    blocks = _summed(given.mapInPandas(products, "a int, b int, n long, v binary"), ["a", "b"], "a int, b int, n long, v binary")
+    return blocks.mapInPandas(spread, "i int, j int, cov double")
+
+
+def leading_axes(df: DataFrame, k: int = 3, col: str = "feat", extra: int = 13, rounds: int = 60, tol: float = 1e-9, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and the k leading axes of the features (the loading of the greatest size made positive) without a D x D matrix.
+
+    Subspace iteration on k + extra directions from a seeded start: a round is one pass that sums x (x . Q) per task, and only D x (k + extra) numbers come to
+    the driver. It ends when the k axes move by less than tol, or after `rounds`.
+    """
+    given = df.select(col).filter(F.col(col).isNotNull())
+
+    def passed(fn, shape):
+        def run(batches):
+            n, total = 0, None
+            for pdf in batches:
+                if len(pdf):
+                    x = kernels.rows(pdf[col])
+                    n, total = n + len(x), fn(x) + (0 if total is None else total)
+            if n:
+                yield pd.DataFrame({"k": [0], "n": [n], "v": [np.ascontiguousarray(total, np.float64).tobytes()]})
+
+        found = _summed(given.mapInPandas(run, "k int, n long, v binary"), ["k"], "k int, n long, v binary").first()
+        return (0, None) if found is None else (found["n"], np.frombuffer(found["v"]).reshape(shape))
+
+    n, total = passed(lambda x: x.sum(0), -1)
+    if not n:
+        return np.zeros(0), np.zeros((0, 0))
+    mean = total / n
+    dims, wide = len(mean), min(k + extra, len(mean))
+    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((dims, wide)))[0]
+    axes = None
+    for _ in range(rounds):
+        _, y = passed(lambda x, q=q: (x - mean).T @ ((x - mean) @ q), (dims, wide))
+        low, turn = np.linalg.eigh(q.T @ y)  # the best axes inside the subspace
+        before, axes = axes, (q @ turn[:, np.argsort(-low)])[:, :k].T
+        axes = axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(1)])[:, None]
+        if before is not None and np.abs(axes - before).max() < tol:
+            break
+        q = np.linalg.qr(y)[0]
+    return mean, axes
+
+
+def pca_rgb_long(df: DataFrame, keys: list[str], k: int = 3, col: str = "feat", eps: float = 1e-8) -> DataFrame:
+    """What pca_rgb gives, by leading_axes: for vectors of any length."""
+    from patchlake.operators.windows import minmax_scale
+
+    mean, axes = leading_axes(df, k, col)
+    if not len(axes):
+        return df.sparkSession.createDataFrame([], f"{_ddl(df, keys)}, dim int, v double")
+    flat = map_features(df, lambda x: (x - mean) @ axes.T, keys, col, "_p").select(*keys, F.posexplode("_p").alias("dim", "v"))
+    return minmax_scale(flat, "v", eps, ("image_id", "dim")).select(*keys, "dim", F.col("scaled").alias("v"))

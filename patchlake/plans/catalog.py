@@ -163,11 +163,20 @@ def x1_map_features(spark, d):
     return _long(similarity.map_features(view(spark, d, "patches"), lambda x: 2 * x + 1, ["vec_id"]), ["vec_id"], "feat")
 
 
-@query("patches", PV + ", m AS (SELECT dim, avg(v) AS m FROM pv GROUP BY dim), z AS (SELECT vec_id, dim, v - m AS z FROM pv JOIN m USING (dim)) SELECT CAST(a.dim AS INT) AS i, CAST(b.dim AS INT) AS j, round(sum(a.z * b.z) / (count(*) - 1), 6) + 0.0 AS cov FROM z a JOIN z b USING (vec_id) GROUP BY a.dim, b.dim")
+COV = PV + ", m AS (SELECT dim, avg(v) AS m FROM pv GROUP BY dim), z AS (SELECT vec_id, dim, v - m AS z FROM pv JOIN m USING (dim)) SELECT CAST(a.dim AS INT) AS i, CAST(b.dim AS INT) AS j, round(sum(a.z * b.z) / (count(*) - 1), 6) + 0.0 AS cov FROM z a JOIN z b USING (vec_id) GROUP BY a.dim, b.dim"
+
+
+@query("patches", COV)
 def a10_covariance(spark, d):
     return similarity.covariance(view(spark, d, "patches")).select("i", "j", r6("cov").alias("cov"))
 
 
+@query("patches", COV)
+def a10_covariance_blocks(spark, d):
+    """Covariance summed in blocks of 24 dimensions, as for long vectors."""
+    return similarity.covariance_blocks(view(spark, d, "patches"), block=24).select("i", "j", r6("cov").alias("cov"))
+
+
 def _pca_sql() -> str:
     """Leading axes by squaring the covariance until one axis is left, taken off before the next."""
     out = PV + """, dv AS (SELECT image_id, y, x, vec_id, dim, v - avg(v) OVER (PARTITION BY dim) AS z FROM pv), cov AS (SELECT a.dim AS i, b.dim AS j, sum(a.z * b.z) AS v FROM dv a JOIN dv b USING (vec_id) GROUP BY ALL)"""
@@ -188,6 +197,12 @@ def a11_pca_rgb(spark, d):
     return similarity.pca_rgb(view(spark, d, "patches"), PATCH).select(*PATCH, "dim", r6("v").alias("v"))
 
 
+@query("patches", _pca_sql())
+def a11_pca_long(spark, d):
+    """The same colours by subspace iteration, without a covariance matrix."""
+    return similarity.pca_rgb_long(view(spark, d, "patches"), PATCH).select(*PATCH, "dim", r6("v").alias("v"))
+
+
 C1 = PV + """, ds AS (SELECT a.image_id, a.vec_id AS a, b.vec_id AS b, sum(a.u * b.u) AS s FROM pu a JOIN pu b USING (image_id, dim) GROUP BY a.image_id, a.vec_id, b.vec_id),
 dm AS (SELECT a, b, (s - avg(s) OVER (PARTITION BY image_id)) * 10 AS t FROM ds), dk AS (SELECT a, b, t FROM dm WHERE t >= -1e-12),
 de AS (SELECT a, b, exp(t - max(t) OVER (PARTITION BY a)) AS e FROM dk), dw AS (SELECT a, b, e / sum(e) OVER (PARTITION BY a) AS w FROM de)
