@@ -20,7 +20,7 @@ import zlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TOKEN, K, ORDERS, PICK = 2, 2, 32, 2
+TOKEN, K, ORDERS, PICK = 3, 2, 32, 2
 _PLACE = (1 << 31) - 1
 _LEAD = 64 - (ORDERS.bit_length() - 1)
 
