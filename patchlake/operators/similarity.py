@@ -450,7 +450,7 @@ def covariance_blocks(df: DataFrame, col: str = "feat", block: int | None = None
     return blocks.mapInPandas(spread, "i int, j int, cov double")
 
 
-def leading_axes(df: DataFrame, k: int = 3, col: str = "feat", extra: int = 13, rounds: int = 60, tol: float = 1e-9, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def leading_axes(df: DataFrame, k: int = 3, col: str = "feat", extra: int = 61, rounds: int = 60, tol: float = 1e-9, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Mean and the k leading axes of the features (the loading of the greatest size made positive) without a D x D matrix.
 
     Subspace iteration on k + extra directions from a seeded start: a round is one pass that sums x (x . Q) per task, and only D x (k + extra) numbers come to
