@@ -49,9 +49,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeat both are one.
     """
     named = _numbered(docs)
-    given = named.dropDuplicates(["doc_id", "h"]).select(F.col("num").alias("doc_id"), "text")
+    given = named.select(F.col("num").alias("doc_id"), "text")
     kept = minhash.near_duplicates(given, k=5, percent=80).filter("kept").select(F.col("doc_id").alias("num")).distinct()
-    out = named.hint("merge").join(kept, "num", "left_semi").dropDuplicates(["doc_id", "h"])
+    # num stands for one (doc_id, h): rows that repeat both meet, sorted, where the merge join has put them, and texts are shuffled once
+    out = named.hint("merge").join(kept, "num", "left_semi").dropDuplicates(["num"])
     return out.select(COLUMNS).unionByName(docs.filter("doc_id is null").select(COLUMNS))
 
 

@@ -60,6 +60,13 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return materialize(named.hint("merge").join(ids, ["doc_id", "_hash"]).drop("_hash"), "numbered"), ids.select("doc_id", "_num")
 
 
+def sliced(batches: Iterator[pd.DataFrame], rows: int = 1024) -> Iterator[pd.DataFrame]:
+    """The frames in slices of at most `rows` rows, so that of long texts a task holds copies and results of a few at a time."""
+    for pdf in batches:
+        for lo in range(0, len(pdf), rows):
+            yield pdf.iloc[lo : lo + rows].reset_index(drop=True)
+
+
 def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Frames that hold whole groups only; the rows of a partition must come sorted by keys."""
     rest: pd.DataFrame | None = None

@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from patchlake.llm.common import ddl
+from patchlake.llm.common import ddl, sliced
 
 UND = "und"
 BLOCK = 512
@@ -70,7 +70,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.
             d = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=LEVEL)
             packers.append(zstandard.ZstdCompressor(dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress)
-        for pdf in batches:
+        for pdf in sliced(batches):
             out = []
             for text in pdf["text"]:
                 if not names or not text or not _LETTER.search(text):

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchlake.llm.common import byte_blocks, connected_components, gram_hashes, group_starts, local_stars, materialize, numbered, whole_groups, word_hashes
+from patchlake.llm.common import byte_blocks, connected_components, gram_hashes, group_starts, local_stars, materialize, numbered, sliced, whole_groups, word_hashes
 
 BLOCK = 256  # members of a cluster compared on full sets at once, by block
 LIST_BLOCK = 1024  # the same for signatures in a posting list
@@ -50,7 +50,7 @@ def signatures(docs: DataFrame, k: int, coords: int) -> DataFrame:
 
     def run(batches):
         a, b = _coefficients(coords)
-        for pdf in batches:
+        for pdf in sliced(batches):
             n, keys, sigs = [], [], []
             for s in _sets(list(pdf["text"]), k):
                 n.append(len(s))
@@ -185,10 +185,10 @@ def confirmed_edges(docs: DataFrame, clusters: DataFrame, k: int, percent: int)
     """Edges (a, b) that tie together all classes of a cluster with 100 * intersection >= percent * union."""
     sized = clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("m")), "cluster")
     # a merge join whatever the sizes: both sides grow with the corpus
-    texts = sized.hint("merge").join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc")
+    texts = sized.hint("merge").join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc").dropDuplicates(["doc"])  # a repeated row is one member
 
     def sets(batches):
-        for pdf in batches:
+        for pdf in sliced(batches):
             yield pd.DataFrame({"cluster": pdf["cluster"], "m": pdf["m"], "doc": pdf["doc"], "items": [s.tobytes() for s in _sets(list(pdf["text"]), k)]})
 
     held = texts.select("cluster", "m", "doc", "text").mapInPandas(sets, "cluster long, m long, doc long, items binary")

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchlake.llm.common import byte_blocks, ddl
+from patchlake.llm.common import byte_blocks, ddl, sliced
 from patchlake.llm.nn import adam
 
 KINDS = ("email", "ip", "card", "phone")
@@ -566,7 +566,7 @@ def detect(docs: DataFrame, p: dict[str, np.ndarray] | None = None, mask: bool =
 
     def run(batches):
         scorer = Scorer(p)
-        for pdf in batches:
+        for pdf in sliced(batches):
             texts = [t or "" for t in pdf["text"]]
             base = [base_spans(t) for t in texts]
             rows = []

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchlake.llm.common import _mix, byte_blocks, ddl, group_starts, materialize, numbered, whole_groups, word_hashes
+from patchlake.llm.common import _mix, byte_blocks, ddl, group_starts, materialize, numbered, sliced, whole_groups, word_hashes
 from patchlake.llm.fmindex import FMIndex
 
 GRAMS = (6, 12)  # and then whole windows
@@ -94,7 +94,7 @@ def segments(docs: DataFrame, window: int, anchors_only: bool = False) -> DataFr
     """The segments of whole texts: anchor, content (hash), n (windows), doc, start (word)."""
 
     def run(batches):
-        for pdf in batches:
+        for pdf in sliced(batches):
             doc, raw = pdf["doc_id"].to_numpy(), _raw(pdf["text"])
             for lo, hi in byte_blocks(raw):
                 text, start, size, anchor, content = _cut(*word_hashes(raw[lo:hi]), window, min(GRAMS[0], window))
@@ -218,7 +218,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, carry: tuple[str, ...] = (
     marks = repeated_spans(docs.select(F.col("_num").alias("doc_id"), "text"), window).groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("_spans")).withColumnRenamed("doc", "_doc")
 
     def run(batches):
-        for pdf in batches:
+        for pdf in sliced(batches):
             out = []
             for text, parts in zip(pdf["text"], pdf["_spans"], strict=True):
                 words = (text or "").encode("utf-8", "replace").split()

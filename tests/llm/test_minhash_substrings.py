@@ -1,9 +1,11 @@
 import hashlib
 import random
 
+import pandas as pd
 import pytest
 
 from patchlake.llm import minhash
+from patchlake.llm.common import sliced
 from patchlake.llm.minhash import near_duplicates
 from patchlake.llm.substrings import remove_repeats
 
@@ -144,3 +146,16 @@ def test_different_texts_of_one_id(spark):
     links, ids = components(rows, 4), {i: d for (d, _), i in number.items()}
     near = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df, k=4).collect())
     assert near == sorted((d, links[i][0], ids[links[i][1]], links[i][1] == i) for d, t in given for i in [number[d, t]])
+
+
+def test_repeated_rows_are_one_member_of_their_cluster(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(minhash, "tied", lambda members, *_: seen.append(members.select("cluster", "doc", "m").collect()) or members)
+    docs = spark.createDataFrame([(1, "a b c d e")] * 50 + [(2, "a b c d f")], "doc_id long, text string")
+    minhash.confirmed_edges(docs, spark.createDataFrame([(1, 1), (2, 1)], "doc long, cluster long"), 4, 80)
+    assert sorted(map(tuple, seen[0])) == [(1, 1, 2), (1, 2, 2)]
+
+
+def test_long_batches_are_taken_in_slices():
+    frames = [pd.DataFrame({"doc_id": range(n), "text": ["x"] * n}) for n in (5, 0, 2)]
+    assert [p["doc_id"].tolist() for p in sliced(iter(frames), 2)] == [[0, 1], [2, 3], [4], [0, 1]]

@@ -1,4 +1,5 @@
 import os
+import re
 
 import pytest
 
@@ -47,6 +48,15 @@ def test_near_dedup_keeps_null_ids_and_each_text_of_an_id(spark):
     assert got == [(3, words[1]), (5, words[2]), (5, "more")]
 
 
+def test_near_dedup_shuffles_texts_once(spark):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(30)), "en", "s", 9) for i in (1, 1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_dedup(spark, docs, "")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and not re.search(r"hashpartitioning\(doc_id#\d+L?, h#", plan)  # not once more by id and text
+    assert sorted(r.doc_id for r in out.collect()) == [1, 2, 3]
+
+
 def test_stages_on_odd_and_empty_tables(spark, tmp_path):
     words = lambda c, n: " ".join(f"{c}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}" for i in range(n))
     rows = [(1, words("k", 400), "aa"), (2, words("zo", 400), "bb"), (2, words("zo", 400), "bb"), (3, None, "aa"), (4, "", None), (5, "12 !!", None), (6, words("k", 60_000), "aa"), (None, words("k", 30) + " a.b@c.de", None), (7, words("q", 300), None)]
