@@ -8,7 +8,7 @@ Under each order the PICK smallest elements are selected, put back into text ord
 therefore sensitive to order as well as content. Likeness is the share of orders with equal signatures.
 
 Each order has another class of leading bits first. All orders agree on elements whose leading bits are equal, so the PICK smallest of each of the ORDERS classes of leading bits are all that any order can
-select. They are read off one sorted array of longs that hold a hash of 33 bits above a position of 31, more than a value of Spark has code points. First
+select; where every class has PICK elements, an order selects those of its first class. They are read off one sorted array of longs that hold a hash of 33 bits above a position of 31, more than a value of Spark has code points. First
 occurrences carry the k-mer's own hash; the others, runs of equal hashes in sorted order, that hash mixed with their occurrence number.
 """
 
@@ -26,9 +26,8 @@ _LEAD = 64 - (ORDERS.bit_length() - 1)
 
 
 def _least(a: str) -> str:
-    """The PICK first elements of each class of leading bits in a sorted array: each element is paired with the one PICK places before it."""
-    pairs = f"zip_with(slice({a}, {PICK + 1}, greatest(size({a}) - {PICK}, 0)), {a}, (x, y) -> CASE WHEN shiftright(x ^ y, {_LEAD}) <> 0 THEN x END)"
-    return f"concat(slice({a}, 1, {PICK}), filter({pairs}, x -> x IS NOT NULL))"
+    """The PICK first elements of each class of leading bits in a sorted array: those whose class the element PICK places before them doesn't share."""
+    return f"filter({a}, (x, i) -> i < {PICK} OR shiftright(x ^ get({a}, i - {PICK}), {_LEAD}) <> 0)"
 
 
 def _leads() -> list[int]:
@@ -40,26 +39,34 @@ def _leads() -> list[int]:
     return out
 
 
+def _firsts() -> list[int]:
+    """For each order the place of its first class among all classes, as they stand in a sorted array: longs are signed, so the upper half comes first."""
+    leads, half = _leads(), ORDERS // 2
+    return [min(range(ORDERS), key=lambda c: leads[b * ORDERS + c] ^ half) ^ half for b in range(ORDERS)]  # noqa: B023
+
+
 def with_signature(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds out: array<long> of ORDERS signatures, all null for a text without tokens; a text of fewer than K tokens is one k-mer."""
     gram = lambda at: ", ".join(f"get(_t, {at} + {j})" for j in range(K))
     df = df.withColumn("_t", F.regexp_extract_all(F.col(text), F.lit(f"[^\\x20\\x09-\\x0D]{{1,{TOKEN}}}"), F.lit(0)))
     df = df.withColumn("_s", F.expr(f"CASE WHEN size(_t) > 0 THEN sort_array(transform(sequence(0, greatest(size(_t) - {K}, 0)), i -> (xxhash64({gram('i')}) & {~_PLACE}L) | i)) ELSE array() END"))
     # occurrences of a k-mer after its first one, then the first ones
-    df = df.withColumn("_d", F.expr("filter(zip_with(slice(_s, 2, greatest(size(_s) - 1, 0)), _s, (x, y) -> CASE WHEN shiftright(x ^ y, 31) = 0 THEN x END), x -> x IS NOT NULL)"))
+    df = df.withColumn("_d", F.expr("filter(_s, (x, i) -> i > 0 AND shiftright(x ^ get(_s, i - 1), 31) = 0)"))
     df = df.withColumn("_f", F.expr("CASE WHEN size(_d) > 0 THEN array_except(_s, _d) ELSE _s END"))
     run = "j = 0 OR shiftright(get(_d, j) ^ get(_d, j - 1), 31) <> 0"
     df = df.withColumn("_r", F.expr(f"CASE WHEN size(_d) > 0 THEN filter(sequence(0, size(_d) - 1), j -> {run}) ELSE array() END"))
     df = df.withColumn("_e", F.expr(f"""sort_array(flatten(transform(_r, (s, q) -> transform(slice(_d, s + 1, coalesce(get(_r, q + 1), size(_d)) - s),
         (x, o) -> (xxhash64(shiftright(x, 31), o) & {~_PLACE}L) | (x & {_PLACE}L)))))"""))
-    df = df.withColumn("_m", F.expr(f"concat({_least('_f')}, {_least('_e')})"))
-    df = df.withColumn("_l", _numbers(_leads()))
+    df = df.withColumn("_m", F.expr(f"sort_array(concat({_least('_f')}, {_least('_e')}))"))
+    df = df.withColumn("_m", F.expr(_least("_m")))
+    df = df.withColumn("_l", _numbers(_leads())).withColumn("_o", _numbers(_firsts()))
     moved = f"(x & {(1 << _LEAD) - 1}L) | shiftleft(get(_l, CAST(b * {ORDERS} + shiftrightunsigned(x, {_LEAD}) AS INT)), {_LEAD})"
     pick = f"array_sort(transform(slice(sort_array(transform(_m, x -> {moved})), 1, {PICK}), x -> CAST(x & {_PLACE}L AS INT)))"
-    df = df.withColumn("_p", F.expr(f"transform(sequence(0L, {ORDERS - 1}L), b -> CASE WHEN size(_m) > 0 THEN {pick} ELSE array() END)"))
+    full = f"sort_array(transform(slice(_m, CAST({PICK} * get(_o, CAST(b AS INT)) + 1 AS INT), {PICK}), x -> CAST(x & {_PLACE}L AS INT)))"
+    df = df.withColumn("_p", F.expr(f"transform(sequence(0L, {ORDERS - 1}L), b -> CASE WHEN size(_m) = {ORDERS * PICK} THEN {full} WHEN size(_m) > 0 THEN {pick} ELSE array() END)"))
     grams = ", ".join(gram(f"get(p, {j})") for j in range(PICK))
     df = df.withColumn(out, F.expr(f"transform(_p, p -> CASE WHEN size(p) > 0 THEN xxhash64({grams}) END)"))
-    return df.drop("_t", "_s", "_d", "_f", "_r", "_e", "_m", "_l", "_p")
+    return df.drop("_t", "_s", "_d", "_f", "_r", "_e", "_m", "_l", "_o", "_p")
 
 
 def shown(signature: str) -> Column:

@@ -57,6 +57,13 @@ def test_links_of_nothing(spark):
     assert neardup.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_first_class_of_each_order_stands_where_firsts_says():
+    n, signed = fingerprints.ORDERS, lambda v: v - (v & 16) * 2
+    sorted_classes, leads = sorted(range(n), key=signed), fingerprints._leads()
+    for b, place in enumerate(fingerprints._firsts()):
+        assert sorted_classes[place] == min(range(n), key=lambda c: signed(leads[b * n + c]))  # noqa: B023
+
+
 def test_fingerprints(spark):
     texts = ["a b c d e f g h", "a b c d e f g h", None, "", "x", "a a a a a a a a", "é" * 51, " ".join(map(str, range(500))), " ".join(map(str, reversed(range(500))))]
     ids = [3, 1, 7, 5, 20, 11, 40, 60, 50]
