@@ -43,7 +43,7 @@ def r6(c):
 
 
 def _long(df: DataFrame, keys: list[str], col: str, out: str = "v") -> DataFrame:
-    return df.select(*keys, F.posexplode(col).alias("dim", "_v")).select(*keys, "dim", r6("_v").alias(out))
+    return df.select(*keys, F.posexplode(col).alias("dim", "_v")).select(*keys, "dim", r6(F.col("_v").cast("double")).alias(out))
 
 
 def _classes(spark: SparkSession, d: str) -> DataFrame:
@@ -895,7 +895,7 @@ MAPS = PV + " SELECT image_id, y, x, CAST(dim AS INT) AS dim, round(v, 6) + 0.0
 
 def _maps(spark, d, nested: bool) -> DataFrame:
     path = storage.new_path(spark, "maps")
-    sources.write_maps(view(spark, d, "patches"), path, nested)
+    sources.write_maps(view(spark, d, "patches"), path, nested, partial=True)
     return _long(sources.read_maps(spark, path), CELL, "feat")
 
 

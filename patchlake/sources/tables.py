@@ -46,31 +46,49 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_maps(df: DataFrame, path: str, nested: bool = True) -> None:
+def write_maps(df: DataFrame, path: str, nested: bool = True, partial: bool = False) -> None:
     """Feature maps (image_id, y, x, feat) as one row per image: map[y][x] of vectors if nested, else the vectors of all places in raster order.
 
     A flat row keeps its height and width, so that read_maps finds the places again. An image with a missing place is an error when it is written flat
-    or nested; images must fit into a row (features by place go through write_features).
+    or nested, unless it may be partial: a missing place then holds null, and read_maps leaves it out (as it does a place whose vector is null). A place
+    that stands twice, or whose y or x is null or under 0, is an error in any case. Images must fit into a row (features by place go through write_features).
     """
-    from patchlake.operators.grids import unflatten_map
-
-    maps = unflatten_map(df.select("image_id", "y", "x", "feat"))
-    size = maps.withColumns({"h": F.size("map"), "w": F.size(F.get("map", F.lit(0)))})
-    places = df.groupBy("image_id").agg(F.count("*").alias("_n"), (F.max("y") + 1).alias("_h"), (F.max("x") + 1).alias("_w"))
-    full = (F.col("_h") * F.col("_w") == F.col("_n")) & (F.col("_h") == F.col("h")) & F.forall("map", lambda r: F.size(r) == F.col("w"))
-    checked = size.join(places, "image_id").withColumn("map", F.when(full, F.col("map")).otherwise(F.raise_error(F.lit("a map with a missing place"))))
-    out = checked.select("image_id", "map") if nested else checked.select("image_id", "h", "w", F.flatten("map").alias("feats"))
-    out.write.parquet(path)
+    kind = df.schema["feat"].dataType.simpleString()
+    bad = lambda what, kind: F.raise_error(F.lit(what)).cast(kind)
+    ahead = lambda kind: bad("a map with a missing place", kind)
+
+    def fill(gap, hole, kind: str):
+        """Missing places before one."""
+        some = F.array_repeat(hole, gap) if partial else F.when(gap == 0, F.array().cast(f"array<{kind}>")).otherwise(ahead(f"array<{kind}>"))
+        return F.when(gap >= 0, some).otherwise(bad("a map with a place that stands twice or outside", f"array<{kind}>"))
+
+    def dense(of, name: str, at: str, hole, kind: str):
+        """The values of an array of places in order, with what is missing between them."""
+        before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.get(of, i - 1)[at])
+        gap = lambda s, i: F.coalesce(s[at] - before(i) - 1, F.lit(-1)).cast("int")
+        return F.flatten(F.transform(of, lambda s, i: F.concat(fill(gap(s, i), hole, kind), F.array(s[name]))))
+
+    none = F.lit(None).cast(kind)
+    sorted_by = lambda at, name: F.sort_array(F.collect_list(F.struct(at, name))).alias("_r")
+    rows = df.select("image_id", "y", "x", "feat").groupBy("image_id", "y").agg(sorted_by("x", "feat"))
+    rows = rows.select("image_id", "y", dense(F.col("_r"), "feat", "x", none, kind).alias("_row"))
+    maps = rows.groupBy("image_id").agg(sorted_by("y", "_row"))
+    maps = maps.select("image_id", F.array_max(F.transform("_r", lambda s: F.size(s["_row"]))).alias("w"), dense(F.col("_r"), "_row", "y", F.array().cast(f"array<{kind}>"), f"array<{kind}>").alias("map"))
+    wide = lambda r: F.concat(r, F.array_repeat(none, F.col("w") - F.size(r))) if partial else F.when(F.size(r) == F.col("w"), r).otherwise(ahead(f"array<{kind}>"))
+    maps = maps.withColumn("map", F.transform("map", wide))
+    out = maps.select("image_id", "map") if nested else maps.select("image_id", F.size("map").alias("h"), "w", F.flatten("map").alias("feats"))
+    (out.withColumn("partial", F.lit(True)) if partial else out).write.parquet(path)
 
 
 def read_maps(spark: SparkSession, path: str) -> DataFrame:
-    """(image_id, y, x, feat) of maps that write_maps wrote in either layout."""
+    """(image_id, y, x, feat) of maps that write_maps wrote in either layout; places that a partial map lacks have no row."""
     df = spark.read.parquet(path)
+    there = "feat IS NOT NULL" if "partial" in df.columns else "true"
     if "map" in df.columns:
         rows = df.select("image_id", F.posexplode("map").alias("y", "_r"))
-        return rows.select("image_id", "y", F.posexplode("_r").alias("x", "feat"))
+        return rows.select("image_id", "y", F.posexplode("_r").alias("x", "feat")).filter(there)
     flat = df.select("image_id", "w", F.posexplode("feats").alias("_p", "feat"))
-    return flat.select("image_id", F.expr("CAST(_p DIV w AS INT)").alias("y"), F.expr("CAST(_p % w AS INT)").alias("x"), "feat")
+    return flat.select("image_id", F.expr("CAST(_p DIV w AS INT)").alias("y"), F.expr("CAST(_p % w AS INT)").alias("x"), "feat").filter(there)
 
 
 def append_metrics(df: DataFrame, path: str, run: str, model: str, dataset: str, resolution: str, refined: bool) -> None:
