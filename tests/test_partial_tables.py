@@ -22,7 +22,7 @@ def test_partial_maps_come_back_with_the_places_that_they_have(spark, tmp_path):
                 sources.write_maps(cells.union(spark.createDataFrame(more, cells.schema)), f"{tmp_path}/odd-{n}-{nested}", nested, partial=True)
 
 
-@pytest.mark.parametrize("name", ["s3_flat_maps"])
+@pytest.mark.parametrize("name", ["s3_flat_maps", "s3_nested_maps"])
 def test_map_queries_take_an_image_that_ends_within_a_row(spark, tmp_path, name):
     spark.read.parquet(f"{SF}/embeddings.parquet").filter("vec_id < 256 AND vec_id <> 17").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = catalog.QUERIES[name](spark, str(tmp_path))
