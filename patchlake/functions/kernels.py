@@ -68,6 +68,13 @@ def bilinear(maps: np.ndarray, h: int, w: int) -> np.ndarray:
     return across(top) * (1 - fy)[:, None] + across(low) * fy[:, None]
 
 
+def all_corners(there: np.ndarray, h: int, w: int) -> np.ndarray:
+    """For maps (k, y, x) of the places that are there: which cells of bilinear's h x w grid have all four of their source places."""
+    (y0, y1, _), (x0, x1, _) = _axis(there.shape[1], h), _axis(there.shape[2], w)
+    both = there[:, y0] & there[:, y1]
+    return both[:, :, x0] & both[:, :, x1]
+
+
 def bilinear_rows(strip: np.ndarray, top: int, n: int, h: int, w: int, rows: np.ndarray) -> np.ndarray:
     """Some rows of what bilinear gives for maps of n rows, from a strip (k, y, x) that begins at row `top` of the maps."""
     y0, y1, fy = (a[rows] for a in _axis(n, h))

@@ -86,25 +86,42 @@ def nearest_resize(grid: DataFrame, h: int, w: int) -> DataFrame:
     return t.join(grid, CELL).drop("y", "x").withColumnsRenamed({"ty": "y", "tx": "x"})
 
 
-def bilinear_resize(grid: DataFrame, h: int, w: int, value: str = "v", keys: tuple[str, ...] = ()) -> DataFrame:
+def bilinear_resize(grid: DataFrame, h: int, w: int, value: str = "v", keys: tuple[str, ...] = (), partial: bool = False) -> DataFrame:
     """(image_id, keys, y, x, value) on an h x w grid: half-pixel centres, clamped at the edges; the four weights of a cell sum to one.
 
-    One group an image, all its keys (classes) in it. A source grid with a missing cell is an error.
+    One group an image, all its keys (classes) in it. A source grid with a missing cell is an error, unless it may be partial: then the target cells
+    of which one of the four source cells is missing have no row, even if its weight is 0, and cells without an image or a place, or with one under 0, don't
+    count. A cell that stands twice is an error in any case.
     """
     names = ["image_id", *keys]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         n, m = int(group["y"].max()) + 1, int(group["x"].max()) + 1
         group = group.sort_values([*keys, "y", "x"])
-        if len(group) % (n * m) or (group["y"].to_numpy() * m + group["x"].to_numpy() != np.tile(np.arange(n * m), len(group) // (n * m))).any():
+        place = group["y"].to_numpy() * m + group["x"].to_numpy()
+        whole = not len(group) % (n * m) and (place == np.tile(np.arange(n * m), len(group) // (n * m))).all()
+        if not whole and not partial:
             raise ValueError(f"the grid of image {group['image_id'].iloc[0]} is not full")
-        out = kernels.bilinear(group[value].to_numpy(float).reshape(-1, n, m), h, w)
-        heads = group[names].iloc[:: n * m]
+        if whole:
+            heads, source, there = group[names].iloc[:: n * m], group[value].to_numpy(float).reshape(-1, n, m), None
+        else:
+            own = group.groupby(list(keys), sort=False, dropna=False).ngroup().to_numpy() if keys else np.zeros(len(group), np.int64)
+            heads = group[names].iloc[np.unique(own, return_index=True)[1]]
+            source, times = np.zeros((len(heads), n * m)), np.zeros((len(heads), n * m), np.int64)
+            np.add.at(times, (own, place), 1)
+            if times.max() > 1:
+                raise ValueError(f"a cell of image {group['image_id'].iloc[0]} stands twice")
+            source[own, place] = group[value].to_numpy(float)
+            source, there = source.reshape(-1, n, m), kernels.all_corners(times.reshape(-1, n, m) > 0, h, w).ravel()
+        out = kernels.bilinear(source, h, w)
         rows = heads.loc[heads.index.repeat(h * w)].reset_index(drop=True)
         y, x = np.divmod(np.arange(h * w, dtype=np.int32), w)
-        return rows.assign(y=np.tile(y, len(heads)), x=np.tile(x, len(heads)), **{value: out.ravel()})
+        rows = rows.assign(y=np.tile(y, len(heads)), x=np.tile(x, len(heads)), **{value: out.ravel()})
+        return rows if there is None else rows[there]
 
     cells = grid.select(*names, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col(value).cast("double").alias(value))
+    if partial:
+        cells = cells.filter("image_id IS NOT NULL AND y >= 0 AND x >= 0")
     schema = ", ".join(f"{c} {grid.schema[c].dataType.simpleString()}" for c in names) + f", y int, x int, {value} double"
     return cells.groupBy("image_id").applyInPandas(run, schema)
 

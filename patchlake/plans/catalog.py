@@ -659,7 +659,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, bo
 def search_regions(spark, d):
     """Text-to-region search: contrast of a query and a negative class, upsampled, boxes at eight thresholds, suppressed, the ten best of each image."""
     heat = _contrast(spark, d).select(*CELL, F.col("p").alias("v"))
-    up = grids.bilinear_resize(heat, 30, 30).withColumn("v", r9("v"))
+    up = grids.bilinear_resize(heat, 30, 30, partial=True).withColumn("v", r9("v"))
     order = Window.partitionBy("image_id").orderBy("k", "y1", "x1", "y2", "x2")
     boxes = regions.heatmap_boxes(up).withColumn("box_id", F.row_number().over(order))
     return regions.top_k(regions.nms(boxes, 0.2)).withColumn("score", r6("score"))

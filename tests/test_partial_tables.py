@@ -1,8 +1,10 @@
 """Images of which only some places are there."""
 
 import duckdb
+import numpy as np
 import pytest
 
+from patchlake.operators import grids
 from patchlake.plans import catalog
 from patchlake.sources import tables as sources
 
@@ -30,3 +32,26 @@ def test_map_queries_take_an_image_that_ends_within_a_row(spark, tmp_path, name)
     con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
     want = con.execute(catalog.ORACLES[name]).fetchall()
     assert len(want) == 255 * 64 and sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_resizing_leaves_out_cells_that_miss_a_corner(spark):
+    rng = np.random.default_rng(5)
+    full = [(1, y, x, k, float(rng.random())) for y in range(5) for x in range(4) for k in range(2)]
+    g = spark.createDataFrame(full, "image_id long, y int, x int, class_id int, v double")
+    some = g.filter("NOT (class_id = 0 AND y = 1 AND x = 1) AND NOT (class_id = 1 AND y = 4 AND x > 1)")
+    want = {(r.class_id, r.y, r.x): r.v for r in grids.bilinear_resize(g, 9, 7, keys=("class_id",)).collect()}
+    got = {(r.class_id, r.y, r.x): r.v for r in grids.bilinear_resize(some, 9, 7, keys=("class_id",), partial=True).collect()}
+    gone = {0: [(1, 1)], 1: [(4, 2), (4, 3)]}
+    src = lambda t, n, out: (lambda s: {int(s), min(int(s) + 1, n - 1)})(max((t + 0.5) * n / out - 0.5, 0))
+    assert got == {(k, y, x): v for (k, y, x), v in want.items() if not any(a in src(y, 5, 9) and b in src(x, 4, 7) for a, b in gone[k])}
+    with pytest.raises(Exception, match="stands twice"):
+        grids.bilinear_resize(some.union(some.limit(1)), 9, 7, keys=("class_id",), partial=True).collect()
+
+
+def test_search_takes_images_with_missing_patches(spark, tmp_path):
+    spark.read.parquet(f"{SF}/embeddings.parquet").filter("vec_id < 283 AND vec_id NOT IN (144, 109, 199)").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalog.QUERIES["search_regions"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(catalog.ORACLES["search_regions"]).fetchall()
+    assert {r[0] for r in want} == {0, 1, 2} and sorted(map(tuple, got)) == sorted(want)
