@@ -80,10 +80,21 @@ def _cells(grid: DataFrame, h: int, w: int) -> DataFrame:
 
 
 def nearest_resize(grid: DataFrame, h: int, w: int) -> DataFrame:
-    """Target cell takes source cell floor(target * in / out)."""
-    src = lambda t, n, out: F.floor(F.col(t) * F.col(n) / out).cast("int")
-    t = _cells(grid, h, w).select("image_id", "ty", "tx", src("ty", "in_h", h).alias("y"), src("tx", "in_w", w).alias("x"))
-    return t.join(grid, CELL).drop("y", "x").withColumnsRenamed({"ty": "y", "tx": "x"})
+    """Target cell takes source cell floor(target * in / out).
+
+    Each source cell names its target cells, those from place * out / in on that come before the next place's, so the only join is by image, with one row each: a
+    table of all target cells would seem as small as that of the images, and be broadcast.
+    """
+    sizes = grid.groupBy("image_id").agg((F.max("y") + 1).alias("in_h"), (F.max("x") + 1).alias("in_w"))
+    begin = lambda c, size, out: F.expr(f"(({c}) * {out}L + {size} - 1) DIV {size}")
+
+    def targets(c: str, size: str, out: int) -> Column:
+        first, last = begin(c, size, out), begin(f"{c} + 1L", size, out) - 1
+        return F.explode(F.when(first <= last, F.sequence(first, last)))
+
+    t = grid.filter("y >= 0 AND x >= 0").join(sizes, "image_id")
+    t = t.withColumn("ty", targets("y", "in_h", h)).withColumn("tx", targets("x", "in_w", w))
+    return t.select("image_id", F.col("ty").cast("int").alias("y"), F.col("tx").cast("int").alias("x"), *[c for c in grid.columns if c not in CELL])
 
 
 def bilinear_resize(grid: DataFrame, h: int, w: int, value: str = "v", keys: tuple[str, ...] = (), partial: bool = False) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Images of which only some places are there."""
+"""Images of which only some places are there, and plans that don't send the cells of all images to one place."""
+
+import io
+from contextlib import redirect_stdout
 
 import duckdb
 import numpy as np
@@ -55,3 +58,24 @@ def test_search_takes_images_with_missing_patches(spark, tmp_path):
     con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
     want = con.execute(catalog.ORACLES["search_regions"]).fetchall()
     assert {r[0] for r in want} == {0, 1, 2} and sorted(map(tuple, got)) == sorted(want)
+
+
+@pytest.mark.parametrize(("h", "w"), [(30, 30), (7, 3), (1, 64), (11, 5)])
+def test_nearest_resize_equals_the_definition(spark, h, w):
+    rng = np.random.default_rng(6)
+    given = [(i, y, x, int(rng.integers(9))) for i, n, m in ((1, 11, 5), (2, 1, 1), (3, 40, 37)) for y in range(n) for x in range(m) if rng.random() < 0.8 or (y, x) == (n - 1, m - 1)]
+    given += [(1, 0, 0, 77), (1, -1, 2, 5), (None, 0, 0, 3), (3, None, 1, 4)]
+    size = {1: (11, 5), 2: (1, 1), 3: (40, 37)}
+    want = sorted((i, ty, tx, k) for i, y, x, k in given if i and y is not None for ty in range(h) for tx in range(w) if (ty * size[i][0] // h, tx * size[i][1] // w) == (y, x))
+    got = grids.nearest_resize(spark.createDataFrame(given, "image_id long, y int, x int, class_id int"), h, w)
+    assert got.columns == ["image_id", "y", "x", "class_id"] and got.schema["y"].dataType.simpleString() == got.schema["x"].dataType.simpleString() == "int"
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_nearest_resize_joins_images_not_target_cells(spark):
+    """What is joined has a row for each image: no target cell is made before the join, under which a broadcast would take all of them."""
+    out = io.StringIO()
+    with redirect_stdout(out):
+        catalog.QUERIES["j3_nearest_resize"](spark, SF).explain("simple")
+    plan = out.getvalue()
+    assert "Join" in plan and "Generate" in plan and plan.rindex("Generate") < plan.index("Join")
