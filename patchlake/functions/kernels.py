@@ -135,6 +135,46 @@ def components(mask: np.ndarray, corners: bool = True) -> np.ndarray:
     return np.where(mask, np.searchsorted(found, top) + 1, 0)
 
 
+def place_keys(own: np.ndarray, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, int]:
+    """One number for each place (own, y, x), in their order, and the step of a row; own are group numbers in order.
+
+    Groups and rows lie apart, so numbers that differ by 1, or by a row and 1 at most, are places that touch.
+    """
+    begin = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+    y, x = (c - np.repeat(np.minimum.reduceat(c, begin), np.diff(np.append(begin, len(own)))) for c in (y.astype(np.int64), x.astype(np.int64)))
+    height, width = int(y.max()) + 2, int(x.max()) + 2
+    if len(begin) * height * width >= 1 << 62:
+        raise ValueError(f"groups that span {height - 1} x {width - 1} places are too wide")
+    number = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(own))))
+    return (number * height + y) * width + x, width
+
+
+def touching(keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (indexes) of places that touch, also at corners, of sorted distinct keys of place_keys."""
+    right = np.flatnonzero(keys[1:] == keys[:-1] + 1)
+    a, b = [right], [right + 1]
+    below, own = np.searchsorted(keys, keys + (width - 1)), np.arange(len(keys))
+    for step in range(3):
+        at = own[below + step < len(keys)]
+        at = at[keys[below[at] + step] <= keys[at] + (width + 1)]
+        a.append(at)
+        b.append(below[at] + step)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def least_linked(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the smallest one that the edges (a, b) connect it with."""
+    root = np.arange(n)
+    while len(a):
+        p, q = root[a], root[b]
+        open_ = p != q
+        a, b, p, q = a[open_], b[open_], p[open_], q[open_]
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+        while ((up := root[root]) != root).any():
+            root = up
+    return root
+
+
 def outer_components(mask: np.ndarray) -> np.ndarray:
     """Like components, but regions that lie in a hole of another one are left out (0)."""
     label = components(mask)

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchlake.functions import kernels
-from patchlake.sources.storage import global_index, materialize
+from patchlake.sources.storage import materialize
 
 _HALF = 1 << 31
+#: Rows that a task looks at together, about.
+ROWS = 250_000
+#: Tiles along the side of a block, whose border labels are joined in one group.
+BLOCK = 16
 
 
 def least_connected(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -42,44 +48,119 @@ def least_connected(edges: DataFrame, keys: list[str]) -> DataFrame:
     return at.join(least, [*keys, "top"]).select(*keys, "node", "least")
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+    """Columns of ROWS rows or more, as far as there are, of rows sorted by `by`, with the number of each row's group; a group is never cut."""
+    held, many, least = [], 0, ROWS
+    for batch in batches:
+        held.append(batch)
+        many += batch.num_rows
+        if many < least:
+            continue
+        told = pa.Table.from_batches(held)
+        out, own = _numbered(told, by)
+        last = int(np.searchsorted(own, own[-1]))
+        if last:
+            yield {k: v[:last] for k, v in out.items()}, own[:last]
+        held = told.slice(last).combine_chunks().to_batches()
+        many -= last
+        least = max(ROWS, 2 * many)
+    if many:
+        yield _numbered(pa.Table.from_batches(held), by)
+
+
+def _numbered(told: pa.Table, by: list[str]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    out = {name: told.column(name).to_numpy() for name in told.column_names}
+    return out, np.cumsum(_changes(*(out[c] for c in by))) - 1
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where one of the columns differs from the row before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
+def _arrays(ends: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
+
+
+def _label_tiles(batches: Iterator[pa.RecordBatch], ks: list[str], tile: int) -> Iterator[pa.RecordBatch]:
+    """Pieces (ks, piece, ys, xs, bys, bxs) of cells (ks, _ty, _tx, y, x) sorted by tile: all cells, and those at the tile's border, each once."""
+    for cells, own in _whole_groups(batches, [*ks, "_ty", "_tx"]):
+        keys, width = kernels.place_keys(own, cells["y"], cells["x"])
+        order = np.argsort(keys, kind="stable")
+        new = _changes(keys[order])
+        places = keys[order][new]
+        root = kernels.least_linked(*kernels.touching(places, width), len(places))[np.cumsum(new) - 1]
+        by_piece = np.argsort(root, kind="stable")
+        order, new, first = order[by_piece], new[by_piece], np.flatnonzero(_changes(root[by_piece]))
+        y, x = cells["y"][order], cells["x"][order]
+        at = lambda c: np.isin(c % tile, (0, tile - 1))
+        rim = new & (at(y) | at(x))
+        ends = np.append(first, len(y))
+        rims = np.concatenate(([0], np.cumsum(rim)))[ends]
+        piece = y[first].astype(np.int64) * (1 << 32) + x[first] + _HALF
+        lists = [_arrays(ends, y), _arrays(ends, x), _arrays(rims, y[rim]), _arrays(rims, x[rim])]
+        yield pa.RecordBatch.from_arrays([pa.array(cells[k][order[first]]) for k in ks] + [pa.array(piece), *lists], [*ks, "piece", "ys", "xs", "bys", "bxs"])
+
+
+def _join_blocks(batches: Iterator[pa.RecordBatch], ks: list[str]) -> Iterator[pa.RecordBatch]:
+    """(ks, piece, root) of border cells (ks, _by, _bx, y, x, piece) sorted by block: the first piece that one meets within its block, if that is another."""
+    for cells, own in _whole_groups(batches, [*ks, "_by", "_bx"]):
+        keys, width = kernels.place_keys(own, cells["y"], cells["x"])
+        order = np.argsort(keys, kind="stable")
+        piece, own = cells["piece"][order], own[order]
+        by_piece = np.lexsort((piece, own))
+        new = _changes(own[by_piece], piece[by_piece])
+        node = np.empty(len(piece), np.int64)
+        node[by_piece] = np.cumsum(new) - 1
+        head = by_piece[new]
+        a, b = kernels.touching(keys[order], width)
+        root = kernels.least_linked(node[a], node[b], len(head))
+        moved = np.flatnonzero(root != np.arange(len(head)))
+        yield pa.RecordBatch.from_arrays([pa.array(cells[k][order[head[moved]]]) for k in ks] + [pa.array(piece[head[moved]]), pa.array(piece[head[root[moved]]])], [*ks, "piece", "root"])
+
+
 def connected_regions_tiled(mask: DataFrame, keys: tuple[str, ...] = ("image_id", "class_id"), tile: int = 512) -> DataFrame:
     """(keys, y, x, region_id): what connected_regions gives, for any tile size, without a group that holds more than a tile of one image and class.
 
-    Each tile is labelled by the first cell of a piece. Cells at tile borders look for their neighbours in other tiles, and the labels that meet are
-    contracted to the first cell of the whole region. Pieces travel as arrays of cells. Regions are numbered from 1 in raster order of
-    that cell by ranges over all images. Repeated cells come out as often as they stand; cells with a null key or place are left out.
+    Each tile is labelled by the first cell of a piece. Border cells of BLOCK x BLOCK tiles look for their neighbours in one group, and labels that meet are
+    joined there; labels that meet at the borders of blocks are contracted to the first cell of the whole region. Tasks take many tiles or blocks at once, as
+    numbers of their places. Pieces travel as arrays of cells. Regions are numbered from 1 in raster order of that cell: within a row of
+    cells, after the counts of the rows before. Repeated cells come out as often as they stand; cells with a null key or place are left out.
     """
     ks = list(keys)
+    block = tile * BLOCK
     cells = mask.select(*[F.col(k).cast("long").alias(k) for k in ks], F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x")).dropna()
-    tiled = cells.withColumns({"_ty": F.floor(F.col("y") / tile), "_tx": F.floor(F.col("x") / tile)})
-
-    def label(group: pd.DataFrame) -> pd.DataFrame:
-        y, x = group["y"].to_numpy(np.int64), group["x"].to_numpy(np.int64)
-        field = np.zeros((y.max() - y.min() + 1, x.max() - x.min() + 1), bool)
-        field[y - y.min(), x - x.min()] = True
-        own = kernels.components(field)[y - y.min(), x - x.min()]
-        order = np.lexsort((x, y, own))
-        y, x, own = y[order], x[order], own[order]
-        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-        cut = first[1:]
-        head = group[ks].iloc[[0] * len(first)].reset_index(drop=True)
-        return head.assign(piece=y[first] * (1 << 32) + x[first] + _HALF, ys=np.split(y.astype(np.int32), cut), xs=np.split(x.astype(np.int32), cut))
-
-    schema = ", ".join(f"{k} long" for k in ks) + ", piece long, ys array<int>, xs array<int>"
-    pieces = materialize(tiled.groupBy(*ks, "_ty", "_tx").applyInPandas(label, schema), "pieces")
-    cell = pieces.select(*ks, "piece", F.explode(F.arrays_zip("ys", "xs")).alias("c")).select(*ks, "piece", F.col("c.ys").alias("y"), F.col("c.xs").alias("x"))
-    edge = lambda c: F.pmod(c, F.lit(tile)).isin(0, tile - 1)
-    border = materialize(cell.filter(edge(F.col("y")) | edge(F.col("x"))).distinct(), "border")
+    part = lambda c, side: F.floor(F.col(c) / side)
+    tiled = cells.withColumns({"_ty": part("y", tile), "_tx": part("x", tile)})
+    tiled = tiled.repartition(*ks, "_ty", "_tx").sortWithinPartitions(*ks, "_ty", "_tx")
+    held = ", ".join(f"{k} long" for k in ks)
+    schema = f"{held}, piece long, ys array<int>, xs array<int>, bys array<int>, bxs array<int>"
+    pieces = materialize(tiled.mapInArrow(lambda batches: _label_tiles(batches, ks, tile), schema), "pieces")
+    border = pieces.select(*ks, "piece", F.explode(F.arrays_zip("bys", "bxs")).alias("c")).select(*ks, "piece", F.col("c.bys").alias("y"), F.col("c.bxs").alias("x"))
+    blocks = border.withColumns({"_by": part("y", block), "_bx": part("x", block)})
+    blocks = blocks.repartition(*ks, "_by", "_bx").sortWithinPartitions(*ks, "_by", "_bx")
+    inner = materialize(blocks.mapInArrow(lambda batches: _join_blocks(batches, ks), f"{held}, piece long, root long"), "blocks")
+
+    edge = lambda c: F.pmod(c, F.lit(block)).isin(0, block - 1)
+    rim = border.filter(edge(F.col("y")) | edge(F.col("x")))
     steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))])
-    near = border.select(*ks, F.col("piece").alias("a"), "y", "x", F.explode(steps).alias("s")).select(*ks, "a", "y", "x", (F.col("y") + F.col("s.dy")).alias("_y"), (F.col("x") + F.col("s.dx")).alias("_x"))
-    tile_of = lambda c: F.floor(F.col(c) / tile)
-    near = near.filter((tile_of("y") != tile_of("_y")) | (tile_of("x") != tile_of("_x"))).select(*ks, "a", F.col("_y").alias("y"), F.col("_x").alias("x"))
-    joined = least_connected(near.join(border.withColumnRenamed("piece", "b"), [*ks, "y", "x"]).select(*ks, "a", "b"), ks)
-    found = pieces.select(*ks, "piece").distinct().join(joined.withColumnsRenamed({"node": "piece", "least": "_least"}), [*ks, "piece"], "left")
-    found = materialize(found.select(*ks, "piece", F.coalesce("_least", "piece").alias("root")), "roots")
-    numbered = materialize(global_index(found.filter("piece = root").select(*ks, "root"), [*ks, "root"], "_at", "long"), "numbers")
-    begin = numbered.groupBy(*ks).agg(F.min("_at").alias("_from"))
-    ids = numbered.join(begin, ks).select(*ks, "root", (F.col("_at") - F.col("_from") + 1).cast("int").alias("region_id"))
-    named = pieces.join(found, [*ks, "piece"]).join(ids, [*ks, "root"])
+    near = rim.select(*ks, F.col("piece").alias("a"), "y", "x", F.explode(steps).alias("s")).select(*ks, "a", "y", "x", (F.col("y") + F.col("s.dy")).alias("_y"), (F.col("x") + F.col("s.dx")).alias("_x"))
+    near = near.filter((part("y", block) != part("_y", block)) | (part("x", block) != part("_x", block))).select(*ks, "a", F.col("_y").alias("y"), F.col("_x").alias("x"))
+    met = near.join(rim.withColumnRenamed("piece", "b").hint("merge"), [*ks, "y", "x"]).select(*ks, "a", "b").distinct()
+    for end in "ab":
+        met = met.join(inner.withColumnsRenamed({"piece": end, "root": "_root"}), [*ks, end], "left").withColumn(end, F.coalesce("_root", end)).drop("_root")
+    outer = least_connected(met, ks).withColumnsRenamed({"node": "root", "least": "_least"})
+
+    found = pieces.select(*ks, "piece").join(inner, [*ks, "piece"], "left").withColumn("root", F.coalesce("root", "piece"))
+    found = found.join(outer, [*ks, "root"], "left").select(*ks, "piece", F.coalesce("_least", "root").alias("root"))
+    found = materialize(found, "roots")
+    roots = found.filter("piece = root").select(*ks, "root", F.shiftright("root", 32).alias("_y"))
+    before = F.sum("_n").over(Window.partitionBy(*ks).orderBy("_y")) - F.col("_n")
+    lines = roots.groupBy(*ks, "_y").agg(F.count("*").alias("_n")).select(*ks, "_y", before.alias("_before"))
+    nth = F.row_number().over(Window.partitionBy(*ks, "_y").orderBy("root"))
+    ids = roots.withColumn("_nth", nth).join(lines, [*ks, "_y"]).select(*ks, "root", (F.col("_before") + F.col("_nth")).cast("int").alias("region_id"))
+    named = pieces.select(*ks, "piece", "ys", "xs").join(found.join(ids, [*ks, "root"]).select(*ks, "piece", "region_id"), [*ks, "piece"])
     out = named.select(*ks, "region_id", F.explode(F.arrays_zip("ys", "xs")).alias("c"))
     return out.select(*ks, F.col("c.ys").alias("y"), F.col("c.xs").alias("x"), "region_id")
