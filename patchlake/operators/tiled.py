@@ -19,6 +19,11 @@ ROWS = 250_000
 BLOCK = 16
 
 
+def _unsent(df: DataFrame) -> DataFrame:
+    """For a join in which neither side is broadcast: Spark goes by the size of the files, and labels that repeat from image to image pack to few bytes a row."""
+    return df.hint("merge")
+
+
 def least_connected(edges: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, node, least) for every node of the edges (keys, a, b): the smallest node that it is connected with.
 
@@ -37,15 +42,15 @@ def least_connected(edges: DataFrame, keys: list[str]) -> DataFrame:
         hooks = materialize(hooks.select(*keys, "n0", F.least("m", draw("n0")).getField("n").alias("n1")), "hooks")
         step = hooks.select(*keys, F.col("n0").alias("n1"), F.col("n1").alias("n2"))
         for _ in range(2):
-            hooks = hooks.join(step, [*keys, "n1"]).select(*keys, "n0", F.col("n2").alias("n1"))
+            hooks = hooks.join(_unsent(step), [*keys, "n1"]).select(*keys, "n0", F.col("n2").alias("n1"))
         hooks = materialize(hooks, "jumps")
         for end in "ab":
-            left = left.join(hooks.withColumnsRenamed({"n0": end, "n1": f"_{end}"}), [*keys, end]).drop(end).withColumnRenamed(f"_{end}", end)
+            left = left.join(_unsent(hooks.withColumnsRenamed({"n0": end, "n1": f"_{end}"})), [*keys, end]).drop(end).withColumnRenamed(f"_{end}", end)
         left = materialize(left.filter("a <> b").distinct(), "edges")
-        moved = at.join(hooks.withColumnsRenamed({"n0": "top", "n1": "_to"}), [*keys, "top"], "left")
+        moved = at.join(_unsent(hooks.withColumnsRenamed({"n0": "top", "n1": "_to"})), [*keys, "top"], "left")
         at = materialize(moved.select(*keys, "node", F.coalesce("_to", "top").alias("top")), "tops")
     least = at.groupBy(*keys, "top").agg(F.min("node").alias("least"))
-    return at.join(least, [*keys, "top"]).select(*keys, "node", "least")
+    return at.join(_unsent(least), [*keys, "top"]).select(*keys, "node", "least")
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
@@ -148,19 +153,20 @@ def connected_regions_tiled(mask: DataFrame, keys: tuple[str, ...] = ("image_id"
     steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))])
     near = rim.select(*ks, F.col("piece").alias("a"), "y", "x", F.explode(steps).alias("s")).select(*ks, "a", "y", "x", (F.col("y") + F.col("s.dy")).alias("_y"), (F.col("x") + F.col("s.dx")).alias("_x"))
     near = near.filter((part("y", block) != part("_y", block)) | (part("x", block) != part("_x", block))).select(*ks, "a", F.col("_y").alias("y"), F.col("_x").alias("x"))
-    met = near.join(rim.withColumnRenamed("piece", "b").hint("merge"), [*ks, "y", "x"]).select(*ks, "a", "b").distinct()
+    met = near.join(_unsent(rim.withColumnRenamed("piece", "b")), [*ks, "y", "x"]).select(*ks, "a", "b").distinct()
     for end in "ab":
-        met = met.join(inner.withColumnsRenamed({"piece": end, "root": "_root"}), [*ks, end], "left").withColumn(end, F.coalesce("_root", end)).drop("_root")
+        met = met.join(_unsent(inner.withColumnsRenamed({"piece": end, "root": "_root"})), [*ks, end], "left").withColumn(end, F.coalesce("_root", end)).drop("_root")
     outer = least_connected(met, ks).withColumnsRenamed({"node": "root", "least": "_least"})
 
-    found = pieces.select(*ks, "piece").join(inner, [*ks, "piece"], "left").withColumn("root", F.coalesce("root", "piece"))
-    found = found.join(outer, [*ks, "root"], "left").select(*ks, "piece", F.coalesce("_least", "root").alias("root"))
+    found = pieces.select(*ks, "piece").join(_unsent(inner), [*ks, "piece"], "left").withColumn("root", F.coalesce("root", "piece"))
+    found = found.join(_unsent(outer), [*ks, "root"], "left").select(*ks, "piece", F.coalesce("_least", "root").alias("root"))
     found = materialize(found, "roots")
     roots = found.filter("piece = root").select(*ks, "root", F.shiftright("root", 32).alias("_y"))
     before = F.sum("_n").over(Window.partitionBy(*ks).orderBy("_y")) - F.col("_n")
     lines = roots.groupBy(*ks, "_y").agg(F.count("*").alias("_n")).select(*ks, "_y", before.alias("_before"))
     nth = F.row_number().over(Window.partitionBy(*ks, "_y").orderBy("root"))
-    ids = roots.withColumn("_nth", nth).join(lines, [*ks, "_y"]).select(*ks, "root", (F.col("_before") + F.col("_nth")).cast("int").alias("region_id"))
-    named = pieces.select(*ks, "piece", "ys", "xs").join(found.join(ids, [*ks, "root"]).select(*ks, "piece", "region_id"), [*ks, "piece"])
+    ids = roots.withColumn("_nth", nth).join(_unsent(lines), [*ks, "_y"]).select(*ks, "root", (F.col("_before") + F.col("_nth")).cast("int").alias("region_id"))
+    numbered = found.join(_unsent(ids), [*ks, "root"]).select(*ks, "piece", "region_id")
+    named = pieces.select(*ks, "piece", "ys", "xs").join(_unsent(numbered), [*ks, "piece"])
     out = named.select(*ks, "region_id", F.explode(F.arrays_zip("ys", "xs")).alias("c"))
     return out.select(*ks, F.col("c.ys").alias("y"), F.col("c.xs").alias("x"), "region_id")

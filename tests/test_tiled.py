@@ -85,3 +85,17 @@ def test_tiles_cut_by_batches_are_labelled_whole(monkeypatch):
     assert found[0] == found[1] == found[2]
     rim = {(int(a), int(b), int(c)) for a, b, c in places if b % 8 in (0, 7) or c % 8 in (0, 7)}
     assert sorted((r[0], a, b) for r in found[0] for a, b in zip(*r[2:], strict=True)) == sorted(rim)
+
+
+def test_labels_are_never_broadcast(spark):
+    """Files of labels that repeat from image to image seem small, whatever their rows."""
+    import io
+    from contextlib import redirect_stdout
+
+    df = spark.createDataFrame(cells({(0, 0): spiral(21), (1, 0): np.ones((9, 9), bool)}), "image_id long, class_id int, y int, x int, v double")
+    edges = spark.createDataFrame([(1, i, i + 1) for i in range(9)], "k int, a long, b long")
+    for made in (lambda: tiled.connected_regions_tiled(df, tile=3), lambda: tiled.least_connected(edges, ["k"])):
+        out = io.StringIO()
+        with redirect_stdout(out):
+            made().explain("simple")
+        assert "Broadcast" not in out.getvalue() and "SortMergeJoin" in out.getvalue()
